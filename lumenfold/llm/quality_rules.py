@@ -101,9 +101,9 @@ def quality_rules(docs: DataFrame, host: str = "source", text: str = "text") ->
 
 def keep_good(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
     """The rows of ``docs``, columns unchanged, that pass their own rules and whose host passes."""
-    marked = with_statistics(docs.withColumn("__row", F.struct(*docs.columns)), text)
-    hosts = host_verdicts(with_statistics(docs.select(host, text), text), host).where("host_rejected").select("host")
-    return marked.where(~F.col("base_failed")).join(hosts, F.col(f"__row.{host}").eqNullSafe(F.col("host")), "left_anti").select("__row.*")
+    marked = written(with_statistics(docs.withColumn("__row", F.struct(*docs.columns)), text).select("__row", F.col(host).alias("__host"), "base_failed"), "marked")
+    hosts = host_verdicts(marked, "__host").where("host_rejected").select("host")
+    return marked.where(~F.col("base_failed")).join(hosts, F.col("__host").eqNullSafe(F.col("host")), "left_anti").select("__row.*")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query name: (module of this subpackage, name of its SQL there)
 QUERIES = {
+    "op7_mixing": ("mixing", None),
     "op5_decontaminate": ("decontaminate", None),
     "op2_jaccard_join": ("jaccard_join", "SQL"),
     "op10_quality_rules": ("quality_rules", "SQL"),
