@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query name: (module of this subpackage, name of its SQL there)
 QUERIES = {
+    "op9_line_dedup": ("line_dedup", "SQL"),
     "op3_sharding": ("sharding", None),
     "op7_mixing": ("mixing", None),
     "op5_decontaminate": ("decontaminate", None),
