@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query name: (module of this subpackage, name of its SQL there)
 QUERIES = {
+    "op4_language_id": ("language_id", None),
     "op6_quality_classifier": ("quality_classifier", None),
     "op9_line_dedup": ("line_dedup", "SQL"),
     "op3_sharding": ("sharding", None),
