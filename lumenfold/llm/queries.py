@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query name: (module of this subpackage, name of its SQL there)
 QUERIES = {
+    "op1_license_scan": ("license_scan", None),
     "op8_pii": ("pii", None),
     "op4_language_id": ("language_id", None),
     "op6_quality_classifier": ("quality_classifier", None),
