@@ -37,35 +37,78 @@ from lumenfold.llm.components import components
 
 WORDS = 5
 #: A shingle in this share of the documents or more is frequent and goes last in the order.
-FREQUENT = 1 / 1000
+FREQUENT = 1 / 5000
 #: Only the order depends on the table of frequent shingles; it keeps the most frequent ones.
 MAX_FREQUENT = 1_000_000
 #: Largest boundary that the cost comparison may choose.
 MAX_LIGHT = 12
 #: Cost of one exact check, in written rows.
 CHECK_COST = 20
-CACHED_WORDS = 400_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)]
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, np.uint64(base))
+    out[0] = 1
+    with np.errstate(over="ignore"):
+        return np.multiply.accumulate(out)
+
+
 class Shingler:
-    """Sorted hashes of a text's distinct shingles, as unsigned 64-bit integers."""
+    """Sorted hashes of the distinct shingles of each text of a column, as unsigned 64-bit integers.
+
+    A word's hash is a polynomial of its bytes, taken from running sums over all texts of a chunk, and
+    a shingle's mixes the hashes of its words.
+    """
+
+    BASE = 0x9E3779B97F4A7C15
+    CHUNK = 1 << 21
 
     def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
-
-    def __call__(self, text: bytes | None) -> np.ndarray:
-        words = (text or b"").lower().split()
-        if not words:
-            return np.empty(0, np.uint64)
-        known, digest = self.known, xxhash.xxh64_intdigest
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = digest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        k = min(WORDS, len(words))
-        n = len(words) - k + 1
+        self.up = self.down = np.ones(0, np.uint64)
+        self.space = np.zeros(256, bool)
+        self.space[[9, 10, 11, 12, 13, 32]] = True
+        self.low = np.arange(256, dtype=np.uint64)
+        self.low[65:91] += np.uint64(32)
+
+    def __call__(self, column: pa.Array) -> Iterator[np.ndarray]:
+        texts: list[bytes] = []
+        held = 0
+        for value in column:
+            text = value.as_py() or b""
+            if texts and held + len(text) > self.CHUNK:
+                yield from self._chunk(texts)
+                texts, held = [], 0
+            texts.append(text)
+            held += len(text) + 1
+        if texts:
+            yield from self._chunk(texts)
+
+    def _chunk(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        data = np.frombuffer(b" ".join([*texts, b""]) + b" ", np.uint8)
+        if len(data) > len(self.up):
+            self.up, self.down = _powers(self.BASE, len(data)), _powers(pow(self.BASE, -1, 1 << 64), len(data))
+        with np.errstate(over="ignore"):
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum((self.low[data] + np.uint64(1)) * self.up[: len(data)], out=sums[1:])
+            blank = np.concatenate([[True], self.space[data]])
+            edges = np.flatnonzero(blank[1:] != blank[:-1])
+            starts, ends = edges[0::2], edges[1::2]
+            h = (sums[ends] - sums[starts]) * self.down[starts]
+            h = (h ^ (h >> np.uint64(32))) * _ODD[4]
+            h ^= h >> np.uint64(29)
+        bounds = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)])).tolist()
+        whole = self._mixed(h, WORDS) if len(h) >= WORDS else h[:0]
+        for first, last in zip(bounds, bounds[1:], strict=False):
+            n = last - first
+            if n >= WORDS:
+                yield np.unique(whole[first : last - WORDS + 1])
+            else:
+                yield self._mixed(h[first:last], n) if n else h[:0]
+
+    @staticmethod
+    def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+        n = len(h) - k + 1
         with np.errstate(over="ignore"):
             out = np.full(n, np.uint64(k) * _ODD[4], np.uint64)
             for i in range(k):
@@ -73,18 +116,18 @@ class Shingler:
             out ^= out >> np.uint64(31)
             out *= _ODD[1]
             out ^= out >> np.uint64(30)
-        return np.unique(out)
+        return out
 
 
-def _columns(batch: pa.RecordBatch, text: str) -> list:
-    return batch.column(batch.schema.get_field_index(text)).to_pylist()
+def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    return batch.column(batch.schema.get_field_index(name))
 
 
 def _frequent_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(shingle, documents) of each batch's frequent shingles; a null shingle counts the documents."""
     shingles = Shingler()
     for batch in batches:
-        found = [shingles(t) for t in _columns(batch, "bytes")]
+        found = list(shingles(_column(batch, "bytes")))
         keys, counts = np.unique(np.concatenate(found) if found else np.empty(0, np.uint64), return_counts=True)
         keep = counts >= max(3, FREQUENT * len(found))
         yield pa.record_batch({"shingle": pa.array([None, *keys[keep].view(np.int64).tolist()], pa.int64()), "docs": pa.array([len(found), *counts[keep].tolist()], pa.int64())})
@@ -108,8 +151,7 @@ def _sketcher(spread) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
         keys, ranks = spread.value
         for batch in batches:
             sizes, nodes, prefixes = [], [], []
-            for t in _columns(batch, "bytes"):
-                s = shingles(t)
+            for s in shingles(_column(batch, "bytes")):
                 sizes.append(len(s))
                 nodes.append(xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else None)
                 if len(s) > MAX_LIGHT and len(keys):
@@ -119,7 +161,7 @@ def _sketcher(spread) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
                 prefixes.append((s if len(s) <= MAX_LIGHT else s[: len(s) // 4 + 1]).view(np.int64))
             yield pa.record_batch(
                 {
-                    "doc_id": batch.column(batch.schema.get_field_index("doc_id")),
+                    "doc_id": _column(batch, "doc_id"),
                     "n_shingles": pa.array(sizes, pa.int64()),
                     "node": pa.array(nodes, pa.int64()),
                     "prefix": pa.array(prefixes, pa.list_(pa.int64())),
@@ -170,7 +212,7 @@ def _subsets(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, sizes, keys, need = [], [], [], []
-            for node, s in zip(_columns(batch, "node"), _columns(batch, "prefix"), strict=True):
+            for node, s in zip(_column(batch, "node").to_pylist(), _column(batch, "prefix").to_pylist(), strict=True):
                 s = np.sort(np.array(s, np.int64))
                 for c in overlap_sizes(len(s), most):
                     for part in combinations(s.tolist(), c):
@@ -203,10 +245,15 @@ def light_links(nodes: DataFrame, most: int) -> DataFrame:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingles = Shingler()
     for batch in batches:
-        found = [shingles(t) for t in _columns(batch, "bytes")]
+        found = list(shingles(_column(batch, "bytes")))
         yield pa.record_batch({"node": pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else None for s in found], pa.int64()), "shingles": pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))})
 
 
+def _bounded(small: DataFrame) -> DataFrame:
+    """``small`` (a few numbers a row) with a broadcast hint if it is small enough, else as it is."""
+    return F.broadcast(small) if small.count() * 32 <= BROADCAST_BYTES else small
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets have a similarity of 0.75 or more.
 
@@ -215,9 +262,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str = "t
     """
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     ids = written(nodes.join(wanted, "node", "left_semi").select(F.col("first_id").alias("__id")).distinct(), "ids")
-    few = ids.count() * 32 <= BROADCAST_BYTES
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("bytes"))
-    source = source.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    source = source.join(_bounded(ids), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
     sets = source.select("bytes").mapInArrow(_sets, "node long, shingles array<long>").join(wanted, "node", "left_semi").dropDuplicates(["node"])
     sets = written(sets, "sets")
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
@@ -226,12 +272,18 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str = "t
 
 
 def inverted_lists(nodes: DataFrame, most: int) -> DataFrame:
-    """(shingle, node, size) of all lists of two sets or more that a heavy set may need."""
+    """(node, size, shingle, score) of all lists of two sets or more that a heavy set may need.
+
+    score: how many sets share an entry of the set on average. Of near copies, that which the others
+    were made from has the highest, as it has no shingles of its own.
+    """
     from pyspark.sql import Window
 
     first = F.col("n_shingles") >= -(-3 * (most + 1) // 4)
     entries = nodes.where(first & (F.col("n_shingles") > 0)).select("node", F.col("n_shingles").alias("size"), F.explode(F.slice("prefix", F.lit(1), (F.floor(F.col("n_shingles") / 4) + 1).cast("int"))).alias("shingle"))
-    return entries.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("shingle"))).where("n > 1").drop("n")
+    lists = written(entries.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("shingle"))).where("n > 1"), "entries")
+    scores = lists.groupBy("node", "size").agg((F.sum("n") / (F.floor(F.col("size") / 4) + 1)).alias("score")).drop("size")
+    return lists.drop("n").join(scores, "node")
 
 
 def _compatible(a: str, b: str):
@@ -239,12 +291,13 @@ def _compatible(a: str, b: str):
 
 
 def pivot_pairs(lists: DataFrame) -> DataFrame:
-    """Candidates (a, b): each set with the least and the greatest set of a list.
+    """Candidates (a, b): each set with the set of the highest score and the least set of a list.
 
     They only join groups early, so candidates that share few list entries are left to the exact round.
     """
-    ends = lists.groupBy("shingle").agg(F.min(F.struct("node", "size")).alias("p"), F.max(F.struct("node", "size")).alias("q"))
-    met = lists.join(ends, "shingle").select("node", "size", F.explode(F.array("p", "q")).alias("p")).where("node != p.node").select("node", "size", F.col("p.node").alias("other"), F.col("p.size").alias("other_size"))
+    ends = lists.groupBy("shingle").agg(F.max(F.struct("score", "node", "size")).alias("p"), F.min(F.struct("node", "size")).alias("q"))
+    ends = ends.select("shingle", F.struct("p.node", "p.size").alias("p"), "q")
+    met = lists.join(ends, "shingle").select("node", "size", F.explode(F.array_distinct(F.array("p", "q"))).alias("p")).where("node != p.node").select("node", "size", F.col("p.node").alias("other"), F.col("p.size").alias("other_size"))
     counted = met.where(_compatible("size", "other_size")).groupBy("node", "size", "other", "other_size").count()
     enough = 3 * F.col("count") >= F.floor(F.least("size", "other_size") / 4) + 1
     return counted.where(enough).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
@@ -279,8 +332,10 @@ def cross_pairs(lists: DataFrame, roots: DataFrame, most: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs``; other columns are left out."""
     found = written(sketches(docs, text), "sketches")
-    nodes = found.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("prefix").alias("prefix"))
-    ids = written(nodes.select("node", "first_id", "n_shingles"), "nodes")
+    ids = written(found.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("copies")), "nodes")
+    nodes = found.where("node IS NOT NULL").join(_bounded(ids.where("copies > 1").select(F.col("node").alias("__node"), "first_id")), F.col("node") == F.col("__node"), "left")
+    # of a set's documents the first stands for it; rows that repeat it do no harm
+    nodes = nodes.where("__node IS NULL OR doc_id <=> first_id").select("node", "n_shingles", "prefix")
     most = boundary(nodes)
     lists = written(inverted_lists(nodes, most), "lists")
     links = light_links(nodes, most) if most else None
