@@ -1 +1 @@
-
+"""Readers: repaired CSV, office files, JSON lines, uploads."""
