@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths written inside the innermost settled call.
+_paths: ContextVar[list[str]] = ContextVar("paths", default=[])  # noqa: B039
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a temporary one only where none is set (tests)."""
@@ -27,4 +33,29 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lumenfold-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _paths.get().append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def settled(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Write what ``f`` returns, and delete the tables that it wrote on the way.
+
+    For results of a few numbers a row; the result depends on none of the deleted tables.
+    """
+
+    @wraps(f)
+    def run(*args, **kwargs) -> DataFrame:
+        own: list[str] = []
+        outer = _paths.set(own)
+        try:
+            found = f(*args, **kwargs)
+        finally:
+            _paths.reset(outer)
+        result = written(found, f.__name__)
+        spark = result.sparkSession
+        for path in own:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        return result
+
+    return run
