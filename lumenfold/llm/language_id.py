@@ -17,6 +17,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -59,19 +61,23 @@ def words_of(text: str | None) -> list[bytes]:
     return b.split()
 
 
+@cache
+def _script(c: str) -> str:
+    return next((name for name, a, z in SCRIPTS if a <= ord(c) <= z), "Other")
+
+
 def script_of(word: str) -> str:
     """The script of most letters of a word; the first of equals."""
-    seen: Counter[str] = Counter()
-    for c in word:
-        code = ord(c)
-        seen[next((name for name, a, z in SCRIPTS if a <= code <= z), "Other")] += 1
-    return seen.most_common(1)[0][0] if seen else "Other"
+    if word.isascii():
+        return "Latin"
+    return Counter(map(_script, word)).most_common(1)[0][0]
 
 
 def grams(word: str) -> list[str]:
-    """The word itself and its runs of two to four characters, with marks at both ends."""
+    """The word itself, if it isn't long, and its runs of three characters, with marks at both ends."""
     marked = f"<{word}>"
-    return [f"={word}"] * (len(word) <= 12) + [marked[i : i + k] for k in (2, 3, 4) for i in range(len(marked) - k + 1)]
+    runs = [marked[i : i + 3] for i in range(len(marked) - 2)]
+    return [*runs, f"={word}"] if len(word) <= 12 else runs
 
 
 def _gram_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,16 +117,18 @@ class Model:
             if kind == "script" and n >= SCRIPT_SHARE * words[lang]:
                 self.scripts.setdefault(name, np.zeros(len(self.langs), bool))[at[lang]] = True
 
-    def word(self, word: bytes) -> np.ndarray:
-        """Scores of the languages, their exponentials adding to one; languages of other scripts get little."""
-        text = word.decode("utf-8", "replace")
-        unknown = len(self.index)
-        score = self.logs[[self.index.get(g, unknown) for g in grams(text)]].sum(0)
-        able = self.scripts.get(script_of(text))
-        if able is not None:
-            score = np.where(able, score, score - 30)
-        score = score - score.max()
-        return score - np.log(np.exp(score).sum())
+    def scores(self, words: list[bytes]) -> np.ndarray:
+        """A row for each word (none is empty): the languages' log-probabilities; those of other scripts get little."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        get, unknown = self.index.get, len(self.index)
+        parts = [[get(g, unknown) for g in grams(t)] for t in texts]
+        starts = np.cumsum([0, *map(len, parts)])[:-1]
+        score = np.add.reduceat(self.logs[np.fromiter(chain.from_iterable(parts), np.int64)], starts, axis=0)
+        everything = np.ones(len(self.langs), bool)
+        able = np.stack([self.scripts.get(script_of(t), everything) for t in texts])
+        score = np.where(able, score, score - 30)
+        score -= score.max(1, keepdims=True)
+        return score - np.log(np.exp(score).sum(1, keepdims=True))
 
 
 def viterbi(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -194,9 +202,11 @@ def _labeller(shared):
                     fresh = set(words)
                     if len(fresh) > len(table_):
                         table_ = np.zeros((len(fresh), table_.shape[1]), np.float32)
-                for w in fresh:
-                    known[w] = len(known)
-                    table_[known[w]] = model.word(w)
+                if fresh:
+                    new = list(fresh)
+                    at = len(known)
+                    known.update(zip(new, range(at, at + len(new)), strict=True))
+                    table_[at : at + len(new)] = model.scores(new)
                 ids.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
                 if words:
                     waiting.append(i)
