@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenfold.storage import settled, written
+
+__all__ = ["BROADCAST_BYTES", "SPACE", "bounded", "drop_clashing", "settled", "table", "text_or_empty", "written"]
+
 #: Bytes that a broadcast variable made by these operators may hold.
 BROADCAST_BYTES = 64 << 20
 
@@ -19,26 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here.
-
-    The written table outlives a lost executor, so a retried task never recomputes what came before.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lumenfold-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def bounded(small: DataFrame, row_bytes: int = 32) -> DataFrame:
+    """``small`` with a broadcast hint if its rows are few enough, else as it is."""
+    return F.broadcast(small) if small.count() * row_bytes <= BROADCAST_BYTES else small
 
 
 def text_or_empty(name: str = "text") -> Column:

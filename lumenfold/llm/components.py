@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import written
+from lumenfold.llm.common import settled, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -23,6 +23,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+@settled
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (two columns); root is the component's smallest node.
 

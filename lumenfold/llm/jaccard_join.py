@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import BROADCAST_BYTES, drop_clashing, table, written
+from lumenfold.llm.common import bounded, settled, table, written
 from lumenfold.llm.components import components
 
 WORDS = 5
@@ -40,6 +40,8 @@ WORDS = 5
 FREQUENT = 1 / 5000
 #: Only the order depends on the table of frequent shingles; it keeps the most frequent ones.
 MAX_FREQUENT = 1_000_000
+#: Rare shingles with hashes below this, a quarter of all, are in the lists of every set, so what two sets share of them is known.
+LOW = np.uint64(1 << 62)
 #: Largest boundary that the cost comparison may choose.
 MAX_LIGHT = 12
 #: Cost of one exact check, in written rows.
@@ -150,21 +152,28 @@ def _sketcher(spread) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
         shingles = Shingler()
         keys, ranks = spread.value
         for batch in batches:
-            sizes, nodes, prefixes = [], [], []
+            sizes, nodes, prefixes, lows, firsts = [], [], [], [], []
             for s in shingles(_column(batch, "bytes")):
-                sizes.append(len(s))
-                nodes.append(xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else None)
-                if len(s) > MAX_LIGHT and len(keys):
+                n = len(s)
+                sizes.append(n)
+                nodes.append(xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if n else None)
+                rare, common = s, s[:0]
+                if n and len(keys):
                     at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
                     last = keys[at] == s
-                    s = np.concatenate([s[~last], s[last][np.argsort(ranks[at[last]], kind="stable")]])
-                prefixes.append((s if len(s) <= MAX_LIGHT else s[: len(s) // 4 + 1]).view(np.int64))
+                    rare, common = s[~last], s[last][np.argsort(ranks[at[last]], kind="stable")]
+                lows.append(int(np.searchsorted(rare, LOW)))
+                firsts.append(max(n // 4 + 1, lows[-1]) if n else 0)
+                order = np.concatenate([rare, common])
+                prefixes.append((order if n <= MAX_LIGHT else order[: firsts[-1]]).view(np.int64))
             yield pa.record_batch(
                 {
                     "doc_id": _column(batch, "doc_id"),
                     "n_shingles": pa.array(sizes, pa.int64()),
                     "node": pa.array(nodes, pa.int64()),
                     "prefix": pa.array(prefixes, pa.list_(pa.int64())),
+                    "n_low": pa.array(lows, pa.int32()),
+                    "n_first": pa.array(firsts, pa.int32()),
                 }
             )
 
@@ -172,14 +181,15 @@ def _sketcher(spread) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
 
 
 def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, node, prefix) of every row.
+    """(doc_id, n_shingles, node, prefix, n_low, n_first) of every row.
 
     node: a hash of the whole set; null for an empty one. prefix: the set's first shingles in the
-    common order; the whole set where it has ``MAX_LIGHT`` shingles or fewer.
+    common order, rare ones by hash before frequent ones; the whole set where it has ``MAX_LIGHT``
+    shingles or fewer. n_low: how many rare ones are below ``LOW``; n_first: how many go into lists.
     """
     spread = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, text))
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("bytes"))
-    return found.mapInArrow(_sketcher(spread), "doc_id long, n_shingles long, node long, prefix array<long>")
+    return found.mapInArrow(_sketcher(spread), "doc_id long, n_shingles long, node long, prefix array<long>, n_low int, n_first int")
 
 
 def overlap(a: int, b: int) -> int:
@@ -249,41 +259,41 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"node": pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else None for s in found], pa.int64()), "shingles": pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))})
 
 
-def _bounded(small: DataFrame) -> DataFrame:
-    """``small`` (a few numbers a row) with a broadcast hint if it is small enough, else as it is."""
-    return F.broadcast(small) if small.count() * 32 <= BROADCAST_BYTES else small
+def whole_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """(node, shingles) of the nodes in ``wanted``, read again from the documents that stand for them.
 
-
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets have a similarity of 0.75 or more.
-
-    Only documents that stand for a node of ``pairs`` are read again; their ids are broadcast if they
-    are few enough, and joined otherwise.
+    The documents' ids are broadcast if they are few enough, and joined otherwise.
     """
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     ids = written(nodes.join(wanted, "node", "left_semi").select(F.col("first_id").alias("__id")).distinct(), "ids")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("bytes"))
-    source = source.join(_bounded(ids), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    sets = source.select("bytes").mapInArrow(_sets, "node long, shingles array<long>").join(wanted, "node", "left_semi").dropDuplicates(["node"])
-    sets = written(sets, "sets")
+    source = source.join(bounded(ids), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    sets = source.select("bytes").mapInArrow(_sets, "node long, shingles array<long>")
+    return written(sets.join(bounded(wanted), "node", "left_semi").dropDuplicates(["node"]), "sets")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """The pairs (a, b) of nodes whose whole sets have a similarity of 0.75 or more."""
+    wanted = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
+    sets = whole_sets(wanted, nodes, docs, text)
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     return joined.where(100 * both >= 75 * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
 def inverted_lists(nodes: DataFrame, most: int) -> DataFrame:
-    """(node, size, shingle, score) of all lists of two sets or more that a heavy set may need.
+    """(node, size, n_low, n_first, low, shingle, n, score) of all lists of two sets or more that a heavy set may need.
 
-    score: how many sets share an entry of the set on average. Of near copies, that which the others
+    n: sets in the list. low: whether the shingle is a rare one below ``LOW``. score: how many sets share an entry of the set on average. Of near copies, that which the others
     were made from has the highest, as it has no shingles of its own.
     """
     from pyspark.sql import Window
 
-    first = F.col("n_shingles") >= -(-3 * (most + 1) // 4)
-    entries = nodes.where(first & (F.col("n_shingles") > 0)).select("node", F.col("n_shingles").alias("size"), F.explode(F.slice("prefix", F.lit(1), (F.floor(F.col("n_shingles") / 4) + 1).cast("int"))).alias("shingle"))
+    large = nodes.where((F.col("n_shingles") >= -(-3 * (most + 1) // 4)) & (F.col("n_shingles") > 0))
+    entries = large.select("node", F.col("n_shingles").alias("size"), "n_low", "n_first", F.posexplode(F.slice("prefix", F.lit(1), F.col("n_first"))).alias("at", "shingle"))
+    entries = entries.select("node", "size", "n_low", "n_first", (F.col("at") < F.col("n_low")).alias("low"), "shingle")
     lists = written(entries.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("shingle"))).where("n > 1"), "entries")
-    scores = lists.groupBy("node", "size").agg((F.sum("n") / (F.floor(F.col("size") / 4) + 1)).alias("score")).drop("size")
-    return lists.drop("n").join(scores, "node")
+    scores = lists.groupBy("node", "n_first").agg((F.sum("n") / F.col("n_first")).alias("score")).drop("n_first")
+    return lists.join(scores, "node")
 
 
 def _compatible(a: str, b: str):
@@ -303,46 +313,110 @@ def pivot_pairs(lists: DataFrame) -> DataFrame:
     return counted.where(enough).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def cross_pairs(lists: DataFrame, roots: DataFrame, most: int) -> DataFrame:
-    """All candidates (a, b) in different components that may link; one is larger than ``most``.
+def foreign(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """(node, root, size, shingle): the whole sets of ``wanted`` (node, root, size), as far as other components know them.
+
+    No overlap with a set of another component can be larger than what is left of a set. Sets that
+    keep less than a partner may need fall away; what only these know doesn't count the second time.
+    """
+    each = whole_sets(wanted.select("node"), nodes, docs, text).join(wanted, "node").select("node", "root", "size", F.explode("shingles").alias("shingle"))
+    for _ in range(2):
+        each = written(_in_mixed_lists(each), "mixed")
+        kept = each.groupBy("node", "size").agg(F.count(F.lit(1)).alias("known")).where(4 * F.col("known") >= 3 * F.col("size"))
+        each = each.join(written(kept.select("node"), "known"), "node", "left_semi")
+    return written(_in_mixed_lists(each), "foreign")
 
-    Lists whose sets are all in one component fall away. In the others components are paired first,
-    then their members, so that members of one component never meet. A pair's shared list entries
-    bound its overlap.
+
+def _room(a: str, b: str):
+    """How many shingles of a set of size ``a`` a linked set of size ``b`` may lack."""
+    return F.floor((4 * F.col(a) - 3 * F.col(b)) / 7)
+
+
+def _meeting(lists: DataFrame, roots: DataFrame, most: int) -> DataFrame:
+    """(node, root, size) of the sets whose components may link in a list of prefixes.
+
+    A set's low shingles are in lists wherever they are shared, so of them only ``_room`` may be
+    unlisted. And one of two sets has a prefix that ends first: all its unshared entries are missing in
+    the other, so counted from unlisted ones and short lists, one of its first ``_room + 1`` is shared.
     """
     from pyspark.sql import Window
 
-    by = Window.partitionBy("shingle")
-    members = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    members = members.withColumn("lo", F.min("root").over(by)).withColumn("hi", F.max("root").over(by)).where("lo < hi").select("shingle", "node", "size", "root")
-    members = written(members, "members")
-    groups = members.groupBy("shingle", "root").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
-    other = groups.select("shingle", F.col("root").alias("root2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    members = lists.join(roots, "node", "left").select("shingle", "node", "size", "n_low", "n_first", "low", "n", F.coalesce("root", "node").alias("root"))
+    by_node = Window.partitionBy("node")
+    members = _in_mixed_lists(members).withColumns(
+        {
+            "alone": F.col("n_low") - F.sum(F.col("low").cast("int")).over(by_node),
+            "place": F.col("n_first") - F.count(F.lit(1)).over(by_node) + F.row_number().over(by_node.orderBy("n", "shingle")) - 1,
+        }
+    )
+    members = written(members.drop("n", "n_low", "n_first", "low"), "members")
+    groups = members.groupBy("shingle", "root").agg(F.min("size").alias("lo"), F.max("size").alias("hi"), F.min("place").alias("place"), F.min("alone").alias("alone"))
+    other = groups.select(*[F.col(c).alias(f"{c}2") for c in groups.columns])
     near = (4 * F.col("hi") >= 3 * F.col("lo2")) & (4 * F.col("hi2") >= 3 * F.col("lo")) & (F.greatest("hi", "hi2") > most)
-    pairs = groups.join(other, "shingle").where((F.col("root") < F.col("root2")) & near).select("shingle", "root", "root2")
-    left = members.select("shingle", "root", F.col("node").alias("a"), F.col("size").alias("size_a"))
-    right = members.select("shingle", F.col("root").alias("root2"), F.col("node").alias("b"), F.col("size").alias("size_b"))
-    pairs = pairs.join(left, ["shingle", "root"]).join(right, ["shingle", "root2"]).where(_compatible("size_a", "size_b") & (F.greatest("size_a", "size_b") > most))
-    counted = pairs.groupBy("a", "b", "size_a", "size_b").count()
-    # One of the two prefixes ends first; its entries that aren't shared are missing in the other set.
-    room = F.greatest(*[F.col(s) - (F.floor(F.col(s) / 4) + 1) for s in ("size_a", "size_b")]) + F.col("count")
-    return counted.where(room >= _needed("size_a", "size_b")).select("a", "b")
+    near = near & (F.col("alone") <= _room("hi", "lo2")) & (F.col("alone2") <= _room("hi2", "lo"))
+    near = near & ((F.col("place") <= _room("hi", "lo2")) | (F.col("place2") <= _room("hi2", "lo")))
+    met = groups.join(other, (F.col("shingle") == F.col("shingle2")) & (F.col("root") != F.col("root2")) & near, "left_semi")
+    found = written(met.select("root").distinct(), "meeting")
+    return members.join(bounded(found), "root", "left_semi").select("node", "root", "size").distinct()
+
 
+def cross_pairs(lists: DataFrame, roots: DataFrame, most: int, nodes: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """All candidates (a, b) in different components that may link; one is larger than ``most``.
+
+    The whole sets of components that may meet are cut down to what other components know of them. A
+    linked set may lack ``_room`` shingles, of which the unknown ones are some; so one of the first
+    few known ones, short lists first, is shared. Only these make pairs, from the component with fewer
+    sets. Components are paired first, then their sets, so that sets of one component never meet.
+    """
+    from pyspark.sql import Window
 
+    wanted = written(_meeting(lists, roots, most), "wanted")
+    each = foreign(wanted, nodes, docs, text)
+    counts = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    weights = each.select("root", "node").distinct().groupBy("root").agg(F.count(F.lit(1)).alias("weight"))
+    by_node = Window.partitionBy("node")
+    each = each.join(counts, "shingle").join(bounded(written(weights, "weights")), "root")
+    each = each.withColumn("known", F.count(F.lit(1)).over(by_node))
+    each = written(each.withColumn("place", F.col("size") - F.col("known") + F.row_number().over(by_node.orderBy("n", "shingle")) - 1).drop("n"), "places")
+    first = each.where(F.col("place") <= F.floor(F.col("size") / 4))
+
+    def groups(df: DataFrame, mark: str) -> DataFrame:
+        out = df.groupBy("shingle", "root", "weight").agg(F.min("size").alias("lo"), F.max("size").alias("hi"), F.max("known").alias("known"), F.min("place").alias("place"))
+        return out.select("shingle", *[F.col(c).alias(c + mark) for c in out.columns[1:]])
+
+    met = groups(first, "1").join(groups(each, "2"), "shingle")
+    met = met.where((F.struct("weight1", "root1") < F.struct(F.col("weight2"), F.col("root2"))) & (F.col("place1") <= _room("hi1", "lo2")))
+    met = met.where((4 * F.col("hi1") >= 3 * F.col("lo2")) & (4 * F.col("hi2") >= 3 * F.col("lo1")) & (F.greatest("hi1", "hi2") > most) & (F.least("known1", "known2") >= _needed("lo1", "lo2")))
+    met = met.select("shingle", "root1", "root2", "lo2")
+    left = first.select("shingle", F.col("root").alias("root1"), *[F.col(c).alias(f"{c}_a") for c in ("node", "size", "known", "place")])
+    right = each.select("shingle", F.col("root").alias("root2"), *[F.col(c).alias(f"{c}_b") for c in ("node", "size", "known")])
+    pairs = met.join(left, ["shingle", "root1"]).where(F.col("place_a") <= _room("size_a", "lo2")).join(right, ["shingle", "root2"])
+    able = _compatible("size_a", "size_b") & (F.greatest("size_a", "size_b") > most) & (F.least("known_a", "known_b") >= _needed("size_a", "size_b"))
+    pairs = pairs.where(able & (F.col("place_a") <= _room("size_a", "size_b")))
+    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
+def _in_mixed_lists(members: DataFrame) -> DataFrame:
+    """The rows whose list has sets of several components."""
+    mixed = members.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle")
+    return members.join(mixed, "shingle", "left_semi")
+
+
+@settled
 def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs``; other columns are left out."""
     found = written(sketches(docs, text), "sketches")
     ids = written(found.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("copies")), "nodes")
-    nodes = found.where("node IS NOT NULL").join(_bounded(ids.where("copies > 1").select(F.col("node").alias("__node"), "first_id")), F.col("node") == F.col("__node"), "left")
+    nodes = found.where("node IS NOT NULL").join(bounded(ids.where("copies > 1").select(F.col("node").alias("__node"), "first_id")), F.col("node") == F.col("__node"), "left")
     # of a set's documents the first stands for it; rows that repeat it do no harm
-    nodes = nodes.where("__node IS NULL OR doc_id <=> first_id").select("node", "n_shingles", "prefix")
+    nodes = nodes.where("__node IS NULL OR doc_id <=> first_id").select("node", "n_shingles", "prefix", "n_low", "n_first")
     most = boundary(nodes)
     lists = written(inverted_lists(nodes, most), "lists")
     links = light_links(nodes, most) if most else None
     near = verified(pivot_pairs(lists), ids, docs, text)
     links = written(near.union(links) if links is not None else near, "near")
     roots = components(links)
-    crossed = written(cross_pairs(lists, roots, most), "cross")
+    crossed = written(cross_pairs(lists, roots, most, ids, docs, text), "cross")
     links = links.union(verified(crossed, ids, docs, text))
     roots = components(links)
     least = ids.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first_id")
@@ -359,7 +433,7 @@ def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     marked = jaccard_components(docs.select("doc_id", text), text)
     gone = marked.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    kept = docs.join(bounded(gone), F.col("doc_id") == F.col("__gone"), "left_anti")
     again = written(marked.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again")), "again")
     if again.isEmpty():
         return kept
