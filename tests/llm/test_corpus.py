@@ -145,7 +145,8 @@ def test_rules_column_is_the_model(spark, docs):
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choice(["word", "Thing", "###", "|"]) for _ in range(rng.randint(5, 60)))) for i in range(120)]
     x = np.array([quality_classifier.statistics(t.encode()) for _, t in rows])
-    y = (x[:, 2] < np.median(x[:, 2])).astype(float)
+    share = x[:, quality_classifier.STATISTICS.index("symbol_share")]
+    y = (share < np.median(share)).astype(float)
     model = quality_classifier.RuleEnsemble.fit(x, y)
     got = quality_classifier.with_statistics(docs(rows).select("doc_id", "text")).withColumn("score", model.column()).orderBy("doc_id").toPandas().score.to_numpy()
     z = model.intercept + sum(w * quality_classifier.holds(r, x) for r, w in model.rules)
