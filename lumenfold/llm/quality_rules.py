@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import SPACE, drop_clashing, table, text_or_empty, written
+from lumenfold.llm.common import SPACE, bounded, drop_clashing, table, text_or_empty, written
 
 MIN_WORDS = 20
 WINDOW = 8
@@ -26,7 +26,7 @@ STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def words(text: Column) -> Column:
-    stripped = F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    stripped = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
     return F.when(stripped == "", F.array().cast("array<string>")).otherwise(F.split(stripped, f"[{SPACE}]+"))
 
 
@@ -58,7 +58,7 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumns(
         {
             "n_words": F.size("__words").cast("long"),
-            "word_chars": (F.length(t) - F.regexp_count(t, F.lit(f"[{SPACE}]"))).cast("long"),
+            "word_chars": F.length(F.array_join("__words", "")).cast("long"),
             "n_symbols": F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("long"),
             "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
             "n_repeat_words": F.when(F.size(F.array_distinct("__hashes")) < F.size("__hashes"), _repeat_words(F.col("__hashes"))).otherwise(F.lit(0)).cast("long"),
@@ -100,10 +100,19 @@ def quality_rules(docs: DataFrame, host: str = "source", text: str = "text") ->
 
 
 def keep_good(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, columns unchanged, that pass their own rules and whose host passes."""
-    marked = written(with_statistics(docs.withColumn("__row", F.struct(*docs.columns)), text).select("__row", F.col(host).alias("__host"), "base_failed"), "marked")
-    hosts = host_verdicts(marked, "__host").where("host_rejected").select("host")
-    return marked.where(~F.col("base_failed")).join(hosts, F.col("__host").eqNullSafe(F.col("host")), "left_anti").select("__row.*")
+    """The rows of ``docs``, columns unchanged, that pass their own rules and whose host passes.
+
+    The statistics are computed twice, first for the hosts: that costs less than to keep all texts aside.
+    """
+    judged = _held(with_statistics(docs.select(host, text), text).select(F.col(host).alias("__host"), "base_failed"))
+    rejected = written(host_verdicts(judged, "__host").where("host_rejected").select("host"), "rejected")
+    marked = _held(with_statistics(docs.withColumn("__row", F.struct(*docs.columns)), text).select("__row", "base_failed"))
+    return marked.where(~F.col("base_failed")).join(bounded(rejected, 256), F.col(f"__row.{host}").eqNullSafe(F.col("host")), "left_anti").select("__row.*")
+
+
+def _held(df: DataFrame) -> DataFrame:
+    """``df`` as it is. A filter on its columns stays above them, and so doesn't repeat what they are computed from."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
