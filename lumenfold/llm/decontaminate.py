@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import table, written
+from lumenfold.llm.common import bounded, table, written
 
 #: Character edits allowed, as a share of the item's length.
 MAX_ERROR = 0.06
@@ -162,7 +162,7 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
 def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that contain no item; rows with a null ``doc_id`` are judged by their text."""
     leaks = written(matches(docs, items, text).select("doc_id").distinct(), "leaks")
-    named = docs.join(leaks.where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "__leak"), F.col("doc_id") == F.col("__leak"), "left_anti")
+    named = docs.join(bounded(leaks.where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "__leak")), F.col("doc_id") == F.col("__leak"), "left_anti")
     if leaks.where("doc_id IS NULL").isEmpty():
         return named
     nameless = docs.where("doc_id IS NULL").withColumn("doc_id", F.monotonically_increasing_id())

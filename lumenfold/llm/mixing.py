@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import SPACE, drop_clashing, table, text_or_empty, written
+from lumenfold.llm.common import SPACE, drop_clashing, settled, table, text_or_empty, written
 
 MAX_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
@@ -103,6 +103,7 @@ def _fit_source(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"source": pdf["source"], "size": lengths, "epochs": epochs, "extra": extra})
 
 
+@settled
 def mix(docs: DataFrame, text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) of each row; ``taken`` counts repeats."""
     slim = docs.select("doc_id", F.col(source).cast("string").alias("source"), n_words(text).alias("size"))

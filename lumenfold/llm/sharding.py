@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import drop_clashing, table, written
+from lumenfold.llm.common import drop_clashing, settled, table, written
 
 SHARDS = 40
 ROW_BYTES = 16
@@ -102,6 +102,7 @@ def _combine(k: int):
     return run
 
 
+@settled
 def assign(groups: DataFrame, shards: int = SHARDS, bucket_groups: int = BUCKET_GROUPS) -> DataFrame:
     """(key, shard) of a table (key string, bytes long) with a row for each group."""
     n, total, most = groups.agg(F.count(F.lit(1)), F.sum("bytes"), F.max("bytes")).first()
@@ -135,6 +136,7 @@ def text_key(text: str = "text") -> Column:
     return F.coalesce(F.md5(F.col(text)), F.concat(F.lit("null "), F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))))
 
 
+@settled
 def shards(docs: DataFrame, text: str = "text", n: int = SHARDS) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of each row; slots follow doc_id's hash."""
     t = F.coalesce(F.col(text), F.lit(""))
