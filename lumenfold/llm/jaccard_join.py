@@ -64,7 +64,7 @@ class Shingler:
     """
 
     BASE = 0x9E3779B97F4A7C15
-    CHUNK = 1 << 21
+    CHUNK = 1 << 19
 
     def __init__(self) -> None:
         self.up = self.down = np.ones(0, np.uint64)
@@ -125,6 +125,12 @@ def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def _lists(sets: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+    values = np.concatenate(sets) if sets else np.empty(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
+
+
 def _frequent_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(shingle, documents) of each batch's frequent shingles; a null shingle counts the documents."""
     shingles = Shingler()
@@ -171,7 +177,7 @@ def _sketcher(spread) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
                     "doc_id": _column(batch, "doc_id"),
                     "n_shingles": pa.array(sizes, pa.int64()),
                     "node": pa.array(nodes, pa.int64()),
-                    "prefix": pa.array(prefixes, pa.list_(pa.int64())),
+                    "prefix": _lists(prefixes),
                     "n_low": pa.array(lows, pa.int32()),
                     "n_first": pa.array(firsts, pa.int32()),
                 }
@@ -256,7 +262,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingles = Shingler()
     for batch in batches:
         found = list(shingles(_column(batch, "bytes")))
-        yield pa.record_batch({"node": pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else None for s in found], pa.int64()), "shingles": pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))})
+        yield pa.record_batch({"node": pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else None for s in found], pa.int64()), "shingles": _lists(found)})
 
 
 def whole_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
