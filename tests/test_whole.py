@@ -19,3 +19,10 @@ def test_compare_members_reads_every_customer(spark, tmp_path):
     found = QUERIES["compare_members"](spark, sf).select("member", "in_a", "in_b").toPandas()
     # columns by name: in_a, in_b, member
     assert rows_of(found) == [("False", "True", "C"), ("True", "False", "B"), ("True", "True", "A")]
+
+
+def test_file_coverage_reads_every_order(spark, tmp_path):
+    rows = [(1, 1, 7), (2, 1, 8), (3, 2, 7), (40, 2, 7), (41, 3, 9)]
+    sf = written(spark, tmp_path, lineitem=(rows, "l_orderkey long, l_linenumber int, l_suppkey long"))
+    found = QUERIES["file_coverage"](spark, sf).orderBy("file_id").select("file_id", "n_keys", "unique_keys", "best_cover", "covered", "residual_free").collect()
+    assert [tuple(r) for r in found] == [("F1", 2, 1, "F2", 0.5, False), ("F2", 1, 0, "F1", 1.0, True), ("F3", 1, 1, None, 0.0, False)]
