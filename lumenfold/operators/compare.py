@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.functions.similarity import jaccard
-from lumenfold.functions.text import is_empty, norm_cell, row_hash
+from lumenfold.functions.similarity import jaccard, name_class
+from lumenfold.functions.text import is_empty, norm_cell, row_hash, tokens
 from lumenfold.functions.values import cell_kind
 from lumenfold.operators.profile import cells
 
@@ -80,6 +80,31 @@ def record_conflicts(a: DataFrame, b: DataFrame, key: str, columns: list[str]) -
     return both.where(differ).withColumn("kind", F.when(same, "FORMAT_VARIANT").otherwise("DISAGREEMENT"))
 
 
+def similar_names(df: DataFrame, row_id: str, name: str) -> DataFrame:
+    """(id_a, id_b, cls, score, token_jaccard) of names that are copies, likely duplicates or related.
+
+    A name stands by its first row: each further row with it is a pair with that row, and names that
+    differ are paired by their first rows. Candidates share a rare token: a token Jaccard of 0.34
+    leaves one among the first of both, a name inside another leaves its rarest in the other. So no pair
+    of the classes is lost, and a null name is in none.
+    """
+    rows = df.select(F.col(row_id).alias("id"), F.col(name).alias("x")).where(F.col("x").isNotNull())
+    names = rows.groupBy("x").agg(F.min("id").alias("id"))
+    copies = rows.join(names.withColumnRenamed("id", "id_a"), "x").where("id <> id_a").select("id_a", F.col("id").alias("id_b"), "x", F.col("x").alias("y"))
+    each = names.select("id", F.explode(tokens(F.col("x"))).alias("token"))
+    known = each.join(each.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "token")
+    ranked = known.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("all"))
+    size = F.size("all")
+    placed = ranked.select("id", (size - F.expr("(34 * size(all) + 99) div 100") + 1).alias("first"), F.posexplode("all").alias("pos", "t")).select("id", "pos", F.col("t.token").alias("token"), (F.col("pos") < F.col("first")).alias("early"))
+    side = lambda p, where: placed.where(where).select("token", F.col("id").alias(p))
+    met = side("a", "early").join(side("b", "early"), "token").unionByName(side("a", "pos = 0").join(side("b", "pos >= 0"), "token"))
+    pairs = met.where("a <> b").select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
+    named = lambda p, x: names.select(F.col("id").alias(p), F.col("x").alias(x))
+    both = pairs.join(named("id_a", "x"), "id_a").join(named("id_b", "y"), "id_b").unionByName(copies)
+    scored = both.select("id_a", "id_b", name_class(F.col("x"), F.col("y")).alias("c"), jaccard(tokens(F.col("x")), tokens(F.col("y"))).alias("token_jaccard"))
+    return scored.where("c.cls <> 'DIFFERENT_ENTITY'").select("id_a", "id_b", "c.cls", "c.score", "token_jaccard")
+
+
 def row_overlap(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
     """One row: rows of each side, rows in common as multisets, their Jaccard."""
     hashes = lambda df, n: df.groupBy(row_hash([norm_cell(F.col(c)) for c in columns]).alias("h")).agg(F.count(F.lit(1)).alias(n))

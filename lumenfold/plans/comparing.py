@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumenfold.functions.similarity import jaccard, name_class
-from lumenfold.functions.text import tokens
 from lumenfold.operators import compare, integrity
 from lumenfold.plans.registry import load, query
 
@@ -67,11 +65,7 @@ _TOK = f"list_distinct(list_transform(list_filter(regexp_split_to_array(lower({{
 SELECT id_a, id_b, CASE WHEN x = y THEN 'EXACT_DUPLICATE' WHEN na = 0 OR nb = 0 THEN 'DIFFERENT_ENTITY' WHEN i = na AND i = nb THEN 'LIKELY_DUPLICATE' WHEN i / u >= 0.6 OR i = na OR i = nb THEN 'LIKELY_DUPLICATE' WHEN i / u >= 0.34 THEN 'RELATED_RECORD' ELSE 'DIFFERENT_ENTITY' END AS cls,
  CASE WHEN x = y THEN 1.0 WHEN na = 0 OR nb = 0 THEN 0.0 WHEN i = na AND i = nb THEN 0.99 ELSE round(i / u, 4) END AS score, round(CASE WHEN u = 0 THEN 0 ELSE i / u END, 4) AS token_jaccard FROM p""")
 def name_similarity(spark, sf_dir):
-    part = load(spark, sf_dir, "part").select("p_partkey", "p_name")
-    a = part.select(F.col("p_partkey").alias("id_a"), F.col("p_name").alias("x"), (F.col("p_partkey") + 1).alias("id_b"))
-    b = part.select(F.col("p_partkey").alias("id_b"), F.col("p_name").alias("y"))
-    cls = name_class(F.col("x"), F.col("y"))
-    return a.join(b, "id_b").select("id_a", "id_b", cls.alias("c"), jaccard(tokens(F.col("x")), tokens(F.col("y"))).alias("token_jaccard")).select("id_a", "id_b", "c.cls", "c.score", "token_jaccard")
+    return compare.similar_names(load(spark, sf_dir, "part"), "p_partkey", "p_name")
 
 
 @query("""WITH c AS (SELECT o_orderkey % 50 AS pair, o_totalprice FROM orders), s AS (SELECT pair, count(*) FILTER (o_totalprice > 400000) AS a, count(*) FILTER (o_totalprice < 20000) AS b FROM c GROUP BY pair)

@@ -100,7 +100,7 @@ def table_signature(spark, sf_dir):
 @query(f"""WITH r AS (SELECT doc_id, left(sha1(({NORM.replace('v IS NULL', 'text IS NULL').replace('trim(v)', "regexp_replace(text, '^[ 	]+|[ 	]+$', '', 'g')")})), 16) AS h FROM (SELECT doc_id, lang AS text FROM documents))
 SELECT h AS row_hash, count(*) AS n_rows, min(doc_id) AS first_row, max(doc_id) AS last_row FROM r GROUP BY h HAVING count(*) > 1""")
 def row_duplicates(spark, sf_dir):
-    return profile.row_duplicates(load(spark, sf_dir, "documents"), ["lang"], "doc_id")
+    return profile.row_duplicates(load(spark, sf_dir, "documents"), ["text", "lang", "source", "n_chars"], "doc_id")
 
 
 @query("""SELECT left(md5(text), 16) AS text_hash, count(*) AS n_rows, min(doc_id) AS first_row, max(doc_id) AS last_row FROM documents GROUP BY text HAVING count(*) > 1""")
