@@ -252,8 +252,8 @@ def train(texts: list[str]) -> SpanModel:
 def learn(docs: DataFrame, text: str = "text", most: int = MAX_TRAIN) -> SpanModel:
     """The model of at most ``most`` texts that hold a digit, an at or an equals sign; they reach the driver."""
     marked = docs.where(F.col(text).rlike("[0-9@=]")).select(F.col(text).alias("text"), F.xxhash64(text).alias("draw"))
-    # hashes first; then only the texts of the sample are carried on
-    chosen = marked.select("draw").orderBy("draw").limit(most).distinct()
+    # different hashes first, so copies count once; then only the texts of the sample are carried on
+    chosen = marked.select("draw").distinct().orderBy("draw").limit(most)
     rows = marked.join(F.broadcast(chosen), "draw", "left_semi").dropDuplicates(["draw"]).orderBy("draw").toLocalIterator()
     return train([r["text"] for r in rows])
 

@@ -1,0 +1,11 @@
+"""The sample and the candidates of personal data."""
+
+from lumenfold.llm import pii
+
+
+def test_sample_counts_different_texts(spark, monkeypatch):
+    monkeypatch.setattr(pii, "train", sorted)
+    texts = [f"text {i}" for i in range(6)]
+    docs = spark.createDataFrame([(t,) for t in texts for _ in range(50)], "text string").repartition(3)
+    assert pii.learn(docs, most=6) == texts
+    assert len(pii.learn(docs, most=4)) == 4
