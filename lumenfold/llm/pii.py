@@ -17,7 +17,7 @@ gives an empty result. Positions are code points, ends exclusive.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -43,7 +43,11 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _SECRET = re.compile(r"(?i)(?:password|passwd|secret|token|api[_-]?key)\s?[=:]\s?[\"']?([A-Za-z0-9+/_.-]{8,})|\b(AKIA[0-9A-Z]{10,20})\b")
-_SPARK = re.compile(r"[0-9@=]")
+#: What stands before a secret's value.
+_CUE = re.compile(r"(?i)(?:password|passwd|secret|token|key)\s?[=:]\s?[\"']?")
+#: A text without it has no span; also read by Java, so without what only Python knows.
+_ANY = r"[0-9@=]|[A-Z]{12}|(?i:password|passwd|secret|token|key)\s?:"
+_SPARK = re.compile(_ANY)
 _TRIGGER = re.compile(r"@|=|[0-9][^0-9]?[0-9][^0-9]?[0-9]|[A-Z0-9]{12}")
 _WORD = re.compile(r"[^ \t\n\x0b\x0c\r]+")
 _RIGHT, _LEFT = ".,;:!?\"'", "\"'"
@@ -92,10 +96,11 @@ def base_spans(text: str) -> list[Span]:
 
 
 def zones(words: list[tuple[int, int]], text: str) -> list[tuple[int, int]]:
-    """Runs [first, last) of words around words with a trigger."""
+    """Runs [first, last) of words around words with a trigger or a cue that sets a value."""
     out: list[list[int]] = []
+    cued = {bisect_right(words, (m.start(), len(text))) - 1 for m in _CUE.finditer(text)}
     for i, (a, b) in enumerate(words):
-        if _TRIGGER.search(text, a, b):
+        if i in cued or _TRIGGER.search(text, a, b):
             first, last = max(0, i - CONTEXT), min(len(words), i + CONTEXT + 1)
             if out and first <= out[-1][1]:
                 out[-1][1] = last
@@ -148,6 +153,8 @@ class SpanModel:
                 starts = {start}
                 if j == i + 1 and 0 < (cut := text.rfind("=", start, end) + 1 - start) < end - start:
                     starts.add(start + cut)
+                if j == i + 1:
+                    starts |= {m.end() for m in _CUE.finditer(text, start, end) if m.end() < end}
                 for a in sorted(starts):
                     b = end
                     while b > a and text[b - 1] in _RIGHT:
@@ -250,8 +257,8 @@ def train(texts: list[str]) -> SpanModel:
 
 
 def learn(docs: DataFrame, text: str = "text", most: int = MAX_TRAIN) -> SpanModel:
-    """The model of at most ``most`` texts that hold a digit, an at or an equals sign; they reach the driver."""
-    marked = docs.where(F.col(text).rlike("[0-9@=]")).select(F.col(text).alias("text"), F.xxhash64(text).alias("draw"))
+    """The model of at most ``most`` texts that may hold a span (``_ANY``); they reach the driver."""
+    marked = docs.where(F.col(text).rlike("(?U)" + _ANY)).select(F.col(text).alias("text"), F.xxhash64(text).alias("draw"))
     # different hashes first, so copies count once; then only the texts of the sample are carried on
     chosen = marked.select("draw").distinct().orderBy("draw").limit(most)
     rows = marked.join(F.broadcast(chosen), "draw", "left_semi").dropDuplicates(["draw"]).orderBy("draw").toLocalIterator()
