@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -15,11 +16,15 @@ _paths: ContextVar[list[str]] = ContextVar("paths", default=[])  # noqa: B039
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set (tests)."""
+    """The cluster's shared checkpoint folder; where none is set, a temporary one for local sessions alone.
+
+    On a cluster executors don't see a driver's own folders, so there an unset folder is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    folder = folder or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -30,11 +35,29 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
     The written table outlives a lost executor, so a retried task never recomputes what came before.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lumenfold-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = _kept(df, what)
     _paths.get().append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _kept(df: DataFrame, what: str) -> str:
+    path = f"{shared_dir(df.sparkSession)}/lumenfold-{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discarded(df: DataFrame) -> None:
+    """Delete a table that ``written`` made and that nothing reads any more."""
+    own, files = _paths.get(), df.inputFiles()
+    found = [p for p in own if any(p.rsplit("/", 1)[1] in f for f in files)]
+    _delete(df.sparkSession, found)
+    own[:] = [p for p in own if p not in found]
 
 
 def settled(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
@@ -49,13 +72,12 @@ def settled(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         outer = _paths.set(own)
         try:
             found = f(*args, **kwargs)
+            path, spark = _kept(found, f.__name__), found.sparkSession
         finally:
             _paths.reset(outer)
-        result = written(found, f.__name__)
-        spark = result.sparkSession
-        for path in own:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        result = spark.read.schema(found.schema).parquet(path)
+        _paths.get().append(path)
+        _delete(spark, own)
         return result
 
     return run
