@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.storage import settled, written
+from lumenfold.storage import discarded, settled, written
 
-__all__ = ["BROADCAST_BYTES", "SPACE", "bounded", "drop_clashing", "settled", "table", "text_or_empty", "written"]
+__all__ = ["BROADCAST_BYTES", "SPACE", "bounded", "discarded", "drop_clashing", "settled", "table", "text_or_empty", "written"]
 
 #: Bytes that a broadcast variable made by these operators may hold.
 BROADCAST_BYTES = 64 << 20

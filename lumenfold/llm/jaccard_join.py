@@ -13,26 +13,31 @@ is the size at which their estimated costs cross:
   without pairing their members. Then only sets that are still in different components are paired.
 
 Only components are asked for, so links inside a known component need no check; no link between
-components is lost. Hashes have 64 bits.
+components is lost. A shingle's hash has 64 bits; a set and a subset are known by 128. Tables carry
+row numbers for sets, and shingles alone move through the shuffles.
 
 Defined results: a null or empty text has no shingles and is alone; fewer than five words make one
-shingle; repeated rows are copies; a null ``doc_id`` never names a component if it has another
-member; an empty table gives an empty result.
+shingle; very long texts are read whole; repeated rows are copies, and rows that repeat a ``doc_id``
+with another text are rows of their own; a null ``doc_id`` never names a component if it has another
+member; ``doc_id`` may have any type that has an order; other columns are left out, or kept as they
+are by ``one_of_each``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import bounded, settled, table, written
+from lumenfold.llm.common import BROADCAST_BYTES, bounded, discarded, settled, table, written
 from lumenfold.llm.components import components
 
 WORDS = 5
@@ -40,8 +45,8 @@ WORDS = 5
 FREQUENT = 1 / 5000
 #: Only the order depends on the table of frequent shingles; it keeps the most frequent ones.
 MAX_FREQUENT = 1_000_000
-#: Rare shingles with hashes below this, a quarter of all, are in the lists of every set, so what two sets share of them is known.
-LOW = np.uint64(1 << 62)
+#: Rare shingles with keys below this, a quarter of all, are in the lists of every set, so what two sets share of them is known.
+LOW = 1 << 61
 #: Largest boundary that the cost comparison may choose.
 MAX_LIGHT = 12
 #: Cost of one exact check, in written rows.
@@ -131,6 +136,14 @@ def _lists(sets: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
 
 
+def _identity(s: np.ndarray) -> tuple[int, int] | tuple[None, None]:
+    """128 bits of a whole set as two signed numbers; nulls for an empty one."""
+    if not len(s):
+        return None, None
+    high, low = divmod(xxhash.xxh3_128_intdigest(s.tobytes()), 1 << 64)
+    return high - (1 << 63), low - (1 << 63)
+
+
 def _frequent_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(shingle, documents) of each batch's frequent shingles; a null shingle counts the documents."""
     shingles = Shingler()
@@ -153,49 +166,62 @@ def frequent_shingles(docs: DataFrame, text: str = "text") -> tuple[np.ndarray,
     return keys[order], ranks[order]
 
 
+def _ordered(s: np.ndarray, keys: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The set's keys in the common order: rare shingles by hash, then frequent ones, the rarest first.
+
+    A rare shingle's key is positive, a frequent one's negative, so that a list's kind shows in its key.
+    """
+    if not len(s) or not len(keys):
+        return (s >> np.uint64(1)).view(np.int64), np.empty(0, np.int64)
+    at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
+    last = keys[at] == s
+    common = s[last][np.argsort(ranks[at[last]], kind="stable")]
+    return (s[~last] >> np.uint64(1)).view(np.int64), (common | np.uint64(1 << 63)).view(np.int64)
+
+
 def _sketcher(spread) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler()
-        keys, ranks = spread.value
         for batch in batches:
-            sizes, nodes, prefixes, lows, firsts = [], [], [], [], []
+            sizes, highs, lows, prefixes, n_low, firsts = [], [], [], [], [], []
             for s in shingles(_column(batch, "bytes")):
                 n = len(s)
                 sizes.append(n)
-                nodes.append(xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if n else None)
-                rare, common = s, s[:0]
-                if n and len(keys):
-                    at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
-                    last = keys[at] == s
-                    rare, common = s[~last], s[last][np.argsort(ranks[at[last]], kind="stable")]
-                lows.append(int(np.searchsorted(rare, LOW)))
-                firsts.append(max(n // 4 + 1, lows[-1]) if n else 0)
+                high, low = _identity(s)
+                highs.append(high)
+                lows.append(low)
+                rare, common = _ordered(s, *spread.value)
+                n_low.append(int(np.searchsorted(rare, LOW)))
+                firsts.append(max(n // 4 + 1, n_low[-1]) if n else 0)
                 order = np.concatenate([rare, common])
-                prefixes.append((order if n <= MAX_LIGHT else order[: firsts[-1]]).view(np.int64))
+                prefixes.append(order if n <= MAX_LIGHT else order[: firsts[-1]])
             yield pa.record_batch(
                 {
+                    "rid": _column(batch, "rid"),
                     "doc_id": _column(batch, "doc_id"),
+                    "text_md5": _column(batch, "text_md5"),
                     "n_shingles": pa.array(sizes, pa.int64()),
-                    "node": pa.array(nodes, pa.int64()),
-                    "prefix": _lists(prefixes),
-                    "n_low": pa.array(lows, pa.int32()),
+                    "high": pa.array(highs, pa.int64()),
+                    "low": pa.array(lows, pa.int64()),
+                    "n_low": pa.array(n_low, pa.int32()),
                     "n_first": pa.array(firsts, pa.int32()),
+                    "prefix": _lists(prefixes),
                 }
             )
 
     return run
 
 
-def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, node, prefix, n_low, n_first) of every row.
+def sketches(docs: DataFrame, spread, text: str = "text") -> DataFrame:
+    """(rid, doc_id, text_md5, n_shingles, high, low, n_low, n_first, prefix) of every row.
 
-    node: a hash of the whole set; null for an empty one. prefix: the set's first shingles in the
-    common order, rare ones by hash before frequent ones; the whole set where it has ``MAX_LIGHT``
-    shingles or fewer. n_low: how many rare ones are below ``LOW``; n_first: how many go into lists.
+    rid: a number of the row. high, low: the identity of the whole set. prefix: the set's first keys
+    in the common order; the whole set where it has ``MAX_LIGHT`` shingles or fewer. n_low: how many
+    rare ones are below ``LOW``; n_first: how many go into lists.
     """
-    spread = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, text))
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("bytes"))
-    return found.mapInArrow(_sketcher(spread), "doc_id long, n_shingles long, node long, prefix array<long>, n_low int, n_first int")
+    found = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.md5(F.col(text).cast("binary")).alias("text_md5"), F.col(text).cast("binary").alias("bytes"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return found.mapInArrow(_sketcher(spread), f"rid long, doc_id {kind}, text_md5 string, n_shingles long, high long, low long, n_low int, n_first int, prefix array<long>")
 
 
 def overlap(a: int, b: int) -> int:
@@ -210,8 +236,8 @@ def overlap_sizes(a: int, most: int) -> list[int]:
 
 def boundary(nodes: DataFrame) -> int:
     """The largest light size, where enumerating subsets costs less rows than scanning lists."""
-    small = nodes.where(F.col("n_shingles").between(1, MAX_LIGHT))
-    sizes = {r[0]: r[1] for r in small.groupBy("n_shingles").count().collect()}  # MAX_LIGHT rows at most
+    small = nodes.where(F.col("size").between(1, MAX_LIGHT))
+    sizes = {r[0]: r[1] for r in small.groupBy("size").count().collect()}  # MAX_LIGHT rows at most
     lists = small.select(F.explode("prefix").alias("shingle")).groupBy("shingle").count()
     entries, met = lists.agg(F.sum("count"), F.sum(F.col("count") * (F.col("count") - 1))).first()
     partners = (met or 0) / (entries or 1)
@@ -227,16 +253,18 @@ def boundary(nodes: DataFrame) -> int:
 def _subsets(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, keys, need = [], [], [], []
+            nodes, sizes, need, highs, lows = [], [], [], [], []
             for node, s in zip(_column(batch, "node").to_pylist(), _column(batch, "prefix").to_pylist(), strict=True):
                 s = np.sort(np.array(s, np.int64))
                 for c in overlap_sizes(len(s), most):
                     for part in combinations(s.tolist(), c):
+                        high, low = _identity(np.array(part, np.int64))
                         nodes.append(node)
                         sizes.append(len(s))
                         need.append(c)
-                        keys.append(xxhash.xxh3_64_intdigest(np.array(part, np.int64).tobytes()) - 2**63)
-            yield pa.record_batch({"node": pa.array(nodes, pa.int64()), "size": pa.array(sizes, pa.int64()), "need": pa.array(need, pa.int64()), "subset": pa.array(keys, pa.int64())})
+                        highs.append(high)
+                        lows.append(low)
+            yield pa.record_batch([pa.array(x, pa.int64()) for x in (nodes, sizes, need, highs, lows)], names=["node", "size", "need", "high", "low"])
 
     return run
 
@@ -251,86 +279,131 @@ def light_links(nodes: DataFrame, most: int) -> DataFrame:
     If a set needs a larger overlap with the smallest set than the subset has, it needs as much or
     more with every other set there, so the star holds all that the subset can show.
     """
-    keyed = nodes.where(F.col("n_shingles").between(1, most)).select("node", "prefix").mapInArrow(_subsets(most), "node long, size long, need long, subset long")
+    keyed = nodes.where(F.col("size").between(1, most)).select("node", "prefix").mapInArrow(_subsets(most), "node long, size long, need long, high long, low long")
     keyed = written(keyed, "subsets")
-    least = keyed.groupBy("need", "subset").agg(F.min(F.struct("size", "node")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    joined = keyed.join(least, ["need", "subset"]).select("node", "size", "need", F.col("least.node").alias("other"), F.col("least.size").alias("least"))
+    least = keyed.groupBy("need", "high", "low").agg(F.min(F.struct("size", "node")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    joined = keyed.join(least, ["need", "high", "low"]).select("node", "size", "need", F.col("least.node").alias("other"), F.col("least.size").alias("least"))
     return joined.where((F.col("node") != F.col("other")) & (_needed("size", "least") <= F.col("need"))).select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shingles = Shingler()
-    for batch in batches:
-        found = list(shingles(_column(batch, "bytes")))
-        yield pa.record_batch({"node": pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else None for s in found], pa.int64()), "shingles": _lists(found)})
+def _sets(spread) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingler()
+        for batch in batches:
+            found, names = [], []
+            for s in shingles(_column(batch, "bytes")):
+                names.append(_identity(s))
+                found.append(np.concatenate(_ordered(s, *spread.value)))
+            yield pa.record_batch({"high": pa.array([n[0] for n in names], pa.int64()), "low": pa.array([n[1] for n in names], pa.int64()), "shingles": _lists(found)})
 
+    return run
 
-def whole_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """(node, shingles) of the nodes in ``wanted``, read again from the documents that stand for them.
 
-    The documents' ids are broadcast if they are few enough, and joined otherwise.
+@dataclass
+class Corpus:
+    """What the steps read again: the documents, the nodes (high, low, node, first_id, size), the order of shingles."""
+
+    docs: DataFrame
+    ids: DataFrame
+    spread: Broadcast
+    text: str
+
+    def whole_sets(self, wanted: DataFrame) -> DataFrame:
+        """(node, shingles) of the nodes in ``wanted``, read again from the documents that stand for them.
+
+        The documents' ids are broadcast if they are few enough, and joined otherwise.
+        """
+        names = written(self.ids.join(bounded(wanted.select("node")), "node", "left_semi").select("node", "high", "low", "first_id"), "names")
+        source = self.docs.select(F.struct("doc_id").alias("row"), F.col(self.text).cast("binary").alias("bytes"))
+        source = source.join(bounded(names.select("first_id")), F.col("row.doc_id").eqNullSafe(F.col("first_id")), "left_semi")
+        sets = source.select("bytes").mapInArrow(_sets(self.spread), "high long, low long, shingles array<long>")
+        sets = written(sets.join(bounded(names.select("node", "high", "low")), ["high", "low"]).select("node", "shingles"), "sets")
+        rows, distinct = sets.agg(F.count("node"), F.count_distinct("node")).first()
+        return sets if rows == distinct else written(sets.dropDuplicates(["node"]), "sets")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of nodes whose whole sets have a similarity of 0.75 or more.
+
+        The sets of ``b`` are broadcast if their bytes are few enough: pairs with pivots have few.
+        """
+        ends = pairs.select("a").distinct(), pairs.select("b").distinct()
+        sets = self.whole_sets(written(ends[0].union(ends[1]).toDF("node").distinct(), "wanted"))
+        of_b = sets.join(bounded(written(ends[1], "hubs")), F.col("node") == F.col("b"), "left_semi").select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+        size = of_b.agg(F.sum(F.size("sb") * 8 + 32)).first()[0] or 0
+        of_a = sets.join(bounded(pairs), F.col("node") == F.col("a")).select("a", "b", F.col("shingles").alias("sa"))
+        joined = of_a.join(F.broadcast(of_b) if size <= BROADCAST_BYTES else of_b, "b")
+        both = F.size(F.array_intersect("sa", "sb"))
+        return joined.where(100 * both >= 75 * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+
+
+def _with_list_facts(entries: DataFrame, **facts: Column) -> DataFrame:
+    """``entries`` with aggregates over their list, the rows of the same shingle.
+
+    Lists of frequent shingles may be long, so their aggregates are combined before the shuffle and
+    joined; each other list has a share ``FREQUENT`` of the sets at most, and takes one shuffle.
     """
-    ids = written(nodes.join(wanted, "node", "left_semi").select(F.col("first_id").alias("__id")).distinct(), "ids")
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("bytes"))
-    source = source.join(bounded(ids), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    sets = source.select("bytes").mapInArrow(_sets, "node long, shingles array<long>")
-    return written(sets.join(bounded(wanted), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    rare = entries.where("shingle >= 0").withColumns({k: f.over(Window.partitionBy("shingle")) for k, f in facts.items()})
+    common = entries.where("shingle < 0")
+    made = written(common.groupBy("shingle").agg(*[f.alias(k) for k, f in facts.items()]), "frequent-lists")
+    return rare.unionByName(common.join(bounded(made, 64), "shingle"))
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets have a similarity of 0.75 or more."""
-    wanted = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
-    sets = whole_sets(wanted, nodes, docs, text)
-    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return joined.where(100 * both >= 75 * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+def inverted_lists(nodes: DataFrame, most: int) -> DataFrame:
+    """(shingle, node, n) of all lists of two sets or more that a heavy set may need; n: sets in the list."""
+    large = nodes.where((F.col("size") >= -(-3 * (most + 1) // 4)) & (F.col("size") > 0))
+    entries = large.select("node", F.explode(F.slice("prefix", F.lit(1), F.col("n_first"))).alias("shingle"))
+    return _with_list_facts(entries, n=F.count(F.lit(1))).where("n > 1")
 
 
-def inverted_lists(nodes: DataFrame, most: int) -> DataFrame:
-    """(node, size, n_low, n_first, low, shingle, n, score) of all lists of two sets or more that a heavy set may need.
+def listed_nodes(lists: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, size, n_low, n_first, listed, listed_low, score) of the sets in ``lists``.
 
-    n: sets in the list. low: whether the shingle is a rare one below ``LOW``. score: how many sets share an entry of the set on average. Of near copies, that which the others
-    were made from has the highest, as it has no shingles of its own.
+    listed, listed_low: how many of its first shingles, and of its low ones, are in lists. score: how
+    many sets share an entry of the set on average. Of near copies, that which the others were made
+    from has the highest, as it has no shingles of its own.
     """
-    from pyspark.sql import Window
-
-    large = nodes.where((F.col("n_shingles") >= -(-3 * (most + 1) // 4)) & (F.col("n_shingles") > 0))
-    entries = large.select("node", F.col("n_shingles").alias("size"), "n_low", "n_first", F.posexplode(F.slice("prefix", F.lit(1), F.col("n_first"))).alias("at", "shingle"))
-    entries = entries.select("node", "size", "n_low", "n_first", (F.col("at") < F.col("n_low")).alias("low"), "shingle")
-    lists = written(entries.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("shingle"))).where("n > 1"), "entries")
-    scores = lists.groupBy("node", "n_first").agg((F.sum("n") / F.col("n_first")).alias("score")).drop("n_first")
-    return lists.join(scores, "node")
+    low = F.col("shingle").between(0, LOW - 1)
+    sums = lists.groupBy("node").agg(F.count(F.lit(1)).alias("listed"), F.sum(low.cast("int")).alias("listed_low"), F.sum("n").alias("met"))
+    return nodes.select("node", "size", "n_low", "n_first").join(sums, "node").withColumn("score", F.col("met") / F.col("n_first")).drop("met")
 
 
 def _compatible(a: str, b: str):
     return (4 * F.col(a) >= 3 * F.col(b)) & (4 * F.col(b) >= 3 * F.col(a))
 
 
-def pivot_pairs(lists: DataFrame) -> DataFrame:
+def pivot_pairs(lists: DataFrame, listed: DataFrame) -> DataFrame:
     """Candidates (a, b): each set with the set of the highest score and the least set of a list.
 
     They only join groups early, so candidates that share few list entries are left to the exact round.
     """
-    ends = lists.groupBy("shingle").agg(F.max(F.struct("score", "node", "size")).alias("p"), F.min(F.struct("node", "size")).alias("q"))
-    ends = ends.select("shingle", F.struct("p.node", "p.size").alias("p"), "q")
-    met = lists.join(ends, "shingle").select("node", "size", F.explode(F.array_distinct(F.array("p", "q"))).alias("p")).where("node != p.node").select("node", "size", F.col("p.node").alias("other"), F.col("p.size").alias("other_size"))
-    counted = met.where(_compatible("size", "other_size")).groupBy("node", "size", "other", "other_size").count()
-    enough = 3 * F.col("count") >= F.floor(F.least("size", "other_size") / 4) + 1
-    return counted.where(enough).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    known = bounded(listed.select("node", "size", "score"), 40)
+    entries = lists.join(known, "node").select("shingle", "node", "size", "score")
+    ends = _with_list_facts(entries, p=F.max(F.struct("score", "node", "size")), q=F.min(F.struct("node", "size")))
+    met = ends.select("node", "size", F.explode(F.array_distinct(F.array(F.struct("p.node", "p.size"), "q"))).alias("p")).where("node != p.node")
+    met = met.where(_compatible("size", "p.size"))
+    counted = met.groupBy("node", F.col("p.node").alias("other")).agg(F.count(F.lit(1)).alias("shared"), F.first(F.least("size", "p.size")).alias("least"))
+    return counted.where(3 * F.col("shared") >= F.floor(F.col("least") / 4) + 1).select(F.col("node").alias("a"), F.col("other").alias("b"))
 
 
-def foreign(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """(node, root, size, shingle): the whole sets of ``wanted`` (node, root, size), as far as other components know them.
+def _in_mixed_lists(members: DataFrame, **facts: Column) -> DataFrame:
+    """The rows whose list has sets of several components, with other ``facts`` of the list."""
+    return _with_list_facts(members, lo=F.min("root"), hi=F.max("root"), **facts).where("lo < hi").drop("lo", "hi")
+
+
+def foreign(wanted: DataFrame, corpus: Corpus) -> DataFrame:
+    """(node, root, shingle, n): the whole sets of ``wanted`` (node, root, size), as far as other components know them.
 
     No overlap with a set of another component can be larger than what is left of a set. Sets that
     keep less than a partner may need fall away; what only these know doesn't count the second time.
+    n: sets that are left in the shingle's list.
     """
-    each = whole_sets(wanted.select("node"), nodes, docs, text).join(wanted, "node").select("node", "root", "size", F.explode("shingles").alias("shingle"))
+    sets = corpus.whole_sets(wanted)
+    each = sets.join(bounded(wanted.select("node", "root")), "node").select("node", "root", F.explode("shingles").alias("shingle"))
     for _ in range(2):
         each = written(_in_mixed_lists(each), "mixed")
-        kept = each.groupBy("node", "size").agg(F.count(F.lit(1)).alias("known")).where(4 * F.col("known") >= 3 * F.col("size"))
-        each = each.join(written(kept.select("node"), "known"), "node", "left_semi")
-    return written(_in_mixed_lists(each), "foreign")
+        kept = each.groupBy("node").agg(F.count(F.lit(1)).alias("known")).join(bounded(wanted.select("node", "size")), "node").where(4 * F.col("known") >= 3 * F.col("size"))
+        each = each.join(bounded(written(kept.select("node"), "known")), "node", "left_semi")
+    return written(_in_mixed_lists(each, n=F.count(F.lit(1))), "foreign")
 
 
 def _room(a: str, b: str):
@@ -338,35 +411,31 @@ def _room(a: str, b: str):
     return F.floor((4 * F.col(a) - 3 * F.col(b)) / 7)
 
 
-def _meeting(lists: DataFrame, roots: DataFrame, most: int) -> DataFrame:
+def _meeting(lists: DataFrame, listed: DataFrame, roots: DataFrame, most: int) -> DataFrame:
     """(node, root, size) of the sets whose components may link in a list of prefixes.
 
     A set's low shingles are in lists wherever they are shared, so of them only ``_room`` may be
     unlisted. And one of two sets has a prefix that ends first: all its unshared entries are missing in
     the other, so counted from unlisted ones and short lists, one of its first ``_room + 1`` is shared.
     """
-    from pyspark.sql import Window
-
-    members = lists.join(roots, "node", "left").select("shingle", "node", "size", "n_low", "n_first", "low", "n", F.coalesce("root", "node").alias("root"))
+    known = written(listed.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", "n_low", "n_first"), "known")
     by_node = Window.partitionBy("node")
-    members = _in_mixed_lists(members).withColumns(
-        {
-            "alone": F.col("n_low") - F.sum(F.col("low").cast("int")).over(by_node),
-            "place": F.col("n_first") - F.count(F.lit(1)).over(by_node) + F.row_number().over(by_node.orderBy("n", "shingle")) - 1,
-        }
-    )
-    members = written(members.drop("n", "n_low", "n_first", "low"), "members")
+    members = _in_mixed_lists(lists.join(bounded(known.select("node", "root")), "node").select("shingle", "node", "root", "n"))
+    low = F.col("shingle").between(0, LOW - 1).cast("int")
+    members = members.withColumns({"lows": F.sum(low).over(by_node), "nth": F.row_number().over(by_node.orderBy("n", "shingle")), "all": F.count(F.lit(1)).over(by_node)})
+    members = members.join(bounded(known.drop("root")), "node").select("shingle", "node", "root", "size", (F.col("n_low") - F.col("lows")).alias("alone"), (F.col("n_first") - F.col("all") + F.col("nth") - 1).alias("place"))
     groups = members.groupBy("shingle", "root").agg(F.min("size").alias("lo"), F.max("size").alias("hi"), F.min("place").alias("place"), F.min("alone").alias("alone"))
+    groups = written(groups, "groups")
     other = groups.select(*[F.col(c).alias(f"{c}2") for c in groups.columns])
     near = (4 * F.col("hi") >= 3 * F.col("lo2")) & (4 * F.col("hi2") >= 3 * F.col("lo")) & (F.greatest("hi", "hi2") > most)
     near = near & (F.col("alone") <= _room("hi", "lo2")) & (F.col("alone2") <= _room("hi2", "lo"))
     near = near & ((F.col("place") <= _room("hi", "lo2")) | (F.col("place2") <= _room("hi2", "lo")))
     met = groups.join(other, (F.col("shingle") == F.col("shingle2")) & (F.col("root") != F.col("root2")) & near, "left_semi")
     found = written(met.select("root").distinct(), "meeting")
-    return members.join(bounded(found), "root", "left_semi").select("node", "root", "size").distinct()
+    return known.join(bounded(found), "root", "left_semi").select("node", "root", "size")
 
 
-def cross_pairs(lists: DataFrame, roots: DataFrame, most: int, nodes: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+def cross_pairs(lists: DataFrame, listed: DataFrame, roots: DataFrame, most: int, corpus: Corpus) -> DataFrame:
     """All candidates (a, b) in different components that may link; one is larger than ``most``.
 
     The whole sets of components that may meet are cut down to what other components know of them. A
@@ -374,16 +443,14 @@ def cross_pairs(lists: DataFrame, roots: DataFrame, most: int, nodes: DataFrame,
     few known ones, short lists first, is shared. Only these make pairs, from the component with fewer
     sets. Components are paired first, then their sets, so that sets of one component never meet.
     """
-    from pyspark.sql import Window
-
-    wanted = written(_meeting(lists, roots, most), "wanted")
-    each = foreign(wanted, nodes, docs, text)
-    counts = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
-    weights = each.select("root", "node").distinct().groupBy("root").agg(F.count(F.lit(1)).alias("weight"))
+    wanted = written(_meeting(lists, listed, roots, most), "wanted")
+    each = foreign(wanted, corpus)
     by_node = Window.partitionBy("node")
-    each = each.join(counts, "shingle").join(bounded(written(weights, "weights")), "root")
-    each = each.withColumn("known", F.count(F.lit(1)).over(by_node))
-    each = written(each.withColumn("place", F.col("size") - F.col("known") + F.row_number().over(by_node.orderBy("n", "shingle")) - 1).drop("n"), "places")
+    each = each.withColumns({"known": F.count(F.lit(1)).over(by_node), "nth": F.row_number().over(by_node.orderBy("n", "shingle"))}).drop("n", "root")
+    weights = wanted.groupBy("root").agg(F.count(F.lit(1)).alias("weight"))
+    sizes = written(wanted.join(weights, "root"), "weights")
+    each = each.join(bounded(sizes, 48), "node").withColumn("place", F.col("size") - F.col("known") + F.col("nth") - 1)
+    each = written(each.select("shingle", "node", "root", "weight", "size", "known", "place"), "places")
     first = each.where(F.col("place") <= F.floor(F.col("size") / 4))
 
     def groups(df: DataFrame, mark: str) -> DataFrame:
@@ -393,58 +460,93 @@ def cross_pairs(lists: DataFrame, roots: DataFrame, most: int, nodes: DataFrame,
     met = groups(first, "1").join(groups(each, "2"), "shingle")
     met = met.where((F.struct("weight1", "root1") < F.struct(F.col("weight2"), F.col("root2"))) & (F.col("place1") <= _room("hi1", "lo2")))
     met = met.where((4 * F.col("hi1") >= 3 * F.col("lo2")) & (4 * F.col("hi2") >= 3 * F.col("lo1")) & (F.greatest("hi1", "hi2") > most) & (F.least("known1", "known2") >= _needed("lo1", "lo2")))
-    met = met.select("shingle", "root1", "root2", "lo2")
+    met = written(met.select("shingle", "root1", "root2", "lo2"), "met")
     left = first.select("shingle", F.col("root").alias("root1"), *[F.col(c).alias(f"{c}_a") for c in ("node", "size", "known", "place")])
     right = each.select("shingle", F.col("root").alias("root2"), *[F.col(c).alias(f"{c}_b") for c in ("node", "size", "known")])
-    pairs = met.join(left, ["shingle", "root1"]).where(F.col("place_a") <= _room("size_a", "lo2")).join(right, ["shingle", "root2"])
+    pairs = bounded(met, 48).join(left, ["shingle", "root1"]).where(F.col("place_a") <= _room("size_a", "lo2"))
+    pairs = written(pairs.select("shingle", "root2", "node_a", "size_a", "known_a", "place_a"), "sides")
+    pairs = bounded(pairs, 64).join(right, ["shingle", "root2"])
     able = _compatible("size_a", "size_b") & (F.greatest("size_a", "size_b") > most) & (F.least("known_a", "known_b") >= _needed("size_a", "size_b"))
     pairs = pairs.where(able & (F.col("place_a") <= _room("size_a", "size_b")))
-    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
 
+def _grouped(docs: DataFrame, text: str) -> DataFrame:
+    """(doc_id, text_md5, n_shingles, node, group, component_id) of each row of ``docs``.
 
-def _in_mixed_lists(members: DataFrame) -> DataFrame:
-    """The rows whose list has sets of several components."""
-    mixed = members.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle")
-    return members.join(mixed, "shingle", "left_semi")
+    node: the row that stands for all rows of an equal set. group: the least node of a component of
+    several nodes. Both are null where they don't apply; component_id is given where any of them does.
+    """
+    docs = docs.select("doc_id", text)
+    spread = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, text))
+    found = written(sketches(docs, spread, text), "sketches")
+    filled = found.where("high IS NOT NULL")
+    ids = filled.groupBy("high", "low").agg(F.min("rid").alias("node"), F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("size"), F.count(F.lit(1)).alias("copies"))
+    ids = written(ids, "nodes")
+    copies = bounded(ids.where("copies > 1").select("high", "low", F.col("node").alias("least")), 48)
+    nodes = filled.join(copies, ["high", "low"], "left").where("least IS NULL OR least = rid").select(F.col("rid").alias("node"), F.col("n_shingles").alias("size"), "prefix", "n_low", "n_first")
+    most = boundary(nodes)
+    lists = written(inverted_lists(nodes, most), "lists")
+    listed = written(listed_nodes(lists, nodes), "listed")
+    light = written(light_links(nodes, most), "light") if most else None
+    slim = written(found.drop("prefix", "n_low", "n_first"), "rows")
+    discarded(found)
+    corpus = Corpus(docs, ids, spread, text)
+    near = corpus.verified(written(pivot_pairs(lists, listed), "pivots"))
+    links = written(near.union(light) if light is not None else near, "near")
+    roots = components(links)
+    crossed = written(cross_pairs(lists, listed, roots, most, corpus), "cross")
+    roots = components(links.union(corpus.verified(crossed)))
+    least = roots.join(ids.select("node", "first_id"), "node")
+    names = written(least.groupBy("root").agg(F.min("first_id").alias("component_id")), "names")
+    named = written(roots.join(bounded(names), "root").select("node", F.col("root").alias("group"), "component_id"), "named")
+    again = bounded(ids.where("copies > 1").select("high", "low", F.col("node").alias("least"), "first_id"), 64)
+    rows = slim.join(again, ["high", "low"], "left").withColumn("node", F.when(F.col("high").isNotNull(), F.coalesce("least", "rid")))
+    rows = rows.join(bounded(named), "node", "left")
+    return rows.select("doc_id", "text_md5", "n_shingles", "node", "group", F.coalesce("component_id", "first_id", "doc_id").alias("component_id"))
 
 
 @settled
 def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs``; other columns are left out."""
-    found = written(sketches(docs, text), "sketches")
-    ids = written(found.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("copies")), "nodes")
-    nodes = found.where("node IS NOT NULL").join(bounded(ids.where("copies > 1").select(F.col("node").alias("__node"), "first_id")), F.col("node") == F.col("__node"), "left")
-    # of a set's documents the first stands for it; rows that repeat it do no harm
-    nodes = nodes.where("__node IS NULL OR doc_id <=> first_id").select("node", "n_shingles", "prefix", "n_low", "n_first")
-    most = boundary(nodes)
-    lists = written(inverted_lists(nodes, most), "lists")
-    links = light_links(nodes, most) if most else None
-    near = verified(pivot_pairs(lists), ids, docs, text)
-    links = written(near.union(links) if links is not None else near, "near")
-    roots = components(links)
-    crossed = written(cross_pairs(lists, roots, most, ids, docs, text), "cross")
-    links = links.union(verified(crossed, ids, docs, text))
-    roots = components(links)
-    least = ids.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first_id")
-    names = least.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = least.join(names, "root").select(F.col("node").alias("__node"), "component_id")
-    joined = found.select("doc_id", "n_shingles", "node").join(named, F.col("node") == F.col("__node"), "left")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return _grouped(docs, text).select("doc_id", "n_shingles", "component_id")
+
+
+@settled
+def extra_rows(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, text_md5, stays) of the rows that share a component with another row.
+
+    Of a component one row stays, that of the least ``doc_id`` (a null one is the largest) and then the
+    least MD5 of the text. Rows that agree in both are told apart by nothing, so ``stays`` marks a
+    pair of which one row stays and which stands more than once.
+    """
+    rows = _grouped(docs, text).where("node IS NOT NULL").withColumn("group", F.coalesce("group", "node"))
+    pairs = written(rows.groupBy("group", "doc_id", "text_md5").agg(F.count(F.lit(1)).alias("times")), "pairs")
+    first = pairs.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_md5")).alias("first"), F.sum("times").alias("members"))
+    first = written(first.where("members > 1").select("group", "first"), "first")
+    marked = pairs.join(bounded(first, 96), "group").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("text_md5").eqNullSafe(F.col("first.text_md5")))
+    return marked.where("NOT stays OR times > 1").select("doc_id", "text_md5", "stays")
 
 
 def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: that whose ``doc_id`` names it.
+    """``docs`` with one row of each component, columns as they are.
 
-    Of rows that repeat such a ``doc_id`` one stays. Rows with a null ``doc_id`` stay, as nothing names them.
+    It is the row of the least ``doc_id``, and of several with that id the one whose text has the
+    least MD5. Rows without words are alone and stay. The user's columns travel in one struct, so no
+    name clashes.
     """
-    marked = jaccard_components(docs.select("doc_id", text), text)
-    gone = marked.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(bounded(gone), F.col("doc_id") == F.col("__gone"), "left_anti")
-    again = written(marked.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again")), "again")
-    if again.isEmpty():
-        return kept
-    twice = F.col("doc_id") == F.col("__again")
-    return kept.join(again, twice, "left_anti").unionByName(kept.join(again, twice, "left_semi").dropDuplicates(["doc_id"]))
+    extra = extra_rows(docs, text)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.md5(F.col(text).cast("binary")).alias("md5"))
+
+    def same(marks: DataFrame):
+        return F.col("id").eqNullSafe(F.col("doc_id")) & F.col("md5").eqNullSafe(F.col("text_md5")), bounded(marks.select("doc_id", "text_md5"), 96)
+
+    on, gone = same(extra.where("NOT stays"))
+    kept = rows.join(gone, on, "left_anti")
+    if not extra.where("stays").isEmpty():
+        on, twice = same(extra.where("stays"))
+        kept = kept.join(twice, on, "left_anti").unionByName(kept.join(twice, on, "left_semi").dropDuplicates(["id", "md5"]))
+    return kept.select("row.*")
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
