@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lumenfold.storage import discarded, settled, written
 
-__all__ = ["BROADCAST_BYTES", "SPACE", "bounded", "discarded", "drop_clashing", "settled", "table", "text_or_empty", "written"]
+__all__ = ["BROADCAST_BYTES", "SPACE", "bounded", "discarded", "drop_clashing", "nested", "row_schema", "settled", "table", "text_or_empty", "written"]
 
 #: Bytes that a broadcast variable made by these operators may hold.
 BROADCAST_BYTES = 64 << 20
@@ -29,6 +30,18 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def nested(docs: DataFrame, without: str | None = None, **others: Column) -> DataFrame:
+    """The columns of ``docs``, but ``without``, in one struct ``row`` beside ``others``: no name of the user's meets one of ours."""
+    own = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c != without]
+    own = own or [F.lit(None).cast("int").alias("nothing")]
+    return docs.select(F.struct(*own).alias("row"), *[c.alias(name) for name, c in others.items()])
+
+
+def row_schema(df: DataFrame, others: str = "") -> StructType:
+    """The schema of ``row`` of ``df`` and of other columns, for Arrow functions."""
+    return StructType([df.schema["row"], *(StructType.fromDDL(others).fields if others else [])])
+
+
 def drop_clashing(df: DataFrame, names: list[str]) -> DataFrame:
     """Drop the columns of ``df`` that an operator is about to add (names compare as Spark does)."""
     low = {n.lower() for n in names}
