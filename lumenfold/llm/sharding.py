@@ -2,20 +2,22 @@
 
 Rows with equal texts are one indivisible group. A group is a partial partition with its bytes in one
 slot. Differencing repeatedly takes the two partial partitions of the largest spread and adds them in
-opposite order, so that large meets small. It runs in two levels: within buckets of a bounded number
-of groups, one task each, and then over the buckets' partial partitions, ``SHARDS`` numbers each, level
-by level until one is left. The slots that each bucket's parts end in are joined back. Where groups are
-too large for other buckets to make up for, these (a bounded number) are differenced first, and every
-bucket starts from its share of their loads, so that the small groups fill what the large ones leave.
-
-Texts are told apart by their MD5. Defined results: a null text has no bytes and is a group of its
-own row; a group that is larger than a fair shard stays whole, in a shard of its own as far as that
-goes; repeated rows are in one group; an empty table gives an empty result.
+opposite order, so that large meets small. It runs in rounds, the same way at every size: over the
+large groups, a bounded number; then over buckets of small ones, one task each, where a bucket's share
+of the loads so far is one more partial partition. A round takes three quarters of the buckets left, so
+that each evens out what the rounds before it have left over; the last bucket meets all loads there are.
+
+Texts are told apart by their MD5. Defined results: a null text has no bytes, and null texts of one
+``doc_id`` are a group; empty texts are one group; a group that is larger than a fair shard stays
+whole, in a shard of its own as far as that goes; very long texts are read whole; repeated rows are in
+one group; ties go by the MD5; columns of any name are kept, but a column ``shard`` is replaced; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -23,13 +25,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import drop_clashing, settled, table, written
+from lumenfold.llm.common import bounded, drop_clashing, nested, settled, table, written
 
 SHARDS = 40
 ROW_BYTES = 16
-#: Groups in one bucket, and partial partitions combined by one task.
+#: Groups in one bucket.
 BUCKET_GROUPS = 20_000
-#: A group of more than this part of a fair shard is large, if there are several buckets.
+#: A group of more than this part of a fair shard is large.
 LARGE = 200
 #: Rows of one part for numbering.
 PART_ROWS = 50_000
@@ -74,30 +76,22 @@ def difference(loads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[-1], slots
 
 
-def _bucket(k: int, pinned: list[int] | None = None, small_bytes: int = 0):
-    """Difference one bucket of groups; with ``pinned``, against its share of loads that have their shards."""
+def _bucket(k: int, before: list[int], whole: int | None = None):
+    """Difference one bucket of groups against loads that are there: all of them, or the bucket's share of ``whole`` bytes."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["bytes", "key"], ascending=[False, True], kind="stable")
-        loads = np.zeros((len(pdf), k), np.int64)
-        loads[:, -1] = pdf["bytes"].to_numpy(np.int64)
-        if pinned is None:
-            total, slots = difference(loads)
-            at = slots[:, -1]
-        else:
-            share = float(pdf["bytes"].sum()) / small_bytes
-            total, slots = difference(np.vstack([(np.array(pinned, np.float64) * share).astype(np.int64), loads]))
-            at = np.argsort(slots[0])[slots[1:, -1]]
-        return pd.DataFrame({"key": pdf["key"].to_numpy(), "bucket": pdf["bucket"].to_numpy(), "slot": at.astype(np.int32), "loads": [total.tolist()] + [None] * (len(pdf) - 1)})
-
-    return run
-
-
-def _combine(k: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bucket", kind="stable")
-        total, slots = difference(np.array(pdf["loads"].tolist(), np.int64).reshape(len(pdf), k))
-        return pd.DataFrame({"bucket": pdf["bucket"].to_numpy(), "up": pdf["up"].to_numpy(), "slots": slots.astype(np.int32).tolist(), "loads": [total.tolist()] + [None] * (len(pdf) - 1)})
+        own = pdf["bytes"].to_numpy(np.int64)
+        start = (np.array(before, np.float64) * (own.sum() / whole if whole else 1.0)).astype(np.int64)
+        # among shards with equal loads every bucket has an order of its own, so that leftovers don't pile up
+        turn = np.random.default_rng(int(pdf["bucket"].iloc[0])).permutation(k)
+        order = turn[np.argsort(start[turn], kind="stable")]
+        loads = np.zeros((len(pdf) + 1, k), np.int64)
+        loads[0], loads[1:, -1] = start[order], own
+        _, slots = difference(loads)
+        shard = np.empty(k, np.int32)
+        shard[slots[0]] = order
+        return pd.DataFrame({"key": pdf["key"].to_numpy(), "bytes": own, "shard": shard[slots[1:, -1]]})
 
     return run
 
@@ -105,31 +99,25 @@ def _combine(k: int):
 @settled
 def assign(groups: DataFrame, shards: int = SHARDS, bucket_groups: int = BUCKET_GROUPS) -> DataFrame:
     """(key, shard) of a table (key string, bytes long) with a row for each group."""
-    n, total, most = groups.agg(F.count(F.lit(1)), F.sum("bytes"), F.max("bytes")).first()
+    n, total = groups.agg(F.count(F.lit(1)), F.sum("bytes")).first()
+    large = F.col("bytes") > (total or 0) / (shards * LARGE)  # shards * LARGE groups at most
     buckets = max(1, -(-n // bucket_groups))
-    schema = "key string, bucket long, slot int, loads array<long>"
-    large = (total or 0) / (shards * LARGE)
-    if buckets > 1 and most > large:
-        # shards * LARGE groups at most
-        one = groups.where(F.col("bytes") > large).withColumn("bucket", F.lit(0).cast("long"))
-        first = written(one.groupBy("bucket").applyInPandas(_bucket(shards), schema), "large")
-        loads = first.where("loads IS NOT NULL").first()["loads"]
-        small = groups.where(F.col("bytes") <= large).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
-        rest = small.groupBy("bucket").applyInPandas(_bucket(shards, loads, total - sum(loads)), schema)
-        return first.select("key", F.col("slot").alias("shard")).union(rest.select("key", F.col("slot").alias("shard")))
-    dealt = groups.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
-    level = written(dealt.groupBy("bucket").applyInPandas(_bucket(shards), schema), "buckets")
-    parts = level.where("loads IS NOT NULL").select("bucket", "loads")
-    placed = level.select("key", "bucket", "slot")
-    while buckets > 1:
-        fewer = max(1, -(-buckets // bucket_groups))
-        up = parts.withColumn("up", F.pmod(F.xxhash64("bucket"), F.lit(fewer)) if fewer > 1 else F.lit(0).cast("long"))
-        combined = written(up.groupBy("up").applyInPandas(_combine(shards), "bucket long, up long, slots array<int>, loads array<long>"), "combined")
-        moves = combined.select("bucket", "up", "slots")
-        placed = placed.join(moves, "bucket").select("key", F.col("up").alias("bucket"), F.element_at("slots", F.col("slot") + 1).alias("slot"))
-        parts = combined.where("loads IS NOT NULL").select(F.col("up").alias("bucket"), "loads")
-        buckets = fewer
-    return placed.select("key", F.col("slot").alias("shard"))
+    dealt = groups.withColumn("bucket", F.when(large, -1).otherwise(F.pmod(F.xxhash64("key"), F.lit(buckets))))
+    loads, done, left = [0] * shards, [], total or 0
+    rounds, end = [(-1, 0)], buckets  # the large groups, then three quarters of the buckets that are left, and so on
+    while end > 1:
+        rounds.append((max(1, end // 4), end))
+        end = rounds[-1][0]
+    rounds.append((0, 1))
+    for first, end in rounds:
+        part = dealt.where((F.col("bucket") >= first) & (F.col("bucket") < end)).withColumn("bucket", F.abs("bucket"))
+        share = left if first > 0 else None  # the large groups and the last bucket meet all loads
+        placed = written(part.groupBy("bucket").applyInPandas(_bucket(shards, loads, share), "key string, bytes long, shard int"), "placed")
+        done.append(placed)
+        for shard, more in placed.groupBy("shard").agg(F.sum("bytes")).collect():  # ``shards`` rows
+            loads[shard] += more
+            left -= more
+    return reduce(DataFrame.union, done).select("key", "shard")
 
 
 def text_key(text: str = "text") -> Column:
@@ -157,11 +145,11 @@ def shards(docs: DataFrame, text: str = "text", n: int = SHARDS) -> DataFrame:
 
 def with_shard(docs: DataFrame, text: str = "text", n: int = SHARDS) -> DataFrame:
     """``docs`` with the ``shard`` of each row's group; all rows of a text are in one shard."""
-    docs = drop_clashing(docs, ["shard", "__key"])
-    keyed = docs.withColumn("__key", text_key(text))
-    groups = written(keyed.groupBy("__key").agg(F.sum(F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long") + ROW_BYTES).alias("bytes")), "groups")
-    placed = assign(groups.select(F.col("__key").alias("key"), "bytes"), n)
-    return keyed.join(placed, F.col("__key") == F.col("key")).select(*docs.columns, F.col("shard").cast("int").alias("shard"))
+    docs = drop_clashing(docs, ["shard"])
+    keyed = nested(docs, group=text_key(text), bytes=F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long") + ROW_BYTES)
+    groups = written(keyed.groupBy("group").agg(F.sum("bytes").alias("bytes")), "groups")
+    placed = assign(groups.select(F.col("group").alias("key"), "bytes"), n)
+    return keyed.join(bounded(placed, 64), F.col("group") == F.col("key")).select("row.*", "shard")
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
