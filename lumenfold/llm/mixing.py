@@ -5,10 +5,12 @@ size. A source takes every document ``floor(target / size)`` times and once more
 whose words fill the remaining budget. The subset is found on the histogram of exact document
 lengths, never on documents: a proportional part of every length, then the longest that fit, then a
 bounded-knapsack table over the last ``TABLE_WORDS`` words. Which documents of a length are taken
-once more follows a seeded hash.
+once more follows a seeded hash of id and text, below a threshold for each source and length.
 
-Defined results: a null text has no words; a null source is a source of its own, the last; repeated
-rows count once each; sources without words have target 0; an empty table gives an empty result.
+Defined results: a null or empty text has no words; very long texts are counted whole; a null source
+is a source of its own, the last; a null ``doc_id`` is drawn by its text; repeated rows count once
+each, and of those that tie at a threshold as many as are needed are taken; sources without words have
+target 0; columns of any name stay as they are; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,15 +21,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import SPACE, drop_clashing, settled, table, text_or_empty, written
+from lumenfold.llm.common import SPACE, bounded, nested, settled, table, text_or_empty, written
 
 MAX_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
 SEED = 7
 #: Words of remaining budget that the knapsack table covers.
 TABLE_WORDS = 1 << 15
-#: Parts by seeded hash into which one length of one source is dealt for ranking.
-PARTS = 256
+#: Rows, on average at most, of a range of draws that is put in order.
+PART_ROWS = 20_000
 
 
 def n_words(text: str = "text") -> Column:
@@ -100,47 +102,80 @@ def _fit_source(pdf: pd.DataFrame) -> pd.DataFrame:
     total, target = int((lengths * counts).sum()), float(pdf["target"].iloc[0])
     epochs = int(target // total) if total else 0
     extra = fit(lengths, counts, round(target) - epochs * total)
-    return pd.DataFrame({"source": pdf["source"], "size": lengths, "epochs": epochs, "extra": extra})
+    return pd.DataFrame({"p_source": pdf["source"], "p_size": lengths, "source_size": pdf["source_size"], "target": target, "epochs": epochs, "extra": extra})
+
+
+def _measured(source: str, text: str, seed: int) -> dict[str, Column]:
+    """The columns that the mix goes by: source, size, and a draw that equal rows share."""
+    return {"source": F.col(source).cast("string"), "size": n_words(text), "draw": F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.col(text))}
+
+
+def _planned(sizes: DataFrame) -> DataFrame:
+    """(p_source, p_size, source_size, target, epochs, threshold, tied, take) of a table (source, size, draw) of all rows.
+
+    A row is taken ``epochs`` times, and once more if its draw is below the threshold of its source and
+    size. Of the ``tied`` rows at the threshold, ``take`` are. The threshold lies in one range of draws,
+    found by counting; only that range's rows are put in order.
+    """
+    lengths = written(sizes.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "lengths")
+    aims = written(targets(lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))), "targets")
+    # the table of sources has a row each and meets the histogram, not the documents
+    aimed = lengths.join(aims, lengths["source"].eqNullSafe(aims["source"])).select(lengths["source"], "size", "n", "source_size", "target")
+    fitted = written(aimed.groupBy("source").applyInPandas(_fit_source, "p_source string, p_size long, source_size long, target double, epochs long, extra long"), "fitted")
+    same = F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size"))
+    most = lengths.agg(F.max("n")).first()[0] or 1
+    ranges = F.shiftright("draw", 64 - max(1, min(30, (most // PART_ROWS).bit_length())))
+    wanted = bounded(fitted.where("extra > 0").select("p_source", "p_size", "extra"), 96)
+    drawn = sizes.join(wanted, same).select("p_source", "p_size", "extra", "draw", ranges.alias("part"))
+    counts = drawn.groupBy("p_source", "p_size", "extra", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("p_source", "p_size").orderBy("part")) - F.col("n")
+    cuts = counts.withColumn("need", F.col("extra") - before).where("need BETWEEN 1 AND n")
+    cuts = written(cuts.select(F.col("p_source").alias("c_source"), F.col("p_size").alias("c_size"), F.col("part").alias("c_part"), "need"), "cuts")
+    near = drawn.join(bounded(cuts, 96), F.col("p_source").eqNullSafe(F.col("c_source")) & (F.col("p_size") == F.col("c_size")) & (F.col("part") == F.col("c_part")))
+    group = Window.partitionBy("c_source", "c_size")
+    ranked = near.withColumns({"nth": F.row_number().over(group.orderBy("draw")), "less": F.rank().over(group.orderBy("draw")) - 1, "tied": F.count(F.lit(1)).over(Window.partitionBy("c_source", "c_size", "draw"))})
+    found = ranked.where("nth = need").select("c_source", "c_size", F.col("draw").alias("threshold"), "tied", (F.col("need") - F.col("less")).alias("take"))
+    plan = fitted.join(found, F.col("p_source").eqNullSafe(F.col("c_source")) & (F.col("p_size") == F.col("c_size")), "left")
+    return written(plan.drop("c_source", "c_size", "extra"), "plan")
+
+
+def _taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows`` (source, size, draw and others) with what the plan says of them and ``times``."""
+    joined = rows.join(bounded(plan, 128), F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size")))
+    split = F.coalesce((F.col("draw") == F.col("threshold")) & (F.col("take") < F.col("tied")), F.lit(False))
+    once = F.coalesce(F.col("draw") <= F.col("threshold"), F.lit(False)).cast("long")
+    plain = joined.where(~split).withColumn("times", F.col("epochs") + once)
+    if plan.where("take < tied").isEmpty():
+        return plain
+    # rows that differ in nothing that was drawn by: some of them are taken
+    nth = F.row_number().over(Window.partitionBy("source", "size", "draw").orderBy("draw"))
+    some = joined.where(split).withColumn("nth", nth).withColumn("times", F.col("epochs") + (F.col("nth") <= F.col("take")).cast("long"))
+    return plain.unionByName(some.drop("nth"))
 
 
 @settled
 def mix(docs: DataFrame, text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) of each row; ``taken`` counts repeats."""
-    slim = docs.select("doc_id", F.col(source).cast("string").alias("source"), n_words(text).alias("size"))
-    slim = slim.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id")).withColumn("part", F.pmod("draw", F.lit(PARTS)).cast("int"))
+    """(doc_id, source, size, source_size, target, taken, times) of each row; ``taken`` counts repeats."""
+    slim = docs.select("doc_id", *[c.alias(name) for name, c in _measured(source, text, seed).items()])
     slim = written(slim, "sizes")
-    parts = written(slim.groupBy("source", "size", "part").agg(F.count(F.lit(1)).alias("n")), "lengths")
-    lengths = parts.groupBy("source", "size").agg(F.sum("n").alias("n"))
-    aims = written(targets(lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))), "targets")
-    # the table of sources has a row each and meets the histogram, not the documents
-    aimed = lengths.join(aims, lengths["source"].eqNullSafe(aims["source"])).select(lengths["source"], "size", "n", "target")
-    fitted = aimed.groupBy("source").applyInPandas(_fit_source, "source string, size long, epochs long, extra long")
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("source", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = parts.withColumn("before", before).drop("n")
-    plan = starts.join(fitted, starts["source"].eqNullSafe(fitted["source"]) & (starts["size"] == fitted["size"]))
-    plan = plan.select(starts["source"].alias("p_source"), starts["size"].alias("p_size"), F.col("part").alias("p_part"), "before", "epochs", "extra")
-    ranked = slim.withColumn("rank", F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("draw", "doc_id")))
-    same = ranked["source"].eqNullSafe(plan["p_source"]) & (ranked["size"] == plan["p_size"]) & (ranked["part"] == plan["p_part"])
-    took = ranked.join(plan, same).withColumn("times", F.col("epochs") + (F.col("before") + F.col("rank") <= F.col("extra")).cast("long"))
-    out = took.join(F.broadcast(aims.withColumnRenamed("source", "a_source")) if aims.count() <= 100_000 else aims.withColumnRenamed("source", "a_source"), F.col("source").eqNullSafe(F.col("a_source")))
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times")
+    took = _taken(slim, _planned(slim))
+    return took.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times")
+
+
+@settled
+def plan_of(docs: DataFrame, text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
+    return _planned(written(docs.select(*[c.alias(name) for name, c in _measured(source, text, seed).items()]), "sizes"))
 
 
 def mixed(docs: DataFrame, text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
     """``docs`` as the mix takes them: each row as often as it is taken, rows taken no time left out.
 
-    Rows without words have nothing to weigh and stay once.
+    Rows without words have nothing to weigh and stay once. Texts aren't shuffled: each row is looked
+    up in the plan by its source, size and draw.
     """
-    columns = docs.columns
-    times = mix(docs, text, source, seed).select(F.col("doc_id").alias("__id"), F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("times")).cast("int").alias("__times"), F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("times"))).alias("__nth"))
-    again = times.where("__nth > 1 OR __id IS NULL").isEmpty()
-    plain = drop_clashing(docs, ["__id", "__times", "__nth"])
-    if again:
-        joined = plain.join(times.drop("__nth"), F.col("doc_id") == F.col("__id"))
-    else:
-        numbered = plain.withColumn("__row", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc(n_words(text)), text)))
-        joined = numbered.join(times, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__nth")))
-    return joined.where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*columns)
+    took = _taken(nested(docs, **_measured(source, text, seed)), plan_of(docs, text, source, seed))
+    times = F.when(F.col("size") == 0, 1).otherwise(F.col("times")).cast("int")
+    return took.withColumn("times", times).where("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
