@@ -8,8 +8,10 @@ hit's surroundings are verified by Myers' bit-parallel distance, overlapping sur
 Items are a stated query set: they are broadcast in blocks of a bounded size, and each block reads
 the documents once.
 
-Defined results: null and empty texts contain nothing; items without words are left out; repeated
-items and rows count each for itself; an empty table on either side gives no matches.
+Defined results: null and empty texts contain nothing; very long texts are searched whole; items
+without words are left out; repeated items and rows count each for itself, so rows that share a
+``doc_id`` are judged apart; of equally near places any gives the distance; an empty table on either
+side gives no matches; columns of any name stay as they are.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import bounded, table, written
+from lumenfold.llm.common import nested, row_schema, table
 
 #: Character edits allowed, as a share of the item's length.
 MAX_ERROR = 0.06
@@ -129,7 +131,7 @@ def _matcher(block):
                     ids.append(doc_id)
                     items.append(item)
                     distances.append(distance)
-            yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "item_id": pa.array(items, pa.int64()), "distance": pa.array(distances, pa.int64())})
+            yield pa.record_batch({"doc_id": pa.array(ids, batch.schema.field(0).type), "item_id": pa.array(items, pa.int64()), "distance": pa.array(distances, pa.int64())})
 
     return run
 
@@ -150,26 +152,32 @@ def item_blocks(items: DataFrame, item_id: str = "item_id", text: str = "text")
 def matches(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, item_id, distance) of each document and each item that it contains within the budget."""
     spark = docs.sparkSession
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    schema = "doc_id long, item_id long, distance long"
-    found = [slim.mapInArrow(_matcher(spark.sparkContext.broadcast(block)), schema) for block in item_blocks(items)]
-    out = found[0] if found else spark.createDataFrame([], schema)
-    for more in found[1:]:
-        out = out.union(more)
+    slim = docs.select("doc_id", F.col(text).alias("text"))
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, distance long"
+    out = spark.createDataFrame([], schema)
+    for block in item_blocks(items):
+        out = out.union(slim.mapInArrow(_matcher(spark.sparkContext.broadcast(block)), schema))
     return out
 
 
+def _clean(block, place: int):
+    """The rows (one struct, the text at ``place``) that contain no item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        match = Matcher(block.value)
+        for batch in batches:
+            texts = batch.column(0).field(place).to_pylist()
+            yield batch.filter(pa.array([not match(t) for t in texts], pa.bool_()))
+
+    return run
+
+
 def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that contain no item; rows with a null ``doc_id`` are judged by their text."""
-    leaks = written(matches(docs, items, text).select("doc_id").distinct(), "leaks")
-    named = docs.join(bounded(leaks.where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "__leak")), F.col("doc_id") == F.col("__leak"), "left_anti")
-    if leaks.where("doc_id IS NULL").isEmpty():
-        return named
-    nameless = docs.where("doc_id IS NULL").withColumn("doc_id", F.monotonically_increasing_id())
-    nameless = written(nameless, "nameless")
-    bad = matches(nameless, items, text).select(F.col("doc_id").alias("__leak")).distinct()
-    clean = nameless.join(bad, F.col("doc_id") == F.col("__leak"), "left_anti").withColumn("doc_id", F.lit(None).cast(docs.schema["doc_id"].dataType))
-    return named.where("doc_id IS NOT NULL").unionByName(clean)
+    """The rows of ``docs`` that contain no item, each judged by its own text; columns stay as they are."""
+    rows = nested(docs)
+    for block in item_blocks(items):
+        rows = rows.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(block), docs.columns.index(text)), row_schema(rows))
+    return rows.select("row.*")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
