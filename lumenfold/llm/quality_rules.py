@@ -4,8 +4,10 @@ Every document gets exact text statistics and a base verdict. Rule failures are
 (the ``source`` column), each host's failure rate is shrunk towards the corpus by a beta prior fitted
 to the hosts themselves, and the host's verdict is joined back to its documents.
 
-Defined results: a null or empty text has no words and fails; a null host is a host of its own;
-repeated rows count once each; an empty table gives an empty result.
+Defined results: a null or empty text has no words and fails; very long texts are measured whole; a
+null host is a host of its own; repeated rows count once each; a rate equal to the limit rejects;
+columns of any name stay as they are, but those named as the results are replaced; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import SPACE, bounded, drop_clashing, table, text_or_empty, written
+from lumenfold.llm.common import SPACE, bounded, drop_clashing, nested, table, text_or_empty, written
 
 MIN_WORDS = 20
 WINDOW = 8
@@ -68,7 +70,7 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("base_failed", failed).drop("__words", "__hashes", "__lines")
 
 
-def host_verdicts(stats: DataFrame, host: str = "source", max_rate: float = HOST_MAX_RATE) -> DataFrame:
+def host_verdicts(stats: DataFrame, host: str = "host", max_rate: float = HOST_MAX_RATE) -> DataFrame:
     """One row a host: documents, failures, failure rate shrunk by the empirical beta prior, verdict.
 
     The prior comes from the hosts' rates by the method of moments. With one host, or hosts that differ
@@ -93,21 +95,23 @@ def host_verdicts(stats: DataFrame, host: str = "source", max_rate: float = HOST
 
 def quality_rules(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
     """Statistics, verdicts and host columns for each row; the text itself isn't returned."""
-    stats = with_statistics(docs, text).drop(text)
-    stats = written(drop_clashing(stats, ["host", "host_docs", "host_failed", "host_rate", "host_rejected", "kept"]), "quality")
-    hosts = host_verdicts(stats, host)
-    return stats.join(hosts, stats[host].eqNullSafe(hosts["host"]), "left").drop("host").withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("host_rejected"), F.lit(False)))
+    docs = drop_clashing(docs, [*STATS, "base_failed", "host_docs", "host_failed", "host_rate", "host_rejected", "kept"])
+    stats = written(with_statistics(nested(docs, text, host=F.col(host), text=F.col(text))).drop("text"), "quality")
+    hosts = host_verdicts(stats)
+    judged = stats.join(hosts.withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of")), "left")
+    judged = judged.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("host_rejected"), F.lit(False)))
+    return judged.select("row.*", *STATS, "base_failed", "host_docs", "host_failed", "host_rate", "host_rejected", "kept")
 
 
 def keep_good(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
     """The rows of ``docs``, columns unchanged, that pass their own rules and whose host passes.
 
-    The statistics are computed twice, first for the hosts: that costs less than to keep all texts aside.
+    The rules run once: rows that pass are written with their host, of the others the host alone.
     """
-    judged = _held(with_statistics(docs.select(host, text), text).select(F.col(host).alias("__host"), "base_failed"))
-    rejected = written(host_verdicts(judged, "__host").where("host_rejected").select("host"), "rejected")
-    marked = _held(with_statistics(docs.withColumn("__row", F.struct(*docs.columns)), text).select("__row", "base_failed"))
-    return marked.where(~F.col("base_failed")).join(bounded(rejected, 256), F.col(f"__row.{host}").eqNullSafe(F.col("host")), "left_anti").select("__row.*")
+    judged = _held(with_statistics(nested(docs, host=F.col(host), text=F.col(text))).select("row", "host", "base_failed"))
+    judged = written(judged.withColumn("row", F.when(~F.col("base_failed"), F.col("row"))), "judged")
+    rejected = written(host_verdicts(judged).where("host_rejected").select(F.col("host").alias("rejected")), "rejected")
+    return judged.where(~F.col("base_failed")).join(bounded(rejected, 256), F.col("host").eqNullSafe(F.col("rejected")), "left_anti").select("row.*")
 
 
 def _held(df: DataFrame) -> DataFrame:
