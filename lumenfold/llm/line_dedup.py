@@ -1,36 +1,45 @@
 """Operator 9, reversible line dedup: sharded cuckoo filters over exact reference counts.
 
-The index is a table (shard, key, docs): how many documents hold each line key. Inserting documents
-adds their keys' counts, deleting them subtracts, so the index after a deletion equals one that never
-saw them. A key is common from ``min_docs`` documents. Each shard's common keys also stand in a cuckoo
-filter, which takes insertions and deletions as well. Filters are small enough to travel to all tasks
-(their size is checked): a line that misses its filter is kept at once, and only hits are joined with
-the exact counts, so a false hit never drops a line.
+The index is two tables: (shard, key, docs), how many documents hold each line key, and (shard, cells),
+a cuckoo filter of each shard's common keys, those of ``min_docs`` documents or more. Inserting
+documents adds their keys' counts, deleting them subtracts; keys that cross the limit on the way are
+inserted into the filters of their shards, or deleted from them. So the index after a deletion answers
+as one that never saw the documents.
+
+Lines are dropped where texts are: filters travel to all tasks in blocks of shards of a bounded size,
+and a line whose key hits its filter goes, unless the exact counts have shown that key to be a false
+hit; those few travel with the filters. Each block reads the texts once, and no text is shuffled.
 
 Keys are the lines' 128-bit hashes, of which the top bits choose the shard.
 
-Defined results: a null or empty text is one empty line; empty keys are never dropped; repeated rows
-count as documents of their own; an empty table gives an empty index and an empty result.
+Defined results: a null or empty text is one empty line, and a null text becomes an empty one; empty
+keys are never dropped; very long texts and lines are read whole; repeated rows count as documents of
+their own; a key of exactly ``min_docs`` documents is common; columns of any name stay as they are, but
+``n_lines`` and ``n_dropped`` are replaced; an empty table gives an empty index and an empty result.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import BROADCAST_BYTES, drop_clashing, table, written
+from lumenfold.llm.common import BROADCAST_BYTES, drop_clashing, nested, row_schema, table, written
 
 MIN_DOCS = 10
 MIN_CHARS = 1
-SHARDS = 64
+SHARDS = 256
 _BLANK = b" \t\n\x0b\x0c\r"
-INDEX = "shard int, key binary, docs long"
+COUNTS = "shard int, key binary, docs long"
+CELLS = "shard int, cells binary, full boolean"
 
 
 def line_key(line: bytes, min_chars: int = MIN_CHARS) -> bytes | None:
@@ -46,7 +55,7 @@ def shard_of(key: bytes, shards: int = SHARDS) -> int:
 
 
 class CuckooFilter:
-    """16-bit fingerprints, four to a bucket, two buckets to a key. Holds equal fingerprints of different keys."""
+    """32-bit fingerprints, four to a bucket, two buckets to a key. Holds equal fingerprints of different keys."""
 
     SLOTS = 4
     KICKS = 500
@@ -55,12 +64,12 @@ class CuckooFilter:
         buckets = 1
         while buckets * self.SLOTS * 0.85 < capacity:
             buckets *= 2
-        self.cells = [int.from_bytes(cells[i : i + 2], "big") for i in range(0, len(cells), 2)] if cells else [0] * (buckets * self.SLOTS)
+        self.cells = array("I", cells if cells else bytes(4 * buckets * self.SLOTS))
         self.mask = len(self.cells) // self.SLOTS - 1
 
     def _places(self, key: bytes) -> tuple[int, int, int]:
-        mark = int.from_bytes(key[4:6], "big") or 1
-        one = int.from_bytes(key[6:12], "big") & self.mask
+        mark = int.from_bytes(key[4:8], "little") or 1
+        one = int.from_bytes(key[8:16], "little") & self.mask
         return mark, one, self._other(one, mark)
 
     def _other(self, bucket: int, mark: int) -> int:
@@ -103,7 +112,7 @@ class CuckooFilter:
         return False
 
     def to_bytes(self) -> bytes:
-        return b"".join(c.to_bytes(2, "big") for c in self.cells)
+        return self.cells.tobytes()
 
     @classmethod
     def of(cls, keys: list[bytes]) -> CuckooFilter:
@@ -115,114 +124,193 @@ class CuckooFilter:
             capacity *= 2
 
 
-def _counter(min_chars: int):
+class FilterBlock:
+    """The filters of some shards and their false hits, for many keys at once."""
+
+    def __init__(self, cells: dict[int, bytes], false_hits: set[bytes], shards: int = SHARDS) -> None:
+        self.shards, self.false_hits = shards, false_hits
+        self.first, self.mask = np.full(shards, -1, np.int64), np.zeros(shards, np.uint64)
+        parts, at = [], 0
+        for shard, own in sorted(cells.items()):
+            self.first[shard], self.mask[shard] = at, len(own) // 16 - 1
+            parts.append(np.frombuffer(own, np.uint32))
+            at += len(own) // 4
+        self.cells = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+
+    def hits(self, keys: list[bytes]) -> np.ndarray:
+        """Whether each key hits the filter of its shard, where that is in the block."""
+        if not keys or not len(self.cells):
+            return np.zeros(len(keys), bool)
+        data = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, 16)
+        shard = (data[:, :4].copy().view(">u4").ravel().astype(np.uint64) * np.uint64(self.shards) >> np.uint64(32)).astype(np.int64)
+        mark = np.maximum(data[:, 4:8].copy().view("<u4").ravel(), 1)
+        here, mask = self.first[shard] >= 0, self.mask[shard]
+        one = data[:, 8:16].copy().view("<u8").ravel() & mask
+        two = (one ^ mark.astype(np.uint64) * np.uint64(0x5BD1E995)) & mask
+        base = np.where(here, self.first[shard], 0)
+        found = np.zeros(len(keys), bool)
+        for bucket in (one, two):
+            at = base + bucket.astype(np.int64) * 4
+            for i in range(4):
+                found |= self.cells[at + i] == mark
+        return found & here
+
+    def common(self, keys: list[bytes]) -> set[bytes]:
+        return {k for k, hit in zip(keys, self.hits(keys).tolist(), strict=True) if hit and k not in self.false_hits}
+
+
+def _counter(min_chars: int, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: Counter[bytes] = Counter()
             for text in batch.column(0).to_pylist():
                 found.update({line_key(line, min_chars) for line in set((text or b"").split(b"\n"))})
             found.pop(None, None)
-            yield pa.record_batch({"shard": pa.array([shard_of(k) for k in found], pa.int32()), "key": pa.array(list(found), pa.binary()), "docs": pa.array(list(found.values()), pa.int64())})
+            yield pa.record_batch({"shard": pa.array([shard_of(k, shards) for k in found], pa.int32()), "key": pa.array(list(found), pa.binary()), "docs": pa.array(list(found.values()), pa.int64())})
 
     return run
 
 
-def line_counts(docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """The index of ``docs``; counts are summed in each batch before they are shuffled."""
-    parts = docs.select(F.col(text).cast("binary").alias("bytes")).mapInArrow(_counter(min_chars), INDEX)
+def line_counts(docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS, shards: int = SHARDS) -> DataFrame:
+    """(shard, key, docs) of ``docs``; counts are summed in each batch before they are shuffled."""
+    parts = docs.select(F.col(text).cast("binary").alias("bytes")).mapInArrow(_counter(min_chars, shards), COUNTS)
     return parts.groupBy("shard", "key").agg(F.sum("docs").alias("docs"))
 
 
-def insert(index: DataFrame, docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    return index.unionByName(line_counts(docs, text, min_chars)).groupBy("shard", "key").agg(F.sum("docs").alias("docs"))
-
-
-def delete(index: DataFrame, docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """The index without ``docs``, which must have been inserted; keys that no document holds go."""
-    less = line_counts(docs, text, min_chars).withColumn("docs", -F.col("docs"))
-    return index.unionByName(less).groupBy("shard", "key").agg(F.sum("docs").alias("docs")).where("docs > 0")
-
-
 def _filter_of(pdf: pd.DataFrame) -> pd.DataFrame:
     made = CuckooFilter.of(sorted(bytes(k) for k in pdf["key"]))
-    return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "part": [pdf["part"].iloc[0]], "cells": [made.to_bytes()]})
+    return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "cells": [made.to_bytes()], "full": [False]})
 
 
-#: Keys of one filter; a shard with more has several, by a hash of the key.
-FILTER_KEYS = 1 << 20
+def _updated(held: pd.DataFrame, crossed: pd.DataFrame) -> pd.DataFrame:
+    """One shard's filter after the keys that became common (``up``) or ceased to be; full if it had no room."""
+    shard = (held if len(held) else crossed)["shard"].iloc[0]
+    made = CuckooFilter(cells=bytes(held["cells"].iloc[0])) if len(held) else CuckooFilter(16)
+    for key in crossed.loc[~crossed["up"], "key"]:
+        made.delete(bytes(key))
+    full = not all(made.insert(bytes(k)) for k in crossed.loc[crossed["up"], "key"])
+    return pd.DataFrame({"shard": [shard], "cells": [made.to_bytes()], "full": [full]})
 
 
-def filters(index: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(shard, part, cells): cuckoo filters of the common keys."""
-    common = index.where(F.col("docs") >= min_docs)
-    parts = max(1, -(-common.count() // (SHARDS * FILTER_KEYS)))
-    dealt = common.select("shard", "key", F.pmod(F.crc32("key"), F.lit(parts)).cast("int").alias("part"))
-    return dealt.groupBy("shard", "part").applyInPandas(_filter_of, "shard int, part int, cells binary")
+@dataclass
+class LineIndex:
+    """Exact counts of line keys, and the filters of those that are common."""
 
+    counts: DataFrame
+    filters: DataFrame
+    min_docs: int = MIN_DOCS
+    min_chars: int = MIN_CHARS
+    shards: int = SHARDS
 
-def _hits(cells, min_chars: int):
-    """(rid, key) of each row's distinct keys that hit their shard's filter; all keys without filters."""
+    @classmethod
+    def of(cls, docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, shards: int = SHARDS) -> LineIndex:
+        counts = written(line_counts(docs, text, min_chars, shards), "counts")
+        return cls(counts, cls._built(counts.where(F.col("docs") >= min_docs)), min_docs, min_chars, shards)
+
+    @staticmethod
+    def _built(common: DataFrame) -> DataFrame:
+        return written(common.select("shard", "key").groupBy("shard").applyInPandas(_filter_of, CELLS), "filters")
+
+    def insert(self, docs: DataFrame, text: str = "text") -> LineIndex:
+        return self._changed(docs, text, 1)
+
+    def delete(self, docs: DataFrame, text: str = "text") -> LineIndex:
+        """The index without ``docs``, which must have been inserted; keys that no document holds go."""
+        return self._changed(docs, text, -1)
+
+    def _changed(self, docs: DataFrame, text: str, sign: int) -> LineIndex:
+        delta = line_counts(docs, text, self.min_chars, self.shards).select("shard", "key", (sign * F.col("docs")).alias("more"))
+        both = self.counts.join(delta, ["shard", "key"], "full").select("shard", "key", F.coalesce("docs", F.lit(0)).alias("was"), F.coalesce("more", F.lit(0)).alias("more"))
+        both = written(both.withColumn("docs", F.col("was") + F.col("more")), "changed")
+        before, after = F.col("was") >= self.min_docs, F.col("docs") >= self.min_docs
+        crossed = both.where(before != after).select("shard", "key", after.alias("up"))
+        kept = self.filters.join(crossed.select("shard").distinct(), "shard", "left_anti")
+        touched = self.filters.join(crossed.select("shard").distinct(), "shard", "left_semi")
+        made = written(touched.groupBy("shard").cogroup(crossed.groupBy("shard")).applyInPandas(_updated, CELLS), "updated")
+        counts = both.where("docs > 0").select("shard", "key", "docs")
+        full = made.where("full").select("shard")
+        filters = kept.unionByName(made.where("NOT full"))
+        if not full.isEmpty():  # a filter without room is built anew, larger, from its shard's exact counts
+            filters = filters.unionByName(self._built(counts.where(after).join(full, "shard", "left_semi")))
+        return LineIndex(counts, written(filters, "filters"), self.min_docs, self.min_chars, self.shards)
+
+    def blocks(self, most: int = BROADCAST_BYTES) -> Iterator[dict[int, bytes]]:
+        """The filters in blocks of ``most`` bytes (or one larger filter), one in the driver at a time."""
+        block, held = {}, 0
+        for shard, cells, _ in self.filters.orderBy("shard").toLocalIterator():
+            if block and held + len(cells) > most:
+                yield block
+                block, held = {}, 0
+            block[shard] = bytes(cells)
+            held += len(cells)
+        if block:
+            yield block
+
+
+def _probe(shared):
+    """The keys (key, docs) that hit a filter of the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = None if cells is None else {shard: [CuckooFilter(cells=c) for c in parts] for shard, parts in cells.value.items()}
+        block: FilterBlock = shared.value
         for batch in batches:
-            rids, keys = [], []
-            for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for key in {line_key(line, min_chars) for line in (text or b"").split(b"\n")}:
-                    if key is not None and (known is None or any(key in f for f in known.get(shard_of(key), ()))):
-                        rids.append(rid)
-                        keys.append(key)
-            yield pa.record_batch({"rid": pa.array(rids, pa.int64()), "shard": pa.array([shard_of(k) for k in keys], pa.int32()), "key": pa.array(keys, pa.binary())})
+            yield batch.filter(pa.array(block.hits(batch.column(0).to_pylist()), pa.bool_()))
 
     return run
 
 
-def _dropper(min_chars: int):
+def _dropper(shared, min_chars: int, first: bool):
+    """Texts without the block's common lines; the first block also counts the lines."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: FilterBlock = shared.value
         for batch in batches:
-            kept, n, dropped = [], [], []
-            for text, keys in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                lines = (text or b"").split(b"\n")
-                n.append(len(lines))
-                if keys:
-                    gone = set(keys)
-                    lines = [line for line in lines if line_key(line, min_chars) not in gone]
-                dropped.append(n[-1] - len(lines))
-                kept.append(b"\n".join(lines))
-            yield pa.record_batch({"row": batch.column(0), "kept": pa.array(kept, pa.binary()).cast(pa.string()), "n_lines": pa.array(n, pa.int64()), "n_dropped": pa.array(dropped, pa.int64())})
+            texts = batch.column(1).to_pylist()
+            split = [(t or b"").split(b"\n") for t in texts]
+            keys = {line: line_key(line, min_chars) for line in set().union(*split)} if split else {}
+            gone = block.common([k for k in set(keys.values()) if k is not None])
+            rest = [[line for line in lines if keys[line] not in gone] for lines in split] if gone else split
+            n = [len(lines) for lines in split] if first else batch.column(2).to_pylist()
+            # a text of which nothing is left has no line for the next block either
+            dropped = [len(lines) - len(left) + was for lines, left, was in zip(split, rest, [0] * len(split) if first else batch.column(3).to_pylist(), strict=True)]
+            kept = pa.array([b"\n".join(left) for left in rest], pa.binary())
+            yield pa.record_batch({"row": batch.column(0), "kept": kept, "n_lines": pa.array(n, pa.int64()), "n_dropped": pa.array(dropped, pa.int64())})
 
     return run
 
 
-def drop_common_lines(docs: DataFrame, index: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
+def drop_common_lines(docs: DataFrame, index: LineIndex, text: str = "text", keys: DataFrame | None = None) -> DataFrame:
     """``docs`` with common lines left out of ``text``, and the columns ``n_lines`` and ``n_dropped``.
 
-    A null text becomes empty.
+    keys: (shard, key, docs) of all keys of ``docs`` if they are at hand; else they are counted.
     """
     spark = docs.sparkSession
-    columns = drop_clashing(docs, ["n_lines", "n_dropped"]).columns
-    made = written(filters(index, min_docs), "filters")
-    cells = None
-    if (made.agg(F.sum(F.length("cells"))).first()[0] or 0) <= BROADCAST_BYTES:
-        by_shard: dict[int, list[bytes]] = {}
-        for shard, _, c in made.collect():
-            by_shard.setdefault(shard, []).append(bytes(c))
-        cells = spark.sparkContext.broadcast(by_shard)
-    rows = docs.select(*columns).withColumn("__rid", F.xxhash64(*columns))
-    hits = rows.select("__rid", F.col(text).cast("binary").alias("bytes")).mapInArrow(_hits(cells, min_chars), "rid long, shard int, key binary")
-    sure = hits.join(index.where(F.col("docs") >= min_docs).select("shard", "key"), ["shard", "key"])
-    gone = sure.groupBy("rid").agg(F.collect_set("key").alias("keys"))
-    rest = [c for c in columns if c != text]
-    joined = rows.join(gone, F.col("__rid") == F.col("rid"), "left").select(F.struct(*rest).alias("row") if rest else F.struct("__rid").alias("row"), F.col(text).cast("binary").alias("bytes"), "keys", "__rid")
-    schema = f"row {joined.schema['row'].dataType.simpleString()}, kept string, n_lines long, n_dropped long"
-    out = joined.select("row", "bytes", "keys").mapInArrow(_dropper(min_chars), schema)
-    return out.select(*[F.col("kept").alias(c) if c == text else F.col("row")[c].alias(c) for c in columns], "n_lines", "n_dropped")
+    docs = drop_clashing(docs, ["n_lines", "n_dropped"])
+    if keys is None:
+        keys = line_counts(docs, text, index.min_chars, index.shards).select("shard", "key").join(index.counts, ["shard", "key"], "left")
+    rare = keys.where(F.coalesce("docs", F.lit(0)) < index.min_docs).select("key")
+    rows = nested(docs, text, kept=F.col(text).cast("binary"))
+    schema = row_schema(rows, "kept binary, n_lines long, n_dropped long")
+    blocks = index.blocks()
+    cells = next(blocks, {})
+    first = True
+    while first or cells:
+        shared = spark.sparkContext.broadcast(FilterBlock(cells, set(), index.shards))
+        # one key in 600 million hits a filter that hasn't got it
+        false_hits = {bytes(r["key"]) for r in rare.mapInArrow(_probe(shared), "key binary").distinct().toLocalIterator()}
+        shared = spark.sparkContext.broadcast(FilterBlock(cells, false_hits, index.shards))
+        rows = rows.mapInArrow(_dropper(shared, index.min_chars, first), schema)
+        cells, first = next(blocks, {}), False
+
+    def name(c: str) -> Column:
+        return F.col("kept").cast("string").alias(c) if c == text else F.col("row").getField(c).alias(c)
+
+    return rows.select(*map(name, docs.columns), "n_lines", "n_dropped")
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
     """Index ``docs``, then drop the lines common among them."""
-    index = written(line_counts(docs, text, min_chars), "index")
-    return drop_common_lines(docs, index, text, min_docs, min_chars)
+    index = LineIndex.of(docs, text, min_docs, min_chars)
+    return drop_common_lines(docs, index, text, index.counts)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
