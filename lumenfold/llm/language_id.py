@@ -5,10 +5,12 @@ candidates; a Viterbi path over the words, with a penalty for each switch, label
 language is that of most of its words.
 
 The model is learnt from at most ``MAX_TRAIN`` labelled texts, those with the least hash of their
-``doc_id``, and keeps the ``MAX_GRAMS`` most frequent n-grams.
+``doc_id``, and keeps all their n-grams.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; with nothing to learn
-from, all are; ties go to the language that sorts first; repeated rows are labelled each; an empty
+from, all are; words without a letter, such as dashes, fit all languages alike and so go with their
+neighbours; very long texts are read whole; ties go to the language that sorts first; repeated rows are
+labelled each; columns of any name are kept, but those named as the results are replaced; an empty
 table gives an empty result.
 """
 
@@ -25,10 +27,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import drop_clashing, table
+from lumenfold.llm.common import drop_clashing, nested, row_schema, table
 
 MAX_TRAIN = 8_000
-MAX_GRAMS = 150_000
 SWITCH = 8.0
 SMOOTH = 0.3
 #: A language is a candidate in a script if it has this share of its words there.
@@ -74,10 +75,9 @@ def script_of(word: str) -> str:
 
 
 def grams(word: str) -> list[str]:
-    """The word itself, if it isn't long, and its runs of three characters, with marks at both ends."""
+    """The word itself and its runs of three characters, with marks at both ends."""
     marked = f"<{word}>"
-    runs = [marked[i : i + 3] for i in range(len(marked) - 2)]
-    return [*runs, f"={word}"] if len(word) <= 12 else runs
+    return [*(marked[i : i + 3] for i in range(len(marked) - 2)), f"={word}"]
 
 
 def _gram_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,6 +127,7 @@ class Model:
         everything = np.ones(len(self.langs), bool)
         able = np.stack([self.scripts.get(script_of(t), everything) for t in texts])
         score = np.where(able, score, score - 30)
+        score[[not any(c.isalpha() for c in t) for t in texts]] = 0
         score -= score.max(1, keepdims=True)
         return score - np.log(np.exp(score).sum(1, keepdims=True))
 
@@ -137,7 +138,7 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, switch:
     All texts advance together, a word a step. Staying wins over an equal switch.
     """
     n, langs = scores.shape
-    path, moved, source = np.zeros(n, np.int8), np.zeros((n, langs), bool), np.zeros(n, np.int8)
+    path, moved, source = np.zeros(n, np.int16), np.zeros((n, langs), bool), np.zeros(n, np.int16)
     if not n:
         return path
     value = np.zeros((len(lengths), langs), np.float32)
@@ -152,7 +153,7 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, switch:
             moved[rows], source[rows] = change, best
             value[:a] = np.where(change, offer[:, None], value[:a])
         value[:a] += scores[rows]
-    label = value.argmax(1).astype(np.int8)
+    label = value.argmax(1).astype(np.int16)
     for t in range(lengths[0] - 1, -1, -1):
         a = active[t]
         rows = starts[:a] + t
@@ -231,16 +232,15 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = M
     chosen = usable.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumnRenamed("doc_id", "__id").distinct()
     rows = usable.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("__id"))).select(F.col(lang).cast("string"), text)
     counts = rows.mapInArrow(_gram_counter, "lang string, kind string, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
-    kept = counts.where("kind = 'gram'").orderBy(F.desc("n"), "lang", "gram").limit(MAX_GRAMS)
-    return Model([tuple(r) for r in kept.union(counts.where("kind = 'script'")).collect()])
+    found = counts.toArrow().to_pydict()  # of the sample alone
+    return Model(list(zip(*(found[c] for c in ("lang", "kind", "gram", "n")), strict=True)))
 
 
 def label_languages(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` without its text, with ``lang_pred``, ``score`` and ``spans`` (language, first word, words)."""
     docs = drop_clashing(docs, ["lang_pred", "score", "spans"])
-    keep = [c for c in docs.columns if c != text]
-    slim = docs.select(F.struct(*keep).alias("row"), F.col(text).alias("text"))
-    schema = f"row {slim.schema['row'].dataType.simpleString()}, lang_pred string, score double, spans array<struct<lang: string, first_word: bigint, words: bigint>>"
+    slim = nested(docs, text, text=F.col(text))
+    schema = row_schema(slim, "lang_pred string, score double, spans array<struct<lang: string, first_word: bigint, words: bigint>>")
     return slim.mapInArrow(_labeller(docs.sparkSession.sparkContext.broadcast(model)), schema).select("row.*", "lang_pred", "score", "spans")
 
 
