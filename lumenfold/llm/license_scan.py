@@ -5,8 +5,10 @@ text is scanned from every place where an automaton can begin; a template is acc
 mandatory wording stands word by word, whatever its optional regions hold. Places of the base phrases
 are counted beside it, and the labels are those of both.
 
-Defined results: a null or empty text has no words, labels or places, and score 0; repeated rows are
-scanned each; an empty table gives an empty result.
+Defined results: a null or empty text has no words, labels or places, and score 0; very long texts are
+scanned whole; of matches that begin at one word the longest counts; repeated rows are scanned each;
+columns of any name are kept, but those named as the results are replaced; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import drop_clashing, table
+from lumenfold.llm.common import drop_clashing, nested, row_schema, table
 from lumenfold.llm.license_templates import PHRASES, TEMPLATES
 
 #: Lower-cases A-Z and makes a space of ASCII that is neither a digit nor a letter.
@@ -213,8 +215,8 @@ NAMES = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels"
 def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without its text, with the columns of ``FOUND``; ``matches`` has each template's places."""
     docs = drop_clashing(docs, NAMES)
-    slim = docs.select(F.struct(*[c for c in docs.columns if c != text]).alias("row"), F.col(text).cast("binary").alias("bytes"))
-    return slim.mapInArrow(_scan, f"row {slim.schema['row'].dataType.simpleString()}, {FOUND}").select("row.*", *NAMES)
+    slim = nested(docs, text, bytes=F.col(text).cast("binary"))
+    return slim.mapInArrow(_scan, row_schema(slim, FOUND)).select("row.*", *NAMES)
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,9 @@ Training uses at most ``MAX_TRAIN`` labelled rows, those with the least hash of
 
 Defined results: null and empty texts have statistics of zero and a score as any other; rows whose
 labels differ are used with each; with no labelled row, or labels of one class only, the score is
-constant; repeated rows are scored each; an empty table gives an empty result.
+constant; very long texts are measured whole; equal gains go to the first statistic and threshold;
+repeated rows are scored each; columns of any name are kept, but those named as statistics or results
+are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import drop_clashing, table
+from lumenfold.llm.common import drop_clashing, nested, row_schema, table
 
 MAX_TRAIN = 20_000
 TREES, DEPTH, BINS, RATE = 24, 3, 32, 0.3
@@ -60,7 +62,7 @@ def statistics(text: bytes | None) -> list[float]:
         sum(map(eq, words, words[1:])) / n,
         len(words) / (b.count(b"\n") + 1),
         letters,
-        sum(1 for w in words if len(w) > 20) / n if size / n > 12 else 0.0,
+        sum(map((20).__lt__, map(len, words))) / n,
     ]
 
 
@@ -71,13 +73,11 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), *(pa.array(columns[:, i]) for i in range(len(STATISTICS)))], names=["row", *STATISTICS])
 
 
-def with_statistics(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (all but the text) and the statistics of each row."""
+def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` without its text, with the statistics of each row."""
     docs = drop_clashing(docs, STATISTICS)
-    keep = keep or [c for c in docs.columns if c != text]
-    slim = docs.select(F.struct(*keep).alias("row"), F.col(text).cast("binary").alias("bytes"))
-    schema = f"row {slim.schema['row'].dataType.simpleString()}, " + ", ".join(f"{s} double" for s in STATISTICS)
-    return slim.mapInArrow(_measure, schema).select("row.*", *STATISTICS)
+    slim = nested(docs, text, bytes=F.col(text).cast("binary"))
+    return slim.mapInArrow(_measure, row_schema(slim, ", ".join(f"{s} double" for s in STATISTICS))).select("row.*", *STATISTICS)
 
 
 Rule = tuple[tuple[int, bool, float], ...]  # (statistic, whether above, threshold), ascending
@@ -172,7 +172,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", te
     chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("double").alias("__label")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "__label").limit(most)
     # the sample has ``most`` rows at most
     joined = docs.select("doc_id", text).join(F.broadcast(chosen), "doc_id")
-    rows = with_statistics(joined, text, ["doc_id", "__label"]).toPandas().sort_values(["doc_id", "__label"])
+    rows = with_statistics(joined, text).toPandas().sort_values(["doc_id", "__label"])
     return rows[STATISTICS].to_numpy(np.float64), rows["__label"].to_numpy(np.float64)
 
 
