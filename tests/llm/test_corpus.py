@@ -22,12 +22,13 @@ def test_differencing_balances():
         assert sums.max() - sums.min() <= sizes.max() * 0.2
 
 
-@pytest.mark.parametrize("bucket", [10_000, 50])
-def test_shards(spark, docs, bucket, monkeypatch):
-    monkeypatch.setattr(sharding, "BUCKET_GROUPS", bucket)
+@pytest.mark.parametrize("bucket", [10_000, 150])
+@pytest.mark.parametrize("hot", [0, 60])
+def test_shards(spark, docs, bucket, hot, monkeypatch):
+    monkeypatch.setattr(sharding, "LARGE", 2)
     rng = random.Random(1)
-    texts = ["x" * rng.randint(1, 3000) for _ in range(600)]
-    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, "hot " * 400) for i in range(60)]
+    texts = ["x" * rng.randint(1, 3000) for _ in range(600)] + ["y" * rng.randint(1, 90) for _ in range(300)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, "hot " * 400) for i in range(hot)]
     groups = sharding.assign
     monkeypatch.setattr(sharding, "assign", lambda g, n=40: groups(g, n, bucket))
     out = sharding.shards(docs(rows)).toPandas()
@@ -38,9 +39,10 @@ def test_shards(spark, docs, bucket, monkeypatch):
     out["text"] = out.doc_id.map(text)
     assert out.groupby("text").shard.nunique().max() == 1
     loads = out.groupby("shard")["size"].sum().reindex(range(40), fill_value=0)
-    hot = out[out.text == "hot " * 400]["size"].sum()
-    fair = (loads.sum() - hot) / 39
-    assert loads.drop(out[out.doc_id == 1000].shard.iloc[0]).max() <= 1.05 * fair
+    if hot:
+        loads = loads.drop(out[out.doc_id == 1000].shard.iloc[0])
+    # a last bucket of few groups evens out to within the largest group
+    assert loads.max() <= max(1.02 * loads.mean(), (loads.mean() + 3016) * (bucket < 1000))
 
 
 def test_subset_sums():
@@ -95,15 +97,51 @@ def test_cuckoo():
 
 def test_line_index_is_reversible(spark, docs):
     a = docs([(i, f"common line\nown {i}\n Common LINE ") for i in range(6)])
-    b = docs([(i, f"common line\nother\nmore {i}") for i in range(10, 14)])
-    index = line_dedup.line_counts(a)
-    both = line_dedup.insert(index, b)
-    back = line_dedup.delete(both, b)
-    key = lambda df: sorted((r.shard, bytes(r.key), r.docs) for r in df.collect())
-    assert key(back) == key(index)
-    kept = line_dedup.drop_common_lines(a, both, min_docs=7).select("text", "n_lines", "n_dropped").collect()
+    b = docs([(i, f"common line\nother\nmore {i}") for i in range(10, 14)] + [(20 + i, f"new {j}") for i in range(7) for j in range(40)])
+    index = line_dedup.LineIndex.of(a, min_docs=7, shards=4)
+    both = index.insert(b)
+    back = both.delete(b)
+    key = lambda x: sorted((r.shard, bytes(r.key), r.docs) for r in x.counts.collect())
+    assert key(back) == key(index) and key(both) == key(line_dedup.LineIndex.of(a.union(b), min_docs=7, shards=4))
+    keys = [line_dedup.line_key(x) for x in [b"common line", b"other", *(b"new %d" % j for j in range(40)), *(b"more %d" % j for j in range(40))]]
+    held = lambda x: [line_dedup.FilterBlock(c, set(), 4).hits(keys).tolist() for c in x.blocks()]
+    assert sum(map(sum, held(index))) == 0 and sum(map(sum, held(back))) == 0  # the filters' answers are restored
+    assert held(both) == [[True, False] + [True] * 40 + [False] * 40]
+    kept = line_dedup.drop_common_lines(a, both).select("text", "n_lines", "n_dropped").collect()
     assert {(r.text.split(" ")[0], r.n_lines, r.n_dropped) for r in kept} == {("own", 3, 2)}
-    assert line_dedup.drop_common_lines(a, both, min_docs=11).where("n_dropped > 0").isEmpty()
+    assert line_dedup.drop_common_lines(a, index).where("n_dropped > 0").isEmpty()
+
+
+def test_lines_in_blocks(spark, docs, monkeypatch):
+    texts = docs([(i, f"common {i % 3}\nshared\nown {i}\nshared") for i in range(30)] + [(99, None), (100, "shared")])
+    whole = sorted(line_dedup.dedup_lines(texts).select("doc_id", "text", "n_lines", "n_dropped").collect())
+    blocks = line_dedup.LineIndex.blocks
+    monkeypatch.setattr(line_dedup.LineIndex, "blocks", lambda self: blocks(self, 1))
+    assert sorted(line_dedup.dedup_lines(texts).select("doc_id", "text", "n_lines", "n_dropped").collect()) == whole
+    assert {(r.text, r.n_dropped) for r in whole if r.doc_id > 90} == {("", 0), ("", 1)}
+    assert all((r.text, r.n_lines, r.n_dropped) == (f"own {r.doc_id}", 4, 3) for r in whole if r.doc_id < 90)
+
+
+def test_false_hits_stay():
+    key = line_dedup.line_key(b"common")
+    shard = line_dedup.shard_of(key)
+    made = line_dedup.CuckooFilter.of([key])
+    assert line_dedup.FilterBlock({shard: made.to_bytes()}, set()).common([key]) == {key}
+    assert line_dedup.FilterBlock({shard: made.to_bytes()}, {key}).common([key]) == set()
+
+
+def test_many_languages():
+    rng = np.random.default_rng(8)
+    scores = rng.normal(size=(5, 200)).astype(np.float32)
+    scores[:, 150] = 9
+    assert set(language_id.viterbi(scores, np.array([0]), np.array([5])).tolist()) == {150}
+
+
+def test_words_without_letters_follow_their_neighbours(spark, docs):
+    en, ru = "the quick brown fox jumps over the lazy dog again", "быстрая лиса прыгает через ленивую собаку снова"
+    learnt = language_id.learn(docs([(1, en * 3), (2, ru * 3 + " — – …")]).withColumn("lang", F.when(F.col("doc_id") == 1, "en").otherwise("ru")))
+    row = language_id.label_languages(docs([(1, f"{en} " + "— – … " * 20)]).select("doc_id", "text"), learnt).first()
+    assert row.lang_pred == "en" and row.score == 1.0
 
 
 def test_viterbi_brute_force():

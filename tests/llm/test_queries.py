@@ -1,5 +1,10 @@
 """The queries against their SQL, and every operator on odd rows and empty tables."""
 
+import hashlib
+import re
+import zlib
+from collections import Counter
+
 import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
@@ -8,6 +13,8 @@ from lumenfold.llm import decontaminate, jaccard_join, language_id, license_scan
 from lumenfold.llm.queries import oracle_sql, queries
 
 from .conftest import ODD
+from .test_jaccard_join import brute
+from .test_matching import plain_spans
 
 QUERIES, ORACLES = queries(), oracle_sql()
 
@@ -44,16 +51,61 @@ def operators(spark):
     }
 
 
+#: Names that operators use themselves, and names that need quoting.
+CLASHING = ["key", "keys", "rid", "host", "row", "bytes", "kept", "size", "draw", "times", "copy", "group", "node", "id", "md5", "doc_ids", "__id", "__leak", "__gone", "__key", "a.b", "two words"]
+
+
 @pytest.mark.parametrize("name", ["license", "jaccard", "sharding", "language", "classifier", "mixing", "pii", "lines", "rules"])
 def test_odd_rows(name, spark, docs):
-    clash = docs([(i, t, s) for i, t, s in ODD])
-    for extra in ("score", "shard", "kept", "spans", "n_words", "size", "labels", "Host"):
+    clash = docs(ODD)
+    for extra in (*CLASHING, "score", "shard", "spans", "n_words", "labels", "Taken"):
         clash = clash.withColumn(extra, F.lit(1))
     run = operators(spark)[name]
     assert run(clash).count() == len(ODD)
     assert run(clash.limit(0)).count() == 0
 
 
+#: The rows of ODD that each stage keeps, by (doc_id, text) where both count.
+STAYS = {
+    "quality rules": lambda rows: [],
+    "near duplicates": lambda rows: [r for i, r in enumerate(rows) if i not in (6, 7)],
+    "decontamination": lambda rows: rows,
+    "mixing": None,
+    "sharding": lambda rows: rows,
+}
+
+
+@pytest.mark.parametrize("stage", ["quality rules", "near duplicates", "decontamination", "mixing", "sharding"])
+def test_stages_keep_columns(stage, spark, docs, sf):
+    import corpus_pipeline
+
+    run = dict(corpus_pipeline.STAGES)[stage]
+    rows = [(*r, i) for i, r in enumerate(ODD)]
+    clash = docs(ODD)
+    clash = clash.withColumn("nth", F.lit(0)).limit(0).unionByName(spark.createDataFrame([(r[0], r[1], None, r[2] if len(r) > 2 else "s", 0, i) for i, r in enumerate(ODD)], clash.schema.add("nth", "int")))
+    for extra in CLASHING:
+        clash = clash.withColumn(extra, F.concat(F.lit(extra), F.col("nth").cast("string")))
+    out = run(spark, clash, sf)
+    assert out.columns == clash.columns + ["shard"] * (stage == "sharding")
+    found = out.collect()
+    for r in found:  # every row has its own values still
+        assert all(r[extra] == f"{extra}{r['nth']}" for extra in CLASHING)
+        assert (r["doc_id"], r["text"]) == (rows[r["nth"]][0], rows[r["nth"]][1])
+    if STAYS[stage]:
+        expected = STAYS[stage](list(range(len(rows))))
+        repeated = {5, 6} if stage == "near duplicates" else set()  # equal in id and text: either may stay
+        assert {n for n in (r["nth"] for r in found) if n not in repeated} == {n for n in expected if n not in repeated}
+        assert sum(r["nth"] in repeated for r in found) == bool(repeated)
+    assert run(spark, clash.limit(0), sf).count() == 0
+
+
+def test_one_row_stays_of_rows_with_one_id(spark, docs):
+    words = "alpha beta gamma delta epsilon zeta".split()
+    rows = [(1, " ".join(words)), (7, " ".join(words)), (7, "quite another text that stands on its own"), (8, "quite another text that stands on its own"), (None, " ".join(words)), (None, "a third one without any id at all")]
+    kept = jaccard_join.one_of_each(docs(rows)).select("doc_id", "text").collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([rows[0], rows[2], rows[5]], key=str)
+
+
 def test_odd_leaks(spark, docs):
     found = operators(spark)["leaks"](docs(ODD)).collect()
     assert sorted((r.doc_id, r.item_id, r.distance) for r in found) == [(4, 0, 0), (4, 0, 0), (5, 0, 0)]
@@ -75,3 +127,136 @@ def test_pipeline(spark, sf):
     assert out.count() == docs.count()
     groups = out.groupBy("text").agg(F.count_distinct("shard").alias("n"))
     assert groups.where("n > 1").isEmpty()
+
+
+def plain_texts(spark, sf):
+    return {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+
+
+def lower(t):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), t)
+
+
+def test_op1_base(spark, sf):
+    texts = plain_texts(spark, sf)
+    phrases = [("gnu general public license".split(), "gpl"), ("apache license".split(), "apache"), ("cc by".split(), "cc-by"), ("mit license".split(), "mit")]
+    for r in QUERIES["op1_license_scan"](spark, sf).collect():
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(texts[r.doc_id]))
+        places = sorted((i, label) for p, label in phrases for i in range(len(w)) if w[i : i + len(p)] == p)
+        first, last = (places[0][0], places[-1][0]) if places else (None, None)
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(w), len(places), first, last, ",".join(sorted({x for _, x in places})))
+        assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
+
+
+def test_op3_columns(spark, sf):
+    texts = plain_texts(spark, sf)
+    found = QUERIES["op3_sharding"](spark, sf).toPandas()
+    for r in found.itertuples():
+        b = texts[r.doc_id].encode()
+        assert (r.size, r.text_crc32, r.law) == (len(b) + 16, zlib.crc32(b), "bytes")
+    for _, part in found.groupby("shard"):
+        assert sorted(part.slot) == list(range(len(part)))
+    assert found.assign(t=found.doc_id.map(texts)).groupby("t").shard.nunique().max() == 1
+    groups = found.assign(t=found.doc_id.map(texts)).groupby("t")["size"].sum()
+    loads = found.groupby("shard")["size"].sum().reindex(range(40), fill_value=0)
+    fair = loads.sum() / 40
+    assert loads.max() <= max(groups.max(), 1.1 * fair)
+
+
+def test_op4_columns(spark, sf):
+    texts = plain_texts(spark, sf)
+    langs = {r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").select("lang").distinct().collect()} - {None}
+    for r in QUERIES["op4_language_id"](spark, sf).collect():
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+        if any(c.isalpha() for c in texts[r.doc_id]):
+            assert r.lang_pred in langs and 0 < r.score <= 1
+        else:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+
+
+def test_op6_columns(spark, sf):
+    for r in QUERIES["op6_quality_classifier"](spark, sf).collect():
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        assert 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7)
+
+
+def test_op7_columns(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source").collect()
+    size = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in rows}
+    source = {r.doc_id: r.source for r in rows}
+    whole = Counter()
+    for i, n in size.items():
+        whole[source[i]] += n
+    names = sorted((s for s in whole if s is not None), key=lambda s: s.encode()) + [None] * (None in whole)
+    weight = {s: 1 + i % 3 for i, s in enumerate(names)}
+    target, full = {}, set()
+    while True:
+        rest = sum(whole.values()) - sum(3 * whole[s] for s in full)
+        open_ = [s for s in names if s not in full]
+        target = {s: 3.0 * whole[s] if s in full else rest * weight[s] / sum(weight[x] for x in open_) for s in names}
+        over = {s for s in open_ if target[s] > 3 * whole[s]}
+        if not over:
+            break
+        full |= over
+    taken = Counter()
+    for r in QUERIES["op7_mixing"](spark, sf).collect():
+        s = source[r.doc_id]
+        assert r["size"] == size[r.doc_id] and r.source_size == whole[s] and abs(r.target - target[s]) < 1e-6 * max(1, target[s])
+        assert 0 <= r.taken <= 3 * r["size"] and (not r["size"] or r.taken % r["size"] == 0)
+        taken[s] += r.taken
+    assert all(abs(taken[s] - target[s]) <= 1 for s in names)
+
+
+def test_op8_columns(spark, sf):
+    texts = plain_texts(spark, sf)
+    kinds = ["email", "ip", "card", "phone"]
+    for r in QUERIES["op8_pii"](spark, sf).collect():
+        base = [f"{kinds[k]}:{a}:{b}" for k, a, b in plain_spans(texts[r.doc_id])]
+        counts = Counter(x.split(":")[0] for x in base)
+        assert [r[f"n_{k}"] for k in kinds] == [counts[k] for k in kinds]
+        assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        spans = r.spans.split(",") if r.spans else []
+        assert set(base) <= set(spans) and len(spans) == r.n_spans
+
+
+def test_pipeline_brute_force(spark, sf):
+    """Each stage of the whole run against a plain version, on a small table."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    items = [(r.item_id, decontaminate.normalise(r.text)) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    held = {name: None for name, _ in corpus_pipeline.STAGES}
+    rows = docs.collect()
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, spark.createDataFrame(rows, docs.schema), sf).collect()
+        held[name] = Counter(r.doc_id for r in found)
+        ids = {r.doc_id: r.text or "" for r in rows}
+        if name == "quality rules":
+            failed = {i: plain_failed(t) for i, t in ids.items()}
+            by_host: dict = {}
+            for r in rows:
+                by_host.setdefault(r.source, []).append(failed[r.doc_id])
+            assert set(held[name]) <= {i for i, f in failed.items() if not f}
+            gone = {r.source for r in rows if not failed[r.doc_id] and r.doc_id not in held[name]}
+            assert all(sum(by_host[h]) / len(by_host[h]) > 0.5 for h in gone)
+        elif name == "near duplicates":
+            assert set(held[name]) == {c for _, _, c in brute(sorted((i, t) for i, t in ids.items()))}
+        elif name == "decontamination":
+            texts = {i: decontaminate.normalise(t) for i, t in ids.items()}
+            exact = {i for i, t in texts.items() if any(x and x in t for _, x in items)}
+            assert not exact & set(held[name])
+            assert all(decontaminate.Matcher(items)(ids[i]) for i in set(ids) - set(held[name]))
+        elif name == "mixing":
+            assert set(held[name]) <= set(ids) and max(held[name].values()) <= 3
+        else:
+            assert held[name] == Counter(r.doc_id for r in rows) and {r.shard for r in found} <= set(range(40))
+        rows = [r[: len(docs.columns)] for r in found]
+        rows = spark.createDataFrame(rows, docs.schema).collect()
+
+
+def plain_failed(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+    times = Counter(windows)
+    covered = {i + k for i, x in enumerate(windows) if times[x] > 1 for k in range(8)}
+    return len(w) < 20 or 100 * len(covered) > 30 * len(w)
