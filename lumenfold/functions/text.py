@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 # What counts as a placeholder, an asserted absence, a null or an ambiguous mark.
 PLACEHOLDERS = [
@@ -60,17 +61,26 @@ NUMBER = "^[+-]?([0-9]+\\.[0-9]*|\\.[0-9]+|[0-9]+)([eE][+-]?[0-9]+)?$"
 
 def norm_cell(c: Column) -> Column:
     """Comparable text of a cell: placeholders are empty, integers canonical, fractions plain decimals of ten places, else lower case."""
-    s = F.regexp_replace(strip(F.translate(c.cast("string"), " ", " ")), f"[{BLANK}]+", " ")
-    digits = F.regexp_replace(s, "^\\+?(-?)0*([0-9])", "$1$2")
-    integer = F.when(digits == "-0", "0").otherwise(digits)
-    plain = F.round(s.try_cast("double"), 10).try_cast("decimal(38,10)").cast("string")
-    number = F.regexp_replace(F.regexp_replace(plain, "0+$", ""), "\\.$", "")
-    return (
-        F.when(is_empty(c) | F.lower(s).isin(PLACEHOLDERS), "")
-        .when(s.rlike(INTEGER), integer)
-        .when(s.rlike(NUMBER), F.coalesce(F.when(number == "-0", "0").otherwise(number), F.lower(s)))
-        .otherwise(F.lower(s))
-    )
+
+    def of(s: Column) -> Column:
+        digits = F.regexp_replace(s, "^\\+?(-?)0*([0-9])", "$1$2")
+        plain = F.regexp_replace(F.round(s.try_cast("double"), 10).try_cast("decimal(38,10)").cast("string"), "\\.?0+$", "")
+        return (
+            F.when((s == "") | F.lower(s).isin(PLACEHOLDERS), "")
+            .when(s.rlike(INTEGER), F.when(digits == "-0", "0").otherwise(digits))
+            .when(s.rlike(NUMBER), F.coalesce(F.when(plain == "-0", "0").otherwise(plain), F.lower(s)))
+            .otherwise(F.lower(s))
+        )
+
+    # an array of one, so that the stripped text is made once and not in every branch
+    s = F.regexp_replace(strip(F.translate(F.coalesce(c.cast("string"), F.lit("")), "\u00a0", " ")), f"[{BLANK}]+", " ")
+    return F.element_at(F.transform(F.array(s), of), 1)
+
+
+def norm_of(df: DataFrame, name: str) -> Column:
+    """``norm_cell`` of a column; whole numbers are comparable as they are."""
+    c = F.col(name)
+    return F.coalesce(c.cast("string"), F.lit("")) if isinstance(df.schema[name].dataType, IntegralType) else norm_cell(c)
 
 
 def null_class(c: Column) -> Column:

@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.functions.semantics import entity_kind
 from lumenfold.functions.similarity import jaccard, name_class
-from lumenfold.functions.text import is_empty, norm_cell, row_hash, tokens
-from lumenfold.functions.values import cell_kind
+from lumenfold.functions.text import is_empty, norm_cell, norm_header, norm_of, null_class, row_hash, tokens
 from lumenfold.operators.profile import cells
 
 
@@ -68,16 +68,27 @@ def first_by_key(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.groupBy(key).agg(F.min_by(F.struct(*rest), F.col(order)).alias("row")).select(key, "row.*")
 
 
-def record_conflicts(a: DataFrame, b: DataFrame, key: str, columns: list[str]) -> DataFrame:
+def matched_cells(a: DataFrame, b: DataFrame, key: str, columns: list[str], order: str | None = None) -> DataFrame:
+    """(key, column, value_a, value_b) of the rows with one key; of a key's rows in ``a`` the first by ``order`` stands.
+
+    Rows meet once and are taken apart after that, so the join moves rows and not cells.
+    """
+    left = a.select(F.col(key).cast("string").alias("key"), *([F.col(order).alias("order")] if order else [F.struct(*columns).cast("string").alias("order")]), F.struct(*[F.col(c).cast("string").alias(c) for c in columns]).alias("a"))
+    right = b.select(F.col(key).cast("string").alias("key"), F.struct(*[F.col(c).cast("string").alias(c) for c in columns]).alias("b"))
+    both = left.groupBy("key").agg(F.min_by("a", "order").alias("a")).join(right, "key")
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col("a")[c].alias("value_a"), F.col("b")[c].alias("value_b")) for c in columns]))
+    return both.where(~is_empty(F.col("key"))).select("key", each.alias("x")).select("key", "x.*")
+
+
+def record_conflicts(a: DataFrame, b: DataFrame, key: str, columns: list[str], order: str | None = None) -> DataFrame:
     """(key, column, value_a, value_b, kind): same key, both filled, different values.
 
     kind is FORMAT_VARIANT where the normalised values agree, else DISAGREEMENT.
     """
-    pick = lambda df, s: df.select(F.col(key).cast("string").alias("key"), F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias(s)) for c in columns])).alias("x")).select("key", "x.*")
-    both = pick(a, "value_a").join(pick(b, "value_b"), ["key", "column"])
-    differ = ~is_empty(F.col("value_a")) & ~is_empty(F.col("value_b")) & (F.col("value_a") != F.col("value_b"))
+    met = matched_cells(a, b, key, columns, order)
+    differ = met.where(~is_empty(F.col("value_a")) & ~is_empty(F.col("value_b")) & (F.col("value_a") != F.col("value_b")))
     same = norm_cell(F.col("value_a")) == norm_cell(F.col("value_b"))
-    return both.where(differ).withColumn("kind", F.when(same, "FORMAT_VARIANT").otherwise("DISAGREEMENT"))
+    return differ.withColumn("kind", F.when(same, "FORMAT_VARIANT").otherwise("DISAGREEMENT"))
 
 
 def similar_names(df: DataFrame, row_id: str, name: str) -> DataFrame:
@@ -107,77 +118,141 @@ def similar_names(df: DataFrame, row_id: str, name: str) -> DataFrame:
 
 def row_overlap(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
     """One row: rows of each side, rows in common as multisets, their Jaccard."""
-    hashes = lambda df, n: df.groupBy(row_hash([norm_cell(F.col(c)) for c in columns]).alias("h")).agg(F.count(F.lit(1)).alias(n))
+    hashes = lambda df, n: df.groupBy(row_hash([norm_of(df, c) for c in columns]).alias("h")).agg(F.count(F.lit(1)).alias(n))
     met = hashes(a, "na").join(hashes(b, "nb"), "h", "full_outer").na.fill(0, ["na", "nb"])
     out = met.agg(F.sum("na").alias("rows_a"), F.sum("nb").alias("rows_b"), F.sum(F.least("na", "nb")).alias("common_rows"))
     union = F.col("rows_a") + F.col("rows_b") - F.col("common_rows")
     return out.withColumn("row_jaccard", F.round(F.when(union > 0, F.col("common_rows") / union).otherwise(0.0), 4))
 
 
-def value_conflict_rule(a: Column, b: Column) -> Column:
-    """The first rule that explains two values of one field: types are looked at before substrings."""
-    na, nb = norm_cell(a), norm_cell(b)
-    ka, kb = cell_kind(a), cell_kind(b)
-    empty_a, empty_b = is_empty(a), is_empty(b)
-    numeric = ka.isin("int", "float") & kb.isin("int", "float")
-    return (
-        F.when(empty_a & empty_b, "SAME_VALUE")
-        .when(empty_a | empty_b, "ONE_NULL")
-        .when(na == nb, F.when(na == "", "PLACEHOLDER_VS_VALUE").otherwise("SAME_VALUE"))
-        .when((na == "") | (nb == ""), "PLACEHOLDER_VS_VALUE")
-        .when((ka == "date") & (kb == "date"), "DATE_CONFLICT")
-        .when(numeric, "NUMERIC_CONFLICT")
-        .when(na.contains(nb) | nb.contains(na), "SUBSTRING")
-        .otherwise("TEXT_CONFLICT")
+def key_overlap(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
+    """One row: different filled keys that both sides have, that one alone has, and their Jaccard."""
+    keys = lambda df, mark: df.select(norm_of(df, column).alias("k")).where("k <> ''").distinct().withColumn(mark, F.lit(1))
+    met = keys(a, "a").join(keys(b, "b"), "k", "full_outer")
+    out = met.agg(F.count(F.col("a") + F.col("b")).alias("common"), F.count(F.when(F.col("b").isNull(), 1)).alias("only_a"), F.count(F.when(F.col("a").isNull(), 1)).alias("only_b"))
+    total = F.col("common") + F.col("only_a") + F.col("only_b")
+    return out.withColumn("jaccard", F.round(F.when(total > 0, F.col("common") / total).otherwise(0.0), 4))
+
+
+def deep_pair(a: DataFrame, b: DataFrame, key: str | None, entities: list[str], columns: list[str] | None = None) -> DataFrame:
+    """One row of facts on two datasets: rows, columns, row overlap, similarity, overlap of keys and of entities, identity.
+
+    ``columns`` are the common ones by default. Row overlap counts in the similarity only if it is
+    measured over three common columns and half of the smaller schema.
+    """
+    common = columns or [c for c in a.columns if c in b.columns]
+    union = len({*a.columns, *b.columns})
+    reliable = len(common) >= 3 and len(common) >= 0.5 * min(len(a.columns), len(b.columns))
+    column_jaccard = round(len(common) / union, 4) if union else 0.0
+    rows = row_overlap(a, b, common).withColumns({"common_columns": F.lit(len(common)), "column_jaccard": F.lit(column_jaccard), "reliable": F.lit(reliable)})
+    rows = rows.withColumn("similarity", F.round(0.65 * (F.col("row_jaccard") if reliable else F.lit(0.0)) + 0.35 * F.lit(column_jaccard), 4))
+    out = rows
+    if key:
+        # facts of one row each
+        out = out.crossJoin(F.broadcast(key_overlap(a, b, key).select(F.col("common").alias("common_keys"), F.col("only_a").alias("only_a_keys"), F.col("only_b").alias("only_b_keys"), F.col("jaccard").alias("key_jaccard"))))
+    else:
+        out = out.withColumns({"common_keys": F.lit(-1), "only_a_keys": F.lit(-1), "only_b_keys": F.lit(-1), "key_jaccard": F.lit(0.0)})
+    shared = [key_overlap(a, b, c).select("jaccard") for c in entities]
+    most = reduce(DataFrame.unionByName, shared).agg(F.max("jaccard").alias("entity_jaccard")) if shared else a.sparkSession.range(1).select(F.lit(0.0).alias("entity_jaccard"))
+    out = out.crossJoin(F.broadcast(most))
+    identity = (
+        F.when(F.col("common_keys") > 0, "KEY_LINKED")
+        .when(F.col("entity_jaccard") >= 0.30, "SAME_ENTITIES_DIFFERENT_KEY_NAMESPACE")
+        .when(F.col("common_keys") == 0, "KEY_DISJOINT_NO_ENTITY_EVIDENCE")
+        .otherwise("NO_KEY_AVAILABLE")
     )
+    return out.withColumn("identity", identity)
+
+
+def version_direction(n: Column, a_blank: Column, b_blank: Column, a_artefacts: Column, b_artefacts: Column, share: float = 0.7) -> Column:
+    """Struct (newer, evidence) from counts over ``n`` conflicts: the side that fills what the other leaves blank, or cleans it."""
 
+    def out(side: str, evidence: str) -> Column:
+        return F.struct(F.lit(side).alias("newer"), F.lit(evidence).alias("evidence"))
 
-def version_direction(one_way_blank: Column, other_way_blank: Column, a_artefacts: Column, b_artefacts: Column, share: float = 0.7) -> Column:
-    """ENRICHMENT_A_TO_B, ENRICHMENT_B_TO_A, REPAIR_.. or INCONCLUSIVE from counts of one-sided differences."""
-    blanks, marks = one_way_blank + other_way_blank, a_artefacts + b_artefacts
     return (
-        F.when((blanks > 0) & (one_way_blank >= share * blanks), "ENRICHMENT_A_TO_B")
-        .when((blanks > 0) & (other_way_blank >= share * blanks), "ENRICHMENT_B_TO_A")
-        .when((marks > 0) & (b_artefacts == 0), "REPAIR_A_TO_B")
-        .when((marks > 0) & (a_artefacts == 0), "REPAIR_B_TO_A")
-        .otherwise("INCONCLUSIVE")
+        F.when((b_blank == 0) & (a_blank >= share * n) & (n > 0), out("B", "ENRICHMENT"))
+        .when((a_blank == 0) & (b_blank >= share * n) & (n > 0), out("A", "ENRICHMENT"))
+        .when((b_artefacts == 0) & (a_artefacts > 0), out("B", "REPAIR"))
+        .when((a_artefacts == 0) & (b_artefacts > 0), out("A", "REPAIR"))
+        .otherwise(out("", "INCONCLUSIVE"))
     )
 
 
+#: Marks that a cell was not cleaned after it was read from a page.
+ARTEFACT = "(?i)\ufffd|\u00c3|&amp;|\\\\u[0-9a-f]{4}|\\(from [^)]*endpoint\\)"
+
+
 def conflict_shape(conflicts: DataFrame, by: list[str]) -> DataFrame:
-    """Counts of how two sides differ: blanks and artefacts of each side, real disagreements, format variants, mean length."""
-    a_blank, b_blank = is_empty(F.col("value_a")), is_empty(F.col("value_b"))
-    artefact = lambda c: F.coalesce(F.col(c).rlike("�|Ã|&amp;|\\\\u[0-9a-f]{4}"), F.lit(False))
-    same = norm_cell(F.col("value_a")) == norm_cell(F.col("value_b"))
+    """Counts of how two sides differ: blanks and artefacts of each side, real disagreements, format variants, mean length and shared words.
+
+    A blank is an empty cell, a placeholder or an asserted absence.
+    """
+    blank = lambda c: is_empty(F.col(c)) | (norm_cell(F.col(c)) == "") | (null_class(F.col(c)) != "POPULATED")
+    mark = lambda c: F.coalesce(F.col(c).rlike(ARTEFACT), F.lit(False))
+    length = lambda c: F.length(F.coalesce(F.col(c), F.lit("")))
+    facts = conflicts.withColumns({"blank_a": blank("value_a"), "blank_b": blank("value_b"), "mark_a": mark("value_a"), "mark_b": mark("value_b")})
+    facts = facts.withColumns({"real": F.col("blank_a") == F.col("blank_b"), "same": norm_cell(F.col("value_a")) == norm_cell(F.col("value_b")), "j": jaccard(tokens(F.col("value_a")), tokens(F.col("value_b")))})
     count = lambda c: F.sum(c.cast("long"))
-    return conflicts.groupBy(*by).agg(
+    return facts.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
-        count(a_blank & ~b_blank).alias("a_blank"),
-        count(~a_blank & b_blank).alias("b_blank"),
-        count(artefact("value_a") & ~artefact("value_b")).alias("a_artefacts"),
-        count(~artefact("value_a") & artefact("value_b")).alias("b_artefacts"),
-        count(~a_blank & ~b_blank & ~same).alias("both_real"),
-        count(~a_blank & ~b_blank & same).alias("format_variants"),
-        F.round(F.avg((F.length(F.coalesce("value_a", F.lit(""))) + F.length(F.coalesce("value_b", F.lit("")))) / 2), 4).alias("mean_length"),
+        F.count_distinct("key").alias("keys"),
+        count(F.col("blank_a") & ~F.col("blank_b")).alias("a_blank"),
+        count(~F.col("blank_a") & F.col("blank_b")).alias("b_blank"),
+        count(F.col("real") & F.col("mark_a") & ~F.col("mark_b")).alias("a_artefacts"),
+        count(F.col("real") & ~F.col("mark_a") & F.col("mark_b")).alias("b_artefacts"),
+        count(F.col("real")).alias("both_real"),
+        count(F.col("same")).alias("format_variants"),
+        F.round(F.avg(F.floor((length("value_a") + length("value_b")) / 2)), 4).alias("mean_length"),
+        F.round(F.avg("j"), 4).alias("mean_token_jaccard"),
     )
 
 
-def homonyms(shapes: DataFrame, keys: Column) -> DataFrame:
-    """Columns of one name and two meanings: nearly all keys disagree, really and at length, with no format variant."""
-    return shapes.where((F.col("n") >= 0.95 * keys) & (F.col("both_real") >= 0.95 * F.col("n")) & (F.col("format_variants") == 0) & (F.col("mean_length") >= 40))
+def homonyms(shapes: DataFrame, matched: Column) -> DataFrame:
+    """Columns of one name and two meanings: nearly all matched keys disagree, really, at length, in other words, with no format variant."""
+    every = (F.col("keys") >= 0.95 * matched) & (F.col("both_real") >= 0.95 * F.col("n"))
+    return shapes.where(every & (F.col("format_variants") == 0) & (F.col("mean_length") >= 40) & (F.col("mean_token_jaccard") < 0.20))
+
 
+def discriminators(shapes: DataFrame, matched: Column, column: str = "column") -> DataFrame:
+    """Columns that hold an entity and disagree on nearly every matched key: the sides are different entities over one key."""
+    return shapes.where((matched > 0) & (entity_kind(norm_header(F.col(column))) != "") & (F.col("keys") >= 0.99 * matched))
 
-def pair_verdict(row_jaccard: Column, schema: Column, key_overlap: Column, conflicts: Column, direction: Column) -> Column:
-    """Verdict on a pair of datasets, first rule first. A key overlap of null means that no key is known."""
-    rules = [
-        (row_jaccard == 1.0, F.lit("EXACT_DUPLICATE")),
-        ((row_jaccard >= 0.95) & schema.isin("IDENTICAL", "SUBSET"), F.lit("NEAR_DUPLICATE")),
-        (direction.startswith("ENRICHMENT") & (key_overlap >= 0.8), F.lit("ENRICHED_VERSION")),
-        (direction.startswith("REPAIR") & (key_overlap >= 0.8), F.lit("REPAIRED_VERSION")),
-        ((key_overlap >= 0.8) & (conflicts > 0), F.lit("CONFLICTING_VERSION")),
-        ((key_overlap >= 0.8), F.lit("SAME_ENTITIES")),
-        ((key_overlap > 0), F.lit("PARTIAL_OVERLAP")),
-        (schema.isin("IDENTICAL", "SUBSTANTIAL", "SUBSET"), F.lit("SAME_SCHEMA")),
-        (schema == "OVERLAP", F.lit("RELATED")),
+
+def same_attributes(verdict: Column, column_jaccard: Column, common: Column, columns_a: Column, columns_b: Column) -> Column:
+    """Whether two datasets describe their subjects by the same attributes."""
+    alike = verdict.isin("IDENTICAL", "SUBSTANTIAL", "SUBSET") | (column_jaccard >= 0.60) | (common >= 0.60 * F.least(columns_a, columns_b))
+    return (columns_a > 0) & (columns_b > 0) & alike
+
+
+def pair_verdict(p: dict[str, Column]) -> Column:
+    """Struct (decision, level, canonical, merged, archived, review) of a pair of datasets; the strictest evidence first.
+
+    ``p`` holds: same_bytes, same_rows, same_attributes, discriminators (how many), conflicts, newer (A, B
+    or empty), common_keys (-1 where no key is known), only_a, only_b, key_jaccard, entity_jaccard,
+    identity, rows_a, rows_b.
+    """
+    full = (p["key_jaccard"] >= 0.95) & (p["only_a"] == 0) & (p["only_b"] == 0)
+    linked, alike, clash = p["common_keys"] > 0, p["same_attributes"], p["conflicts"] > 0
+    all_keys = p["common_keys"] + p["only_a"] + p["only_b"]
+    none = F.lit(0)
+
+    def out(decision: str | Column, level: int, canonical: str | Column, merged: Column = none, archived: Column = none, review: Column | bool = False) -> Column:
+        of = lambda x: x if isinstance(x, Column) else F.lit(x)
+        return F.struct(of(decision).alias("decision"), F.lit(level).alias("level"), of(canonical).alias("canonical"), merged.cast("long").alias("merged"), archived.cast("long").alias("archived"), of(review).alias("review"))
+
+    rekey = F.when((p["entity_jaccard"] >= 0.60) & alike, "LIKELY_DUPLICATE").otherwise("COMPLEMENTARY")
+    cascade = [
+        (p["same_bytes"], out("EXACT_DUPLICATE", 1, "A", archived=p["rows_b"])),
+        (p["same_rows"], out("IDENTICAL_CONTENT", 2, "A", archived=p["rows_b"])),
+        (full & (p["discriminators"] > 0), out("DIFFERENT_ENTITY", 3, "BOTH_KEEP_SEPARATE", 2 * p["common_keys"], review=True)),
+        (full & alike & clash & (p["newer"] != ""), out(F.when(p["newer"] == "B", "VERSION_NEWER").otherwise("VERSION_OLDER"), 4, p["newer"])),
+        (full & alike & clash, out("CONFLICTING", 4, "BOTH_PRESERVE_CONFLICTS", review=True)),
+        (full & alike, out("LIKELY_DUPLICATE", 4, "A", p["common_keys"], review=True)),
+        (full, out("COMPLEMENTARY", 4, "MERGE_UNION", p["common_keys"], review=True)),
+        (linked & alike & (p["key_jaccard"] >= 0.30), out("DUPLICATE_WITH_UNIQUE_DATA", 4, "MERGE_UNION", all_keys, review=clash)),
+        (linked, out("COMPLEMENTARY", 4, "MERGE_UNION", all_keys, review=~alike | clash)),
+        (p["identity"] == "SAME_ENTITIES_DIFFERENT_KEY_NAMESPACE", out(rekey, 4, "MERGE_AFTER_REKEY", p["rows_a"] + p["rows_b"], review=True)),
+        ((p["entity_jaccard"] < 0.05) & ~linked, out("DIFFERENT_ENTITY", 3, "BOTH_KEEP_SEPARATE")),
     ]
-    return reduce(lambda w, r: w.when(F.coalesce(r[0], F.lit(False)), r[1]), rules, F.when(F.lit(False), F.lit(""))).otherwise(F.lit("UNRELATED"))
+    return F.coalesce(*[F.when(holds, verdict) for holds, verdict in cascade], out("REQUIRES_REVIEW", 4, "UNDECIDED_REVIEW_REQUIRED", review=True))

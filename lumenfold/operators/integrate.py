@@ -76,30 +76,6 @@ def merge_field(contributions: DataFrame, by: list[str], order: list[str], polic
     return distinct.groupBy(*by).agg(merged.alias("value"), n.alias("distinct_values"), F.sum("n").alias("contributions"), lost.cast("long").alias("conflicts"))
 
 
-# What each conflict rule leads to.
-CONFLICT_POLICY = [
-    ("SAME_VALUE", "RESOLVED", 1.0, "values agree"),
-    ("ONE_NULL", "RESOLVED", 0.95, "one side is empty"),
-    ("PLACEHOLDER_VS_VALUE", "RESOLVED", 0.9, "one side is a placeholder"),
-    ("SUBSTRING", "RESOLVED", 0.8, "one value holds the other"),
-    ("DATE_CONFLICT", "UNRESOLVED", 0.5, "dates differ"),
-    ("NUMERIC_CONFLICT", "UNRESOLVED", 0.5, "numbers differ"),
-    ("TEXT_CONFLICT", "UNRESOLVED", 0.4, "texts differ"),
-]
-
-
-def with_policy(conflicts: DataFrame, rule: str = "rule", policy: list[tuple] = CONFLICT_POLICY) -> DataFrame:
-    table = conflicts.sparkSession.createDataFrame(policy, "rule string, status string, confidence double, reason string")
-    # the policy has a row a rule
-    return conflicts.join(F.broadcast(table.withColumnRenamed("rule", "__rule")), F.col(rule) == F.col("__rule"), "left").drop("__rule")
-
-
-def conflict_winner(rule: Column, a: Column, b: Column) -> Column:
-    """The chosen value: the longer of the same or contained, the filled side, else none."""
-    longer = F.when(F.length(b) > F.length(a), b).otherwise(a)
-    return F.when(rule.isin("SAME_VALUE", "SUBSTRING"), longer).when(rule.isin("ONE_NULL", "PLACEHOLDER_VS_VALUE"), F.when(is_empty(a) | (F.length(b) > F.length(a)), b).otherwise(a))
-
-
 def explode_edges(df: DataFrame, source: str, members: Column) -> DataFrame:
     """(source_id, member): one edge for each different member of a list column."""
     each = df.select(F.col(source).alias("source_id"), F.explode(F.array_distinct(members)).alias("member"))

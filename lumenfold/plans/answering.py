@@ -8,25 +8,25 @@ from lumenfold.functions.text import detect_language
 from lumenfold.operators import answer
 from lumenfold.plans.registry import load, query
 
-QUESTIONS = [
-    ("Compare IS 302 and IS 1489", "COMPARISON", "AGENT"),
-    ("verify licence CML 1234567", "VERIFICATION", "AGENT"),
-    ("I manufacture chairs, what requirements apply", "COMPLIANCE_WORKFLOW", "AGENT"),
-    ("which laboratory in Delhi", "LAB_LOOKUP", "SIMPLE"),
-    ("tests for IS 302", "TEST_LOOKUP", "SIMPLE"),
-    ("QCO 12 details", "ORDER_LOOKUP", "SIMPLE"),
-    ("what is scheme ii", "SCHEME_LOOKUP", "SIMPLE"),
-    ("IS 302", "SIMPLE_LOOKUP", "SIMPLE"),
-    ("which standard for helmets", "STANDARD_DISCOVERY", "AGENT"),
-    ("office chair", "PRODUCT_DISCOVERY", "SIMPLE"),
-    ("is it ok", "GENERAL", "SIMPLE"),
-]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{q}', '{t}', '{m}')" for q, t, m in QUESTIONS) + ") t(text, task, mode)")
+#: A question of each kind about a part, by the part's number.
+_ASKED = """SELECT p_partkey AS id, CASE p_partkey % 16 WHEN 0 THEN 'Compare IS ' || (100 + p_size) || ' and IS ' || (300 + p_size) WHEN 1 THEN 'please verify licence ' || p_partkey WHEN 2 THEN 'I manufacture ' || p_name || ', what compliance applies' WHEN 3 THEN 'what labs handle ' || p_name
+ WHEN 4 THEN 'tests for IS ' || (100 + p_size) WHEN 5 THEN 'QCO ' || p_size || ' details' WHEN 6 THEN 'what is scheme ii' WHEN 7 THEN 'IS ' || (100 + p_size) WHEN 8 THEN 'which standard for ' || p_name WHEN 9 THEN p_name WHEN 10 THEN 'is it ok' WHEN 11 THEN 'compare IS ' || (100 + p_size) || ' chair'
+ WHEN 12 THEN 'IS ' || (100 + p_size) || ' chair document' WHEN 13 THEN 'IS ' || (100 + p_size) || ' chair certification' WHEN 14 THEN 'all bis pathway' ELSE 'manufactur and testing ' || p_name END AS text FROM part"""
+
+
+@query(f"""SELECT id, CASE id % 16 WHEN 0 THEN 'COMPARISON' WHEN 1 THEN 'VERIFICATION' WHEN 2 THEN 'COMPLIANCE_WORKFLOW' WHEN 3 THEN 'LAB_LOOKUP' WHEN 4 THEN 'TEST_LOOKUP' WHEN 5 THEN 'QCO_LOOKUP' WHEN 6 THEN 'SCHEME_LOOKUP' WHEN 7 THEN 'SIMPLE_LOOKUP' WHEN 8 THEN 'STANDARD_DISCOVERY'
+ WHEN 9 THEN 'PRODUCT_DISCOVERY' WHEN 10 THEN 'GENERAL_BIS' WHEN 11 THEN 'COMPARISON' WHEN 12 THEN 'DOCUMENT_RESEARCH' WHEN 13 THEN 'CERTIFICATION_GUIDANCE' ELSE 'COMPLIANCE_WORKFLOW' END AS task,
+ CASE WHEN id % 16 IN (0, 1, 2, 8, 11, 12, 13, 14, 15) THEN 'AGENT' ELSE 'SIMPLE' END AS mode FROM ({_ASKED})""")
 def question_intents(spark, sf_dir):
-    rows = spark.createDataFrame([(q[0],) for q in QUESTIONS], "text string")
-    return answer.classify_task(answer.extract_entities(rows)).select("text", "task", "mode")
+    k, size, name = F.col("p_partkey"), F.col("p_size"), F.col("p_name")
+    number = F.concat(F.lit("IS "), (100 + size).cast("string"))
+    text = [
+        F.concat(F.lit("Compare "), number, F.lit(" and IS "), (300 + size).cast("string")), F.concat(F.lit("please verify licence "), k.cast("string")), F.concat(F.lit("I manufacture "), name, F.lit(", what compliance applies")), F.concat(F.lit("what labs handle "), name),
+        F.concat(F.lit("tests for "), number), F.concat(F.lit("QCO "), size.cast("string"), F.lit(" details")), F.lit("what is scheme ii"), number, F.concat(F.lit("which standard for "), name), name, F.lit("is it ok"), F.concat(F.lit("compare "), number, F.lit(" chair")),
+        F.concat(number, F.lit(" chair document")), F.concat(number, F.lit(" chair certification")), F.lit("all bis pathway"), F.concat(F.lit("manufactur and testing "), name),
+    ]
+    asked = load(spark, sf_dir, "part").select(k.alias("id"), F.element_at(F.array(*text), (k % 16 + 1).cast("int")).alias("text"))
+    return answer.classify_task(answer.extract_entities(asked)).select("id", "task", "mode")
 
 
 @query(r"""SELECT role, count(*) AS n, count(*) FILTER (regexp_matches(lower(text), 'test')) AS wants_tests, count(*) FILTER (contains(lower(text), 'lab')) AS wants_labs, count(*) FILTER (regexp_matches(text, '[\x{0900}-\x{097F}]')) AS hindi FROM conversations GROUP BY role""")
@@ -36,10 +36,10 @@ def conversation_entities(spark, sf_dir):
     return turns.groupBy("role").agg(F.count(F.lit(1)).alias("n"), count(F.col("wants_tests")).alias("wants_tests"), count(F.col("wants_labs")).alias("wants_labs"), count(detect_language(F.col("text")) == "hi").alias("hindi"))
 
 
-@query("""WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN left(text, 12) END AS topic FROM conversations)
+@query("""WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN md5(text) END AS topic FROM conversations)
 SELECT conv_id, turn, topic, last_value(topic IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS known_topic FROM t""")
 def conversation_fold(spark, sf_dir):
-    turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, F.substring("text", 1, 12)).alias("topic"))
+    turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, F.md5("text")).alias("topic"))
     return answer.fold_memory(turns, "conv_id", "turn", ["topic"])
 
 

@@ -38,41 +38,64 @@ def classify_pages(spark, sf_dir):
     return audit.classify_text(load(spark, sf_dir, "pages"), "html").select("page_id", "category", "category_score", "confidence")
 
 
-REQUIREMENTS = [
-    ("REQ-001", "calibration of the instrument", "CALIBRATION", "calibration certificate"),
-    ("REQ-002", "test report for strength", "TESTING", "test report with result"),
-    ("REQ-003", "factory licence", "FACTORY", "factory address"),
-    ("REQ-004", "test of conformity", "TESTING", "result"),
-    ("REQ-005", "manual of quality", "MANUAL", "quality manual"),
-]
-EVIDENCE = [
-    ("EV-1", "CALIBRATION_CERTIFICATE", "certificate_number", "CC-12", "Certificate no CC-12 calibration"),
-    ("EV-2", "CALIBRATION_CERTIFICATE", "validity_date", "01/03/2024", "calibration valid until 01/03/2024"),
-    ("EV-3", "TEST_REPORT", "result", "pass", "strength test result pass"),
-    ("EV-4", "TEST_REPORT", "result", "fail", "strength test result fail"),
-    ("EV-5", "FACTORY_DOCUMENT", "address", "1 Main Road", "factory address 1 Main Road"),
-]
-SUPPORTS = [("REQ-001", "EV-1", 1.0), ("REQ-001", "EV-2", 0.8), ("REQ-002", "EV-3", 1.0), ("REQ-002", "EV-4", 1.0), ("REQ-003", "EV-5", 1.0), ("REQ-004", "EV-3", 1.0), ("REQ-004", "EV-4", 1.0), ("REQ-005", "EV-5", 0.15)]
-
-
-def _audit(spark):
-    r = spark.createDataFrame(REQUIREMENTS, "requirement_id string, requirement string, type string, evidence_expected string")
-    e = spark.createDataFrame(EVIDENCE, "evidence_id string, category string, field string, value string, text string")
+_TYPES = ["CALIBRATION", "TESTING", "FACTORY", "LAB", "MANUAL", "QCO", "SCHEME"]
+_ASKS = ["calibration of the instrument", "test report for strength", "factory licence and address", "result of a laboratory", "manual of quality", "order on widgets", "scheme of marking"]
+_CATEGORIES = ["CALIBRATION_CERTIFICATE", "TEST_REPORT", "FACTORY_DOCUMENT", "QC_DOCUMENT", "PROCESS_DOCUMENT", "MACHINERY_DOCUMENT", "RAW_MATERIAL_DOCUMENT", "OTHER"]
+_FIELDS = ["certificate_number", "validity_date", "result", "address", "test_date", "strength", "quality_standard", "product_model", "capacity"]
+
+
+def _list(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+_STOPS = "('must','shall','be','the','a','an','and','or','of','for','to','with','in','on','at','as','per','is','are','records','record','document','documents','performed','hold','valid')"
+_WORDS = f"list_distinct(list_filter(regexp_extract_all(lower({{c}}), '[a-z]{{{{3,}}}}'), lambda t: t NOT IN {_STOPS}))"
+#: Requirements from nations and evidence from parts, by rules that the SQL restates from their text.
+_SUPPORT = f"""WITH r AS (SELECT 'REQ-' || n_nationkey AS requirement_id, ({_list(_ASKS)})[n_nationkey % 7 + 1] AS requirement, ({_list(_TYPES)})[n_nationkey % 7 + 1] AS type, 'certificate ' || lower(n_name) AS expected FROM nation),
+e AS (SELECT 'EV-' || p_partkey AS evidence_id, ({_list(_CATEGORIES)})[p_partkey % 8 + 1] AS category, ({_list(_FIELDS)})[p_partkey % 9 + 1] AS field, CASE p_partkey % 9 WHEN 1 THEN (2021 + p_partkey % 10) || '-01-05' WHEN 2 THEN (CASE WHEN p_partkey % 5 = 0 THEN 'fail' ELSE 'pass' END) WHEN 4 THEN '2024-03-0' || (1 + p_partkey % 2) ELSE p_name END AS value, p_name || ' certificate' AS text FROM part),
+t AS (SELECT *, {_WORDS.format(c='requirement')} AS rt, {_WORDS.format(c='expected')} AS xt, CASE type WHEN 'CALIBRATION' THEN ['CALIBRATION_CERTIFICATE'] WHEN 'TESTING' THEN ['TEST_REPORT', 'QC_DOCUMENT'] WHEN 'LAB' THEN ['TEST_REPORT'] WHEN 'FACTORY' THEN ['FACTORY_DOCUMENT', 'MACHINERY_DOCUMENT', 'PROCESS_DOCUMENT'] WHEN 'SCHEME' THEN ['FACTORY_DOCUMENT', 'QC_DOCUMENT', 'OTHER', 'TEST_REPORT'] WHEN 'QCO' THEN ['FACTORY_DOCUMENT', 'TEST_REPORT', 'OTHER'] ELSE ['PROCESS_DOCUMENT', 'QC_DOCUMENT', 'FACTORY_DOCUMENT', 'OTHER'] END AS allowed,
+ CASE type WHEN 'CALIBRATION' THEN ['instrument_id', 'certificate_number', 'calibration_date', 'validity_date', 'laboratory_name'] WHEN 'TESTING' THEN ['test_name', 'test_date', 'result', 'product_model', 'laboratory_name'] WHEN 'FACTORY' THEN ['factory_name', 'address', 'capacity', 'machinery', 'gst_number'] ELSE [] END AS hints FROM r),
+f AS (SELECT *, {_WORDS.format(c="replace(field, '_', ' ')")} AS ft, {_WORDS.format(c='text')} AS et FROM e),
+s AS (SELECT requirement_id, type, evidence_id, field, value, round(least((CASE WHEN list_contains(hints, field) THEN 0.4 ELSE 0 END) + (CASE WHEN list_has_any(list_concat(xt, rt), et) THEN 0.25 ELSE 0 END) + (CASE WHEN list_has_any(list_concat(xt, rt), ft) THEN 0.2 ELSE 0 END) + (CASE WHEN length(trim(value)) >= 2 THEN 0.15 ELSE 0 END) + (CASE WHEN field = 'result' AND value = 'pass' THEN 0.25 ELSE 0 END), 1.0), 4)::DOUBLE AS support
+ FROM t JOIN f ON list_contains(allowed, category) OR category = 'OTHER' OR list_has_any(rt, ft))"""
+
+
+def _audit(spark, sf_dir):
+    pick = lambda words, k: F.element_at(F.array(*map(F.lit, words)), (k % len(words) + 1).cast("int"))
+    n, k = F.col("n_nationkey"), F.col("p_partkey")
+    r = load(spark, sf_dir, "nation").select(F.concat(F.lit("REQ-"), n.cast("string")).alias("requirement_id"), pick(_ASKS, n).alias("requirement"), pick(_TYPES, n).alias("type"), F.concat(F.lit("certificate "), F.lower("n_name")).alias("evidence_expected"))
+    value = F.when(k % 9 == 1, F.concat((2021 + k % 10).cast("string"), F.lit("-01-05"))).when(k % 9 == 2, F.when(k % 5 == 0, "fail").otherwise("pass")).when(k % 9 == 4, F.concat(F.lit("2024-03-0"), (1 + k % 2).cast("string"))).otherwise(F.col("p_name"))
+    e = load(spark, sf_dir, "part").select(F.concat(F.lit("EV-"), k.cast("string")).alias("evidence_id"), pick(_CATEGORIES, k).alias("category"), pick(_FIELDS, k).alias("field"), value.alias("value"), F.concat("p_name", F.lit(" certificate")).alias("text"))
     return r, audit.match_requirements(r, e)
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{r}', '{e}', {s}::DOUBLE)" for r, e, s in SUPPORTS) + ") t(requirement_id, evidence_id, support)")
+@query(f"{_SUPPORT} SELECT requirement_id, evidence_id, support FROM s")
 def support_score(spark, sf_dir):
-    return _audit(spark)[1].select("requirement_id", "evidence_id", "support")
+    return _audit(spark, sf_dir)[1].select("requirement_id", "evidence_id", "support")
 
 
-DECISIONS = [("REQ-001", "GAP", "EXPIRED"), ("REQ-002", "UNKNOWN", "CONFLICT"), ("REQ-003", "PASS", "SUPPORTED"), ("REQ-004", "UNKNOWN", "CONFLICT"), ("REQ-005", "UNKNOWN", "AMBIGUOUS")]
+_DECIDED = f"""{_SUPPORT}, m AS (SELECT *, row_number() OVER (PARTITION BY requirement_id, field ORDER BY support DESC, evidence_id) AS nth FROM s WHERE support >= 0.5),
+c AS (SELECT requirement_id, field, max(lower(trim(value))) FILTER (nth = 1) AS v1, max(lower(trim(value))) FILTER (nth = 2) AS v2 FROM m WHERE field IN ('validity_date', 'calibration_date', 'result', 'test_date') AND nth <= 2 GROUP BY 1, 2),
+k AS (SELECT DISTINCT requirement_id FROM c WHERE (regexp_replace(v1, '[^0-9]', '', 'g') <> '' AND regexp_replace(v2, '[^0-9]', '', 'g') <> '' AND regexp_replace(v1, '[^0-9]', '', 'g') <> regexp_replace(v2, '[^0-9]', '', 'g')) OR (field = 'result' AND v1 <> v2)),
+b AS (SELECT *, row_number() OVER (PARTITION BY requirement_id ORDER BY support DESC, evidence_id) AS first FROM m),
+d AS (SELECT requirement_id, count(*) AS n_matched, bool_or(type = 'CALIBRATION' AND field = 'validity_date' AND value < '2026-01-01') AS late, bool_or(first = 1 AND length(trim(value)) > 0 AND ((type = 'CALIBRATION' AND field IN ('instrument_id', 'certificate_number', 'calibration_date', 'validity_date')) OR (type IN ('TESTING', 'LAB') AND field IN ('test_name', 'result', 'test_date', 'laboratory_name', 'product_model'))
+  OR length(trim(value)) >= (CASE WHEN type IN ('FACTORY', 'QCO', 'SCHEME', 'MANUAL') THEN 3 ELSE 2 END))) AS enough FROM b GROUP BY 1),
+o AS (SELECT r.requirement_id, r.type, CASE WHEN r.requirement_id NOT IN (SELECT requirement_id FROM s) THEN 'NO_EVIDENCE' WHEN r.requirement_id IN (SELECT requirement_id FROM k) THEN 'CONFLICT' WHEN coalesce(late, false) THEN 'EXPIRED' WHEN coalesce(enough, false) THEN 'SUPPORTED' WHEN n_matched > 0 THEN 'THIN' ELSE 'AMBIGUOUS' END AS reason_code FROM r LEFT JOIN d ON d.requirement_id = r.requirement_id),
+z AS (SELECT *, CASE WHEN reason_code IN ('NO_EVIDENCE', 'EXPIRED') THEN 'GAP' WHEN reason_code = 'SUPPORTED' THEN 'PASS' ELSE 'UNKNOWN' END AS decision FROM o)"""
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{r}', '{d}', '{c}')" for r, d, c in DECISIONS) + ") t(requirement_id, decision, reason_code)")
+def _decided(spark, sf_dir):
+    return audit.decide(*_audit(spark, sf_dir), "2026-01-01")
+
+
+@query(f"{_DECIDED} SELECT requirement_id, decision, reason_code FROM z")
 def decide(spark, sf_dir):
-    r, candidates = _audit(spark)
-    return audit.decide(r, candidates, "2026-01-01").select("requirement_id", "decision", "reason_code")
+    return _decided(spark, sf_dir).select("requirement_id", "decision", "reason_code")
+
+
+@query(f"{_DECIDED} SELECT requirement_id, decision FROM z WHERE decision = 'GAP' ORDER BY list_position(['CALIBRATION', 'TESTING', 'QCO', 'SCHEME', 'FACTORY', 'LAB', 'MANUAL'], type), requirement_id LIMIT 8")
+def critical_gaps(spark, sf_dir):
+    return audit.critical_gaps(_decided(spark, sf_dir)).select("requirement_id", "decision")
 
 
 @query("""WITH d AS (SELECT CASE quality WHEN 1 THEN 'PASS' WHEN 0 THEN 'GAP' ELSE 'UNKNOWN' END AS d FROM labels)
@@ -82,13 +105,13 @@ def readiness_score(spark, sf_dir):
     return audit.readiness(labels.select(F.when(F.col("quality") == 1, "PASS").when(F.col("quality") == 0, "GAP").otherwise("UNKNOWN").alias("decision")))
 
 
-@query("SELECT * FROM (VALUES ('REQ-001', 'GAP', 'Get the instrument recalibrated and upload the new certificate.'), ('REQ-002', 'UNKNOWN', 'Resolve the conflicting values, then upload the corrected document.'), ('REQ-004', 'UNKNOWN', 'Resolve the conflicting values, then upload the corrected document.'), ('REQ-005', 'UNKNOWN', 'Upload clearer evidence with the details needed to verify it.')) t(requirement_id, decision, recommendation)")
+@query(f"""{_DECIDED} SELECT requirement_id, decision, CASE WHEN reason_code = 'CONFLICT' THEN 'Resolve the conflicting values, then upload the corrected document.' WHEN reason_code = 'EXPIRED' THEN 'Get the instrument recalibrated and upload the new certificate.'
+ WHEN reason_code = 'NO_EVIDENCE' AND type = 'CALIBRATION' THEN 'Upload a valid calibration certificate with instrument, calibration date and validity date.' WHEN reason_code = 'NO_EVIDENCE' AND type = 'TESTING' THEN 'Upload a test report with test name, date and result.' WHEN reason_code = 'NO_EVIDENCE' AND type = 'FACTORY' THEN 'Upload a document of the premises: licence, layout plan or capacity statement.'
+ WHEN reason_code = 'NO_EVIDENCE' THEN 'Upload a document that addresses this requirement.' ELSE 'Upload clearer evidence with the details needed to verify it.' END AS recommendation FROM z WHERE decision <> 'PASS'""")
 def remediation(spark, sf_dir):
-    r, candidates = _audit(spark)
-    return audit.remediation(audit.decide(r, candidates, "2026-01-01"))
+    return audit.remediation(_decided(spark, sf_dir))
 
 
-@query()
+@query(f"""{_DECIDED} SELECT '# Audit' || chr(10) || chr(10) || 'Readiness: ' || CAST(round_even(100 * count(*) FILTER (decision = 'PASS') / count(*), 0) AS INTEGER) || '%' || chr(10) || chr(10) || '## Decisions' || chr(10) || string_agg('- ' || requirement_id || ' (' || type || '): ' || decision || ', ' || reason_code, chr(10) ORDER BY requirement_id) AS report FROM z""")
 def audit_report(spark, sf_dir):
-    r, candidates = _audit(spark)
-    return audit.markdown_report(audit.decide(r, candidates, "2026-01-01"), "Audit")
+    return audit.markdown_report(_decided(spark, sf_dir), "Audit")

@@ -61,40 +61,16 @@ _STEM = "CASE WHEN length(t) > 4 AND t LIKE '%ies' THEN left(t, length(t) - 3) |
 _TOK = f"list_distinct(list_transform(list_filter(regexp_split_to_array(lower({{c}}), '[^0-9a-z]+'), lambda t: t <> '' AND t NOT IN {_STOP}), lambda t: {_STEM}))"
 
 
-@query(f"""WITH n AS (SELECT p_partkey AS id, p_name AS x, {_TOK.format(c='p_name')} AS tx FROM part), p AS (SELECT a.id AS id_a, b.id AS id_b, a.x AS x, b.x AS y, len(list_intersect(a.tx, b.tx)) AS i, len(list_distinct(list_concat(a.tx, b.tx))) AS u, len(a.tx) AS na, len(b.tx) AS nb FROM n a JOIN n b ON b.id = a.id + 1)
-SELECT id_a, id_b, CASE WHEN x = y THEN 'EXACT_DUPLICATE' WHEN na = 0 OR nb = 0 THEN 'DIFFERENT_ENTITY' WHEN i = na AND i = nb THEN 'LIKELY_DUPLICATE' WHEN i / u >= 0.6 OR i = na OR i = nb THEN 'LIKELY_DUPLICATE' WHEN i / u >= 0.34 THEN 'RELATED_RECORD' ELSE 'DIFFERENT_ENTITY' END AS cls,
- CASE WHEN x = y THEN 1.0 WHEN na = 0 OR nb = 0 THEN 0.0 WHEN i = na AND i = nb THEN 0.99 ELSE round(i / u, 4) END AS score, round(CASE WHEN u = 0 THEN 0 ELSE i / u END, 4) AS token_jaccard FROM p""")
+@query(f"""WITH n AS (SELECT min(p_partkey) AS id, p_name AS x, {_TOK.format(c='p_name')} AS tx FROM part WHERE p_name IS NOT NULL GROUP BY p_name),
+p AS (SELECT a.id AS id_a, b.id AS id_b, a.x AS x, b.x AS y, a.tx AS ta, b.tx AS tb FROM n a JOIN n b ON a.id < b.id UNION ALL SELECT n.id, p_partkey, x, x, tx, tx FROM n JOIN part ON p_name = x AND p_partkey <> n.id),
+c AS (SELECT *, len(list_intersect(ta, tb)) AS i, len(list_distinct(list_concat(ta, tb))) AS u, len(ta) AS na, len(tb) AS nb FROM p),
+r AS (SELECT id_a, id_b, CASE WHEN x = y THEN 'EXACT_DUPLICATE' WHEN na = 0 OR nb = 0 THEN 'DIFFERENT_ENTITY' WHEN i = na AND i = nb THEN 'LIKELY_DUPLICATE' WHEN i / u >= 0.6 OR i = na OR i = nb THEN 'LIKELY_DUPLICATE' WHEN i / u >= 0.34 THEN 'RELATED_RECORD' ELSE 'DIFFERENT_ENTITY' END AS cls,
+ CASE WHEN x = y THEN 1.0 WHEN na = 0 OR nb = 0 THEN 0.0 WHEN i = na AND i = nb THEN 0.99 ELSE round(i / u, 4) END AS score, round(CASE WHEN u = 0 THEN 0 ELSE i / u END, 4) AS token_jaccard FROM c)
+SELECT * FROM r WHERE cls <> 'DIFFERENT_ENTITY'""")
 def name_similarity(spark, sf_dir):
     return compare.similar_names(load(spark, sf_dir, "part"), "p_partkey", "p_name")
 
 
-@query("""WITH c AS (SELECT o_orderkey % 50 AS pair, o_totalprice FROM orders), s AS (SELECT pair, count(*) FILTER (o_totalprice > 400000) AS a, count(*) FILTER (o_totalprice < 20000) AS b FROM c GROUP BY pair)
-SELECT pair, a AS blank_a, b AS blank_b, CASE WHEN a + b > 0 AND a >= 0.7 * (a + b) THEN 'ENRICHMENT_A_TO_B' WHEN a + b > 0 AND b >= 0.7 * (a + b) THEN 'ENRICHMENT_B_TO_A' ELSE 'INCONCLUSIVE' END AS direction FROM s""")
-def version_direction(spark, sf_dir):
-    orders = load(spark, sf_dir, "orders").select((F.col("o_orderkey") % 50).alias("pair"), "o_totalprice")
-    s = orders.groupBy("pair").agg(F.count(F.when(F.col("o_totalprice") > 400000, 1)).alias("blank_a"), F.count(F.when(F.col("o_totalprice") < 20000, 1)).alias("blank_b"))
-    return s.withColumn("direction", compare.version_direction(F.col("blank_a"), F.col("blank_b"), F.lit(0), F.lit(0)))
-
-
-@query("""WITH b AS (SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN upper(s_name) || ' ' WHEN s_suppkey % 5 = 0 THEN s_name || ' Ltd' ELSE s_name END AS y FROM supplier),
-u AS (SELECT s_name AS x, y FROM supplier JOIN b USING (s_suppkey) WHERE s_name <> y)
-SELECT 's_name' AS "column", count(*) AS n, 0::BIGINT AS a_blank, 0::BIGINT AS b_blank, 0::BIGINT AS a_artefacts, 0::BIGINT AS b_artefacts, count(*) FILTER (lower(trim(x)) <> lower(trim(y))) AS both_real, count(*) FILTER (lower(trim(x)) = lower(trim(y))) AS format_variants, round(avg((length(x) + length(y)) / 2), 4) AS mean_length FROM u""")
-def conflict_shape(spark, sf_dir):
-    a = load(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
-    found = compare.record_conflicts(a, _changed_suppliers(a), "s_suppkey", ["s_name"])
-    return compare.conflict_shape(found, ["column"])
-
-
-_VERDICT = [(1.0, "IDENTICAL", 1.0, 0, "INCONCLUSIVE"), (0.97, "SUBSET", 0.9, 2, "INCONCLUSIVE"), (0.5, "OVERLAP", 0.9, 3, "ENRICHMENT_A_TO_B"), (0.5, "OVERLAP", 0.9, 3, "REPAIR_B_TO_A"), (0.5, "OVERLAP", 0.9, 3, "INCONCLUSIVE"), (0.5, "WEAK", 0.9, 0, "INCONCLUSIVE"), (0.1, "WEAK", 0.2, 0, "INCONCLUSIVE"), (0.0, "IDENTICAL", None, 0, "INCONCLUSIVE"), (0.0, "OVERLAP", None, 0, "INCONCLUSIVE"), (0.0, "WEAK", None, 0, "INCONCLUSIVE")]
-_VERDICTS = ["EXACT_DUPLICATE", "NEAR_DUPLICATE", "ENRICHED_VERSION", "REPAIRED_VERSION", "CONFLICTING_VERSION", "SAME_ENTITIES", "PARTIAL_OVERLAP", "SAME_SCHEMA", "RELATED", "UNRELATED"]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{v}')" for i, v in enumerate(_VERDICTS)) + ") t(pair, verdict)")
-def pair_verdicts(spark, sf_dir):
-    rows = spark.createDataFrame([(i, *v) for i, v in enumerate(_VERDICT)], "pair int, j double, s string, k double, c int, d string")
-    return rows.select("pair", compare.pair_verdict(F.col("j"), F.col("s"), F.col("k"), F.col("c"), F.col("d")).alias("verdict"))
-
-
 _REFS = [("lineitem", "l_orderkey", "orders", "o_orderkey"), ("orders", "o_custkey", "customer", "c_custkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"), ("nation", "n_regionkey", "region", "r_regionkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("labels", "doc_id", "documents", "doc_id"), ("documents", "doc_id", "labels", "doc_id")]
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions.text import null_class
 from lumenfold.functions.values import ndate, nstatus, nurl
-from lumenfold.operators import audit, compare, integrate, integrity
+from lumenfold.operators import audit, integrate, integrity
 from lumenfold.plans.registry import load, query
 
 
@@ -41,22 +41,6 @@ def merge_key_identity(spark, sf_dir):
     return integrate.merge_field(_contributions(spark, sf_dir), ["region"], ["at"], "KEY_IDENTITY")
 
 
-_CONFLICT_SQL = """WITH c AS (SELECT p_partkey AS id, p_name AS a, CASE p_partkey % 6 WHEN 0 THEN p_name WHEN 1 THEN NULL WHEN 2 THEN 'n/a' WHEN 3 THEN p_name || ' x' WHEN 4 THEN 'zzz' ELSE CAST(p_size AS VARCHAR) END AS b, CASE WHEN p_partkey % 6 = 5 THEN CAST(p_size + 1 AS VARCHAR) ELSE p_name END AS aa FROM part),
-r AS (SELECT id, aa AS a, b, CASE id % 6 WHEN 0 THEN 'SAME_VALUE' WHEN 1 THEN 'ONE_NULL' WHEN 2 THEN 'PLACEHOLDER_VS_VALUE' WHEN 3 THEN 'SUBSTRING' WHEN 4 THEN 'TEXT_CONFLICT' ELSE 'NUMERIC_CONFLICT' END AS rule FROM c)
-SELECT id, rule, CASE WHEN rule IN ('SAME_VALUE','ONE_NULL','PLACEHOLDER_VS_VALUE','SUBSTRING') THEN 'RESOLVED' ELSE 'UNRESOLVED' END AS status,
- CASE WHEN rule IN ('SAME_VALUE','SUBSTRING') THEN (CASE WHEN length(b) > length(a) THEN b ELSE a END) WHEN rule IN ('ONE_NULL','PLACEHOLDER_VS_VALUE') THEN (CASE WHEN length(b) > length(a) THEN b ELSE a END) END AS winner FROM r"""
-
-
-@query(_CONFLICT_SQL)
-def conflict_policy(spark, sf_dir):
-    k = F.col("p_partkey") % 6
-    b = F.when(k == 0, F.col("p_name")).when(k == 1, F.lit(None)).when(k == 2, "n/a").when(k == 3, F.concat("p_name", F.lit(" x"))).when(k == 4, "zzz").otherwise(F.col("p_size").cast("string"))
-    a = F.when(k == 5, (F.col("p_size") + 1).cast("string")).otherwise(F.col("p_name"))
-    rows = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), a.alias("a"), b.alias("b"))
-    ruled = rows.withColumn("rule", compare.value_conflict_rule(F.col("a"), F.col("b")))
-    return integrate.with_policy(ruled).select("id", "rule", "status", integrate.conflict_winner(F.col("rule"), F.col("a"), F.col("b")).alias("winner"))
-
-
 _EDGES = "SELECT DISTINCT p_partkey AS source_id, unnest(regexp_split_to_array(p_name, ' +')) AS member FROM part"
 
 
@@ -96,21 +80,21 @@ def page_windows(spark, sf_dir):
     return found.select("doc_id", F.col("page").cast("long").alias("page"), F.length("text").alias("chars"), F.md5("text").alias("digest"))
 
 
-_CELLS = ["Steel", "N/A", "none", "", "null", "-", "TBD", "No", "12/03/2026", "2021", "Mar 2024", "https://a.b/c", "see https://a.b/c.", "Withdrawn", "under revision", "published"]
-_EXPECTED = [
-    ("Steel", "POPULATED", "", "OTHER", "LABEL"), ("N/A", "AMBIGUOUS_REQUIRES_REVIEW", "", "UNKNOWN", "EMPTY"), ("none", "ASSERTED_ABSENCE", "", "UNKNOWN", "EMPTY"),
-    ("", "NULL_UNKNOWN", "", "UNKNOWN", "EMPTY"), ("null", "NULL_UNKNOWN", "", "UNKNOWN", "EMPTY"), ("-", "AMBIGUOUS_REQUIRES_REVIEW", "", "UNKNOWN", "EMPTY"),
-    ("TBD", "AMBIGUOUS_REQUIRES_REVIEW", "", "UNKNOWN", "EMPTY"), ("No", "ASSERTED_ABSENCE", "", "UNKNOWN", "EMPTY"), ("12/03/2026", "POPULATED", "2026-03-12", "OTHER", "LABEL"),
-    ("2021", "POPULATED", "2021", "OTHER", "LABEL"), ("Mar 2024", "POPULATED", "2024-03", "OTHER", "LABEL"), ("https://a.b/c", "POPULATED", "", "OTHER", "URL"),
-    ("see https://a.b/c.", "POPULATED", "", "OTHER", "URL_IN_TEXT"), ("Withdrawn", "POPULATED", "", "WITHDRAWN", "LABEL"), ("under revision", "POPULATED", "", "DRAFT", "LABEL"), ("published", "POPULATED", "", "ACTIVE", "LABEL"),
-]
+_CELL = """SELECT o_orderkey AS id, CASE o_orderkey % 12 WHEN 0 THEN 'N/A' WHEN 1 THEN 'None' WHEN 2 THEN NULL WHEN 3 THEN strftime(o_orderdate, '%d/%m/%Y') WHEN 4 THEN strftime(o_orderdate, '%Y') WHEN 5 THEN 'Withdrawn' WHEN 6 THEN o_orderpriority WHEN 7 THEN 'https://a.b/' || o_orderkey
+ WHEN 8 THEN 'see https://a.b/' || o_orderkey || '.' WHEN 9 THEN 'under revision' WHEN 10 THEN 'null' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS c FROM orders"""
 
 
-@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in _EXPECTED) + ") t(cell, null_class, iso, status, url_class)")
+@query(rf"""SELECT id, CASE WHEN coalesce(c, '') IN ('', 'null') THEN 'NULL_UNKNOWN' WHEN c = 'None' THEN 'ASSERTED_ABSENCE' WHEN c = 'N/A' THEN 'AMBIGUOUS_REQUIRES_REVIEW' ELSE 'POPULATED' END AS null_class,
+ CASE WHEN regexp_matches(c, '^\d\d/\d\d/\d\d\d\d$') THEN right(c, 4) || '-' || substr(c, 4, 2) || '-' || left(c, 2) WHEN regexp_matches(c, '^\d\d\d\d(-\d\d-\d\d)?$') THEN c ELSE '' END AS iso,
+ CASE WHEN coalesce(c, '') IN ('', 'null', 'None', 'N/A') THEN 'UNKNOWN' WHEN c = 'Withdrawn' THEN 'WITHDRAWN' WHEN c = 'under revision' THEN 'DRAFT' ELSE 'OTHER' END AS status,
+ CASE WHEN coalesce(c, '') IN ('', 'null', 'None', 'N/A') THEN 'EMPTY' WHEN c LIKE 'https:%' THEN 'URL' WHEN c LIKE 'see https:%' THEN 'URL_IN_TEXT' ELSE 'LABEL' END AS url_class FROM ({_CELL})""")
 def cell_normalisation(spark, sf_dir):
-    rows = spark.createDataFrame([(c,) for c in _CELLS], "cell string")
+    key, day = F.col("o_orderkey"), F.col("o_orderdate")
+    link = F.concat(F.lit("https://a.b/"), key.cast("string"))
+    cells = [F.lit("N/A"), F.lit("None"), F.lit(None).cast("string"), F.date_format(day, "dd/MM/yyyy"), F.date_format(day, "yyyy"), F.lit("Withdrawn"), F.col("o_orderpriority"), link, F.concat(F.lit("see "), link, F.lit(".")), F.lit("under revision"), F.lit("null"), F.date_format(day, "yyyy-MM-dd")]
+    rows = load(spark, sf_dir, "orders").select(key.alias("id"), F.element_at(F.array(*cells), (key % 12 + 1).cast("int")).alias("cell"))
     c = F.col("cell")
-    return rows.select("cell", null_class(c).alias("null_class"), ndate(c).alias("d"), nstatus(c).alias("s"), nurl(c).alias("u")).select("cell", "null_class", F.col("d.iso").alias("iso"), F.col("s.status").alias("status"), F.col("u.cls").alias("url_class"))
+    return rows.select("id", null_class(c).alias("null_class"), ndate(c).alias("d"), nstatus(c).alias("s"), nurl(c).alias("u")).select("id", "null_class", F.col("d.iso").alias("iso"), F.col("s.status").alias("status"), F.col("u.cls").alias("url_class"))
 
 
 @query(r"""SELECT page_id, regexp_extract(url, '(?i)(?:https?://|ftp://)[^\s<>"''\\]+') AS url, CASE WHEN regexp_matches(url, '(?i)(?:https?://|ftp://)') THEN 'URL' ELSE 'LABEL' END AS cls FROM pages""")
@@ -144,13 +128,39 @@ def point_ids(spark, sf_dir):
     return load(spark, sf_dir, "part").select("p_partkey", integrate.point_id(F.col("p_partkey").cast("string")).alias("point_id"))
 
 
-@query("""WITH c AS (SELECT * FROM (VALUES ('F1','P','p_name'), ('F1','P','p_brand'), ('F2','P','p_name'), ('F2','Q','p_size'), ('F3','Q','odd')) t(file_id, entity, col))
-SELECT file_id, entity, col AS "column", CASE WHEN file_id = 'F1' AND col = 'p_name' THEN 'label' WHEN entity = 'P' AND col = 'p_name' THEN 'product_name' WHEN col = 'p_brand' THEN 'brand' WHEN col = 'p_size' THEN 'size' ELSE col END AS target,
- CASE WHEN file_id = 'F1' AND col = 'p_name' THEN 'FILE_OVERRIDE' WHEN entity = 'P' AND col = 'p_name' THEN 'ENTITY_SCOPED' WHEN col IN ('p_brand','p_size') THEN 'COMMON' ELSE 'ATTRIBUTE' END AS tier FROM c""")
+@query("""WITH c AS (SELECT table_name AS file_id, CASE WHEN table_name IN ('part', 'supplier') THEN 'P' ELSE 'Q' END AS entity, column_name AS col FROM duckdb_columns() WHERE table_name IN ('part', 'supplier', 'orders', 'region'))
+SELECT file_id, entity, col AS "column", CASE WHEN file_id = 'part' AND col = 'p_name' THEN 'label' WHEN entity = 'P' AND col IN ('p_name', 's_name') THEN 'entity_name' WHEN col = 'p_brand' THEN 'brand' WHEN col = 'o_orderdate' THEN 'date' ELSE col END AS target,
+ CASE WHEN file_id = 'part' AND col = 'p_name' THEN 'FILE_OVERRIDE' WHEN entity = 'P' AND col IN ('p_name', 's_name') THEN 'ENTITY_SCOPED' WHEN col IN ('p_brand', 'o_orderdate') THEN 'COMMON' ELSE 'ATTRIBUTE' END AS tier FROM c""")
 def column_mapping(spark, sf_dir):
     make = spark.createDataFrame
-    columns = make([("F1", "P", "p_name"), ("F1", "P", "p_brand"), ("F2", "P", "p_name"), ("F2", "Q", "p_size"), ("F3", "Q", "odd")], "file_id string, entity string, column string")
-    overrides = make([("F1", "p_name", "label")], "file_id string, column string, target string")
-    scoped = make([("P", "p_name", "product_name")], "entity string, column string, target string")
-    common = make([("p_brand", "brand"), ("p_size", "size")], "column string, target string")
+    found = [(t, "P" if t in ("part", "supplier") else "Q", c) for t in ("part", "supplier", "orders", "region") for c in load(spark, sf_dir, t).columns]
+    columns = make(found, "file_id string, entity string, column string")
+    overrides = make([("part", "p_name", "label")], "file_id string, column string, target string")
+    scoped = make([("P", "p_name", "entity_name"), ("P", "s_name", "entity_name")], "entity string, column string, target string")
+    common = make([("p_brand", "brand"), ("o_orderdate", "date")], "column string, target string")
     return integrate.resolve_columns(columns, overrides, scoped, common)
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'DUPLICATE_ARCHIVED' WHEN c_custkey % 5 = 0 THEN 'REQUIRES_REVIEW' WHEN c_custkey % 7 = 0 THEN 'CONFLICT_PRESERVED' WHEN c_acctbal > 0 THEN 'MERGED' ELSE 'CANONICAL' END AS disposition FROM customer")
+def dispositions(spark, sf_dir):
+    k = F.col("c_custkey")
+    return load(spark, sf_dir, "customer").select(k.alias("id"), integrate.disposition(F.col("c_acctbal") > 0, k % 7 == 0, k % 5 == 0, k % 3 == 0).alias("disposition"))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN CAST(p_partkey AS VARCHAR) WHEN p_partkey % 3 = 0 THEN lower(trim(p_type)) ELSE lower(trim(p_name)) || '|' || lower(trim(p_brand)) END AS key, CASE WHEN p_partkey % 4 = 0 THEN 'NO_NATURAL_KEY' ELSE '' END AS flag FROM part")
+def natural_keys(spark, sf_dir):
+    k = F.col("p_partkey")
+    part = load(spark, sf_dir, "part").select(k.alias("id"), F.when(k % 3 != 0, F.col("p_name")).alias("n"), "p_brand", F.when(k % 4 != 0, F.col("p_type")).alias("t"), F.when(k % 4 != 0, F.col("p_brand")).alias("b"))
+    found = integrate.natural_key([[F.col("n"), F.col("b")], [F.col("t")]], F.col("id").cast("string"))
+    return part.select("id", found.alias("x")).select("id", "x.key", "x.flag")
+
+
+@query("SELECT s_suppkey AS entity_id, col AS \"column\", 'S' AS source_file_id, s_suppkey AS source_row, v AS raw_value FROM (SELECT s_suppkey, unnest(['s_name', 's_nationkey']) AS col, unnest([s_name, CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_nationkey AS VARCHAR) END]) AS v FROM supplier) WHERE v IS NOT NULL AND trim(v) <> ''")
+def cell_provenance(spark, sf_dir):
+    s = load(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.when(F.col("s_suppkey") % 2 == 0, F.col("s_nationkey")).alias("s_nationkey"), F.lit("S").alias("file"))
+    return integrate.provenance(s, "s_suppkey", "file", "s_suppkey", ["s_name", "s_nationkey"])
+
+
+@query("SELECT p_partkey AS entity_id, a AS attribute, v AS value FROM (SELECT p_partkey, unnest(['p_type', 'p_size']) AS a, unnest([p_type, CAST(p_size AS VARCHAR)]) AS v FROM part) WHERE v IS NOT NULL AND trim(v) <> ''")
+def entity_attributes(spark, sf_dir):
+    return integrate.attributes(load(spark, sf_dir, "part"), "p_partkey", ["p_type", "p_size"])

@@ -4,31 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumenfold.functions.semantics import HEADER_RULES, STANDARD_LIKE, semantic_type
+from lumenfold.functions.semantics import STANDARD_LIKE, entity_kind, semantic_type
 from lumenfold.functions.text import norm_header
 from lumenfold.operators import planning, profile
 from lumenfold.plans.registry import load, query
 
-_HEADERS = ["IS Number", "QCO No.", "Scheme Code", "Validity Date", "Lab Name", "odd column", "Page URL", "licence_count"]
-_CASES = " ".join(f"WHEN regexp_matches(h, '{p}') THEN '{t}'" for p, t in HEADER_RULES)
+_SUFFIXES = ["Id", "Date", "Count", "Hash", "URL", "Fee", "Phone", "Status", "Title", "QCO ref", "Validity", "Notes"]
 
 
-@query(f"SELECT h AS header, CASE {_CASES} ELSE 'UNCLASSIFIED_STRING' END AS semantic_type FROM (SELECT regexp_replace(regexp_replace(lower(x), '[^0-9a-z]+', '_', 'g'), '^_+|_+$', '', 'g') AS h FROM (VALUES " + ", ".join(f"('{h}')" for h in _HEADERS) + ") t(x))")
+@query("""SELECT replace(lower(n_name), '#', '_') || '_' || replace(lower(s), ' ', '_') AS header,
+ CASE s WHEN 'Id' THEN 'PRIMARY_KEY_ID' WHEN 'Date' THEN 'DATE' WHEN 'Count' THEN 'NUMERIC_OR_COUNT' WHEN 'Hash' THEN 'CONTENT_HASH' WHEN 'URL' THEN 'URL' WHEN 'Fee' THEN 'FEE' WHEN 'Phone' THEN 'CONTACT' WHEN 'Status' THEN 'STATUS' WHEN 'Title' THEN 'TITLE' WHEN 'QCO ref' THEN 'QCO_REFERENCE' WHEN 'Validity' THEN 'DATE' ELSE 'UNCLASSIFIED_STRING' END AS semantic_type
+FROM nation, (SELECT unnest(['Id', 'Date', 'Count', 'Hash', 'URL', 'Fee', 'Phone', 'Status', 'Title', 'QCO ref', 'Validity', 'Notes']) AS s)""")
 def semantic_headers(spark, sf_dir):
-    rows = spark.createDataFrame([(h,) for h in _HEADERS], "x string").select(norm_header(F.col("x")).alias("header"))
+    names = load(spark, sf_dir, "nation").select("n_name", F.explode(F.array(*map(F.lit, _SUFFIXES))).alias("s"))
     zero = F.lit(0)
+    rows = names.select(norm_header(F.concat_ws(" ", "n_name", "s")).alias("header"))
     return rows.select("header", semantic_type(F.col("header"), F.lit("string"), zero, zero, F.lit(0.0), F.lit(0.0)).alias("semantic_type"))
 
 
-@query("""SELECT * FROM (VALUES ('event_id', 'PRIMARY_KEY_ID'), ('event_type', 'UNCLASSIFIED_STRING'), ('props', 'UNCLASSIFIED_STRING'), ('user_id', 'PRIMARY_KEY_ID')) t("column", semantic_type)""")
+@query("""SELECT replace(lower(n_name), '#', '_') || '_' || s AS header, CASE s WHEN 'qco_no' THEN 'QCO' WHEN 'lab_name' THEN 'LAB' WHEN 'is_number' THEN 'IS' WHEN 'product_title' THEN 'PRODUCT' WHEN 'scheme_id' THEN 'SCHEME' WHEN 'gazette_no' THEN 'DOC' ELSE '' END AS kind
+FROM nation, (SELECT unnest(['qco_no', 'lab_name', 'is_number', 'product_title', 'scheme_id', 'gazette_no', 'scheme_record_id', 'product_note', 'colour']) AS s)""")
+def entity_kinds(spark, sf_dir):
+    suffixes = ["qco_no", "lab_name", "is_number", "product_title", "scheme_id", "gazette_no", "scheme_record_id", "product_note", "colour"]
+    names = load(spark, sf_dir, "nation").select("n_name", F.explode(F.array(*map(F.lit, suffixes))).alias("s")).select(norm_header(F.concat_ws(" ", "n_name", "s")).alias("header"))
+    return names.select("header", entity_kind(F.col("header")).alias("kind"))
+
+
+@query("""WITH f AS (SELECT 'doc_id' AS col, avg(length(CAST(doc_id AS VARCHAR))) AS l, bool_and(regexp_matches(CAST(doc_id AS VARCHAR), '^[0-9]+$')) AS num FROM documents UNION ALL SELECT 'text', avg(length(text)), bool_and(regexp_matches(text, '^[0-9]+$')) FROM documents
+ UNION ALL SELECT 'lang', avg(length(lang)), false FROM documents UNION ALL SELECT 'n_chars', avg(length(CAST(n_chars AS VARCHAR))), bool_and(regexp_matches(CAST(n_chars AS VARCHAR), '^[0-9]+$')) FROM documents)
+SELECT col AS "column", CASE WHEN col LIKE '%\\_id' ESCAPE '\\' THEN 'PRIMARY_KEY_ID' WHEN num THEN 'NUMERIC_OR_COUNT' WHEN l > 80 THEN 'FREE_TEXT' ELSE 'UNCLASSIFIED_STRING' END AS semantic_type FROM f""")
 def semantic_columns(spark, sf_dir):
-    events = load(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props")
-    facts = profile.cells(events).groupBy("column").agg(F.count("value").alias("n"), F.sum(F.col("value").rlike(STANDARD_LIKE).cast("long")).alias("hits"), F.avg(F.length("value")).alias("length"))
-    typed = facts.join(profile.profile_columns(events).select("column", "data_type", "multivalue_ratio"), "column")
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
+    facts = profile.cells(docs).groupBy("column").agg(F.count("value").alias("n"), F.sum(F.col("value").rlike(STANDARD_LIKE).cast("long")).alias("hits"), F.avg(F.length("value")).alias("length"))
+    typed = facts.join(profile.profile_columns(docs).select("column", "data_type", "multivalue_ratio"), "column")
     return typed.select("column", semantic_type(norm_header(F.col("column")), F.col("data_type"), F.col("n"), F.col("hits"), F.col("multivalue_ratio"), F.col("length")).alias("semantic_type"))
 
 
-_KEYED = "SELECT DISTINCT 'F' || CAST(l_linenumber AS VARCHAR) AS file_id, l_suppkey AS key FROM lineitem WHERE l_orderkey % 40 = 0"
+_KEYED = "SELECT DISTINCT 'F' || CAST(l_linenumber AS VARCHAR) AS file_id, l_suppkey AS key FROM lineitem"
 
 
 @query(f"""WITH k AS ({_KEYED}), n AS (SELECT key, count(*) AS n FROM k GROUP BY key), o AS (SELECT file_id, count(*) AS n_keys, count(*) FILTER (n = 1) AS unique_keys FROM k JOIN n USING (key) GROUP BY 1),

@@ -97,7 +97,10 @@ def table_signature(spark, sf_dir):
     return profile.signatures(load(spark, sf_dir, "nation").select(*_NATION), "n_nationkey")
 
 
-@query(f"""WITH r AS (SELECT doc_id, left(sha1(({NORM.replace('v IS NULL', 'text IS NULL').replace('trim(v)', "regexp_replace(text, '^[ 	]+|[ 	]+$', '', 'g')")})), 16) AS h FROM (SELECT doc_id, lang AS text FROM documents))
+_CELLS = ", ".join("(" + NORM.replace("trim(v)", f"regexp_replace(CAST({c} AS VARCHAR), '^[ \\t\\r\\n\\f\\x0B]+|[ \\t\\r\\n\\f\\x0B]+$', '', 'g')").replace("v IS NULL", f"{c} IS NULL") + ")" for c in ("text", "lang", "source", "n_chars"))
+
+
+@query(f"""WITH r AS (SELECT doc_id, left(sha1(concat_ws(chr(31), {_CELLS})), 16) AS h FROM documents)
 SELECT h AS row_hash, count(*) AS n_rows, min(doc_id) AS first_row, max(doc_id) AS last_row FROM r GROUP BY h HAVING count(*) > 1""")
 def row_duplicates(spark, sf_dir):
     return profile.row_duplicates(load(spark, sf_dir, "documents"), ["text", "lang", "source", "n_chars"], "doc_id")

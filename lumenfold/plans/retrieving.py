@@ -80,7 +80,7 @@ def hybrid_rerank(spark, sf_dir):
     found = _hybrid(spark, sf_dir).join(docs, F.col("vec_id") == F.col("doc_id")).join(labels, F.col("l_id") == F.col("doc_id"), "left")
     none = F.lit(None).cast("string")
     rows = found.select(
-        F.col("vec_id").alias("chunk_id"), "score", F.when(F.col("source") == "src1", "1").alias("number"), F.when(F.col("lang") == "en", "STANDARD").when(F.col("lang") == "de", "DOCUMENT").alias("document_type"),
+        F.col("vec_id").alias("chunk_id"), "score", F.when(F.col("source") == "src1", "1").alias("number"), F.when(F.col("lang") == "en", "IS_STANDARD").when(F.col("lang") == "de", "DOCUMENT").alias("document_type"),
         F.col("source").alias("title"), none.alias("clause"), F.lit(1).alias("page"), F.col("quality").cast("string").alias("version"), none.alias("effective_date"), none.alias("source_url"), F.col("text").alias("content"),
     )
     return retrieve.rerank(rows, "src", ["1"]).select("chunk_id", "relevance")
@@ -109,15 +109,18 @@ def compare_entities(spark, sf_dir):
     return retrieve.compare_records(load(spark, sf_dir, "part"), "p_partkey", 3, 10, _FIELDS)
 
 
-@query("WITH a AS (SELECT DISTINCT c_mktsegment AS m FROM customer WHERE c_nationkey = 1 AND c_custkey < 200), b AS (SELECT DISTINCT c_mktsegment AS m FROM customer WHERE c_nationkey = 2 AND c_custkey < 200) SELECT coalesce(a.m, b.m) AS member, a.m IS NOT NULL AS in_a, b.m IS NOT NULL AS in_b FROM a FULL JOIN b ON a.m = b.m")
+@query("WITH a AS (SELECT DISTINCT c_mktsegment AS m FROM customer WHERE c_nationkey = 1), b AS (SELECT DISTINCT c_mktsegment AS m FROM customer WHERE c_nationkey = 2) SELECT coalesce(a.m, b.m) AS member, a.m IS NOT NULL AS in_a, b.m IS NOT NULL AS in_b FROM a FULL JOIN b ON a.m = b.m")
 def compare_members(spark, sf_dir):
     return retrieve.compare_members(load(spark, sf_dir, "customer"), "c_nationkey", "c_mktsegment", 1, 2)
 
 
-@query("""SELECT * FROM (VALUES ('5', 'VALIDATED', 'customer'), ('14000', 'VALIDATED', 'orders'), ('zzz', 'NOT_VERIFIED', NULL)) t(identifier, verdict, found_in)""")
+_WANTED = ["5", "1400", "brand#7", "zzz", "999999999999"]
+
+
+@query("SELECT w AS identifier, CASE WHEN w_found IS NULL THEN 'NOT_VERIFIED' ELSE 'VALIDATED' END AS verdict, w_found AS found_in FROM (SELECT w, CASE WHEN w IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer) THEN 'customer' WHEN w IN (SELECT CAST(o_orderkey AS VARCHAR) FROM orders) THEN 'orders' WHEN upper(w) IN (SELECT upper(p_brand) FROM part) THEN 'part' END AS w_found FROM (SELECT unnest([" + ", ".join(f"'{w}'" for w in _WANTED) + "]) AS w))")
 def verify_identifier(spark, sf_dir):
-    tables = [("customer", load(spark, sf_dir, "customer"), "c_custkey", "c_mktsegment"), ("orders", load(spark, sf_dir, "orders"), "o_orderkey", "o_orderstatus"), ("part", load(spark, sf_dir, "part"), "p_partkey", "p_brand")]
-    return reduce(lambda a, b: a.unionByName(b), [retrieve.verify_identifier(tables, w) for w in ("5", "14000", "zzz")])
+    tables = [("customer", load(spark, sf_dir, "customer"), "c_custkey", "c_mktsegment"), ("orders", load(spark, sf_dir, "orders"), "o_orderkey", "o_orderstatus"), ("part", load(spark, sf_dir, "part"), "p_brand", "p_type")]
+    return reduce(lambda a, b: a.unionByName(b), [retrieve.verify_identifier(tables, w) for w in _WANTED])
 
 
 @query("SELECT n_regionkey AS r_regionkey, r_name, count(*)::INT AS n_members, string_agg(n_name, ',' ORDER BY n_name) AS members FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY 1, 2")
@@ -133,7 +136,15 @@ def exact_lookup(spark, sf_dir):
     return retrieve.exact_or_prefix(part, "p_name", wanted, "p_partkey")
 
 
-@query("SELECT n AS n_evidence, CASE WHEN n = 0 THEN 0.0 ELSE round(least(0.35 + 0.5 * top + 0.05 * greatest(n - 1, 0), 0.98), 2) END AS confidence FROM (VALUES (0, 0.0), (1, 0.4), (3, 0.7), (9, 0.99)) t(n, top)")
+@query("SELECT l_orderkey AS question, count(*)::INT AS n_evidence, CASE WHEN count(*) FILTER (l_returnflag <> 'N') = 0 THEN 0.0 ELSE round(least(0.35 + 0.5 * max(l_discount) * 10 + 0.05 * greatest(count(*) FILTER (l_returnflag <> 'N') - 1, 0), 0.98), 2) END AS confidence FROM lineitem GROUP BY 1")
 def evidence_confidence(spark, sf_dir):
-    rows = spark.createDataFrame([(0, 0.0), (1, 0.4), (3, 0.7), (9, 0.99)], "n int, top double")
-    return rows.select(F.col("n").alias("n_evidence"), retrieve.evidence_confidence(F.col("top"), F.col("n")).alias("confidence"))
+    kept = F.count(F.when(F.col("l_returnflag") != "N", 1))
+    found = load(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("question")).agg(F.count(F.lit(1)).cast("int").alias("n_evidence"), kept.alias("n"), (F.max("l_discount") * 10).alias("top"))
+    return found.select("question", "n_evidence", retrieve.evidence_confidence(F.col("top"), F.col("n")).alias("confidence"))
+
+
+@query("SELECT l_orderkey AS evidence_id, CAST(l_linenumber AS VARCHAR) AS url FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') AND CAST(l_linenumber AS VARCHAR) NOT IN ('2', '3')")
+def invalid_citations(spark, sf_dir):
+    cited = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("evidence_id"), F.col("l_linenumber").cast("string").alias("url"))
+    known = load(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("evidence_id"), F.when(F.col("o_orderkey") % 2 == 0, "2").otherwise("3").alias("url"))
+    return retrieve.invalid_citations(cited, known).select("evidence_id", "url")

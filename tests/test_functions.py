@@ -88,13 +88,3 @@ def test_urls(spark):
     assert one(spark, values.nurl, "see https://a.b/c.").asDict() == {"url": "https://a.b/c", "label": "see", "cls": "URL_IN_TEXT"}
     assert one(spark, values.nurl, "www.gov.in/x").cls == "URL_SCHEME_ADDED"
     assert one(spark, values.nlicence, "CML 12 34 567").licence_key == "1234567"
-
-
-def test_entity_kinds():
-    from lumenfold.functions.semantics import entity_kind
-
-    assert entity_kind("qco_number") == "ORDER"
-    assert entity_kind("canonical_is_number") == "STANDARD"
-    assert entity_kind("product_description") == ""
-    assert entity_kind("scheme_record_id") == ""
-    assert entity_kind("colour") == ""
