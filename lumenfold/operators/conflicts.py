@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.functions.text import null_class, punctuation_free, squeeze
+from lumenfold.storage import bounded
 
 # Each rule's status and confidence.
 POLICY = [
@@ -73,9 +74,8 @@ def readjudicate(imported: DataFrame, resolved: DataFrame, kind: Column, newer:
     """Conflicts (field_a, field_b, value_a, value_b, ...) found elsewhere, judged again.
 
     resolved: (column, target), what each column means; two columns of different targets are homonyms.
-    It is a table of configuration, a row a column.
     """
-    target = lambda p: F.broadcast(resolved.select(F.col("column").alias(f"field_{p}"), F.col("target").alias(f"target_{p}")))
+    target = lambda p: bounded(resolved.select(F.col("column").alias(f"field_{p}"), F.col("target").alias(f"target_{p}")))
     both = imported.join(target("a"), "field_a", "left").join(target("b"), "field_b", "left")
     ruled = with_conflict_rule(both, "value_a", "value_b", kind, newer, F.col("target_a") != F.col("target_b"))
     judged = with_policy(ruled)

@@ -8,18 +8,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.text import is_empty, punctuation_free, squeeze
-from lumenfold.storage import written
+from lumenfold.storage import bounded, written
 
 
 def resolve_columns(columns: DataFrame, overrides: DataFrame, scoped: DataFrame, common: DataFrame) -> DataFrame:
     """Map source columns (file_id, entity, column) to canonical ones: file override, then entity, then common map.
 
-    An unknown column is kept as an attribute of its own name. The maps are tables of configuration.
+    An unknown column is kept as an attribute of its own name.
     """
     out = (
-        columns.join(F.broadcast(overrides.select("file_id", "column", F.col("target").alias("t1"))), ["file_id", "column"], "left")
-        .join(F.broadcast(scoped.select("entity", "column", F.col("target").alias("t2"))), ["entity", "column"], "left")
-        .join(F.broadcast(common.select("column", F.col("target").alias("t3"))), "column", "left")
+        columns.join(bounded(overrides.select("file_id", "column", F.col("target").alias("t1")), 256), ["file_id", "column"], "left")
+        .join(bounded(scoped.select("entity", "column", F.col("target").alias("t2")), 256), ["entity", "column"], "left")
+        .join(bounded(common.select("column", F.col("target").alias("t3")), 256), "column", "left")
     )
     tier = F.when(F.col("t1").isNotNull(), "FILE_OVERRIDE").when(F.col("t2").isNotNull(), "ENTITY_SCOPED").when(F.col("t3").isNotNull(), "COMMON").otherwise("ATTRIBUTE")
     return out.select("file_id", "entity", "column", F.coalesce("t1", "t2", "t3", "column").alias("target"), tier.alias("tier"))
@@ -117,18 +117,17 @@ def audit_tail(rows: DataFrame, by: str, file_id: str, row_no: str, most: int =
     return counted.join(listed, by).select(by, "source_count", "source_files", F.array_join("r", "; ").alias("source_rows"))
 
 
-def joined_list(values: Column, chars: int = 8000) -> Column:
-    """Sorted distinct values joined by `` | `` up to ``chars`` characters, with a note of how many more there are."""
-    ordered = F.array_sort(F.array_distinct(values))
-    zero = F.struct(F.lit("").alias("s"), F.lit(0).alias("n"))
+def joined_list(values: Column, total: Column, chars: int = 8000) -> Column:
+    """Sorted values joined by `` | `` up to ``chars`` characters, with a note of how many of ``total`` aren't shown."""
+    zero = F.struct(F.lit("").alias("s"), F.lit(0).alias("n"), F.lit(False).alias("full"))
 
     def step(acc: Column, v: Column) -> Column:
         longer = F.when(acc["n"] == 0, v).otherwise(F.concat(acc["s"], F.lit(" | "), v))
-        full = (F.length(longer) > chars) | (acc["n"] < 0)
-        return F.struct(F.when(full, acc["s"]).otherwise(longer).alias("s"), F.when(acc["n"] < 0, acc["n"]).when(full, -acc["n"] - 1).otherwise(acc["n"] + 1).alias("n"))
+        full = acc["full"] | (F.length(longer) > chars)
+        return F.struct(F.when(full, acc["s"]).otherwise(longer).alias("s"), F.when(full, acc["n"]).otherwise(acc["n"] + 1).alias("n"), full.alias("full"))
 
-    more = lambda acc: F.when(acc["n"] < 0, F.concat(acc["s"], F.lit(" | +"), (F.size(ordered) + acc["n"] + 1).cast("string"), F.lit(" more"))).otherwise(acc["s"])
-    return F.aggregate(ordered, zero, step, more)
+    more = lambda acc: F.when(total > acc["n"], F.concat(acc["s"], F.lit(" | +"), (total - acc["n"]).cast("string"), F.lit(" more"))).otherwise(acc["s"])
+    return F.aggregate(F.array_sort(values), zero, step, more)
 
 
 def chunk_rows(df: DataFrame, id_column: str, fields: list[str], least: int = 40) -> DataFrame:
@@ -145,18 +144,25 @@ def attributes(df: DataFrame, entity_id: str, columns: list[str]) -> DataFrame:
     return df.select(F.col(entity_id).alias("entity_id"), each).select("entity_id", "x.*").where("value <> ''")
 
 
-def with_aspects(masters: DataFrame, key: str, aspects: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
-    """Masters with a count and a list for each aspect: an edge table with its key and value columns."""
+def with_aspects(masters: DataFrame, key: str, aspects: dict[str, tuple[DataFrame, str, str]], chars: int = 8000) -> DataFrame:
+    """Masters with a count and a list for each aspect: an edge table with its key and value columns.
+
+    Of a master's values only as many are collected as the list can show.
+    """
     out = masters
     for name, (edges, edge_key, shown) in aspects.items():
-        side = edges.groupBy(F.col(edge_key).alias(key)).agg(F.count_distinct(shown).alias(f"{name}_count"), joined_list(F.collect_set(F.col(shown).cast("string"))).alias(f"{name}_list"))
+        each = edges.select(F.col(edge_key).alias(key), F.col(shown).cast("string").alias("v")).where("v IS NOT NULL").distinct()
+        counts = each.groupBy(key).agg(F.count(F.lit(1)).alias(f"{name}_count"))
+        nth = F.row_number().over(Window.partitionBy(key).orderBy("v"))
+        first = each.withColumn("nth", nth).where(F.col("nth") <= chars // 4 + 2).groupBy(key).agg(F.collect_list("v").alias("vs"))
+        side = counts.join(first, key).select(key, f"{name}_count", joined_list(F.col("vs"), F.col(f"{name}_count"), chars).alias(f"{name}_list"))
         out = out.join(side, key, "left").na.fill({f"{name}_count": 0, f"{name}_list": ""})
     return out
 
 
 def upsert(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Rows of ``new``, and those of ``existing`` that it doesn't replace."""
-    return existing.join(new.select(key), key, "left_anti").unionByName(new)
+    """Rows of ``new``, one a key, and those of ``existing`` that it doesn't replace."""
+    return existing.join(new.select(key), key, "left_anti").unionByName(new.dropDuplicates([key]))
 
 
 def point_id(c: Column, namespace: str = "lumenfold:") -> Column:

@@ -20,12 +20,13 @@ def file_slice(df: DataFrame, file_id: str, row_no: str, files: list[str] | None
 def coverage(keys: DataFrame) -> DataFrame:
     """For each file of (file_id, key): its keys, those only it has, and the file that covers most of it.
 
-    Pairs of files are counted over shared keys, so a pair without one isn't made.
+    Keys are counted by the set of files that hold them, so pairs of files are made of sets and not of keys.
     """
-    keys = keys.distinct()
-    n_files = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    own = keys.join(n_files, "key").groupBy("file_id").agg(F.count(F.lit(1)).alias("n_keys"), F.sum((F.col("n") == 1).cast("long")).alias("unique_keys"))
-    met = keys.join(keys.select("key", F.col("file_id").alias("other")), "key").where("file_id <> other").groupBy("file_id", "other").agg(F.count(F.lit(1)).alias("shared"))
+    sets = keys.distinct().groupBy("key").agg(F.array_sort(F.collect_set("file_id")).alias("files"))  # a key's files, no rows
+    counts = sets.groupBy("files").agg(F.count(F.lit(1)).alias("n"))
+    each = counts.select("files", "n", F.explode("files").alias("file_id"))
+    own = each.groupBy("file_id").agg(F.sum("n").alias("n_keys"), F.sum(F.when(F.size("files") == 1, F.col("n")).otherwise(0)).alias("unique_keys"))
+    met = each.select("file_id", "n", F.explode("files").alias("other")).where("file_id <> other").groupBy("file_id", "other").agg(F.sum("n").alias("shared"))
     best = met.withColumn("nth", F.row_number().over(Window.partitionBy("file_id").orderBy(F.desc("shared"), "other"))).where("nth = 1")
     out = own.join(best.select("file_id", "other", "shared"), "file_id", "left")
     return out.select("file_id", "n_keys", "unique_keys", F.col("other").alias("best_cover"), F.round(F.coalesce(F.col("shared") / F.col("n_keys"), F.lit(0.0)), 4).alias("covered"), (F.coalesce("shared", F.lit(0)) == F.col("n_keys")).alias("residual_free"))

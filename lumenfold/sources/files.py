@@ -14,7 +14,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ALLOWED_UPLOADS = ["pdf", "docx", "xlsx", "txt", "png", "jpg", "jpeg"]
@@ -29,14 +29,33 @@ def inventory(spark: SparkSession, roots: list[str], pattern: str = "*") -> Data
 
 
 def csv_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, row_no, line, flag): the lines of CSV files; one line with literal ``\\n`` is unescaped and flagged."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.regexp_replace("value", "^﻿", "").alias("t"))
-    one = ~F.rtrim("t").contains("\n") & F.col("t").contains("\\n")
+    """(path, row_no, line, flag): the records of CSV files; a quoted line break stays inside its record.
+
+    Files are read by lines, so a large one is many rows. A file of one line with literal ``\\n`` is
+    unescaped and flagged.
+    """
+    read = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "^\ufeff|\r$", "").alias("t"))
+    filled = read.where("trim(t) <> ''").groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("block", "at")).alias("last"))
+    # a row a file; empty lines at the end of a file are no records
+    lines = read.join(filled, "path").where(F.struct("block", "at") <= F.col("last"))
+    one = (F.col("n") == 1) & F.col("t").contains("\\n")
     inner = F.regexp_replace(F.trim("t"), '^"|"$', "")
-    repaired = F.replace(F.replace(inner, F.lit("\\n"), F.lit("\n")), F.lit('\\"'), F.lit('"'))
-    text = F.regexp_replace(F.regexp_replace(F.when(one, repaired).otherwise(F.col("t")), "\r\n?", "\n"), "\n+$", "")
-    lines = whole.select("path", F.posexplode(F.split(text, "\n")).alias("pos", "line"), F.when(one, "SINGLE_LINE_ESCAPED_CSV").otherwise("").alias("flag"))
-    return lines.select("path", (F.col("pos") + 1).alias("row_no"), "line", "flag")
+    repaired = F.regexp_replace(F.replace(F.replace(inner, F.lit("\\n"), F.lit("\n")), F.lit('\\"'), F.lit('"')), "\n+$", "")
+    parts = lines.withColumn("one", one).select("path", "block", "at", "one", F.posexplode(F.when(F.col("one"), F.split(repaired, "\n")).otherwise(F.array("t"))).alias("pos", "line"))
+    order = Window.partitionBy("path").orderBy("block", "at", "pos")
+    quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
+    open_ = F.coalesce(F.sum(quotes).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2
+    placed = parts.withColumn("starts", (open_ == 0).cast("int")).withColumn("row_no", F.sum("starts").over(order)).withColumn("nth", F.row_number().over(order))
+    flag = F.when(F.max("one"), "SINGLE_LINE_ESCAPED_CSV").otherwise("")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "line"))), lambda x: x["line"]), "\n")
+    return placed.groupBy("path", "row_no").agg(whole.alias("line"), flag.alias("flag"))
+
+
+def csv_table(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV with a header as a table of texts; missing cells are empty."""
+    read = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", "UTF-8").csv(path)
+    names = [c.removeprefix("\ufeff") for c in read.columns]
+    return read.toDF(*names).na.fill("")
 
 
 def split_csv(line: Column) -> Column:
@@ -91,10 +110,17 @@ def xlsx_rows(content: bytes) -> list[tuple[str, int, list[str]]]:
         names = z.namelist()
         shared = re.findall(r"<si>(.*?)</si>", z.read("xl/sharedStrings.xml").decode("utf-8", "replace"), re.DOTALL) if "xl/sharedStrings.xml" in names else []
         shared = [_inner(s) for s in shared]
-        sheets = re.findall(r'<sheet [^>]*?name="([^"]*)"', z.read("xl/workbook.xml").decode("utf-8", "replace"))
+        tags = re.findall(r"<sheet [^>]*>", z.read("xl/workbook.xml").decode("utf-8", "replace"))
+        field = lambda tag, name: (re.search(rf'[ :]{name}="([^"]*)"', tag) or ["", ""])[1]
+        # which part holds a sheet is what the workbook's relations say, not its place in the list
+        parts = {}
+        if "xl/_rels/workbook.xml.rels" in names:
+            relations = re.findall(r"<Relationship [^>]*>", z.read("xl/_rels/workbook.xml.rels").decode("utf-8", "replace"))
+            parts = {field(r, "Id"): field(r, "Target").removeprefix("/xl/") for r in relations}
         out = []
-        for i, sheet in enumerate(sheets, 1):
-            xml = z.read(f"xl/worksheets/sheet{i}.xml").decode("utf-8", "replace")
+        for i, tag in enumerate(tags, 1):
+            sheet, part = field(tag, "name"), parts.get(field(tag, "r:id") or field(tag, "id"), f"worksheets/sheet{i}.xml")
+            xml = z.read(f"xl/{part}").decode("utf-8", "replace")
             for number, row in re.findall(r'<row [^>]*?r="(\d+)"[^>]*>(.*?)</row>', xml, re.DOTALL):
                 cells: dict[int, str] = {}
                 for ref, attrs, body in re.findall(r'<c r="([A-Z]+)\d+"([^>]*?)(?:/>|>(.*?)</c>)', row, re.DOTALL):

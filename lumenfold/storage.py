@@ -10,6 +10,10 @@ from contextvars import ContextVar
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bytes of a side that may be broadcast.
+BROADCAST_BYTES = 64 << 20
 
 #: Paths written inside the innermost settled call.
 _paths: ContextVar[list[str]] = ContextVar("paths", default=[])  # noqa: B039
@@ -30,6 +34,11 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def bounded(small: DataFrame, row_bytes: int = 32) -> DataFrame:
+    """``small`` with a broadcast hint if its rows are few enough, else as it is."""
+    return F.broadcast(small) if small.count() * row_bytes <= BROADCAST_BYTES else small
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here.
 
@@ -46,7 +55,8 @@ def _kept(df: DataFrame, what: str) -> str:
     return path
 
 
-def _delete(spark: SparkSession, paths: list[str]) -> None:
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Delete tables, in whatever store they are."""
     for path in paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
@@ -56,7 +66,7 @@ def discarded(df: DataFrame) -> None:
     """Delete a table that ``written`` made and that nothing reads any more."""
     own, files = _paths.get(), df.inputFiles()
     found = [p for p in own if any(p.rsplit("/", 1)[1] in f for f in files)]
-    _delete(df.sparkSession, found)
+    removed(df.sparkSession, *found)
     own[:] = [p for p in own if p not in found]
 
 
@@ -77,7 +87,7 @@ def settled(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
             _paths.reset(outer)
         result = spark.read.schema(found.schema).parquet(path)
         _paths.get().append(path)
-        _delete(spark, own)
+        removed(spark, *own)
         return result
 
     return run

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenfold.storage import removed
+
 
 def files(spark: SparkSession, path: str, schema: T.StructType, per_trigger: int = 100) -> DataFrame:
     """A stream of Parquet files as they arrive."""
@@ -38,19 +40,24 @@ def once(events: DataFrame, key: str, time: str = "ts", late: str = "1 hour") ->
     return stamped.dropDuplicatesWithinWatermark([key]).drop("__t")
 
 
-def merge_into(path: str, key: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that keeps the newest row of each key, in a new version of the table at each batch.
+def merge_into(path: str, key: str, time: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that keeps the newest row of each key by ``time``, in a new version of the table at each batch.
 
-    A batch that runs again writes its version again, so the merge is idempotent.
+    A batch that runs again writes its version again, so the merge is idempotent. A version is kept until
+    the second after it is written.
     """
 
+    def newest(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(key).agg(F.max_by(F.struct("*"), F.col(time)).alias("row")).select("row.*")
+
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates([key])
+        new = newest(batch)
         if batch_id:
-            old = spark.read.parquet(f"{path}/v={batch_id - 1}")
-            new = old.join(new.select(key), key, "left_anti").unionByName(new)
+            new = newest(spark.read.parquet(f"{path}/v={batch_id - 1}").unionByName(new))
         new.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        if batch_id > 1:
+            removed(spark, f"{path}/v={batch_id - 2}")
 
     return merge
 

@@ -87,7 +87,7 @@ def test_stream_merge(spark, sf, tmp_path):
     source, target = str(tmp_path / "in"), str(tmp_path / "out")
     events.repartition(3).write.parquet(source)
     stream = jobs.files(spark, source, events.schema, per_trigger=1)
-    jobs.run_available(stream, str(tmp_path / "cp"), jobs.merge_into(target, "event_id"))
+    jobs.run_available(stream, str(tmp_path / "cp"), jobs.merge_into(target, "event_id", "ts"))
     last = max(int(p.name[2:]) for p in (tmp_path / "out").glob("v=*"))
     assert spark.read.parquet(f"{target}/v={last}").count() == events.select("event_id").distinct().count()
 
@@ -100,3 +100,39 @@ def test_stream_windows(spark, sf, tmp_path):
     q = counts.writeStream.outputMode("complete").foreachBatch(lambda df, i: rows.append(df.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sum(r.n for r in rows[-1]) == events.count()
+
+
+def test_csv_records(spark, tmp_path):
+    (tmp_path / "many.csv").write_bytes(b'\xef\xbb\xbfid,text\r\n1,"two\r\nlines, ""quoted"""\r\n2,plain\r\n\r\n')
+    lines = files.csv_lines(spark, str(tmp_path / "many.csv"))
+    rows = files.ragged_rows(lines).orderBy("row_no").collect()
+    assert [(r.row_no, r.cells) for r in rows] == [(1, ["id", "text"]), (2, ["1", 'two\nlines, "quoted"']), (3, ["2", "plain"])]
+    table = files.csv_table(spark, str(tmp_path / "many.csv"))
+    assert table.columns == ["id", "text"] and table.where("id = '2'").first().text == "plain"
+
+
+def test_sheets_follow_relations():
+    book = {
+        "xl/workbook.xml": '<workbook><sheets><sheet name="First" sheetId="3" r:id="rId2"/><sheet name="Second" sheetId="1" r:id="rId1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="rId1" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Target="worksheets/sheet3.xml"/></Relationships>',
+        "xl/worksheets/sheet1.xml": '<worksheet><sheetData><row r="1"><c r="A1"><v>1</v></c></row></sheetData></worksheet>',
+        "xl/worksheets/sheet3.xml": '<worksheet><sheetData><row r="2"><c r="A2"><v>3</v></c></row></sheetData></worksheet>',
+    }
+    assert files.xlsx_rows(office(book)) == [("First", 2, ["3"]), ("Second", 1, ["1"])]
+
+
+def test_the_newest_row_stays(spark, tmp_path):
+    merge = jobs.merge_into(str(tmp_path / "t"), "k", "at")
+    make = lambda rows: spark.createDataFrame(rows, "k int, at int, v string")
+    for i, rows in enumerate([[(1, 1, "a"), (1, 3, "b"), (2, 1, "c")], [(1, 2, "late"), (3, 1, "d")], [(2, 5, "e")]]):
+        merge(make(rows), i)
+    got = {(r.k, r.v) for r in spark.read.parquet(str(tmp_path / "t" / "v=2")).collect()}
+    assert got == {(1, "b"), (2, "e"), (3, "d")}
+    assert not (tmp_path / "t" / "v=0").exists() and (tmp_path / "t" / "v=1").exists()
+
+
+def test_long_lists_are_cut(spark):
+    masters = spark.createDataFrame([(1,), (2,)], "k int")
+    edges = spark.range(3000).select(F.lit(1).alias("k"), F.format_string("v%05d", "id").alias("v"))
+    row = integrate.with_aspects(masters, "k", {"x": (edges, "k", "v")}, chars=50).where("k = 1").first()
+    assert row.x_count == 3000 and row.x_list == "v00000 | v00001 | v00002 | v00003 | v00004 | +2995 more"
