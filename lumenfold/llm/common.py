@@ -6,13 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lumenfold.storage import discarded, settled, written
+from lumenfold.storage import BROADCAST_BYTES, bounded, discarded, settled, written
 
 __all__ = ["BROADCAST_BYTES", "SPACE", "bounded", "discarded", "drop_clashing", "nested", "row_schema", "settled", "table", "text_or_empty", "written"]
 
-#: Bytes that a broadcast variable made by these operators may hold.
-BROADCAST_BYTES = 64 << 20
-
 #: Word separators: space and U+0009 to U+000D.
 SPACE = "\\x20\\x09-\\x0D"
 
@@ -21,11 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded(small: DataFrame, row_bytes: int = 32) -> DataFrame:
-    """``small`` with a broadcast hint if its rows are few enough, else as it is."""
-    return F.broadcast(small) if small.count() * row_bytes <= BROADCAST_BYTES else small
-
-
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
