@@ -88,3 +88,13 @@ def test_urls(spark):
     assert one(spark, values.nurl, "see https://a.b/c.").asDict() == {"url": "https://a.b/c", "label": "see", "cls": "URL_IN_TEXT"}
     assert one(spark, values.nurl, "www.gov.in/x").cls == "URL_SCHEME_ADDED"
     assert one(spark, values.nlicence, "CML 12 34 567").licence_key == "1234567"
+
+
+def test_model_check():
+    from dataclasses import replace
+
+    from lumenfold.plans.building import MODEL
+
+    assert MODEL.check() == []
+    wrong = replace(MODEL, prefixes={"PRODUCT": "X", "SUPPLIER": "X", "BRAND": "B"}, keys={"PRODUCT": [["p_name"]]}, edges={("SUPPLIER", "country"): ("IN_COUNTRY", "COUNTRY", None)})
+    assert wrong.check() == ["entity COUNTRY has no prefix", "entity SUPPLIER has no key", "column p_brand of PRODUCT is an edge without a relation", "prefix X is used twice"]
