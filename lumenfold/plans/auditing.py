@@ -115,3 +115,36 @@ def remediation(spark, sf_dir):
 @query(f"""{_DECIDED} SELECT '# Audit' || chr(10) || chr(10) || 'Readiness: ' || CAST(round_even(100 * count(*) FILTER (decision = 'PASS') / count(*), 0) AS INTEGER) || '%' || chr(10) || chr(10) || '## Decisions' || chr(10) || string_agg('- ' || requirement_id || ' (' || type || '): ' || decision || ', ' || reason_code, chr(10) ORDER BY requirement_id) AS report FROM z""")
 def audit_report(spark, sf_dir):
     return audit.markdown_report(_decided(spark, sf_dir), "Audit")
+
+
+#: A document of each category, by the order's number, and what its lines must give.
+_PAPERS = """SELECT o_orderkey AS doc_id, CASE o_orderkey % 8 WHEN 0 THEN 'Certificate No: CC-' || o_orderkey || chr(10) || 'Calibration date: 05/01/2024' || chr(10) || 'Valid until 2025-01-05' || chr(10) || 'certificate no: cc-' || o_orderkey
+ WHEN 1 THEN 'Result: pass' || chr(10) || 'Model 7X' || o_orderkey WHEN 2 THEN 'Factory address: 1 Main Road ' || o_orderkey || chr(10) || 'GSTIN: 22AAAAA0000A1Z5' WHEN 3 THEN 'QC plan no QP-' || o_orderkey || chr(10) || 'Final inspection done' WHEN 4 THEN 'Temperature: 180 C'
+ WHEN 5 THEN 'Equipment list: lathe, press ' || o_orderkey WHEN 6 THEN 'Grade: Fe ' || o_orderkey ELSE 'See IS 302:1979 of 01-02-2003' END AS text, o_orderkey % 8 AS k FROM orders"""
+
+
+@query(f"""WITH d AS ({_PAPERS}), v AS (SELECT doc_id, unnest(CASE k WHEN 0 THEN ['certificate_number', 'calibration_date', 'validity_date'] WHEN 1 THEN ['result', 'product_model'] WHEN 2 THEN ['factory_name', 'address', 'gst_number'] WHEN 3 THEN ['qc_plan_reference', 'inspection_stage'] WHEN 4 THEN ['process_parameter'] WHEN 5 THEN ['machine_name', 'equipment_list'] WHEN 6 THEN ['material_grade'] ELSE ['mentioned_date', 'standard_reference'] END) AS field,
+ unnest(CASE k WHEN 0 THEN ['CC-' || doc_id, '05/01/2024', '2025-01-05'] WHEN 1 THEN ['pass', '7X' || doc_id] WHEN 2 THEN ['address', '1 Main Road ' || doc_id, '22AAAAA0000A1Z5'] WHEN 3 THEN ['QP-' || doc_id, 'Final inspection'] WHEN 4 THEN ['180 C'] WHEN 5 THEN ['list', 'lathe, press ' || doc_id] WHEN 6 THEN ['Fe ' || doc_id] ELSE ['01-02-2003', 'IS 302:1979'] END) AS value,
+ unnest(CASE k WHEN 0 THEN [1, 2, 3] WHEN 1 THEN [1, 2] WHEN 2 THEN [1, 1, 2] WHEN 3 THEN [1, 2] WHEN 5 THEN [1, 1] ELSE [1, 1] END) AS line_no FROM d)
+SELECT doc_id, field, value, line_no FROM v WHERE field IS NOT NULL""")
+def field_evidence(spark, sf_dir):
+    key = F.col("o_orderkey")
+    text = lambda c: F.concat(F.lit(c), key.cast("string"))
+    papers = [F.concat(text("Certificate No: CC-"), F.lit("\nCalibration date: 05/01/2024\nValid until 2025-01-05\n"), text("certificate no: cc-")), text("Result: pass\nModel 7X"), F.concat(text("Factory address: 1 Main Road "), F.lit("\nGSTIN: 22AAAAA0000A1Z5")), F.concat(text("QC plan no QP-"), F.lit("\nFinal inspection done")), F.lit("Temperature: 180 C"), text("Equipment list: lathe, press "), text("Grade: Fe "), F.lit("See IS 302:1979 of 01-02-2003")]
+    at = (key % 8 + 1).cast("int")
+    names = ["CALIBRATION_CERTIFICATE", "TEST_REPORT", "FACTORY_DOCUMENT", "QC_DOCUMENT", "PROCESS_DOCUMENT", "MACHINERY_DOCUMENT", "RAW_MATERIAL_DOCUMENT", "LETTER"]
+    docs = load(spark, sf_dir, "orders").select(key.alias("doc_id"), F.element_at(F.array(*papers), at).alias("text"), F.element_at(F.array(*map(F.lit, names)), at).alias("category"))
+    return audit.extract_evidence(docs, category="category").select("doc_id", "field", "value", "line_no")
+
+
+@query(f"{_DECIDED} SELECT z.requirement_id, decision, coalesce(requirement, '') AS requirement, coalesce(expected, '') AS evidence_expected FROM z LEFT JOIN r ON r.requirement_id = z.requirement_id AND r.type <> 'LAB'")
+def decision_texts(spark, sf_dir):
+    r, candidates = _audit(spark, sf_dir)
+    return audit.with_requirements(audit.decide(r, candidates, "2026-01-01"), r.where("type <> 'LAB'")).select("requirement_id", "decision", "requirement", "evidence_expected")
+
+
+@query("SELECT count(*) AS cases, count(*) FILTER (l_returnflag = 'A') AS passed, count(*) FILTER (l_returnflag = 'N') AS skipped, count(*) FILTER (l_returnflag = 'R') AS failed, round(avg(l_quantity) FILTER (l_returnflag <> 'N'), 4) AS mean_latency FROM lineitem")
+def evaluation_summary(spark, sf_dir):
+    flag = F.col("l_returnflag")
+    runs = load(spark, sf_dir, "lineitem").select(F.when(flag == "A", "PASS").when(flag == "N", "SKIP").when(flag == "R", "FAIL").alias("status"), F.col("l_quantity").alias("latency_ms"))
+    return audit.summary(runs)

@@ -148,3 +148,23 @@ def invalid_citations(spark, sf_dir):
     cited = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("evidence_id"), F.col("l_linenumber").cast("string").alias("url"))
     known = load(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("evidence_id"), F.when(F.col("o_orderkey") % 2 == 0, "2").otherwise("3").alias("url"))
     return retrieve.invalid_citations(cited, known).select("evidence_id", "url")
+
+
+@query(f"""WITH a AS (SELECT doc_id // 3 AS chunk_id, doc_id AS document_id, n_chars, lang, source FROM documents ORDER BY n_chars DESC, chunk_id LIMIT 40), r AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY n_chars DESC) AS n FROM a)
+SELECT CAST(chunk_id AS VARCHAR) AS evidence_id, coalesce(lang, '') AS lang, n_chars FROM r WHERE n = 1""")
+def evidence_set(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 3).alias("chunk_id"), F.col("doc_id").alias("document_id"), "n_chars", "lang")
+    return retrieve.evidence_set(docs, 40, "n_chars").select("evidence_id", "lang", "n_chars")
+
+
+@query("SELECT p_partkey, p_brand FROM part WHERE p_partkey IN (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity > 48) ORDER BY p_partkey LIMIT 20")
+def membership(spark, sf_dir):
+    wanted = load(spark, sf_dir, "lineitem").where("l_quantity > 48").select("l_partkey")
+    return retrieve.members_of(load(spark, sf_dir, "part"), "p_partkey", wanted, 20, "p_partkey").select("p_partkey", "p_brand")
+
+
+@query("""SELECT o_orderkey AS source_id, o_custkey AS target_id, CASE WHEN o_orderkey % 2 = 0 THEN 'CUSTOMER_REF' ELSE 'Part_Ref' END AS kind, CASE WHEN o_orderkey % 2 = 0 THEN c_name ELSE p_name END AS label
+FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN part ON p_partkey = o_custkey WHERE (o_orderkey % 2 = 0 AND c_custkey IS NOT NULL) OR (o_orderkey % 2 = 1 AND p_partkey IS NOT NULL)""")
+def typed_edges(spark, sf_dir):
+    edges = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("source_id"), F.col("o_custkey").alias("target_id"), F.when(F.col("o_orderkey") % 2 == 0, "CUSTOMER_REF").otherwise("Part_Ref").alias("kind"))
+    return retrieve.typed_edges(edges, {"customer": (load(spark, sf_dir, "customer"), "c_custkey", "c_name"), "part": (load(spark, sf_dir, "part"), "p_partkey", "p_name")})
