@@ -103,15 +103,24 @@ def quality_rules(docs: DataFrame, host: str = "source", text: str = "text") ->
     return judged.select("row.*", *STATS, "base_failed", "host_docs", "host_failed", "host_rate", "host_rejected", "kept")
 
 
+def _text_hash(text: str) -> dict[str, Column]:
+    """128 bits of a text, a null one as an empty one."""
+    t = text_or_empty(text)
+    return {"high": F.xxhash64(t), "low": F.xxhash64(F.lit(1), t)}
+
+
 def keep_good(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
     """The rows of ``docs``, columns unchanged, that pass their own rules and whose host passes.
 
-    The rules run once: rows that pass are written with their host, of the others the host alone.
+    The rules run once. A row's own verdict depends on its text alone, so the hashes of the texts that
+    fail take the rows out; they are broadcast if they are few enough, and joined otherwise.
     """
-    judged = _held(with_statistics(nested(docs, host=F.col(host), text=F.col(text))).select("row", "host", "base_failed"))
-    judged = written(judged.withColumn("row", F.when(~F.col("base_failed"), F.col("row"))), "judged")
+    judged = _held(with_statistics(docs.select(F.col(host).alias("host"), F.col(text).alias("text"), *[c.alias(n) for n, c in _text_hash(text).items()])).select("host", "base_failed", "high", "low"))
+    judged = written(judged.select("host", "base_failed", *[F.when(F.col("base_failed"), F.col(c)).alias(c) for c in ("high", "low")]), "judged")
+    failed = written(judged.where("base_failed").select("high", "low").distinct(), "failed")
     rejected = written(host_verdicts(judged).where("host_rejected").select(F.col("host").alias("rejected")), "rejected")
-    return judged.where(~F.col("base_failed")).join(bounded(rejected, 256), F.col("host").eqNullSafe(F.col("rejected")), "left_anti").select("row.*")
+    rows = nested(docs, host=F.col(host), **_text_hash(text)).join(bounded(failed), ["high", "low"], "left_anti")
+    return rows.join(bounded(rejected, 256), F.col("host").eqNullSafe(F.col("rejected")), "left_anti").select("row.*")
 
 
 def _held(df: DataFrame) -> DataFrame:
