@@ -227,10 +227,10 @@ def _labeller(shared):
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = MAX_TRAIN) -> Model:
     """The model of at most ``most`` rows of ``docs`` with a text and a language."""
-    usable = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
+    usable = docs.select("doc_id", F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     # ids first: the texts of the sample alone are read and joined
-    chosen = usable.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumnRenamed("doc_id", "__id").distinct()
-    rows = usable.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("__id"))).select(F.col(lang).cast("string"), text)
+    chosen = usable.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumnRenamed("doc_id", "chosen").distinct()
+    rows = usable.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("chosen"))).select("lang", "text")
     counts = rows.mapInArrow(_gram_counter, "lang string, kind string, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
     found = counts.toArrow().to_pydict()  # of the sample alone
     return Model(list(zip(*(found[c] for c in ("lang", "kind", "gram", "n")), strict=True)))
