@@ -37,7 +37,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import BROADCAST_BYTES, bounded, discarded, settled, table, written
+from lumenfold.llm.common import BROADCAST_BYTES, bounded, discarded, nested, settled, table, written
 from lumenfold.llm.components import components
 
 WORDS = 5
@@ -536,7 +536,7 @@ def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
     name clashes.
     """
     extra = extra_rows(docs, text)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.md5(F.col(text).cast("binary")).alias("md5"))
+    rows = nested(docs, id=F.col("doc_id"), md5=F.md5(F.col(text).cast("binary")))
 
     def same(marks: DataFrame):
         return F.col("id").eqNullSafe(F.col("doc_id")) & F.col("md5").eqNullSafe(F.col("text_md5")), bounded(marks.select("doc_id", "text_md5"), 96)
