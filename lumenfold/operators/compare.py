@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.semantics import entity_kind
@@ -62,6 +62,12 @@ def key_candidates(a: DataFrame, b: DataFrame, populated: float = 0.9, unique: f
     return out.select("column", "distinct_a", "distinct_b", "shared", F.when(F.col("shared") == 0, "SURROGATE").otherwise("KEY").alias("role"))
 
 
+def rank_keys(candidates: DataFrame) -> DataFrame:
+    """``candidates`` (column, shares, entity, overlap) of one pair with their ``rank``: those that share values, of an entity, of more overlap, of a shorter name."""
+    order = Window.orderBy(F.desc("shares"), F.desc("entity"), F.desc("overlap"), F.length("column"), "column")
+    return candidates.withColumn("rank", F.row_number().over(order))  # a row a column
+
+
 def first_by_key(df: DataFrame, key: str, order: str) -> DataFrame:
     """One row a key: that with the least ``order``."""
     rest = [c for c in df.columns if c != key]

@@ -87,12 +87,12 @@ def key_check(spark, sf_dir):
     return integrity.union_all([integrity.key_check(load(spark, sf_dir, t), t, k) for t, k in _KEYS])
 
 
-_COMPLETE = ["doc_id", "lang", "source"]
+_COMPLETE = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 @query(" UNION ALL ".join(f"SELECT 'documents' AS table_name, '{c}' AS \"column\", count(*) AS n_rows, count(*) FILTER ({c} IS NOT NULL AND trim(CAST({c} AS VARCHAR)) <> '') AS filled, round(100 * count(*) FILTER ({c} IS NOT NULL AND trim(CAST({c} AS VARCHAR)) <> '') / count(*), 2) AS percentage FROM documents" for c in _COMPLETE))
 def completeness(spark, sf_dir):
-    return integrity.completeness(load(spark, sf_dir, "documents").select(*_COMPLETE), "documents")
+    return integrity.completeness(load(spark, sf_dir, "documents"), "documents")
 
 
 @query("SELECT o_orderpriority AS value, count(*) AS n FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '5-LOW') GROUP BY 1")

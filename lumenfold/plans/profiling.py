@@ -43,8 +43,8 @@ SELECT col AS "column", total AS total_rows, nulls AS null_rows, marks AS placeh
   round(CASE WHEN total - nulls - marks > 0 THEN packed / (total - nulls - marks) ELSE 0.0 END, 4) AS multivalue_ratio, {TYPE} AS data_type FROM g"""
 
 
-_CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]
-_EVENTS = ["event_id", "user_id", "event_type", "props"]
+_CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+_EVENTS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
 
 
 @query(_profile_sql("customer", _CUSTOMER))

@@ -49,11 +49,14 @@ def filtered_topk(spark, sf_dir):
     return retrieve.vector_topk(df, VECTOR, "embedding", "vec_id", 10, F.col("label").isin(1, 2, 3)).select("vec_id", "label", "score")
 
 
-@query(f"SELECT vec_id, label, score, rank FROM (SELECT vec_id, label, {_SCORE} AS score, row_number() OVER (PARTITION BY label ORDER BY {_SCORE} DESC, vec_id)::INT AS rank FROM embeddings WHERE label < 4) WHERE rank <= 3")
+_OWN_VECTOR = "list_transform(range(64), lambda j: ((j * 37 + label * 5) % 17 - 8) / 8.0)::DOUBLE[]"
+
+
+@query(f"SELECT vec_id, label, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id)::INT AS rank FROM (SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], {_OWN_VECTOR}), 6) AS score FROM embeddings)) WHERE rank <= 3")
 def focused_topk(spark, sf_dir):
     df = load(spark, sf_dir, "embeddings")
-    queries = spark.createDataFrame([(i, VECTOR) for i in range(4)], "label int, query array<double>")
-    return retrieve.focused_topk(df, queries, "embedding", "vec_id", "label", 3).select("vec_id", "label", "score", "rank")
+    vector = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda j: (F.pmod(j * 37 + F.col("label") * 5, F.lit(17)) - 8) / 8.0)
+    return retrieve.focused_topk(df, df.select("label").distinct().withColumn("query", vector), "embedding", "vec_id", "label", 3).select("vec_id", "label", "score", "rank")
 
 
 _HYBRID = f"""WITH a AS (SELECT vec_id, label, 1.0::DOUBLE AS score, 0 AS sr FROM embeddings WHERE label = 2 ORDER BY vec_id LIMIT 5), b AS (SELECT vec_id, label, {_SCORE} AS score, 1 AS sr FROM embeddings ORDER BY score DESC, vec_id LIMIT 10),
