@@ -29,7 +29,7 @@ SEED = 7
 #: Words of remaining budget that the knapsack table covers.
 TABLE_WORDS = 1 << 15
 #: Rows, on average at most, of a range of draws that is put in order.
-PART_ROWS = 20_000
+PART_ROWS = 500
 
 
 def n_words(text: str = "text") -> Column:
