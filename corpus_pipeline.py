@@ -2,6 +2,9 @@
 
 Every stage works on all rows that the stage before it kept. Between stages the rows are a Parquet
 table in the shared folder.
+
+Defined results of every stage: columns of any name stay as they are (sharding replaces a column
+``shard``); very long texts are read whole; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -13,27 +16,44 @@ from lumenfold.llm.common import table, written
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules, and whose host does."""
+    """Documents that pass the quality rules, and whose host does.
+
+    Null and empty texts fail; a null source is a host; repeated rows stay or go together.
+    """
     return quality_rules.keep_good(docs)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates.
+
+    That of the least ``doc_id`` stays, then of the least MD5 of its text, then any; a null id is the
+    largest. Rows without words are in no group and stay.
+    """
     return jaccard_join.one_of_each(docs)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
+    """Documents that contain no benchmark item.
+
+    Each row is judged by its text; null and empty texts stay, and empty items are in no text.
+    """
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them.
+
+    Rows without words stay once. Rows equal in id, text and source tie in the draw, and of ties as many
+    are taken as are needed. A null source is a source.
+    """
     return mixing.mixed(docs)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their shard."""
+    """Documents with their shard.
+
+    Equal texts are in one shard; null texts are together by ``doc_id``; ties go by the texts' MD5.
+    """
     return sharding.with_shard(docs)
 
 
