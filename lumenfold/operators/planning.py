@@ -59,3 +59,35 @@ def build_requirements(parts: list[tuple[DataFrame, str, int]], most: int = 40)
     # requirements are bounded by the caps
     nth = F.row_number().over(Window.orderBy("part", "order", "requirement"))
     return every.withColumn("nth", nth).where(F.col("nth") <= most).select(F.format_string("REQ-%03d", "nth").alias("requirement_id"), "requirement", "type", "source", "evidence_expected")
+
+
+def file_rollup(sheets: DataFrame) -> DataFrame:
+    """One row a file of (file_id, sheet, n_rows, n_columns, domain, score): sheets, rows, the widest sheet, the domain of the best score."""
+    return sheets.groupBy("file_id").agg(
+        F.count(F.lit(1)).alias("n_sheets"),
+        F.sum("n_rows").alias("n_rows"),
+        F.max("n_columns").alias("n_columns"),
+        F.min_by("domain", F.struct(-F.col("score"), F.col("sheet"))).alias("domain"),
+    )
+
+
+def resolve_products(wanted: DataFrame, products: DataFrame, edges: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(product, standard, how) of each wanted product: the first standard that a product of its name is linked to, else the first that its words find.
+
+    products: (product_id, name). edges: (product_id, standard). keywords: (standard, word).
+    """
+    names = products.select("product_id", F.lower(F.trim("name")).alias("name"))
+    linked = wanted.join(names, F.lower(F.trim("product")) == F.col("name")).join(edges, "product_id").groupBy("product").agg(F.min("standard").alias("linked"))
+    words = wanted.select("product", F.explode(F.array_distinct(F.split(F.lower("product"), "[^a-z0-9]+"))).alias("word")).where("length(word) >= 3")
+    hits = words.join(keywords, "word").groupBy("product", "standard").agg(F.count(F.lit(1)).alias("n"))
+    found = hits.groupBy("product").agg(F.min_by("standard", F.struct(-F.col("n"), F.col("standard"))).alias("found"))
+    out = wanted.join(linked, "product", "left").join(found, "product", "left")
+    how = F.when(F.col("linked").isNotNull(), "LINKED").when(F.col("found").isNotNull(), "KEYWORD").otherwise("NOT_FOUND")
+    return out.select("product", F.coalesce("linked", "found").alias("standard"), how.alias("how"))
+
+
+def sections(rows: DataFrame, category: str, datasets: dict[str, list[str]]) -> DataFrame:
+    """``rows`` with the ``dataset`` that their category belongs to; a category of none is left out, one of several is in each."""
+    pairs = [(c, name) for name, categories in datasets.items() for c in categories]
+    of = F.filter(F.array(*[F.struct(F.lit(c).alias("c"), F.lit(n).alias("n")) for c, n in pairs]), lambda x: x["c"] == F.col(category))
+    return rows.withColumn("dataset", F.explode(F.transform(of, lambda x: x["n"])))

@@ -46,3 +46,27 @@ def conversation_fold(spark, sf_dir):
 @query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 2")
 def last_messages(spark, sf_dir):
     return answer.last_messages(load(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), "conv_id", "turn", 2)
+
+
+@query("""WITH q AS (SELECT c_custkey AS id, (['SIMPLE_LOOKUP', 'VERIFICATION', 'QCO_LOOKUP', 'TEST_LOOKUP', 'LAB_LOOKUP', 'COMPLIANCE_WORKFLOW'])[c_custkey % 6 + 1] AS task, CASE WHEN c_custkey % 12 = 1 THEN 'VALIDATED' END AS verdict FROM customer),
+o AS (SELECT o_custkey AS id, list_sort(list(DISTINCT o_orderpriority)) AS ps, list_sort(list(DISTINCT o_orderstatus)) AS ss FROM orders GROUP BY 1),
+e AS (SELECT o_custkey AS id, count(*) AS n, arg_max(o_orderpriority, (o_totalprice, o_orderpriority)) AS top FROM orders WHERE o_totalprice > 200000 GROUP BY 1),
+j AS (SELECT q.*, n_name AS number, CASE WHEN q.id % 5 > 0 THEN 'title ' || q.id END AS title, ps, CASE WHEN q.id % 4 > 0 THEN ss ELSE [] END AS ss, n, top FROM q LEFT JOIN o ON o.id = q.id LEFT JOIN (SELECT c_custkey, n_name FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 3 > 0) x ON x.c_custkey = q.id AND o.id IS NOT NULL LEFT JOIN e ON e.id = q.id)
+SELECT id AS question_id, CASE WHEN number IS NULL AND n IS NULL THEN 'This can''t be determined reliably from the evidence that is there.' ELSE concat_ws(' ', CASE WHEN task = 'VERIFICATION' THEN 'Verification result: ' || coalesce(verdict, 'NOT_VERIFIED') || '.' END,
+ CASE WHEN number IS NOT NULL THEN (CASE WHEN task = 'SIMPLE_LOOKUP' THEN 'Applicable standard: ' ELSE 'Resolving against ' END) || number || ': ' || coalesce(title, 'title not established') || '.' END,
+ CASE WHEN number IS NOT NULL AND len(ps) > 0 THEN 'Products: ' || array_to_string(ps[1:3], '; ') || '.' END, CASE WHEN number IS NOT NULL AND len(ss) > 0 THEN 'Orders: ' || array_to_string(ss[1:3], '; ') || '.' END,
+ CASE WHEN number IS NOT NULL AND task IN ('QCO_LOOKUP', 'COMPLIANCE_WORKFLOW') AND len(ss) = 0 THEN 'No order is linked to this standard; whether it is mandatory is UNKNOWN.' END,
+ CASE WHEN number IS NOT NULL AND task = 'TEST_LOOKUP' THEN 'No tests are recorded for this standard (UNKNOWN).' END, CASE WHEN number IS NOT NULL THEN 'Laboratories (' || len(ps) || ' found): ' || array_to_string(ps[1:3], '; ') || '.' END,
+ CASE WHEN number IS NULL AND n IS NOT NULL THEN 'Answered from evidence; no record was resolved.' END, CASE WHEN n IS NOT NULL THEN 'Supporting evidence: ' || n || ' cited, best match ' || chr(39) || top || chr(39) || '.' END) END AS answer,
+ CASE WHEN number IS NULL AND n IS NULL THEN 'UNKNOWN' ELSE 'COMPLETED' END AS status FROM j""")
+def answers(spark, sf_dir):
+    customer, orders, nation = (load(spark, sf_dir, t) for t in ("customer", "orders", "nation"))
+    k = F.col("c_custkey")
+    tasks = ["SIMPLE_LOOKUP", "VERIFICATION", "QCO_LOOKUP", "TEST_LOOKUP", "LAB_LOOKUP", "COMPLIANCE_WORKFLOW"]
+    questions = customer.select(k.alias("question_id"), F.element_at(F.array(*map(F.lit, tasks)), (k % 6 + 1).cast("int")).alias("task"), F.when(k % 12 == 1, "VALIDATED").alias("verdict"))
+    lists = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("products"), F.array_sort(F.collect_set("o_orderstatus")).alias("orders"))
+    nothing = F.array().cast("array<string>")
+    bundles = customer.where(k % 3 > 0).join(nation, F.col("n_nationkey") == F.col("c_nationkey")).join(lists, F.col("o_custkey") == k)
+    bundles = bundles.select(k.alias("question_id"), F.col("n_name").alias("number"), F.when(k % 5 > 0, F.concat(F.lit("title "), k.cast("string"))).alias("title"), "products", F.when(k % 4 > 0, F.col("orders")).otherwise(nothing).alias("orders"), nothing.alias("schemes"), nothing.alias("tests"), F.col("products").alias("labs"))
+    evidence = orders.where("o_totalprice > 200000").select(F.col("o_custkey").alias("question_id"), F.col("o_orderpriority").alias("title"), F.col("o_totalprice").alias("score"))
+    return answer.answers(questions, bundles, evidence)

@@ -72,3 +72,29 @@ def requirement_list(spark, sf_dir):
 def row_window(spark, sf_dir):
     line = load(spark, sf_dir, "lineitem")
     return planning.file_slice(line, "l_linenumber", "l_orderkey", [1, 2], 100, 500).groupBy(F.col("l_linenumber").alias("file_id")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("SELECT l_suppkey AS file_id, count(*) AS n_sheets, sum(l_quantity)::BIGINT AS n_rows, max(l_linenumber) AS n_columns, arg_min(l_returnflag, (-l_extendedprice, l_orderkey * 10 + l_linenumber)) AS domain FROM lineitem GROUP BY 1")
+def file_rollup(spark, sf_dir):
+    line = load(spark, sf_dir, "lineitem")
+    return planning.file_rollup(line.select(F.col("l_suppkey").alias("file_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("sheet"), F.col("l_quantity").cast("long").alias("n_rows"), F.col("l_linenumber").alias("n_columns"), F.col("l_returnflag").alias("domain"), F.col("l_extendedprice").alias("score")))
+
+
+@query("""WITH w AS (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_type || ' thing' END AS product FROM part), e AS (SELECT p_partkey AS product_id, 'IS ' || p_size AS standard FROM part WHERE p_size > 25),
+l AS (SELECT product, min(standard) AS linked FROM w JOIN part ON lower(trim(p_name)) = lower(trim(product)) JOIN e ON product_id = p_partkey GROUP BY 1),
+k AS (SELECT DISTINCT 'IS ' || p_size AS standard, lower(p_type) AS word FROM part), t AS (SELECT DISTINCT product, unnest(regexp_split_to_array(lower(product), '[^a-z0-9]+')) AS word FROM w), h AS (SELECT product, standard, count(*) AS n FROM t JOIN k USING (word) WHERE length(word) >= 3 GROUP BY 1, 2),
+f AS (SELECT product, arg_min(standard, (-n, standard)) AS found FROM h GROUP BY 1)
+SELECT w.product, coalesce(linked, found) AS standard, CASE WHEN linked IS NOT NULL THEN 'LINKED' WHEN found IS NOT NULL THEN 'KEYWORD' ELSE 'NOT_FOUND' END AS how FROM w LEFT JOIN l ON l.product = w.product LEFT JOIN f ON f.product = w.product""")
+def resolved_products(spark, sf_dir):
+    part = load(spark, sf_dir, "part")
+    standard = F.concat(F.lit("IS "), F.col("p_size").cast("string")).alias("standard")
+    wanted = part.select(F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.concat("p_type", F.lit(" thing"))).alias("product")).distinct()
+    edges = part.where("p_size > 25").select(F.col("p_partkey").alias("product_id"), standard)
+    keywords = part.select(standard, F.lower("p_type").alias("word")).distinct()
+    return planning.resolve_products(wanted, part.select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("name")), edges, keywords)
+
+
+@query("SELECT o_orderkey AS id, unnest(CASE o_orderpriority WHEN '1-URGENT' THEN ['fast', 'all'] WHEN '2-HIGH' THEN ['fast', 'all'] WHEN '5-LOW' THEN ['all'] ELSE [] END) AS dataset FROM orders")
+def manual_sections(spark, sf_dir):
+    orders = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_orderpriority")
+    return planning.sections(orders, "o_orderpriority", {"fast": ["1-URGENT", "2-HIGH"], "all": ["1-URGENT", "2-HIGH", "5-LOW"]}).select("id", "dataset")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,15 +39,34 @@ def numeric_or_null(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.withColumns({c: F.expr(f"try_cast(nullif(trim(`{c}`), '') AS {t})") for c, t in columns.items()})
 
 
-_SQL = {T.StringType: "text", T.IntegerType: "integer", T.LongType: "bigint", T.DoubleType: "double precision", T.BooleanType: "boolean"}
+_SQL = {T.StringType: "text", T.ShortType: "smallint", T.IntegerType: "integer", T.LongType: "bigint", T.FloatType: "real", T.DoubleType: "double precision", T.BooleanType: "boolean", T.DateType: "date", T.TimestampType: "timestamptz", T.TimestampNTZType: "timestamp", T.BinaryType: "bytea"}
+
+
+def _sql_type(kind: T.DataType) -> str:
+    if isinstance(kind, T.DecimalType):
+        return f"numeric({kind.precision}, {kind.scale})"
+    if isinstance(kind, T.ArrayType):
+        return _sql_type(kind.elementType) + "[]"
+    return "jsonb" if isinstance(kind, T.StructType | T.MapType) else _SQL.get(type(kind), "text")
 
 
 def ddl(name: str, schema: T.StructType, key: str | None = None) -> str:
     """CREATE TABLE of a schema."""
-    rows = [f"  {f.name} {_SQL.get(type(f.dataType), 'text')}" + (" PRIMARY KEY" if f.name == key else "") for f in schema.fields]
+    rows = [f"  {f.name} {_sql_type(f.dataType)}" + (" PRIMARY KEY" if f.name == key else "") for f in schema.fields]
     return f"CREATE TABLE {name} (\n" + ",\n".join(rows) + "\n);"
 
 
 def manifest(tables: dict[str, DataFrame]) -> list[tuple[str, int, int]]:
     """(table, columns, rows) of each table."""
     return [(name, len(df.columns), df.count()) for name, df in sorted(tables.items())]
+
+
+def save_audit(report: DataFrame, path: str, audit_id: str) -> None:
+    """An audit's decisions as JSON, in a folder of its own; saving again replaces it."""
+    report.withColumn("audit_id", F.lit(audit_id)).write.mode("overwrite").json(f"{path}/audit={audit_id}")
+
+
+def load_audits(spark: SparkSession, path: str, schema: T.StructType, audit_id: str | None = None) -> DataFrame:
+    """The saved audits, or one of them; the folder is the filter."""
+    found = spark.read.schema(schema).json(path)
+    return found.where(F.col("audit") == audit_id) if audit_id else found

@@ -136,3 +136,19 @@ def test_long_lists_are_cut(spark):
     edges = spark.range(3000).select(F.lit(1).alias("k"), F.format_string("v%05d", "id").alias("v"))
     row = integrate.with_aspects(masters, "k", {"x": (edges, "k", "v")}, chars=50).where("k = 1").first()
     assert row.x_count == 3000 and row.x_list == "v00000 | v00001 | v00002 | v00003 | v00004 | +2995 more"
+
+
+def test_audits_are_kept(spark, tmp_path):
+    made = spark.createDataFrame([("REQ-1", "PASS"), ("REQ-2", "GAP")], "requirement_id string, decision string")
+    sinks.save_audit(made, str(tmp_path), "a1")
+    sinks.save_audit(made.where("decision = 'GAP'"), str(tmp_path), "a2")
+    sinks.save_audit(made.limit(1), str(tmp_path), "a2")
+    schema = made.schema
+    assert sinks.load_audits(spark, str(tmp_path), schema).count() == 3
+    assert [r.requirement_id for r in sinks.load_audits(spark, str(tmp_path), schema, "a2").collect()] == ["REQ-1"]
+
+
+def test_ddl_types(spark):
+    schema = spark.createDataFrame([], "a decimal(10,2), b date, c timestamp, d array<int>, e struct<x: int>, f string").schema
+    text = sinks.ddl("t", schema)
+    assert [line.split(" ", 1)[1] for line in text.replace(",\n", "\n").split("\n  ")[1:]] == ["numeric(10, 2)", "date", "timestamptz", "integer[]", "jsonb", "text\n);"]
