@@ -22,5 +22,5 @@ def test_query(name, spark, sf, duck):
 def test_entry(spark):
     import __spark_entry__ as e
 
-    assert e.entry(spark).count() == 4
+    assert e.entry(spark).count() == 5
     assert set(e.oracle_sql()) <= set(e.queries())
