@@ -39,6 +39,29 @@ def bounded(small: DataFrame, row_bytes: int = 32) -> DataFrame:
     return F.broadcast(small) if small.count() * row_bytes <= BROADCAST_BYTES else small
 
 
+def met(rows: DataFrame, facts: DataFrame, key: str, share: int = 1000, row_bytes: int = 64) -> DataFrame:
+    """``rows`` inner joined to ``facts`` on ``key``, where one key may hold any part of ``rows``.
+
+    facts: one row a key, with ``n``, how many of ``rows`` have it; ``n`` isn't in the result. Both should be
+    written tables. Facts that fit are broadcast. Else keys with over 1 / ``share`` of all rows, so fewer
+    than ``share`` keys, are broadcast, and the others, each with so few rows, meet by a shuffle.
+    """
+    found = facts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if found[0] * row_bytes <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(facts.drop("n")), key)
+    hot = F.col("n") * share > found[1]
+    many = F.broadcast(facts.where(hot).drop("n"))
+    few = rows.join(many.select(key), key, "left_anti").join(facts.where(~hot).drop("n"), key)
+    return rows.join(many, key).unionByName(few)
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new folder in the shared one, for files; deleted as tables are that ``written`` makes."""
+    path = f"{shared_dir(spark)}/lumenfold-{what}-{uuid.uuid4().hex}"
+    _paths.get().append(path)
+    return path
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here.
 

@@ -5,6 +5,7 @@ import sys
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
 
@@ -45,7 +46,7 @@ def duck():
 
 
 def cell(v) -> str:
-    if v is None or v != v:
+    if v is None or v is pd.NA or v != v:
         return "None"
     if isinstance(v, (bool,)) or type(v).__name__ == "bool_":
         return str(bool(v))
