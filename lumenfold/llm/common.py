@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lumenfold.storage import BROADCAST_BYTES, bounded, discarded, settled, written
+from lumenfold.storage import BROADCAST_BYTES, bounded, discarded, met, scratch, settled, shared_dir, written
 
-__all__ = ["BROADCAST_BYTES", "SPACE", "bounded", "discarded", "drop_clashing", "nested", "row_schema", "settled", "table", "text_or_empty", "written"]
+__all__ = ["BROADCAST_BYTES", "SPACE", "bounded", "discarded", "drop_clashing", "met", "nested", "row_schema", "scratch", "settled", "shared_dir", "table", "text_or_empty", "written"]
 
 #: Word separators: space and U+0009 to U+000D.
 SPACE = "\\x20\\x09-\\x0D"

@@ -16,6 +16,9 @@ QUERIES = {
     "op5_decontaminate": ("decontaminate", None),
     "op2_jaccard_join": ("jaccard_join", "SQL"),
     "op10_quality_rules": ("quality_rules", "SQL"),
+    "op11_spelling_variants": ("spelling", "SQL"),
+    "op12_fill_in_middle": ("fill_in_middle", "SQL"),
+    "op13_warc": ("warc", "SQL"),
 }
 
 
