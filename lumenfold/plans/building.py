@@ -24,7 +24,7 @@ MODEL = canonical.Model(
 
 _ROWS = f"""WITH rows AS (SELECT 'F1' AS f, * FROM ({_OWN}) UNION ALL SELECT 'F2', * FROM ({_COPY})),
 p AS (SELECT f, p_partkey AS r, lower(trim(p_name)) || '|' || lower(trim(p_type)) AS key, trim(p_name) AS name, p_size AS size, CASE WHEN p_brand = 'n/a' THEN NULL ELSE trim(p_brand) END AS brand, trim(p_type) AS type FROM rows),
-s AS (SELECT 'F3' AS f, s_suppkey AS r, lower(trim(s_name)) AS key, trim(s_name) AS name, CAST(s_nationkey AS VARCHAR) AS country FROM supplier),
+s AS (SELECT 'F3' AS f, s_suppkey AS r, lower(trim(s_name)) AS key, trim(s_name) AS name, CAST(s_nationkey AS VARCHAR) AS country, s_acctbal AS balance FROM supplier),
 refs AS (SELECT 'PRODUCT' AS entity, key, 'HAS_BRAND' AS relation, 'BRAND' AS to_entity, lower(trim(m)) AS to_key, trim(m) AS value, f, r FROM (SELECT *, unnest(string_split(brand, '&amp;')) AS m FROM p WHERE brand IS NOT NULL) WHERE trim(m) <> ''
   UNION ALL SELECT 'SUPPLIER', key, 'IN_COUNTRY', 'COUNTRY', country, country, f, r FROM s WHERE country IS NOT NULL),
 own AS (SELECT DISTINCT 'PRODUCT' AS entity, key FROM p UNION SELECT DISTINCT 'SUPPLIER', key FROM s),
@@ -72,7 +72,7 @@ def first_references(spark, sf_dir):
     return canonical.first_references(refs, ids)
 
 
-@query(f"""{_ROWS}, c AS (SELECT 'PRODUCT' AS entity, key, f, r, unnest(['name', 'size', 'brand', 'type']) AS target, unnest([name, CAST(size AS VARCHAR), brand, type]) AS value FROM p UNION ALL SELECT 'SUPPLIER', key, f, r, unnest(['name', 'country']), unnest([name, country]) FROM s)
+@query(f"""{_ROWS}, c AS (SELECT 'PRODUCT' AS entity, key, f, r, unnest(['name', 'size', 'brand', 'type']) AS target, unnest([name, CAST(size AS VARCHAR), brand, type]) AS value FROM p UNION ALL SELECT 'SUPPLIER', key, f, r, unnest(['name', 'country', 'balance']), unnest([name, country, CAST(balance AS VARCHAR)]) FROM s)
 SELECT id, target, f AS file_id, r AS row_no, value, 'ROW' AS kind FROM c JOIN ids USING (entity, key) WHERE value IS NOT NULL UNION ALL SELECT id, relation, f, r, value, 'REFERENCE' FROM refs JOIN ids ON ids.entity = to_entity AND ids.key = to_key WHERE NOT direct""")
 def canonical_sources(spark, sf_dir):
-    return canonical.source_cells(*_build(spark, sf_dir)).where("target <> 'balance'")
+    return canonical.source_cells(*_build(spark, sf_dir))

@@ -54,11 +54,11 @@ def quarantined(spark, sf_dir):
     return integrity.quarantine(edges, ["source", "target"])[1].select("id", "missing_ends")
 
 
-@query("""WITH f AS (SELECT doc_id AS file_id, md5(text) AS a, md5(left(text, 40)) AS b, source AS c FROM documents WHERE text IS NOT NULL), n AS (SELECT *, count(*) OVER (PARTITION BY a) AS na, min(file_id) OVER (PARTITION BY a) AS fa, count(*) OVER (PARTITION BY b) AS nb, min(file_id) OVER (PARTITION BY b) AS fb, CASE WHEN c IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY c) END AS nc, min(file_id) OVER (PARTITION BY c) AS fc FROM f)
+@query(r"""WITH f AS (SELECT doc_id AS file_id, md5(text) AS a, md5(lower(trim(regexp_replace(text, '[\x09-\x0D ]+', ' ', 'g')))) AS b, source AS c FROM documents WHERE text IS NOT NULL), n AS (SELECT *, count(*) OVER (PARTITION BY a) AS na, min(file_id) OVER (PARTITION BY a) AS fa, count(*) OVER (PARTITION BY b) AS nb, min(file_id) OVER (PARTITION BY b) AS fb, CASE WHEN c IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY c) END AS nc, min(file_id) OVER (PARTITION BY c) AS fc FROM f)
 SELECT file_id, CASE WHEN na > 1 THEN 'BYTES' WHEN nb > 1 THEN 'CONTENT' ELSE 'NAME' END AS basis, CASE WHEN na > 1 THEN fa WHEN nb > 1 THEN fb ELSE fc END AS group_id FROM n WHERE na > 1 OR nb > 1 OR nc > 1""")
 def duplicate_groups(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").where("text IS NOT NULL")
-    return profile.duplicate_groups(docs.select(F.col("doc_id").alias("file_id"), F.md5("text").alias("sha256"), F.md5(F.substring("text", 1, 40)).alias("content"), F.col("source").alias("family")))
+    return profile.duplicate_groups(docs.select(F.col("doc_id").alias("file_id"), F.md5("text").alias("sha256"), F.md5(F.lower(F.trim(F.regexp_replace("text", r"[\x09-\x0D ]+", " ")))).alias("content"), F.col("source").alias("family")))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber::BIGINT * 1000000000 + l_partkey) AS n FROM lineitem) WHERE n = 1")

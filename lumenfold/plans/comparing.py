@@ -20,16 +20,17 @@ def schema_compare(spark, sf_dir):
     return compare.schema_pairs(spark.createDataFrame(facts, "name string, headers array<string>"))
 
 
-_LINE = "SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS line_id, l_orderkey, l_linenumber, l_returnflag FROM lineitem"
+#: Two sides of the orders, most of which both have; row numbers are of each side's own making.
+_SIDE = "SELECT '{p}-' || o_orderkey AS row_no, CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, lower(o_orderpriority) AS o_orderpriority FROM orders WHERE o_orderkey % {m} <> 0"
+_SIDES = ["row_no", "o_orderkey", "o_custkey", "o_orderpriority"]
 
 
-@query(f"""WITH l AS ({_LINE}), a AS (SELECT * FROM l WHERE l_linenumber <= 3), b AS (SELECT * FROM l WHERE l_linenumber >= 2),
-s AS (SELECT (SELECT count(DISTINCT line_id) FROM a) AS da, (SELECT count(DISTINCT line_id) FROM b) AS db, (SELECT count(*) FROM (SELECT line_id FROM a INTERSECT SELECT line_id FROM b)) AS sh)
-SELECT 'line_id' AS "column", da AS distinct_a, db AS distinct_b, sh AS shared, CASE WHEN sh = 0 THEN 'SURROGATE' ELSE 'KEY' END AS role FROM s
-WHERE (SELECT count(DISTINCT line_id) >= 0.95 * count(*) FROM a) AND (SELECT count(DISTINCT line_id) >= 0.95 * count(*) FROM b)""")
+@query(f"WITH a AS ({_SIDE.format(p='a', m=3)}), b AS ({_SIDE.format(p='b', m=4)})" + " UNION ALL ".join(f""" SELECT * FROM (SELECT '{c}' AS "column", (SELECT count(DISTINCT {c}) FROM a) AS distinct_a, (SELECT count(DISTINCT {c}) FROM b) AS distinct_b, (SELECT count(*) FROM (SELECT {c} FROM a INTERSECT SELECT {c} FROM b)) AS shared,
+ CASE WHEN (SELECT count(*) FROM (SELECT {c} FROM a INTERSECT SELECT {c} FROM b)) = 0 THEN 'SURROGATE' ELSE 'KEY' END AS role) WHERE distinct_a >= 0.95 * (SELECT count(*) FROM a) AND distinct_b >= 0.95 * (SELECT count(*) FROM b)""" for c in _SIDES))
 def key_discovery(spark, sf_dir):
-    line = load(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("line_id"), "l_orderkey", "l_linenumber", "l_returnflag")
-    return compare.key_candidates(line.where("l_linenumber <= 3"), line.where("l_linenumber >= 2"))
+    orders = load(spark, sf_dir, "orders")
+    side = lambda p, m: orders.where(F.col("o_orderkey") % m != 0).select(F.concat(F.lit(f"{p}-"), F.col("o_orderkey").cast("string")).alias("row_no"), *_SIDES[1:])
+    return compare.key_candidates(side("a", 3), side("b", 4))
 
 
 @query("""WITH b AS (SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN upper(s_name) || ' ' WHEN s_suppkey % 5 = 0 THEN s_name || ' Ltd' ELSE s_name END AS s_name, CASE WHEN s_suppkey % 11 = 0 THEN NULL ELSE s_nationkey + (CASE WHEN s_suppkey % 3 = 0 THEN 1 ELSE 0 END) END AS s_nationkey FROM supplier),

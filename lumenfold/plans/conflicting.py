@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenfold.operators import compare, conflicts
+from lumenfold.plans.comparing import _TOK
 from lumenfold.plans.registry import load, query
 
+_JACCARD = "CASE WHEN len(list_distinct(list_concat(tx, ty))) = 0 THEN 0 ELSE round(len(list_intersect(tx, ty)) / len(list_distinct(list_concat(tx, ty))), 4) END"
+
 #: A pair of values, what the field is, which side is newer, and what its two columns mean; by the part's number.
 _CASES = """SELECT p_partkey AS id,
  CASE p_partkey % 13 WHEN 6 THEN p_type WHEN 7 THEN '2024-01-0' || CAST(1 + p_partkey % 9 AS VARCHAR) WHEN 8 THEN CAST(p_size AS VARCHAR) WHEN 11 THEN 'n/a' ELSE p_name END AS value_a,
@@ -76,13 +79,13 @@ def _same(c):
 
 @query(f"""WITH a AS ({_OWN}), b AS ({_COPY}), u AS (SELECT a.p_partkey AS k, 'p_name' AS col, a.p_name AS x, b.p_name AS y FROM a JOIN b USING (p_partkey) UNION ALL SELECT a.p_partkey, 'p_brand', a.p_brand, b.p_brand FROM a JOIN b USING (p_partkey)),
 d AS (SELECT *, (y IS NULL OR y = 'n/a') AS gone, contains(y, '&amp;') AS my FROM u WHERE x IS DISTINCT FROM y),
-w AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(x, '')), '[^0-9a-z]+'), lambda t: t <> '')) AS tx, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(y, '')), '[^0-9a-z]+'), lambda t: t <> '' AND NOT (t = 'a'))) AS ty FROM d)
+w AS (SELECT *, {_TOK.format(c="coalesce(x, '')")} AS tx, {_TOK.format(c="coalesce(y, '')")} AS ty FROM d)
 SELECT col AS "column", count(*) AS n, count(DISTINCT k) AS keys, 0::BIGINT AS a_blank, count(*) FILTER (gone) AS b_blank, 0::BIGINT AS a_artefacts, count(*) FILTER (my) AS b_artefacts, count(*) FILTER (NOT gone) AS both_real,
- count(*) FILTER ({_same('x')} = {_same('y')}) AS format_variants, round(avg(floor((length(x) + length(coalesce(y, ''))) / 2)), 4) AS mean_length FROM w GROUP BY col""")
+ count(*) FILTER ({_same('x')} = {_same('y')}) AS format_variants, round(avg(floor((length(x) + length(coalesce(y, ''))) / 2)), 4) AS mean_length, round(avg({_JACCARD}), 4) AS mean_token_jaccard FROM w GROUP BY col""")
 def conflict_shape(spark, sf_dir):
     a = _parts(spark, sf_dir)
     met = compare.matched_cells(a, _copy(a), "p_partkey", ["p_name", "p_brand"])
-    return compare.conflict_shape(met.where(~F.col("value_a").eqNullSafe(F.col("value_b"))), ["column"]).drop("mean_token_jaccard")
+    return compare.conflict_shape(met.where(~F.col("value_a").eqNullSafe(F.col("value_b"))), ["column"])
 
 
 @query(f"""WITH a AS ({_OWN}), b AS ({_COPY}), ra AS (SELECT p_partkey, {_same('p_name')} AS n, {_same('p_brand')} AS d, p_type, p_size, count(*) AS c FROM a GROUP BY ALL), rb AS (SELECT p_partkey, {_same('p_name')} AS n, {_same('p_brand')} AS d, p_type, p_size, count(*) AS c FROM b GROUP BY ALL),
@@ -90,10 +93,10 @@ j AS (SELECT coalesce(ra.c, 0) AS x, coalesce(rb.c, 0) AS y FROM ra FULL JOIN rb
 r AS (SELECT sum(x)::BIGINT AS rows_a, sum(y)::BIGINT AS rows_b, sum(least(x, y))::BIGINT AS common_rows FROM j),
 k AS (SELECT count(*) FILTER (a.p_partkey = b.p_partkey) AS common_keys, count(*) FILTER (b.p_partkey IS NULL) AS only_a_keys, count(*) FILTER (a.p_partkey IS NULL) AS only_b_keys FROM (SELECT DISTINCT p_partkey FROM a) a FULL JOIN (SELECT DISTINCT p_partkey FROM b) b ON a.p_partkey = b.p_partkey),
 e AS (SELECT count(*) FILTER (a.n = b.n) / count(*) AS ej FROM (SELECT DISTINCT {_same('p_name')} AS n FROM a) a FULL JOIN (SELECT DISTINCT {_same('p_name')} AS n FROM b) b ON a.n = b.n)
-SELECT rows_a, rows_b, common_rows, round(common_rows / (rows_a + rows_b - common_rows), 4) AS row_jaccard, round(0.65 * round(common_rows / (rows_a + rows_b - common_rows), 4) + 0.35, 4) AS similarity, common_keys, only_a_keys, only_b_keys, round(common_keys / (common_keys + only_a_keys + only_b_keys), 4) AS key_jaccard, round(ej, 4) AS entity_jaccard, CASE WHEN common_keys > 0 THEN 'KEY_LINKED' ELSE 'OTHER' END AS identity FROM r, k, e""")
+SELECT rows_a, rows_b, common_rows, 5 AS common_columns, 1.0::DOUBLE AS column_jaccard, true AS reliable, round(common_rows / (rows_a + rows_b - common_rows), 4) AS row_jaccard, round(0.65 * round(common_rows / (rows_a + rows_b - common_rows), 4) + 0.35, 4) AS similarity, common_keys, only_a_keys, only_b_keys, round(common_keys / (common_keys + only_a_keys + only_b_keys), 4) AS key_jaccard, round(ej, 4) AS entity_jaccard, CASE WHEN common_keys > 0 THEN 'KEY_LINKED' ELSE 'OTHER' END AS identity FROM r, k, e""")
 def deep_pair(spark, sf_dir):
     a = _parts(spark, sf_dir)
-    return compare.deep_pair(a, _copy(a), "p_partkey", ["p_name"]).drop("common_columns", "column_jaccard", "reliable")
+    return compare.deep_pair(a, _copy(a), "p_partkey", ["p_name"])
 
 
 #: Facts of pairs, made of customers' numbers so that every step of the cascade is met.
@@ -139,9 +142,25 @@ def _shapes(spark, sf_dir):
     return named.groupBy(F.col("l_suppkey").alias("pair"), "column").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_orderkey").alias("keys"), F.count(F.when(F.col("l_returnflag") != "R", 1)).alias("both_real"), F.count(F.when((F.col("l_discount") > 0.09) & (F.col("l_suppkey") % 2 == 0), 1)).alias("format_variants"), F.round(F.avg("l_quantity") + 16, 4).alias("mean_length"), F.round(F.avg("l_tax") * 5, 4).alias("mean_token_jaccard"))
 
 
-@query(f"SELECT pair, col AS \"column\" FROM ({_SHAPES}) WHERE keys >= 0.95 * 3 AND both_real >= 0.95 * n AND format_variants = 0 AND mean_length >= 40 AND mean_token_jaccard < 0.2")
+#: Two notes on each part: in some brands on different matters, in others in the same words, with cells alike, or short.
+_NOTES = """SELECT p_brand AS pair, CAST(p_partkey AS VARCHAR) AS key, 'notes' AS col, 'kept dry in the northern depot since its ' || lower(p_type) || ' batch of ' || p_size AS x,
+ CASE WHEN p_size % 2 = 0 AND substring(p_brand, 7) IN ('2', '7') THEN 'kept dry in the northern depot since its ' || lower(p_type) || ' batch of ' || p_size WHEN substring(p_brand, 7) IN ('3', '8') THEN 'kept dry in the southern depot since its batch of ' || p_size ELSE 'invoices go through ' || p_name || ' brokers whenever customs duties rise' END AS y FROM part
+ UNION ALL SELECT p_brand, CAST(p_partkey AS VARCHAR), 'code', p_type, p_name FROM part"""
+
+
+@query(f"""WITH n AS ({_NOTES}), m AS (SELECT pair, count(*) AS matched FROM part JOIN (SELECT DISTINCT pair FROM n) ON pair = p_brand GROUP BY 1), w AS (SELECT *, {_TOK.format(c='x')} AS tx, {_TOK.format(c='y')} AS ty FROM n WHERE x <> y),
+s AS (SELECT pair, col, count(*) AS n, count(DISTINCT key) AS keys, avg(floor((length(x) + length(y)) / 2)) AS l, avg({_JACCARD}) AS j FROM w GROUP BY 1, 2) SELECT pair, col AS "column" FROM s JOIN m USING (pair) WHERE keys >= 0.95 * matched AND l >= 40 AND round(j, 4) < 0.2""")
 def homonyms(spark, sf_dir):
-    return compare.homonyms(_shapes(spark, sf_dir), F.lit(3)).select("pair", "column")
+    """Columns of one name whose cells, taken key by key, are about different things."""
+    part, mark = load(spark, sf_dir, "part"), F.substring("p_brand", 7, 9)
+    same = F.concat(F.lit("kept dry in the northern depot since its "), F.lower("p_type"), F.lit(" batch of "), "p_size")
+    other = F.concat(F.lit("invoices go through "), "p_name", F.lit(" brokers whenever customs duties rise"))
+    notes = F.when((F.col("p_size") % 2 == 0) & mark.isin("2", "7"), same).when(mark.isin("3", "8"), F.concat(F.lit("kept dry in the southern depot since its batch of "), "p_size")).otherwise(other)
+    cells = lambda c, a, b: part.select(F.col("p_brand").alias("pair"), F.col("p_partkey").cast("string").alias("key"), F.lit(c).alias("column"), a.alias("value_a"), b.alias("value_b"))
+    met = cells("notes", same, notes).unionByName(cells("code", F.col("p_type"), F.col("p_name")))
+    shapes = compare.conflict_shape(met.where("value_a <> value_b"), ["pair", "column"])
+    matched = part.groupBy(F.col("p_brand").alias("pair")).agg(F.count("*").alias("matched"))
+    return compare.homonyms(shapes.join(matched, "pair"), F.col("matched")).select("pair", "column")
 
 
 @query(f"SELECT pair, col AS \"column\" FROM ({_SHAPES}) WHERE col IN ('scheme_id', 'lab_name') AND keys >= 0.99 * 40")

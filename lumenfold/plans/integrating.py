@@ -69,9 +69,9 @@ def provenance_coverage(spark, sf_dir):
     return integrate.provenance_gap(masters, recorded)
 
 
-@query("""SELECT 'CH-' || CAST(p_partkey AS VARCHAR) AS chunk_id, c AS content, sha256(c) AS sha256 FROM (SELECT p_partkey, 'p_name: ' || trim(p_name) || '; p_brand: ' || trim(p_brand) || '; p_type: ' || trim(p_type) AS c FROM part) WHERE length(c) >= 60""")
+@query("""SELECT 'CH-' || CAST(p_partkey AS VARCHAR) AS chunk_id, c AS content, sha256(c) AS sha256 FROM (SELECT p_partkey, 'p_name: ' || trim(p_name) || '; p_brand: ' || trim(p_brand) || '; p_type: ' || trim(p_type) AS c FROM part) WHERE length(c) >= 40""")
 def chunk_rows(spark, sf_dir):
-    return integrate.chunk_rows(load(spark, sf_dir, "part"), "p_partkey", ["p_name", "p_brand", "p_type"], 60)
+    return integrate.chunk_rows(load(spark, sf_dir, "part"), "p_partkey", ["p_name", "p_brand", "p_type"])
 
 
 @query("SELECT doc_id, i AS page, length(substr(text, (i - 1) * 1000 + 1, 1000))::INTEGER AS chars, md5(substr(text, (i - 1) * 1000 + 1, 1000)) AS digest FROM documents, unnest(range(1, greatest(CAST(ceil(length(text) / 1000) AS BIGINT), 1) + 1)) u(i)")
@@ -108,12 +108,11 @@ def audit_tail(spark, sf_dir):
     return integrate.audit_tail(load(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), "c_mktsegment", "c_custkey"), "nation", "c_mktsegment", "c_custkey", 5)
 
 
-@query("""WITH b AS (SELECT s_nationkey AS k, count(DISTINCT s_suppkey) AS n FROM supplier GROUP BY 1), c AS (SELECT c_nationkey AS k, count(DISTINCT c_mktsegment) AS n, string_agg(DISTINCT c_mktsegment, ' | ' ORDER BY c_mktsegment) AS l FROM customer GROUP BY 1)
-SELECT n_nationkey, n_name, coalesce(b.n, 0) AS supplier_count, coalesce(c.n, 0) AS segment_count, coalesce(c.l, '') AS segment_list FROM nation LEFT JOIN b ON b.k = n_nationkey LEFT JOIN c ON c.k = n_nationkey""")
+@query("""WITH b AS (SELECT s_nationkey AS k, count(DISTINCT s_suppkey) AS n, list_sort(list(DISTINCT CAST(s_suppkey AS VARCHAR))) AS l FROM supplier GROUP BY 1), c AS (SELECT c_nationkey AS k, count(DISTINCT c_mktsegment) AS n, string_agg(DISTINCT c_mktsegment, ' | ' ORDER BY c_mktsegment) AS l FROM customer GROUP BY 1)
+SELECT n_nationkey, n_name, coalesce(b.n, 0) AS supplier_count, coalesce(array_to_string(b.l, ' | '), '') AS supplier_list, coalesce(c.n, 0) AS segment_count, coalesce(c.l, '') AS segment_list FROM nation LEFT JOIN b ON b.k = n_nationkey LEFT JOIN c ON c.k = n_nationkey""")
 def wide_view(spark, sf_dir):
     nation, s, c = (load(spark, sf_dir, t) for t in ("nation", "supplier", "customer"))
-    wide = integrate.with_aspects(nation.select("n_nationkey", "n_name"), "n_nationkey", {"supplier": (s, "s_nationkey", "s_suppkey"), "segment": (c, "c_nationkey", "c_mktsegment")})
-    return wide.drop("supplier_list")
+    return integrate.with_aspects(nation.select("n_nationkey", "n_name"), "n_nationkey", {"supplier": (s, "s_nationkey", "s_suppkey"), "segment": (c, "c_nationkey", "c_mktsegment")})
 
 
 @query("SELECT o_orderstatus AS status, count(*) AS n FROM orders WHERE o_orderkey % 10 <> 0 GROUP BY 1 UNION ALL SELECT 'NEW', count(*) FROM orders WHERE o_orderkey % 10 = 0")

@@ -31,10 +31,10 @@ def entity_kinds(spark, sf_dir):
 
 
 @query("""WITH f AS (SELECT 'doc_id' AS col, avg(length(CAST(doc_id AS VARCHAR))) AS l, bool_and(regexp_matches(CAST(doc_id AS VARCHAR), '^[0-9]+$')) AS num FROM documents UNION ALL SELECT 'text', avg(length(text)), bool_and(regexp_matches(text, '^[0-9]+$')) FROM documents
- UNION ALL SELECT 'lang', avg(length(lang)), false FROM documents UNION ALL SELECT 'n_chars', avg(length(CAST(n_chars AS VARCHAR))), bool_and(regexp_matches(CAST(n_chars AS VARCHAR), '^[0-9]+$')) FROM documents)
+ UNION ALL SELECT 'lang', avg(length(lang)), false FROM documents UNION ALL SELECT 'source', avg(length(source)), false FROM documents UNION ALL SELECT 'n_chars', avg(length(CAST(n_chars AS VARCHAR))), bool_and(regexp_matches(CAST(n_chars AS VARCHAR), '^[0-9]+$')) FROM documents)
 SELECT col AS "column", CASE WHEN col LIKE '%\\_id' ESCAPE '\\' THEN 'PRIMARY_KEY_ID' WHEN num THEN 'NUMERIC_OR_COUNT' WHEN l > 80 THEN 'FREE_TEXT' ELSE 'UNCLASSIFIED_STRING' END AS semantic_type FROM f""")
 def semantic_columns(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     facts = profile.cells(docs).groupBy("column").agg(F.count("value").alias("n"), F.sum(F.col("value").rlike(STANDARD_LIKE).cast("long")).alias("hits"), F.avg(F.length("value")).alias("length"))
     typed = facts.join(profile.profile_columns(docs).select("column", "data_type", "multivalue_ratio"), "column")
     return typed.select("column", semantic_type(norm_header(F.col("column")), F.col("data_type"), F.col("n"), F.col("hits"), F.col("multivalue_ratio"), F.col("length")).alias("semantic_type"))

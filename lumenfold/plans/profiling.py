@@ -57,7 +57,7 @@ def profile_events(spark, sf_dir):
     return profile.profile_columns(load(spark, sf_dir, "events").select(*_EVENTS))
 
 
-_TYPED = ["p_name", "p_brand", "p_type", "p_size"]
+_TYPED = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
 
 
 @query(f"WITH cells AS ({_unpivot('part', _TYPED)}), g AS (SELECT col, list_sort(list_distinct(list({KIND}))) AS ks FROM cells GROUP BY col) SELECT col AS \"column\", {TYPE} AS data_type FROM g")
@@ -73,28 +73,28 @@ def multivalue_ratio(spark, sf_dir):
     return docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.coalesce(is_list(F.col("text")), F.lit(False)).cast("double")), 4).alias("ratio"))
 
 
-_NATION = ["n_nationkey", "n_name", "n_regionkey"]
+_CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
 
 
 def _norm(c: str) -> str:
     return NORM.replace("trim(v)", f"trim(CAST({c} AS VARCHAR))").replace("v IS NULL", f"{c} IS NULL")
 
 
-@query(f"""WITH r AS (SELECT sha1(concat_ws(chr(31), {', '.join(f'({_norm(c)})' for c in _NATION)})) AS h,
-  {' + '.join(f"(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END)" for c in _NATION)} AS nulls FROM nation)
+@query(f"""WITH r AS (SELECT sha1(concat_ws(chr(31), {', '.join(f'({_norm(c)})' for c in _CUSTOMER)})) AS h,
+  {' + '.join(f"(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END)" for c in _CUSTOMER)} AS nulls FROM customer)
 SELECT count(*) AS total_rows, count(*) AS non_blank_rows, sum(nulls)::BIGINT AS null_cells, 0::BIGINT AS placeholder_cells, count(DISTINCT h) AS unique_rows, count(*) - count(DISTINCT h) AS duplicate_rows FROM r""")
 def table_profile(spark, sf_dir):
-    return profile.table_profile(load(spark, sf_dir, "nation").select(*_NATION))
+    return profile.table_profile(load(spark, sf_dir, "customer").select(*_CUSTOMER))
 
 
 _FOLD = "sha256(concat_ws(':', CAST(sum(CAST(('0x' || left({h}, 15)) AS BIGINT)::HUGEINT) AS VARCHAR), CAST(bit_xor(CAST(('0x' || left({h}, 15)) AS BIGINT)) AS VARCHAR), CAST(count(*) AS VARCHAR)))"
 
 
-@query(f"""WITH r AS (SELECT n_nationkey AS k, left(sha1(concat_ws(chr(31), {', '.join(f'({_norm(c)})' for c in _NATION)})), 16) AS h FROM nation),
+@query(f"""WITH r AS (SELECT c_custkey AS k, left(sha1(concat_ws(chr(31), {', '.join(f'({_norm(c)})' for c in _CUSTOMER)})), 16) AS h FROM customer),
 q AS (SELECT h, sha1(concat_ws(':', CAST(k AS VARCHAR), h)) AS placed FROM r)
 SELECT count(*) AS n_rows, {_FOLD.format(h='h')} AS row_set_signature, {_FOLD.format(h='placed')} AS content_signature FROM q""")
 def table_signature(spark, sf_dir):
-    return profile.signatures(load(spark, sf_dir, "nation").select(*_NATION), "n_nationkey")
+    return profile.signatures(load(spark, sf_dir, "customer").select(*_CUSTOMER), "c_custkey")
 
 
 _CELLS = ", ".join("(" + NORM.replace("trim(v)", f"regexp_replace(CAST({c} AS VARCHAR), '^[ \\t\\r\\n\\f\\x0B]+|[ \\t\\r\\n\\f\\x0B]+$', '', 'g')").replace("v IS NULL", f"{c} IS NULL") + ")" for c in ("text", "lang", "source", "n_chars"))
