@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ["profiling", "comparing", "conflicting", "grouping", "building", "checking", "planning", "integrating", "retrieving", "auditing", "answering", "streams"]
+MODULES = ["profiling", "comparing", "conflicting", "grouping", "building", "checking", "planning", "integrating", "retrieving", "batches", "auditing", "answering", "streams"]
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
