@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumenfold.operators import audit
+from lumenfold.operators import audit, recheck
 from lumenfold.plans.registry import load, query
 
 RULES = [
@@ -149,3 +149,34 @@ def evaluation_summary(spark, sf_dir):
     flag = F.col("l_returnflag")
     runs = load(spark, sf_dir, "lineitem").select(F.when(flag == "A", "PASS").when(flag == "N", "SKIP").when(flag == "R", "FAIL").alias("status"), F.col("l_quantity").alias("latency_ms"))
     return audit.summary(runs)
+
+
+#: Requirements about what lines of documents say, one a nation.
+_ASKED = ["email contact of the maker", "licence of the work", "secret kept out of records", "calibration of the instrument"]
+_KINDS = ["TESTING", "FACTORY", "LAB", "CALIBRATION"]
+_OF_DOCUMENTS = f"""WITH line AS (SELECT doc_id, category, ls[i] AS line, i AS pos FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'TEST_REPORT' WHEN doc_id % 3 = 1 THEN 'PROCESS_DOCUMENT' ELSE 'MACHINERY_DOCUMENT' END AS category, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents WHERE doc_id IS NOT NULL) d0, unnest(range(1, len(ls) + 1)) u(i)),
+hit AS (SELECT doc_id, category, pos, line, 0 AS ord, 'email' AS field, trim(regexp_extract(line, '([a-z0-9.]+@[a-z0-9.]+)', 1, 'i')) AS v FROM line UNION ALL SELECT doc_id, category, pos, line, 1, 'licence', trim(regexp_extract(line, 'under the ([a-z ]+?license)', 1, 'i')) FROM line UNION ALL SELECT doc_id, category, pos, line, 2, 'secret', trim(regexp_extract(line, 'password=([0-9a-f]+)', 1, 'i')) FROM line),
+e AS (SELECT doc_id || '-' || pos || '-' || ord AS evidence_id, category, field, left(v, 200) AS value, left(trim(line), 240) AS text FROM hit WHERE v <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, field, lower(left(v, 200)) ORDER BY pos, ord) = 1),
+r AS (SELECT 'REQ-' || n_nationkey AS requirement_id, ({_list(_ASKED)})[n_nationkey % 4 + 1] AS requirement, ({_list(_KINDS)})[n_nationkey % 4 + 1] AS type, 'proof ' || lower(n_name) AS expected FROM nation),
+"""
+
+
+def _rechecked(spark, sf_dir):
+    """A check of most documents, some of them in an older state, and then of all as they are."""
+    k, n = F.col("doc_id"), F.col("n_nationkey")
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.when(k % 3 == 0, "TEST_REPORT").when(k % 3 == 1, "PROCESS_DOCUMENT").otherwise("MACHINERY_DOCUMENT").alias("category"), "text")
+    pick = lambda words: F.element_at(F.array(*map(F.lit, words)), (n % len(words) + 1).cast("int"))
+    asked = load(spark, sf_dir, "nation").select(F.concat(F.lit("REQ-"), n.cast("string")).alias("requirement_id"), pick(_ASKED).alias("requirement"), pick(_KINDS).alias("type"), F.concat(F.lit("proof "), F.lower("n_name")).alias("evidence_expected"))
+    before = docs.where("doc_id % 10 <> 3").withColumn("text", F.when(k % 10 == 4, F.concat(F.lit("older\n"), "text")).otherwise(F.col("text")))
+    first = recheck.check(before, asked, "2026-01-01", RULES)
+    return recheck.recheck(first, docs, asked)
+
+
+@query(f"{_OF_DOCUMENTS}{_DECIDED[_DECIDED.index('t AS (SELECT *, list_distinct'):]} SELECT z.requirement_id, decision, reason_code, coalesce(n_matched, 0) AS n_matched, (SELECT count(*) FROM s WHERE s.requirement_id = z.requirement_id) AS n_candidates FROM z LEFT JOIN d ON d.requirement_id = z.requirement_id")
+def rechecked(spark, sf_dir):
+    return _rechecked(spark, sf_dir).decisions.select("requirement_id", "decision", "reason_code", "n_matched", "n_candidates")
+
+
+@query("SELECT count(*) AS n_documents, count(*) FILTER (doc_id % 10 IN (3, 4)) AS n_extracted, count(*) FILTER (doc_id % 10 NOT IN (3, 4)) AS n_reused FROM documents WHERE doc_id IS NOT NULL")
+def recheck_work(spark, sf_dir):
+    return _rechecked(spark, sf_dir).work.select("n_documents", "n_extracted", "n_reused")
