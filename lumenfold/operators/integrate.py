@@ -171,3 +171,36 @@ def point_id(c: Column, namespace: str = "lumenfold:") -> Column:
     h = F.sha1(F.concat(url_namespace, F.concat(F.lit(namespace), c).cast("binary")))
     variant = F.lower(F.hex((F.conv(F.substring(h, 17, 2), 16, 10).cast("int").bitwiseAND(63)).bitwiseOR(128)))
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 19, 2)), F.substring(h, 21, 12))
+
+
+def running_ids(df: DataFrame, order: list[str], prefix: str, width: int = 6, after: int = 0) -> DataFrame:
+    """``df`` with ``seq_no`` and ``seq_id``: rows numbered by ``order`` from ``after`` + 1 on.
+
+    A later slice of the rows goes on where the one before ended, if its ``after`` is how many were
+    numbered. Rows are dealt by range, numbered within it and shifted by what lies before, so no task
+    has them all. Rows equal in ``order`` get their numbers in any order; nulls come first.
+    """
+    ranged = written(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("__part", before.alias("__before"))  # a row a range
+    numbered = ranged.withColumn("__nth", F.row_number().over(Window.partitionBy("__part").orderBy(*order))).join(F.broadcast(starts), "__part")
+    number = F.col("__before") + F.col("__nth") + after
+    text = number.cast("string")
+    padded = F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, "0"))
+    return numbered.select(*df.columns, number.alias("seq_no"), F.concat(F.lit(f"{prefix}-"), padded).alias("seq_id"))
+
+
+def expand_fields(df: DataFrame, column: str, names: dict[str, str]) -> DataFrame:
+    """(columns of ``df``, fields, review, original, label): the fields of a struct column as a map of canonical names.
+
+    names: what each field becomes; ``{}`` stands for the column's name, and ``@review``, ``@original`` and
+    ``@label`` go to columns of their own, ``@drop`` nowhere. A field without a name is ``column_field``.
+    Empty fields are left out.
+    """
+    parts = [f.name for f in df.schema[column].dataType.fields]
+    text = {p: squeeze(F.col(f"`{column}`.`{p}`")) for p in parts}
+    sentinel = {s: next((text[p] for p in parts if names.get(p) == s), F.lit("")) for s in ("@review", "@original", "@label")}
+    own = [(names[p].replace("{}", column) if p in names else f"{column}_{p}", text[p]) for p in parts if not names.get(p, "").startswith("@")]
+    pairs = F.filter(F.array(*[F.struct(F.lit(n).alias("key"), v.alias("value")) for n, v in own]), lambda x: x["value"] != "")
+    return df.withColumns({"fields": F.map_from_entries(pairs), "review": sentinel["@review"], "original": sentinel["@original"], "label": sentinel["@label"]})

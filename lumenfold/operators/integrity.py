@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions.text import is_empty, is_placeholder
 from lumenfold.operators.profile import cells
+from lumenfold.storage import bounded
 
 
 def key_check(df: DataFrame, table: str, key: str) -> DataFrame:
@@ -74,3 +75,34 @@ def quarantine(edges: DataFrame, ends: list[str]) -> tuple[DataFrame, DataFrame]
     lost = F.array_compact(F.array(*[F.when(is_empty(F.col(e)), F.lit(e)) for e in ends]))
     marked = edges.withColumn("missing_ends", F.array_join(lost, ","))
     return marked.where("missing_ends = ''").drop("missing_ends"), marked.where("missing_ends <> ''")
+
+
+def repaired(bad: DataFrame, files: DataFrame, notes: DataFrame, sheets: DataFrame, labels: DataFrame, by_note: str) -> DataFrame:
+    """Quarantined edges with the places and labels that other tables know; repairing them again changes nothing.
+
+    bad: (quarantine_id, origin, evidence_value, source_file, source_file_id, source_sheet, source_row,
+    resolved_id, resolved_label). A row number that a wrong split left in ``source_file_id`` goes to its
+    place. Edges of origin ``by_note`` take file, sheet and resolved side from the note with their value
+    and row: notes (evidence_value, row_no, resolved_id, file_id, sheet). Others take the sheet that
+    their file and row have: sheets (file_id, row_no, sheet). files: (name, file_id). labels: (id, label).
+    Of several facts for a key the least counts. An edge that nothing is known of keeps what it has.
+    """
+    text = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    first = lambda df, keys, values: df.groupBy(*[F.col(c).cast("string").alias(f"__{c}") for c in keys]).agg(F.min(F.struct(*values)).alias("__x")).select(*[f"__{c}" for c in keys], *[F.col(f"__x.{v}").cast("string").alias(f"__{v}") for v in values])
+    noted = F.col("origin") == by_note
+    rows = bad.withColumn("__row", F.when(text("source_row") != "", text("source_row")).otherwise(text("source_file_id"))).withColumn("__value", text("evidence_value"))
+    rows = rows.join(bounded(first(files, ["name"], ["file_id"]).withColumnRenamed("__file_id", "__named"), 128), text("source_file") == F.col("__name"), "left")
+    facts = first(notes, ["evidence_value", "row_no"], ["resolved_id", "file_id", "sheet"]).withColumnRenamed("__row_no", "__note_row")
+    rows = rows.join(bounded(facts, 256), noted & (F.col("__value") == F.col("__evidence_value")) & (F.col("__row") == F.col("__note_row")), "left").withColumnRenamed("__sheet", "__note_sheet")
+    # a row number that stood for the file id is no file id
+    moved = text("source_row") == ""
+    old_id = F.when(moved, F.lit("")).otherwise(text("source_file_id"))
+    known = lambda *c: F.coalesce(*[F.when(x != "", x) for x in c], F.lit(""))
+    file_id = known(F.when(noted, F.coalesce("__file_id", F.lit(""))).otherwise(""), F.coalesce("__named", F.lit("")), old_id)
+    rows = rows.withColumn("__at", file_id).join(bounded(first(sheets, ["file_id", "row_no"], ["sheet"]).select(F.col("__file_id").alias("__sf"), F.col("__row_no").alias("__sr"), "__sheet"), 128), ~noted & (F.col("__at") == F.col("__sf")) & (F.col("__row") == F.col("__sr")), "left")
+    side = F.when(noted, known(F.coalesce("__resolved_id", F.lit("")), text("resolved_id"))).otherwise(text("resolved_id"))
+    rows = rows.withColumn("__side", side).join(bounded(first(labels, ["id"], ["label"]), 256), F.col("__side") == F.col("__id"), "left")
+    label = F.when(noted, known(F.coalesce("__label", F.lit("")), text("resolved_label"))).otherwise(known(text("resolved_label"), F.coalesce("__label", F.lit(""))))
+    sheet = known(F.when(noted, F.coalesce("__note_sheet", F.lit(""))).otherwise(F.coalesce("__sheet", F.lit(""))), text("source_sheet"))
+    new = {"source_file_id": F.col("__at"), "source_sheet": sheet, "source_row": F.col("__row"), "resolved_id": F.col("__side"), "resolved_label": label}
+    return rows.select(*[new[c].alias(c) if c in new else F.col(c) for c in bad.columns])

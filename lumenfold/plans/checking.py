@@ -85,3 +85,31 @@ def key_ranking(spark, sf_dir):
     shared = {c: compare.key_overlap(orders, orders.select((F.col(c) * 2).alias(c)), c).select(F.lit(c).alias("column"), "jaccard") for c in orders.columns}
     facts = shared["o_orderkey"].unionByName(shared["o_custkey"]).select("column", (F.col("jaccard") > 0).alias("shares"), (F.col("column") == "o_orderkey").alias("entity"), F.col("jaccard").alias("overlap"))
     return compare.rank_keys(facts).select(F.lit("orders").alias("file_id"), "column", "rank")
+
+
+#: Edges of orders that were set aside: some have their row number where the file's id should be.
+_SET_ASIDE = """SELECT o_orderkey AS quarantine_id, CASE WHEN o_orderkey % 3 = 0 THEN 'NOTES' ELSE 'LINKS' END AS origin, o_orderpriority AS evidence_value, 'file ' || o_orderkey % 5 AS source_file, CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_custkey AS VARCHAR) ELSE '' END AS source_file_id, '' AS source_sheet,
+ CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE CAST(o_custkey AS VARCHAR) END AS source_row, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE CAST(o_orderkey % 30 AS VARCHAR) END AS resolved_id, '' AS resolved_label FROM orders WHERE o_orderstatus = 'P'"""
+
+
+@query(f"""WITH q AS ({_SET_ASIDE}), f AS (SELECT *, CASE WHEN source_row <> '' THEN source_row ELSE source_file_id END AS rowno, CASE WHEN source_file <> 'file 4' THEN 'F' || right(source_file, 1) ELSE '' END AS fid FROM q),
+notes AS (SELECT o_orderpriority AS v, CAST(o_custkey AS VARCHAR) AS r, min((CAST(o_orderkey % 25 AS VARCHAR), 'N' || o_orderkey % 7, 's' || o_orderkey % 3)) AS x FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1, 2), sheets AS (SELECT 'F' || c_custkey % 5 AS file_id, CAST(c_custkey AS VARCHAR) AS r, c_mktsegment AS sheet FROM customer)
+SELECT quarantine_id, origin, CASE WHEN origin = 'NOTES' AND x IS NOT NULL THEN x[2] ELSE fid END AS source_file_id, CASE WHEN origin = 'NOTES' THEN coalesce(x[3], '') ELSE coalesce(sheet, '') END AS source_sheet, rowno AS source_row,
+ CASE WHEN origin = 'NOTES' THEN coalesce(x[1], '') ELSE resolved_id END AS resolved_id, coalesce(n_name, '') AS resolved_label
+FROM f LEFT JOIN notes ON origin = 'NOTES' AND v = evidence_value AND notes.r = rowno LEFT JOIN sheets ON origin <> 'NOTES' AND file_id = fid AND sheets.r = rowno
+LEFT JOIN nation ON CAST(n_nationkey AS VARCHAR) = CASE WHEN origin = 'NOTES' THEN coalesce(x[1], '') ELSE resolved_id END""")
+def repaired_edges(spark, sf_dir):
+    """Repaired twice: the second time changes nothing."""
+    orders, nation, k, c = load(spark, sf_dir, "orders"), load(spark, sf_dir, "nation"), F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    text = lambda prefix, x: F.concat(F.lit(prefix), x.cast("string"))
+    bad = orders.where("o_orderstatus = 'P'").select(
+        k.alias("quarantine_id"), F.when(k % 3 == 0, "NOTES").otherwise("LINKS").alias("origin"), F.col("o_orderpriority").alias("evidence_value"), text("file ", k % 5).alias("source_file"), F.when(k % 4 == 0, c).otherwise("").alias("source_file_id"), F.lit("").alias("source_sheet"),
+        F.when(k % 4 == 0, "").otherwise(c).alias("source_row"), F.when(k % 3 == 0, "").otherwise((k % 30).cast("string")).alias("resolved_id"), F.lit("").alias("resolved_label"),
+    )
+    files = nation.where("n_nationkey < 4").select(text("file ", F.col("n_nationkey")).alias("name"), text("F", F.col("n_nationkey")).alias("file_id"))
+    notes = orders.where("o_orderstatus <> 'P'").select(F.col("o_orderpriority").alias("evidence_value"), c.alias("row_no"), (k % 25).cast("string").alias("resolved_id"), text("N", k % 7).alias("file_id"), text("s", k % 3).alias("sheet"))
+    key = F.col("c_custkey")
+    sheets = load(spark, sf_dir, "customer").select(text("F", key % 5).alias("file_id"), key.cast("string").alias("row_no"), F.col("c_mktsegment").alias("sheet"))
+    labels = nation.select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("label"))
+    once = integrity.repaired(bad, files, notes, sheets, labels, "NOTES")
+    return integrity.repaired(once, files, notes, sheets, labels, "NOTES").select("quarantine_id", "origin", "source_file_id", "source_sheet", "source_row", "resolved_id", "resolved_label")

@@ -163,3 +163,24 @@ def cell_provenance(spark, sf_dir):
 @query("SELECT p_partkey AS entity_id, a AS attribute, v AS value FROM (SELECT p_partkey, unnest(['p_type', 'p_size']) AS a, unnest([p_type, CAST(p_size AS VARCHAR)]) AS v FROM part) WHERE v IS NOT NULL AND trim(v) <> ''")
 def entity_attributes(spark, sf_dir):
     return integrate.attributes(load(spark, sf_dir, "part"), "p_partkey", ["p_type", "p_size"])
+
+
+_NUMBERED = ["file", "sheet", "row", "ordinal", "part", "price"]
+_LINES = "SELECT l_suppkey % 4 AS file, l_returnflag AS sheet, l_orderkey AS row, l_linenumber AS ordinal, l_partkey AS part, l_extendedprice AS price FROM lineitem"
+
+
+@query(f"WITH l AS ({_LINES}), n AS (SELECT *, row_number() OVER (ORDER BY {', '.join(_NUMBERED)}) AS seq_no FROM l) SELECT *, 'PRE-' || lpad(CAST(seq_no AS VARCHAR), greatest(6, length(CAST(seq_no AS VARCHAR)))::INTEGER, '0') AS seq_id FROM n")
+def running_ids(spark, sf_dir):
+    """Two slices of one order, the second numbered on from the first."""
+    lines = load(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 4).alias("file"), F.col("l_returnflag").alias("sheet"), F.col("l_orderkey").alias("row"), F.col("l_linenumber").alias("ordinal"), F.col("l_partkey").alias("part"), F.col("l_extendedprice").alias("price"))
+    one, two = lines.where("file < 2"), lines.where("file >= 2")
+    return integrate.running_ids(one, _NUMBERED, "PRE").unionByName(integrate.running_ids(two, _NUMBERED, "PRE", after=one.count()))
+
+
+@query("""SELECT p_partkey AS id, coalesce(array_to_string(list_sort(list_filter([CASE WHEN trim(p_name) <> '' THEN 'size_name=' || trim(p_name) END, CASE WHEN p_size % 3 > 0 THEN 'size_value=' || p_size END], lambda x: x IS NOT NULL)), ','), '') AS fields, CASE WHEN p_size > 40 THEN 'TOO_LARGE' ELSE '' END AS review, p_type AS original, '' AS label FROM part""")
+def expand_fields(spark, sf_dir):
+    size = F.struct(F.col("p_name").alias("name"), F.when(F.col("p_size") % 3 > 0, F.col("p_size")).alias("v"), F.when(F.col("p_size") > 40, "TOO_LARGE").alias("flag"), F.col("p_type").alias("seen"), F.col("p_brand").alias("noise"))
+    rows = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), size.alias("size"))
+    found = integrate.expand_fields(rows, "size", {"v": "{}_value", "flag": "@review", "seen": "@original", "noise": "@drop"})
+    pairs = F.array_sort(F.transform(F.map_entries("fields"), lambda x: F.concat(x["key"], F.lit("="), x["value"])))
+    return found.select("id", F.array_join(pairs, ",").alias("fields"), "review", "original", "label")

@@ -17,6 +17,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenfold.sources.encodings import decoded_lines
+from lumenfold.storage import bounded, written
+
 ALLOWED_UPLOADS = ["pdf", "docx", "xlsx", "txt", "png", "jpg", "jpeg"]
 MAX_UPLOAD_BYTES = 20 << 20
 
@@ -28,13 +31,22 @@ def inventory(spark: SparkSession, roots: list[str], pattern: str = "*") -> Data
     return files.select("path", name.alias("name"), F.lower(F.regexp_extract(name, "\\.([^.]+)$", 1)).alias("extension"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"))
 
 
+def _carried(blocks: DataFrame, what: str) -> Column:
+    """The sum of ``what`` over the blocks of a file that lie before: a row a block."""
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(what).over(before), F.lit(0))
+
+
 def csv_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, row_no, line, flag): the records of CSV files; a quoted line break stays inside its record.
 
-    Files are read by lines, so a large one is many rows. A file of one line with literal ``\\n`` is
-    unescaped and flagged.
+    Files are read in blocks. Whether a line begins inside quotes is the parity of the quotes before it,
+    summed in its block and carried over the blocks before; so is the number of its record. No task has
+    a whole file, and encodings are detected. Where quotes don't close at the end of a file, the lines
+    from the last that opens are records of their own with the flag UNCLOSED_QUOTE. A file of one line
+    with literal ``\\n`` is unescaped and flagged.
     """
-    read = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "^\ufeff|\r$", "").alias("t"))
+    read = written(decoded_lines(spark, path).select("path", "block", "at", F.col("line").alias("t")), "lines")
     filled = read.where("trim(t) <> ''").groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("block", "at")).alias("last"))
     # a row a file; empty lines at the end of a file are no records
     lines = read.join(filled, "path").where(F.struct("block", "at") <= F.col("last"))
@@ -42,13 +54,25 @@ def csv_lines(spark: SparkSession, path: str) -> DataFrame:
     inner = F.regexp_replace(F.trim("t"), '^"|"$', "")
     repaired = F.regexp_replace(F.replace(F.replace(inner, F.lit("\\n"), F.lit("\n")), F.lit('\\"'), F.lit('"')), "\n+$", "")
     parts = lines.withColumn("one", one).select("path", "block", "at", "one", F.posexplode(F.when(F.col("one"), F.split(repaired, "\n")).otherwise(F.array("t"))).alias("pos", "line"))
-    order = Window.partitionBy("path").orderBy("block", "at", "pos")
-    quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
-    open_ = F.coalesce(F.sum(quotes).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2
-    placed = parts.withColumn("starts", (open_ == 0).cast("int")).withColumn("row_no", F.sum("starts").over(order)).withColumn("nth", F.row_number().over(order))
-    flag = F.when(F.max("one"), "SINGLE_LINE_ESCAPED_CSV").otherwise("")
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "line"))), lambda x: x["line"]), "\n")
-    return placed.groupBy("path", "row_no").agg(whole.alias("line"), flag.alias("flag"))
+    quotes = (F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))) % 2
+    order = Window.partitionBy("path", "block").orderBy("at", "pos")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    counted = written(parts.withColumn("odd", quotes).withColumn("here", F.coalesce(F.sum("odd").over(before), F.lit(0))), "quotes")
+    blocks = counted.groupBy("path", "block").agg(F.sum("odd").alias("odd"))
+    carried = blocks.select("path", "block", _carried(blocks, "odd").alias("carried"))
+    open_ = (F.col("carried") + F.col("here")) % 2 == 1
+    known = counted.join(bounded(carried, 128), ["path", "block"]).select("path", "block", "at", "pos", "one", "line", "odd", open_.alias("open"))
+    place = F.struct("block", "at", "pos")
+    unclosed = known.groupBy("path").agg(F.sum("odd").alias("odd"), F.max(F.when(~F.col("open") & (F.col("odd") == 1), place)).alias("from")).where("odd % 2 = 1").select("path", "from")
+    marked = known.join(bounded(unclosed, 128), "path", "left")
+    loose = F.coalesce(place >= F.col("from"), F.lit(False))
+    placed = written(marked.select("path", "block", "at", "pos", "one", "line", loose.alias("loose"), (loose | ~F.col("open")).cast("int").alias("starts")), "records")
+    starts = placed.groupBy("path", "block").agg(F.sum("starts").alias("starts"))
+    offset = starts.select("path", "block", _carried(starts, "starts").alias("offset"))
+    numbered = placed.withColumn("nth", F.sum("starts").over(order)).join(bounded(offset, 128), ["path", "block"])
+    flag = F.when(F.max("loose"), "UNCLOSED_QUOTE").when(F.max("one"), "SINGLE_LINE_ESCAPED_CSV").otherwise("")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "at", "pos", "line"))), lambda x: x["line"]), "\n")
+    return numbered.withColumn("row_no", F.col("offset") + F.col("nth")).groupBy("path", "row_no").agg(whole.alias("line"), flag.alias("flag"))
 
 
 def csv_table(spark: SparkSession, path: str) -> DataFrame:
