@@ -5,8 +5,8 @@ document with up to ``k = floor(n * MAX_ERROR)`` character edits. Split into k +
 at least lies there unchanged; an automaton of all pieces finds these hits in whole texts, and each
 hit's surroundings are verified by Myers' bit-parallel distance, overlapping surroundings at once.
 
-Items are a stated query set: they are broadcast in blocks of a bounded size, and each block reads
-the documents once.
+Items are a stated query set: they are broadcast in blocks of a bounded size. Documents are read once:
+a task takes them in buffers and holds each buffer against block after block, with one automaton at a time.
 
 Defined results: null and empty texts contain nothing; very long texts are searched whole; items
 without words are left out; repeated items and rows count each for itself, so rows that share a
@@ -30,6 +30,8 @@ from lumenfold.llm.common import nested, row_schema, table
 MAX_ERROR = 0.06
 #: Characters of items in one broadcast block.
 BLOCK_CHARS = 4 << 20
+#: Bytes of rows that are held against block after block, where there are several.
+BUFFER_BYTES = 32 << 20
 
 
 def normalise(text: str | None) -> str:
@@ -121,13 +123,51 @@ class Matcher:
         return found
 
 
-def _matcher(block):
+class _Blocks:
+    """The items of all blocks against buffers of texts, with the automaton of one block at a time."""
+
+    def __init__(self, blocks: list) -> None:
+        self.blocks, self.at, self.match = blocks, None, None
+
+    def _matcher(self, at: int) -> Matcher:
+        if at != self.at:
+            if self.at is not None:
+                self.blocks[self.at].__dict__.pop("_value", None)  # a worker would keep the items of every block
+            self.at, self.match = at, Matcher(self.blocks[at].value)
+        return self.match
+
+    def over(self, texts: list[str | None], first: bool = False) -> list[list[tuple[int, int]]]:
+        """The items in each text; with ``first``, no more than those of the first block that has any."""
+        found: list[list[tuple[int, int]]] = [[] for _ in texts]
+        order = sorted(range(len(self.blocks)), key=lambda i: i != self.at)  # the block that is at hand comes first
+        for at in order:
+            match = self._matcher(at)
+            for own, text in zip(found, texts, strict=True):
+                if not (first and own):
+                    own += match(text)
+        return found
+
+
+def _buffers(batches: Iterator[pa.RecordBatch], several: bool) -> Iterator[pa.RecordBatch]:
+    """The batches as they are, or, for several blocks, in buffers of ``BUFFER_BYTES`` at least."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if not several or size >= BUFFER_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _matcher(blocks: list):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        match = Matcher(block.value)
-        for batch in batches:
+        match = _Blocks(blocks)
+        for batch in _buffers(batches, len(blocks) > 1):
             ids, items, distances = [], [], []
-            for doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for item, distance in match(t):
+            for doc_id, own in zip(batch.column(0).to_pylist(), match.over(batch.column(1).to_pylist()), strict=True):
+                for item, distance in own:
                     ids.append(doc_id)
                     items.append(item)
                     distances.append(distance)
@@ -154,30 +194,25 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     spark = docs.sparkSession
     slim = docs.select("doc_id", F.col(text).alias("text"))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, distance long"
-    out = spark.createDataFrame([], schema)
-    for block in item_blocks(items):
-        out = out.union(slim.mapInArrow(_matcher(spark.sparkContext.broadcast(block)), schema))
-    return out
+    return slim.mapInArrow(_matcher([spark.sparkContext.broadcast(block) for block in item_blocks(items)]), schema)
 
 
-def _clean(block, place: int):
+def _clean(blocks: list, place: int):
     """The rows (one struct, the text at ``place``) that contain no item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        match = Matcher(block.value)
-        for batch in batches:
-            texts = batch.column(0).field(place).to_pylist()
-            yield batch.filter(pa.array([not match(t) for t in texts], pa.bool_()))
+        match = _Blocks(blocks)
+        for batch in _buffers(batches, len(blocks) > 1):
+            found = match.over(batch.column(0).field(place).to_pylist(), first=True)
+            yield batch.filter(pa.array([not own for own in found], pa.bool_()))
 
     return run
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that contain no item, each judged by its own text; columns stay as they are."""
-    rows = nested(docs)
-    for block in item_blocks(items):
-        rows = rows.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(block), docs.columns.index(text)), row_schema(rows))
-    return rows.select("row.*")
+    rows, blocks = nested(docs), [docs.sparkSession.sparkContext.broadcast(block) for block in item_blocks(items)]
+    return rows.mapInArrow(_clean(blocks, docs.columns.index(text)), row_schema(rows)).select("row.*")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

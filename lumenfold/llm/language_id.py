@@ -35,6 +35,8 @@ SMOOTH = 0.3
 #: A language is a candidate in a script if it has this share of its words there.
 SCRIPT_SHARE = 0.02
 CACHED_WORDS = 300_000
+#: Bytes of the table of words' scores, whatever the number of languages; a text with more different words has a larger one.
+CACHE_BYTES = 64 << 20
 CHUNK_WORDS = 1_000_000
 UNKNOWN = "und"
 
@@ -167,7 +169,8 @@ def _labeller(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         known: dict[bytes, int] = {}
-        table_ = np.zeros((CACHED_WORDS * 2, max(1, len(model.langs))), np.float32)
+        langs = max(1, len(model.langs))
+        table_ = np.zeros((max(4096, min(CACHED_WORDS * 2, CACHE_BYTES // (4 * langs))), langs), np.float32)
         for batch in batches:
             ids: list[np.ndarray] = []
             out: dict[int, tuple[int, float, list]] = {}
@@ -226,11 +229,14 @@ def _labeller(shared):
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = MAX_TRAIN) -> Model:
-    """The model of at most ``most`` rows of ``docs`` with a text and a language."""
-    usable = docs.select("doc_id", F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    # ids first: the texts of the sample alone are read and joined
-    chosen = usable.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumnRenamed("doc_id", "chosen").distinct()
-    rows = usable.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("chosen"))).select("lang", "text")
+    """The model of at most ``most`` different texts of ``docs`` that have a language, those of the least hash.
+
+    Copies count once, with the first of their languages.
+    """
+    usable = docs.select(F.xxhash64(text).alias("draw"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
+    # hashes first: the texts of the sample alone are carried on
+    chosen = usable.groupBy("draw").agg(F.min("lang").alias("lang")).orderBy("draw").limit(most)
+    rows = usable.join(F.broadcast(chosen), ["draw", "lang"], "left_semi").dropDuplicates(["draw"]).select("lang", "text")
     counts = rows.mapInArrow(_gram_counter, "lang string, kind string, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
     found = counts.toArrow().to_pydict()  # of the sample alone
     return Model(list(zip(*(found[c] for c in ("lang", "kind", "gram", "n")), strict=True)))

@@ -6,9 +6,10 @@ documents adds their keys' counts, deleting them subtracts; keys that cross the
 inserted into the filters of their shards, or deleted from them. So the index after a deletion answers
 as one that never saw the documents.
 
-Lines are dropped where texts are: filters travel to all tasks in blocks of shards of a bounded size,
-and a line whose key hits its filter goes, unless the exact counts have shown that key to be a false
-hit; those few travel with the filters. Each block reads the texts once, and no text is shuffled.
+Lines are dropped where texts are, as long as all filters fit into ``BROADCAST_BYTES``: they travel to
+all tasks, and a line whose key hits its filter goes, unless the exact counts have shown that key to be a
+false hit; those few travel with the filters. Beyond that size the keys travel to the filters, and hits
+come back to the texts' chunks. Either way a text is split into lines in one Python stage.
 
 Keys are the lines' 128-bit hashes, of which the top bits choose the shard.
 
@@ -20,6 +21,7 @@ their own; a key of exactly ``min_docs`` documents is common; columns of any nam
 
 from __future__ import annotations
 
+import uuid
 from array import array
 from collections import Counter
 from collections.abc import Iterator
@@ -28,6 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,9 +40,13 @@ from lumenfold.llm.common import BROADCAST_BYTES, drop_clashing, nested, row_sch
 MIN_DOCS = 10
 MIN_CHARS = 1
 SHARDS = 256
+#: Bytes of texts in a chunk, and keys that a task probes at once, where filters are not broadcast.
+CHUNK_BYTES = 16 << 20
+PROBED_KEYS = 500_000
 _BLANK = b" \t\n\x0b\x0c\r"
 COUNTS = "shard int, key binary, docs long"
 CELLS = "shard int, cells binary, full boolean"
+ADDED = "kept binary, n_lines long, n_dropped long"
 
 
 def line_key(line: bytes, min_chars: int = MIN_CHARS) -> bytes | None:
@@ -234,17 +241,8 @@ class LineIndex:
             filters = filters.unionByName(self._built(counts.where(after).join(full, "shard", "left_semi")))
         return LineIndex(counts, written(filters, "filters"), self.min_docs, self.min_chars, self.shards)
 
-    def blocks(self, most: int = BROADCAST_BYTES) -> Iterator[dict[int, bytes]]:
-        """The filters in blocks of ``most`` bytes (or one larger filter), one in the driver at a time."""
-        block, held = {}, 0
-        for shard, cells, _ in self.filters.orderBy("shard").toLocalIterator():
-            if block and held + len(cells) > most:
-                yield block
-                block, held = {}, 0
-            block[shard] = bytes(cells)
-            held += len(cells)
-        if block:
-            yield block
+    def filter_bytes(self) -> int:
+        return self.filters.agg(F.coalesce(F.sum(F.length("cells")), F.lit(0))).first()[0]
 
 
 def _probe(shared):
@@ -258,53 +256,124 @@ def _probe(shared):
     return run
 
 
-def _dropper(shared, min_chars: int, first: bool):
-    """Texts without the block's common lines; the first block also counts the lines."""
+def _dropped(texts: list[bytes | None], min_chars: int, common_of) -> tuple[list[bytes], list[int], list[int]]:
+    """The texts without common lines, their lines and how many of them went. common_of: the common ones among keys."""
+    split = [(t or b"").split(b"\n") for t in texts]
+    keys = {line: line_key(line, min_chars) for line in set().union(*split)} if split else {}
+    gone = common_of([k for k in set(keys.values()) if k is not None])
+    rest = [[line for line in lines if keys[line] not in gone] for lines in split] if gone else split
+    return [b"\n".join(left) for left in rest], [len(lines) for lines in split], [len(lines) - len(left) for lines, left in zip(split, rest, strict=True)]
+
+
+def _answer(rows: pa.Array, texts: list[bytes], n: list[int], dropped: list[int]) -> dict:
+    return {"row": rows, "kept": pa.array(texts, pa.binary()), "n_lines": pa.array(n, pa.int64()), "n_dropped": pa.array(dropped, pa.int64())}
+
+
+def _dropper(shared, min_chars: int):
+    """Texts without the lines that are common by filters that every task holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: FilterBlock = shared.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            split = [(t or b"").split(b"\n") for t in texts]
-            keys = {line: line_key(line, min_chars) for line in set().union(*split)} if split else {}
-            gone = block.common([k for k in set(keys.values()) if k is not None])
-            rest = [[line for line in lines if keys[line] not in gone] for lines in split] if gone else split
-            n = [len(lines) for lines in split] if first else batch.column(2).to_pylist()
-            # a text of which nothing is left has no line for the next block either
-            dropped = [len(lines) - len(left) + was for lines, left, was in zip(split, rest, [0] * len(split) if first else batch.column(3).to_pylist(), strict=True)]
-            kept = pa.array([b"\n".join(left) for left in rest], pa.binary())
-            yield pa.record_batch({"row": batch.column(0), "kept": kept, "n_lines": pa.array(n, pa.int64()), "n_dropped": pa.array(dropped, pa.int64())})
+            yield pa.record_batch(_answer(batch.column(0), *_dropped(batch.column(1).to_pylist(), min_chars, block.common)))
+
+    return run
+
+
+def _chunker(most: int):
+    """Rows with the name of their chunk: ``most`` bytes of texts, or one longer text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, size = uuid.uuid4().hex, 0
+        for batch in batches:
+            names = []
+            for n in pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist():
+                if size and size + n > most:
+                    name, size = uuid.uuid4().hex, 0
+                size += n
+                names.append(name)
+            yield pa.record_batch({"row": batch.column(0), "kept": batch.column(1), "chunk": pa.array(names, pa.string())})
+
+    return run
+
+
+def _chunk_keys(min_chars: int, shards: int):
+    """(chunk, shard, key): the different line keys of each chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[str, set[bytes]] = {}
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found.setdefault(name, set()).update(set((text or b"").split(b"\n")))
+            for name, lines in found.items():
+                keys = list({line_key(line, min_chars) for line in lines} - {None})
+                yield pa.record_batch({"chunk": pa.array([name] * len(keys), pa.string()), "shard": pa.array([shard_of(k, shards) for k in keys], pa.int32()), "key": pa.array(keys, pa.binary())})
+
+    return run
+
+
+def _hits(shards: int):
+    def run(filters: pa.Table, keys: pa.Table) -> pa.Table:
+        block = FilterBlock({s: c for s, c in zip(filters["shard"].to_pylist(), filters["cells"].to_pylist(), strict=True)}, set(), shards)
+        keys = keys.select(["chunk", "shard", "key"]).combine_chunks()
+        return keys.filter(pa.array(block.hits(keys["key"].to_pylist()), pa.bool_()))
 
     return run
 
 
-def drop_common_lines(docs: DataFrame, index: LineIndex, text: str = "text", keys: DataFrame | None = None) -> DataFrame:
+def _drop_from_chunk(min_chars: int):
+    def run(rows: pa.Table, hits: pa.Table) -> pa.Table:
+        gone = set(hits["key"].to_pylist())
+        rows = rows.combine_chunks()
+        return pa.table(_answer(rows["row"].combine_chunks(), *_dropped(rows["kept"].to_pylist(), min_chars, lambda keys: gone.intersection(keys))))
+
+    return run
+
+
+def _by_shuffle(rows: DataFrame, index: LineIndex) -> DataFrame:
+    """Rows without common lines where the filters are too many to be sent to every task.
+
+    Rows are written in chunks of a bounded size. The different keys of each chunk go to the filter of
+    their shard, hits are confirmed by the exact counts, and come back to their chunk. A key that is in
+    any part of all documents is one row a chunk.
+    """
+    chunked = written(rows.mapInArrow(_chunker(CHUNK_BYTES), row_schema(rows.select("row"), "kept binary, chunk string")), "chunks")
+    keys = written(chunked.select("chunk", "kept").mapInArrow(_chunk_keys(index.min_chars, index.shards), "chunk string, shard int, key binary"), "chunk-keys")
+    salts = max(1, -(-keys.count() // (index.shards * PROBED_KEYS)))
+    salted = keys.withColumn("salt", F.pmod(F.xxhash64("chunk", "key"), F.lit(salts)).cast("int"))
+    filters = index.filters.select("shard", "cells").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    hits = filters.groupBy("shard", "salt").cogroup(salted.groupBy("shard", "salt")).applyInArrow(_hits(index.shards), "chunk string, shard int, key binary")
+    common = index.counts.where(F.col("docs") >= index.min_docs).select("shard", "key")
+    sure = written(hits.join(common, ["shard", "key"], "left_semi").select("chunk", "key"), "hits")
+    return chunked.groupBy("chunk").cogroup(sure.groupBy("chunk")).applyInArrow(_drop_from_chunk(index.min_chars), row_schema(chunked.select("row"), ADDED))
+
+
+def drop_common_lines(docs: DataFrame, index: LineIndex, text: str = "text", keys: DataFrame | None = None, most: int = BROADCAST_BYTES) -> DataFrame:
     """``docs`` with common lines left out of ``text``, and the columns ``n_lines`` and ``n_dropped``.
 
-    keys: (shard, key, docs) of all keys of ``docs`` if they are at hand; else they are counted.
+    keys: (shard, key, docs) of all keys of ``docs`` if they are at hand; else they are counted. Filters of
+    ``most`` bytes together are sent to all tasks, and then no text is shuffled.
     """
     spark = docs.sparkSession
     docs = drop_clashing(docs, ["n_lines", "n_dropped"])
-    if keys is None:
-        keys = line_counts(docs, text, index.min_chars, index.shards).select("shard", "key").join(index.counts, ["shard", "key"], "left")
-    rare = keys.where(F.coalesce("docs", F.lit(0)) < index.min_docs).select("key")
     rows = nested(docs, text, kept=F.col(text).cast("binary"))
-    schema = row_schema(rows, "kept binary, n_lines long, n_dropped long")
-    blocks = index.blocks()
-    cells = next(blocks, {})
-    first = True
-    while first or cells:
+    if index.filter_bytes() > most:
+        found = _by_shuffle(rows, index)
+    else:
+        if keys is None:
+            keys = line_counts(docs, text, index.min_chars, index.shards).select("shard", "key").join(index.counts, ["shard", "key"], "left")
+        rare = keys.where(F.coalesce("docs", F.lit(0)) < index.min_docs).select("key")
+        cells = {s: bytes(c) for s, c, _ in index.filters.toLocalIterator()}
         shared = spark.sparkContext.broadcast(FilterBlock(cells, set(), index.shards))
         # one key in 600 million hits a filter that hasn't got it
         false_hits = {bytes(r["key"]) for r in rare.mapInArrow(_probe(shared), "key binary").distinct().toLocalIterator()}
         shared = spark.sparkContext.broadcast(FilterBlock(cells, false_hits, index.shards))
-        rows = rows.mapInArrow(_dropper(shared, index.min_chars, first), schema)
-        cells, first = next(blocks, {}), False
+        found = rows.mapInArrow(_dropper(shared, index.min_chars), row_schema(rows.select("row"), ADDED))
 
     def name(c: str) -> Column:
         return F.col("kept").cast("string").alias(c) if c == text else F.col("row").getField(c).alias(c)
 
-    return rows.select(*map(name, docs.columns), "n_lines", "n_dropped")
+    return found.select(*map(name, docs.columns), "n_lines", "n_dropped")
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:

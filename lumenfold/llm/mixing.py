@@ -98,6 +98,7 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
 
 
 def _fit_source(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("size")  # of equal sums the same is found again, whatever order rows come in
     lengths, counts = pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
     total, target = int((lengths * counts).sum()), float(pdf["target"].iloc[0])
     epochs = int(target // total) if total else 0

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,9 @@ from lumenfold.llm.common import drop_clashing, nested, row_schema, table
 BASE = ["email", "ip", "card", "phone"]
 KINDS = [*BASE, "secret"]
 MAX_TRAIN = 1_000
+#: Parts of one text that are learnt from, at most, and what ten steps must add to the likelihood of a part for training to go on.
+MAX_ZONES = 200
+GAIN = 1e-5
 STEPS, RATE, RIDGE = 150, 0.15, 1e-4
 MAX_WORDS = 6
 CONTEXT = 2
@@ -220,11 +224,11 @@ class SpanModel:
                 out.append((at, (kind, candidates[at][2], candidates[at][3])))
         return out[::-1]
 
-    def spans(self, text: str | None) -> list[Span]:
-        """Base spans, and the path's spans that overlap none of them, by kind and start."""
+    def spans(self, text: str | None, base: list[Span] | None = None) -> list[Span]:
+        """Base spans, and the path's spans that overlap none of them, by kind and start. base: the base spans, if they are at hand."""
         if not text or not _SPARK.search(text):
             return []
-        base = base_spans(text)
+        base = base_spans(text) if base is None else base
         found = list(base)
         taken = sorted((a, b) for _, a, b in base)
         words = [m.span() for m in _WORD.finditer(text)]
@@ -256,7 +260,8 @@ class Lattice:
     ``rows``. ``gold`` is its kind in the labels, or -1.
     """
 
-    def __init__(self, zones: list[tuple[int, list, dict[int, int]]]) -> None:
+    def __init__(self, zones: list[tuple[int, list, dict[int, int]]], times: list[int] | None = None) -> None:
+        """times: how often each zone occurs, once by default."""
         self.names: dict[str, int] = {}
         sets: dict[tuple[int, ...], int] = {}
         edges = []
@@ -264,6 +269,7 @@ class Lattice:
             for at, (i, j, _, _, found) in enumerate(candidates):
                 row = tuple(self.names.setdefault(f, len(self.names)) for f in found)
                 edges.append((z, i, j, sets.setdefault(row, len(sets)), gold.get(at, -1)))
+        self.times = np.array(times or [1] * len(zones), np.float64)
         self.n_zones, self.words = len(zones), max((n for n, _, _ in zones), default=0)
         self.z, self.i, self.j, self.row, self.gold = np.array(edges, np.int64).reshape(-1, 5).T
         self.holds = np.zeros((len(sets), len(self.names)))
@@ -299,35 +305,43 @@ class Lattice:
         change = -np.exp(through[:, None] + score)  # less what the model expects
         labelled = np.flatnonzero(self.gold >= 0)
         change[labelled, self.gold[labelled]] += 1
+        change *= self.times[self.z][:, None]
         by_row = np.stack([np.bincount(self.row, change[:, k], len(self.holds)) for k in range(change.shape[1])], 1)
-        likelihood = score[labelled, self.gold[labelled]].sum() - ahead[-1].sum()
-        return likelihood / self.n_zones, self.holds.T @ by_row / self.n_zones
+        likelihood = (score[labelled, self.gold[labelled]] * self.times[self.z[labelled]]).sum() - (ahead[-1] * self.times).sum()
+        return likelihood / self.times.sum(), self.holds.T @ by_row / self.times.sum()
 
 
 def train(texts: list[str]) -> SpanModel:
-    """The weights of the greatest likelihood, by steps of an adaptive length."""
-    found = []
+    """The weights of the greatest likelihood, by steps of an adaptive length.
+
+    Of a text with over ``MAX_ZONES`` parts as many are learnt from, evenly spaced. Parts with equal
+    features and labels are one, as often as they occur. Steps end when they gain no more.
+    """
+    found: Counter = Counter()
     for text in texts:
         gold = {(a, b): k for k, a, b in weak_spans(text)}
         words = [m.span() for m in _WORD.finditer(text)]
-        for first, last in zones(words, text):
-            for a in range(first, last, TRAIN_WORDS):
-                part = words[a : min(last, a + TRAIN_WORDS)]
-                for blind in (False, True):
-                    candidates = SpanModel.candidates(text, part, blind)
-                    right: dict[tuple[int, int], int] = {}
-                    for at, c in enumerate(candidates):
-                        if (c[2], c[3]) in gold:
-                            right.setdefault((c[2], c[3]), at)
-                    found.append((len(part), candidates, {at: gold[place] for place, at in right.items()}))
-    lattice = Lattice(found)
+        parts = [words[a : min(last, a + TRAIN_WORDS)] for first, last in zones(words, text) for a in range(first, last, TRAIN_WORDS)]
+        for part in parts[:: -(-len(parts) // MAX_ZONES) or 1]:
+            for blind in (False, True):
+                candidates = SpanModel.candidates(text, part, blind)
+                right: dict[tuple[int, int], int] = {}
+                for at, c in enumerate(candidates):
+                    if (c[2], c[3]) in gold:
+                        right.setdefault((c[2], c[3]), at)
+                found[len(part), tuple((i, j, 0, 0, tuple(f)) for i, j, _, _, f in candidates), tuple((at, gold[place]) for place, at in right.items())] += 1
+    lattice = Lattice([(n, candidates, dict(gold)) for n, candidates, gold in found], list(found.values()))
     if not len(lattice.z):
         return SpanModel()
     weights = np.zeros((len(lattice.names), len(KINDS)))
     weights[lattice.names["bias"]] = -3
     mean, square = np.zeros_like(weights), np.zeros_like(weights)
+    reached = []
     for step in range(1, STEPS + 1):
-        _, slope = lattice.gradient(weights)
+        likelihood, slope = lattice.gradient(weights)
+        reached.append(likelihood - RIDGE / 2 * (weights**2).sum())
+        if step > 20 and reached[-1] - reached[-11] < GAIN:
+            break
         slope -= RIDGE * weights
         mean, square = 0.9 * mean + 0.1 * slope, 0.99 * square + 0.01 * slope**2
         weights += RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
@@ -347,10 +361,12 @@ def _scanner(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: SpanModel = shared.value
         for batch in batches:
-            found = [model.spans(t) for t in batch.column(1).to_pylist()]
+            found, base = [], []
+            for text in batch.column(1).to_pylist():
+                own = base_spans(text) if text and _SPARK.search(text) else []
+                found.append(model.spans(text, own))
+                base.append(set(own))
             struct = pa.struct([("kind", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("base", pa.bool_())])
-            texts = batch.column(1).to_pylist()
-            base = [set(base_spans(t)) if f else set() for t, f in zip(texts, found, strict=True)]
             rows = [[{"kind": KINDS[k], "first": a, "last": b, "base": (k, a, b) in own} for k, a, b in f] for f, own in zip(found, base, strict=True)]
             yield pa.record_batch({"row": batch.column(0), "spans": pa.array(rows, pa.list_(struct))})
 

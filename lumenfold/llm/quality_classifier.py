@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import drop_clashing, nested, row_schema, table
+from lumenfold.llm.common import bounded, drop_clashing, nested, row_schema, table
 
 MAX_TRAIN = 20_000
 TREES, DEPTH, BINS, RATE = 24, 3, 32, 0.3
@@ -168,11 +168,17 @@ class RuleEnsemble:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", most: int = MAX_TRAIN) -> tuple[np.ndarray, np.ndarray]:
-    """Statistics and labels of at most ``most`` labelled documents, which reach the driver."""
-    chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("double").alias("__label")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "__label").limit(most)
-    # the sample has ``most`` rows at most
-    joined = docs.select("doc_id", text).join(F.broadcast(chosen), "doc_id")
-    rows = with_statistics(joined, text).toPandas().sort_values(["doc_id", "__label"])
+    """Statistics and labels of at most ``most`` labelled texts, which reach the driver: those of the least hash.
+
+    Copies with one label count once, whatever their ids; a null text is an empty one.
+    """
+    marked = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("double").alias("__label")).distinct()
+    texts = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("__text")).withColumn("__draw", F.xxhash64("__text"))
+    # hashes first: the texts of the sample alone are carried on
+    drawn = texts.select("doc_id", "__draw").join(bounded(marked, 24), "doc_id").select("__draw", "__label").distinct().orderBy("__draw", "__label").limit(most)
+    chosen = F.broadcast(drawn)  # ``most`` rows at most
+    joined = texts.join(F.broadcast(drawn.select("__draw").distinct()), "__draw", "left_semi").dropDuplicates(["__draw"]).join(chosen, "__draw")
+    rows = with_statistics(joined.select("__draw", "__label", "__text"), "__text").toPandas().sort_values(["__draw", "__label"])
     return rows[STATISTICS].to_numpy(np.float64), rows["__label"].to_numpy(np.float64)
 
 

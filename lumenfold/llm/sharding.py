@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import bounded, drop_clashing, nested, settled, table, written
+from lumenfold.llm.common import drop_clashing, met, nested, settled, table, written
 
 SHARDS = 40
 ROW_BYTES = 16
@@ -133,7 +133,8 @@ def shards(docs: DataFrame, text: str = "text", n: int = SHARDS) -> DataFrame:
     groups = written(slim.groupBy("key").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")), "groups")
     rows = groups.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-rows // PART_ROWS))
-    placed = slim.join(assign(groups.select("key", "bytes"), n), "key").drop("key")
+    facts = written(assign(groups.select("key", "bytes"), n).join(groups.select("key", "n"), "key"), "assigned")
+    placed = met(slim, facts, "key").drop("key")
     placed = written(placed.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts))), "placed")
     counts = placed.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("c"))
     before = F.coalesce(F.sum("c").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -146,10 +147,10 @@ def shards(docs: DataFrame, text: str = "text", n: int = SHARDS) -> DataFrame:
 def with_shard(docs: DataFrame, text: str = "text", n: int = SHARDS) -> DataFrame:
     """``docs`` with the ``shard`` of each row's group; all rows of a text are in one shard."""
     docs = drop_clashing(docs, ["shard"])
-    keyed = nested(docs, group=text_key(text), bytes=F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long") + ROW_BYTES)
-    groups = written(keyed.groupBy("group").agg(F.sum("bytes").alias("bytes")), "groups")
-    placed = assign(groups.select(F.col("group").alias("key"), "bytes"), n)
-    return keyed.join(bounded(placed, 64), F.col("group") == F.col("key")).select("row.*", "shard")
+    keyed = nested(docs, key=text_key(text), bytes=F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long") + ROW_BYTES)
+    groups = written(keyed.groupBy("key").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n")), "groups")
+    facts = written(assign(groups.select("key", "bytes"), n).join(groups.select("key", "n"), "key"), "assigned")
+    return met(keyed.drop("bytes"), facts, "key").select("row.*", "shard")
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

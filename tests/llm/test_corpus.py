@@ -104,20 +104,19 @@ def test_line_index_is_reversible(spark, docs):
     key = lambda x: sorted((r.shard, bytes(r.key), r.docs) for r in x.counts.collect())
     assert key(back) == key(index) and key(both) == key(line_dedup.LineIndex.of(a.union(b), min_docs=7, shards=4))
     keys = [line_dedup.line_key(x) for x in [b"common line", b"other", *(b"new %d" % j for j in range(40)), *(b"more %d" % j for j in range(40))]]
-    held = lambda x: [line_dedup.FilterBlock(c, set(), 4).hits(keys).tolist() for c in x.blocks()]
-    assert sum(map(sum, held(index))) == 0 and sum(map(sum, held(back))) == 0  # the filters' answers are restored
-    assert held(both) == [[True, False] + [True] * 40 + [False] * 40]
+    held = lambda x: line_dedup.FilterBlock({s: bytes(c) for s, c, _ in x.filters.collect()}, set(), 4).hits(keys).tolist()
+    assert not any(held(index)) and not any(held(back))  # the filters' answers are restored
+    assert held(both) == [True, False] + [True] * 40 + [False] * 40
     kept = line_dedup.drop_common_lines(a, both).select("text", "n_lines", "n_dropped").collect()
     assert {(r.text.split(" ")[0], r.n_lines, r.n_dropped) for r in kept} == {("own", 3, 2)}
     assert line_dedup.drop_common_lines(a, index).where("n_dropped > 0").isEmpty()
 
 
-def test_lines_in_blocks(spark, docs, monkeypatch):
+def test_lines_without_broadcast_filters(spark, docs):
     texts = docs([(i, f"common {i % 3}\nshared\nown {i}\nshared") for i in range(30)] + [(99, None), (100, "shared")])
     whole = sorted(line_dedup.dedup_lines(texts).select("doc_id", "text", "n_lines", "n_dropped").collect())
-    blocks = line_dedup.LineIndex.blocks
-    monkeypatch.setattr(line_dedup.LineIndex, "blocks", lambda self: blocks(self, 1))
-    assert sorted(line_dedup.dedup_lines(texts).select("doc_id", "text", "n_lines", "n_dropped").collect()) == whole
+    found = line_dedup.drop_common_lines(texts, line_dedup.LineIndex.of(texts), most=0)
+    assert sorted(found.select("doc_id", "text", "n_lines", "n_dropped").collect()) == whole
     assert {(r.text, r.n_dropped) for r in whole if r.doc_id > 90} == {("", 0), ("", 1)}
     assert all((r.text, r.n_lines, r.n_dropped) == (f"own {r.doc_id}", 4, 3) for r in whole if r.doc_id < 90)
 
