@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ["profiling", "domains", "comparing", "conflicting", "grouping", "building", "checking", "planning", "integrating", "retrieving", "batches", "embedding", "auditing", "answering", "streams"]
+MODULES = ["profiling", "domains", "comparing", "conflicting", "grouping", "building", "checking", "cells", "planning", "integrating", "retrieving", "batches", "embedding", "auditing", "answering", "streams"]
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
