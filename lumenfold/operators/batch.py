@@ -9,92 +9,18 @@ from __future__ import annotations
 
 import heapq
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.text import digits, significant_tokens
 from lumenfold.operators.answer import NUMBER
+from lumenfold.operators.nearest import nearest, searched
 from lumenfold.operators.retrieve import CLAUSE, CURRENT, EXACT, OFFICIAL, PAGE, STUB, TITLE, TYPE_WEIGHTS
-from lumenfold.storage import BROADCAST_BYTES, bounded
-
-#: Order of scores: to so many digits, so that another order of adding up changes no rank.
-DIGITS = 12
-
-
-def _blocks(queries: DataFrame, row_bytes: int) -> Iterator[list]:
-    """The queries in blocks of at most ``BROADCAST_BYTES``, one in the driver at a time."""
-    held: list = []
-    for row in queries.toLocalIterator():
-        held.append(row)
-        if len(held) * row_bytes >= BROADCAST_BYTES:
-            yield held
-            held = []
-    if held:
-        yield held
-
-
-def _first(found: DataFrame, k: int) -> DataFrame:
-    nth = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "key"))
-    return found.withColumn("rank", nth).where(F.col("rank") <= k)
-
-
-def _searched(rows: DataFrame, queries: DataFrame, task: Callable, schema: str, row_bytes: int, k: int) -> DataFrame:
-    spark, found = rows.sparkSession, []
-    for block in _blocks(queries, row_bytes):
-        found.append(rows.mapInArrow(task(spark.sparkContext.broadcast(block), k), schema))
-    every = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
-    return _first(every, k)
-
-
-def _near(shared, k: int):
-    """The ``k`` nearest rows (key, vector, group) of a task to each query (question_id, vector, group); a query without a group looks at all."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = shared.value
-        wanted = np.array([q[1] for q in queries], np.float64)
-        wanted = wanted / np.maximum(np.linalg.norm(wanted, axis=1, keepdims=True), 1e-300)
-        by_group = defaultdict(list)
-        for i, q in enumerate(queries):
-            by_group[q[2]].append(i)
-        best: dict[int, list] = defaultdict(list)
-        kind = None
-        for batch in batches:
-            kind = batch.schema.field(0).type
-            keys, groups = batch.column(0).to_pylist(), np.array(batch.column(2).to_pylist(), object)
-            vectors = np.array([v or [0.0] * wanted.shape[1] for v in batch.column(1).to_pylist()], np.float64).reshape(len(keys), -1)
-            length = np.linalg.norm(vectors, axis=1)
-            vectors = vectors / np.maximum(length, 1e-300)[:, None]
-            for group, own in by_group.items():
-                here = np.flatnonzero(length > 0) if group is None else np.flatnonzero((groups == group) & (length > 0))
-                if not len(here):
-                    continue
-                scores = np.round(vectors[here] @ wanted[own].T, DIGITS)
-                for j, i in enumerate(own):
-                    column = scores[:, j]
-                    least = np.partition(column, -k)[-k] if len(column) > k else -np.inf
-                    best[i] = heapq.nsmallest(k, best[i] + [(-column[r], keys[here[r]]) for r in np.flatnonzero(column >= least)])
-        if kind is not None:
-            rows = [(queries[i][0], key, -score) for i, own in best.items() for score, key in own]
-            yield pa.record_batch({"question_id": pa.array([r[0] for r in rows], pa.int64()), "key": pa.array([r[1] for r in rows], kind), "score": pa.array([r[2] for r in rows], pa.float64())})
-
-    return run
-
-
-def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int, group: str | None = None) -> DataFrame:
-    """(question_id, key, score, rank): the ``k`` rows nearest by cosine to each query (question_id, vector, group).
-
-    A query with a group looks at rows of that group only. Ties go to the least key; rows without a
-    vector, or with one of length nought, are nobody's. All vectors have one length.
-    """
-    slim = rows.select(F.col(key).alias("key"), F.col(vector).alias("vector"), (F.col(group).cast("string") if group else F.lit(None).cast("string")).alias("group"))
-    wanted = queries.select(F.col("question_id").cast("long"), "vector", F.col("group").cast("string") if "group" in queries.columns else F.lit(None).cast("string").alias("group"))
-    return _searched(slim, wanted, _near, f"question_id long, key {slim.schema['key'].dataType.simpleString()}, score double", 2048, k)
-
+from lumenfold.storage import bounded
 
 def _worded(shared, k: int):
     """The ``k`` rows (key, words) of a task that hold most words of each query (question_id, words)."""
@@ -129,7 +55,7 @@ def most_words(rows: DataFrame, queries: DataFrame, key: str, text: Column, k: i
     """
     slim = rows.select(F.col(key).alias("key"), significant_tokens(text).alias("words"))
     wanted = queries.select(F.col("question_id").cast("long"), F.array_distinct(significant_tokens(F.col("text"))).alias("words")).where("size(words) > 0")
-    found = _searched(slim, wanted, _worded, f"question_id long, key {slim.schema['key'].dataType.simpleString()}, score long", 512, k)
+    found = searched(slim, wanted, _worded, f"question_id long, key {slim.schema['key'].dataType.simpleString()}, score long", 512, k)
     every = found.join(bounded(wanted.select("question_id", F.size("words").alias("n"))), "question_id")
     best = F.max("score").over(Window.partitionBy("question_id"))  # k rows a question
     return every.withColumn("best", best).where("best < n OR score = n").drop("best", "n")

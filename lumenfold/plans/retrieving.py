@@ -12,6 +12,7 @@ from lumenfold.plans.registry import load, query
 #: A fixed query vector of 64 numbers.
 VECTOR = [((i * 37) % 17 - 8) / 8 for i in range(64)]
 _V = "[" + ", ".join(map(str, VECTOR)) + "]::DOUBLE[]"
+_EXACT = f"round(list_cosine_similarity(embedding::DOUBLE[], {_V}), 12)"
 _SCORE = f"round(list_cosine_similarity(embedding::DOUBLE[], {_V}), 6)"
 
 
@@ -38,12 +39,12 @@ def keyword_search(spark, sf_dir):
     return retrieve.keyword_search(part, ["p_name", "p_type"], "which small brushed steel", "p_partkey", 20).select("p_partkey", "p_type", "score")
 
 
-@query(f"SELECT vec_id, label, {_SCORE} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 10")
+@query(f"SELECT vec_id, label, {_SCORE} AS score FROM embeddings ORDER BY {_EXACT} DESC, vec_id LIMIT 10")
 def vector_topk(spark, sf_dir):
     return retrieve.vector_topk(load(spark, sf_dir, "embeddings"), VECTOR, "embedding", "vec_id", 10).select("vec_id", "label", "score")
 
 
-@query(f"SELECT vec_id, label, {_SCORE} AS score FROM embeddings WHERE label IN (1, 2, 3) ORDER BY score DESC, vec_id LIMIT 10")
+@query(f"SELECT vec_id, label, {_SCORE} AS score FROM embeddings WHERE label IN (1, 2, 3) ORDER BY {_EXACT} DESC, vec_id LIMIT 10")
 def filtered_topk(spark, sf_dir):
     df = load(spark, sf_dir, "embeddings")
     return retrieve.vector_topk(df, VECTOR, "embedding", "vec_id", 10, F.col("label").isin(1, 2, 3)).select("vec_id", "label", "score")
@@ -52,14 +53,14 @@ def filtered_topk(spark, sf_dir):
 _OWN_VECTOR = "list_transform(range(64), lambda j: ((j * 37 + label * 5) % 17 - 8) / 8.0)::DOUBLE[]"
 
 
-@query(f"SELECT vec_id, label, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id)::INT AS rank FROM (SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], {_OWN_VECTOR}), 6) AS score FROM embeddings)) WHERE rank <= 3")
+@query(f"SELECT vec_id, label, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY exact DESC, vec_id)::INT AS rank FROM (SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], {_OWN_VECTOR}), 12) AS exact, round(list_cosine_similarity(embedding::DOUBLE[], {_OWN_VECTOR}), 6) AS score FROM embeddings)) WHERE rank <= 3")
 def focused_topk(spark, sf_dir):
     df = load(spark, sf_dir, "embeddings")
     vector = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda j: (F.pmod(j * 37 + F.col("label") * 5, F.lit(17)) - 8) / 8.0)
     return retrieve.focused_topk(df, df.select("label").distinct().withColumn("query", vector), "embedding", "vec_id", "label", 3).select("vec_id", "label", "score", "rank")
 
 
-_HYBRID = f"""WITH a AS (SELECT vec_id, label, 1.0::DOUBLE AS score, 0 AS sr FROM embeddings WHERE label = 2 ORDER BY vec_id LIMIT 5), b AS (SELECT vec_id, label, {_SCORE} AS score, 1 AS sr FROM embeddings ORDER BY score DESC, vec_id LIMIT 10),
+_HYBRID = f"""WITH a AS (SELECT vec_id, label, 1.0::DOUBLE AS score, 0 AS sr FROM embeddings WHERE label = 2 ORDER BY vec_id LIMIT 5), b AS (SELECT vec_id, label, {_SCORE} AS score, 1 AS sr FROM embeddings ORDER BY {_EXACT} DESC, vec_id LIMIT 10),
 u AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sr, score DESC) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM b)), h AS (SELECT * FROM u WHERE n = 1)"""
 
 

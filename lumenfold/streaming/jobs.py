@@ -40,11 +40,33 @@ def once(events: DataFrame, key: str, time: str = "ts", late: str = "1 hour") ->
     return stamped.dropDuplicatesWithinWatermark([key]).drop("__t")
 
 
-def merge_into(path: str, key: str, time: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that keeps the newest row of each key by ``time``, in a new version of the table at each batch.
-
-    A batch that runs again writes its version again, so the merge is idempotent. A version is kept until
-    the second after it is written.
+def _versions(spark: SparkSession, path: str) -> dict[int, list[int]]:
+    """The written versions of each bucket of a merged table, by its folders; under -1 the batches that were finished."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found: dict[int, list[int]] = {}
+    if not store.exists(at):
+        return found
+    for bucket in store.listStatus(at):
+        name = bucket.getPath().getName()
+        if name == "done":
+            found[-1] = sorted(int(x.getPath().getName()) for x in store.listStatus(bucket.getPath()))
+        elif name.startswith("merge_bucket="):
+            inside = [x.getPath().getName() for x in store.listStatus(bucket.getPath())]
+            found[int(name.partition("=")[2])] = sorted(int(x.partition("=")[2]) for x in inside if x.startswith("merge_version="))
+    return found
+
+
+def _newest(versions: dict[int, list[int]], upto: int) -> dict[int, int]:
+    return {b: max(own) for b, vs in versions.items() if b >= 0 and (own := [v for v in vs if v <= upto])}
+
+
+def merge_into(path: str, key: str, time: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that keeps the newest row of each key by ``time`` in a table of ``buckets`` parts, by the key's hash.
+
+    A batch reads and rewrites only the buckets that its keys are in, as a new version of each, and then
+    marks itself as done. A batch that runs again writes its versions again, so the merge is idempotent;
+    a version is kept until a batch that is done has replaced it twice. ``merged`` reads the table.
     """
 
     def newest(rows: DataFrame) -> DataFrame:
@@ -52,16 +74,31 @@ def merge_into(path: str, key: str, time: str) -> Callable[[DataFrame, int], Non
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = newest(batch)
-        if batch_id:
-            new = newest(spark.read.parquet(f"{path}/v={batch_id - 1}").unionByName(new))
-        new.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
-        if batch_id > 1:
-            removed(spark, f"{path}/v={batch_id - 2}")
+        place = F.pmod(F.xxhash64(key), F.lit(buckets))
+        fresh = newest(batch)
+        touched = [r[0] for r in fresh.select(place).distinct().collect()]  # buckets at most
+        versions = _versions(spark, path)
+        old = _newest(versions, batch_id - 1)
+        held = [f"{path}/merge_bucket={b}/merge_version={old[b]}" for b in touched if b in old]
+        every = newest(spark.read.schema(fresh.schema).parquet(*held).unionByName(fresh)) if held else fresh
+        out = every.select("*", place.alias("merge_bucket"), F.lit(batch_id).alias("merge_version"))
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("merge_bucket", "merge_version").parquet(path)
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/done/{batch_id}")
+        done.getFileSystem(spark._jsc.hadoopConfiguration()).create(done, True).close()
+        removed(spark, *[f"{path}/merge_bucket={b}/merge_version={v}" for b in touched if b in old for v in versions[b] if v < old[b]], *[f"{path}/done/{i}" for i in versions.get(-1, []) if i < batch_id - 1])
 
     return merge
 
 
+def merged(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """The table of ``merge_into`` after the last batch that is done."""
+    versions = _versions(spark, path)
+    done = max(versions.get(-1, [-1]))
+    paths = [f"{path}/merge_bucket={b}/merge_version={v}" for b, v in sorted(_newest(versions, done).items())]
+    read = spark.read.schema(schema) if schema else spark.read
+    return read.parquet(*paths)
+
+
 def run_available(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None]) -> None:
     """Process what is there, batch by batch, and stop."""
     query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
