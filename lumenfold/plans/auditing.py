@@ -74,6 +74,11 @@ def support_score(spark, sf_dir):
     return _audit(spark, sf_dir)[1].select("requirement_id", "evidence_id", "support")
 
 
+@query(f"{_SUPPORT} SELECT requirement_id, field, count(*) AS n_candidates, max(support) AS best_support, array_to_string((list(evidence_id ORDER BY support DESC, evidence_id))[1:3], ';') AS evidence FROM s GROUP BY 1, 2")
+def best_support(spark, sf_dir):
+    return audit.best_support(_audit(spark, sf_dir)[1])
+
+
 _DECIDED = f"""{_SUPPORT}, m AS (SELECT *, row_number() OVER (PARTITION BY requirement_id, field ORDER BY support DESC, evidence_id) AS nth FROM s WHERE support >= 0.5),
 c AS (SELECT requirement_id, field, max(lower(trim(value))) FILTER (nth = 1) AS v1, max(lower(trim(value))) FILTER (nth = 2) AS v2 FROM m WHERE field IN ('validity_date', 'calibration_date', 'result', 'test_date') AND nth <= 2 GROUP BY 1, 2),
 k AS (SELECT DISTINCT requirement_id FROM c WHERE (regexp_replace(v1, '[^0-9]', '', 'g') <> '' AND regexp_replace(v2, '[^0-9]', '', 'g') <> '' AND regexp_replace(v1, '[^0-9]', '', 'g') <> regexp_replace(v2, '[^0-9]', '', 'g')) OR (field = 'result' AND v1 <> v2)),
