@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenfold.functions import standards, values
-from lumenfold.functions.text import missing_reason, null_class, value
+from lumenfold.functions.text import missing_reason, name_family, null_class, redact_url, value
 from lumenfold.operators import answer
 from lumenfold.plans.registry import load, query
 from lumenfold.storage import written
@@ -154,3 +154,52 @@ def computed_intents(spark, sf_dir):
     load(spark, sf_dir, "orders").createOrReplaceTempView("cells_of_orders")
     asked = spark.sql(_BASE.replace("FROM orders", "FROM cells_of_orders")).select(F.col("k").alias("id"), F.expr(_ASKED).alias("text"))
     return answer.classify_task(answer.extract_entities(asked)).select("id", "numbers", "product_text", "task", "mode")
+
+
+#: Packed cells: order numbers with dates, scopes, names with addresses, entities, file names, links.
+_PACKED = {
+    "numbered": _joined(_pick(["S.O. 123(E)", "GSR 45", "No. 7/2019", "order of the state", "", "N/A", "so  99-A"]), _pick([" dated 5 May 2020", " (01/02/2019)", ", 12-03-2021", " issued on: 2018", "", " w.e.f. 1 June 2019.", " (2017-2018)"], 7), _pick(["", " extra"], 49)),
+    "scope": _joined(_pick(["Covers S.O. papers. ", "Applies to Co. Ltd. works; ", "No exclusions apply. ", ""]), _pick(["Excluding toys made by hand. ", "Amended by order 5. ", "It shall not apply to exports. ", "Plain words here; more words. ", "n/a"], 4), _pick(["Other than cable.", "Superseded in 2010.", "The end", ""], 20)),
+    "maker": _joined(_pick(["Northern Works Pvt. Ltd.", "Acme Industries", "J. Doe", "", "Beta Co", "nil"]), _pick([", 5 Mill Lane, Pune", " | Address: 7 High St, | City: Delhi | Country: India", "", " | city : Goa", ", Unit 2"], 6)),
+    "entity": _joined(_pick(["Steel Pipes", "Cement (OPC)", "n/a", "Paint"]), _pick(["; ", " and ", "/", ", ", " | "], 4), _pick(["pumps", "STEEL  pipes!", "x", "", "unknown"], 20)),
+    "file": _joined(_pick(["Data Set", "qco_list", "Report"]), _pick(["", "_v2", " (3)", "-final", " copy", "_2020-01-05", "_version 1.2"], 3), _pick([".csv", ".XLSX", ""], 21)),
+    "link": _joined(_pick(["https://", "postgres://", ""]), _pick(["user:secret@", "", "name@"], 3), "'host.org/x'"),
+}
+_CUED, _BRACKET = r"(?i)\b(?:date[sd]?|dt\.?|w\.?e\.?f\.?|with effect from|published on|issued on|notified on)\b[: ]*", r"\(([0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{2,4}|[0-9]{4}(?:\s*[/&-]\s*[0-9]{4})?)\)"
+_TRAIL, _ORDER = r"[,;(\[ ]\s*((?:[0-9]{1,2}[-/. ])?(?:[0-9]{1,2}|[A-Za-z]{3,9})[-/. ,]*[0-9]{4})\s*[)\]]?\s*$", r"(?i)(?:S\.?\s*O\.?|G\.?\s*S\.?\s*R\.?|CG-DL-E|\bNo\.?)\s*[-:]?\s*[0-9][A-Za-z0-9_()./-]*"
+_ORG = r"\b(?:pvt|private|ltd|limited|inc|llc|llp|gmbh|co\.?|corp(?:oration)?|company|industr(?:y|ies)|enterprises?|technolog(?:y|ies)|manufactur\w*|group|holdings?|plc|srl|sas|pte)\b\.?"
+_AMENDED, _EXCLUDED, _NEGATED = r"(?i)\b(?:amend\w*|corrigend(?:um|a)|supersed\w+|revised by|substituted by)\b", r"(?i)\b(?:exclusions?|excludes?|excluding|exempt(?:ed|ions?)?|not applicable to|shall not apply to|other than)\b", r"(?i)\b(?:no|none|nil|without|not any|zero)\s+(?:\w+\s+){0,3}?(?:exclusions?|exemptions?)\b"
+
+
+def _trimmed(c: str) -> str:
+    return rf"regexp_replace(regexp_replace({c}, '^[ ,;:\-–(\[/)\]]+|[ ,;:\-–(\[/]+$', '', 'g'), '\s{{2,}}', ' ', 'g')"
+
+
+def _shown(c: str) -> str:
+    return f"CASE WHEN {_class(c)} = 'POPULATED' THEN {c} ELSE '' END"
+
+
+_LABEL = r"regexp_replace(trim(regexp_extract(ms, '(?i)\|\s*{name}\s*:([^|]*)', 1)), '[ ,;]+$', '')"
+_LABELS = r"(?i)\|\s*(?:address|city|country|state|pin|postal code|zip)\s*:"
+
+
+@query(rf"""WITH raw AS (SELECT k AS id, {', '.join(f'{t} AS {c}' for c, t in _PACKED.items())} FROM ({_BASE})),
+a AS (SELECT *, {_squeezed('numbered')} AS ns, {_class('numbered')} = 'POPULATED' AS nlive, {_squeezed('maker')} AS ms, {_class('maker')} = 'POPULATED' AS mlive, {_class('scope')} = 'POPULATED' AS slive, regexp_replace(regexp_replace({_squeezed('scope')}, '(S\.O|Co|Ltd|Pvt)\.', '\1' || chr(2), 'g'), '([.;])\s+', '\1' || chr(1), 'g') AS marked FROM raw),
+b AS (SELECT *, CASE WHEN NOT nlive THEN 'EMPTY' WHEN regexp_extract(ns, '{_CUED}') <> '' THEN 'DATE_CUE' WHEN regexp_extract(ns, '{_BRACKET}', 1) <> '' THEN 'PAREN_DATE' WHEN regexp_extract(ns, '{_TRAIL}', 1) <> '' THEN 'TRAIL_DATE' ELSE 'NO_CUE' END AS method,
+  CASE WHEN slive THEN list_transform(string_split(marked, chr(1)), lambda x: trim(replace(x, chr(2), '.'))) ELSE [] END AS sentences, regexp_matches(ms, '{_LABELS}') AS labelled, regexp_matches(ms, '(?i)^(.*{_ORG}[^,]*),(.*)$') AS by_org FROM a),
+c AS (SELECT *, CASE method WHEN 'DATE_CUE' THEN regexp_extract(ns, '^(.*?){_CUED}', 1) WHEN 'PAREN_DATE' THEN regexp_replace(ns, '{_BRACKET}', ' ', 'g') WHEN 'TRAIL_DATE' THEN regexp_replace(ns, '{_TRAIL}', '') ELSE ns END AS head,
+  list_filter(sentences, lambda x: regexp_matches(x, '{_AMENDED}')) AS am, list_filter(sentences, lambda x: NOT regexp_matches(x, '{_AMENDED}') AND regexp_matches(x, '{_EXCLUDED}') AND NOT regexp_matches(x, '{_NEGATED}')) AS ex FROM b)
+SELECT id, method, regexp_extract(head, '{_ORDER}') AS number, {_trimmed(f"regexp_replace(head, '{_ORDER}', ' ', 'g')")} AS note, {_trimmed(f"CASE method WHEN 'DATE_CUE' THEN regexp_extract(ns, '{_CUED}(.*)$', 1) WHEN 'PAREN_DATE' THEN regexp_extract(ns, '{_BRACKET}', 1) WHEN 'TRAIL_DATE' THEN regexp_extract(ns, '{_TRAIL}', 1) ELSE '' END")} AS date_text,
+ array_to_string(list_filter(sentences, lambda x: NOT list_contains(am, x) AND NOT list_contains(ex, x)), ' ') AS scope, array_to_string(ex, ' ') AS exclusions, array_to_string(am, ' ') AS amendments,
+ CASE WHEN NOT mlive THEN 'EMPTY' WHEN labelled THEN 'LABELLED' WHEN by_org THEN 'ORG_TOKEN_COMMA' WHEN regexp_matches(ms, '(?i){_ORG}') THEN 'ORG_TOKEN_NO_COMMA' ELSE 'NO_LABEL_NO_ORG_TOKEN' END AS maker_method,
+ CASE WHEN NOT mlive THEN '' WHEN labelled THEN regexp_replace(regexp_extract(ms, '(?i)^(.*?)\|\s*(?:address|city|country|state|pin|postal code|zip)\s*:', 1), '[ ,;|]+$', '') WHEN by_org THEN trim(regexp_extract(ms, '(?i)^(.*{_ORG}[^,]*),(.*)$', 1)) ELSE ms END AS maker,
+ CASE WHEN NOT mlive THEN '' WHEN labelled THEN {_shown(_LABEL.format(name='address'))} WHEN by_org THEN trim(regexp_extract(ms, '(?i)^(.*{_ORG}[^,]*),(.*)$', 2)) ELSE '' END AS address, CASE WHEN labelled THEN {_shown(_LABEL.format(name='city'))} ELSE '' END AS city,
+ array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split_regex({_squeezed('entity')}, '(?i)[;,|/]+|\band\b'), lambda x: trim(regexp_replace(lower(x), '[^0-9a-z]+', ' ', 'g'))), lambda x: length(x) > 1 AND x NOT IN ('unknown', 'none', 'null', 'nil', 'na', 'no')))), '|') AS entities,
+ regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(file), '\.[a-z0-9]{{1,5}}$', ''), '\([0-9]+\)|[_ -]*(?:copy|final|v(?:er(?:sion)?)?[_ -]?[0-9.]+|[0-9]{{4}}[-_]?[0-9]{{2}}[-_]?[0-9]{{2}})', '', 'g'), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS family,
+ CASE WHEN regexp_matches(link, '://[^/@]*@') THEN split_part(link, '://', 1) || '://***@host.org/x' ELSE link END AS link FROM c""")
+def computed_packed(spark, sf_dir):
+    load(spark, sf_dir, "orders").createOrReplaceTempView("cells_of_orders")
+    base = spark.sql(_BASE.replace("FROM orders", "FROM cells_of_orders"))
+    raw = written(base.select(F.col("k").alias("id"), *[F.expr(t).alias(c) for c, t in _PACKED.items()]), "cells")
+    made = raw.select("id", standards.split_number_and_date(F.col("numbered")).alias("n"), standards.split_scope(F.col("scope")).alias("s"), standards.split_name_and_address(F.col("maker")).alias("m"), F.array_join(standards.norm_entity("PRODUCT", F.col("entity")), "|").alias("entities"), name_family(F.col("file")).alias("family"), redact_url(F.col("link")).alias("link"))
+    return made.select("id", "n.method", "n.number", "n.note", "n.date_text", "s.scope", "s.exclusions", "s.amendments", F.col("m.method").alias("maker_method"), F.col("m.name").alias("maker"), "m.address", "m.city", "entities", "family", "link")
