@@ -204,3 +204,20 @@ def expand_fields(df: DataFrame, column: str, names: dict[str, str]) -> DataFram
     own = [(names[p].replace("{}", column) if p in names else f"{column}_{p}", text[p]) for p in parts if not names.get(p, "").startswith("@")]
     pairs = F.filter(F.array(*[F.struct(F.lit(n).alias("key"), v.alias("value")) for n, v in own]), lambda x: x["value"] != "")
     return df.withColumns({"fields": F.map_from_entries(pairs), "review": sentinel["@review"], "original": sentinel["@original"], "label": sentinel["@label"]})
+
+
+def registered(files: DataFrame, tabular: DataFrame, after: int = 0) -> DataFrame:
+    """Registry rows of the files that no row was read from, numbered by file id from ``after`` + 1 on.
+
+    files: an inventory (file_id, name, path, extension, bytes, modified, sha256, parser_status). tabular:
+    (file_id) of the files with rows. Columns: document_id, document_type, title, local_path, sha256,
+    bytes, last_modified, parser_status, source_file_id, source_file, filled, completeness.
+    """
+    others = files.join(bounded(tabular.select("file_id").distinct(), 32), "file_id", "left_anti")
+    numbered = running_ids(others, ["file_id", "path"], "DOC", 5, after)
+    made = numbered.select(
+        F.col("seq_id").alias("document_id"), F.upper(F.coalesce("extension", F.lit(""))).alias("document_type"), F.regexp_replace("name", "\\.[^.]*$", "").alias("title"), F.col("path").alias("local_path"), "sha256", "bytes", F.col("modified").alias("last_modified"), "parser_status",
+        F.col("file_id").alias("source_file_id"), F.col("name").alias("source_file"),
+    )
+    filled = sum((F.when(~is_empty(F.col(c)), 1).otherwise(0) for c in made.columns), F.lit(0))
+    return made.withColumn("filled", filled).withColumn("completeness", F.round(100.0 * F.col("filled") / len(made.columns), 1))

@@ -185,3 +185,19 @@ def rechecked(spark, sf_dir):
 @query("SELECT count(*) AS n_documents, count(*) FILTER (doc_id % 10 IN (3, 4)) AS n_extracted, count(*) FILTER (doc_id % 10 NOT IN (3, 4)) AS n_reused FROM documents WHERE doc_id IS NOT NULL")
 def recheck_work(spark, sf_dir):
     return _rechecked(spark, sf_dir).work.select("n_documents", "n_extracted", "n_reused")
+
+
+_REMEDY = "CASE WHEN reason_code = 'CONFLICT' THEN 'Resolve the conflicting values, then upload the corrected document.' WHEN reason_code = 'EXPIRED' THEN 'Get the instrument recalibrated and upload the new certificate.' WHEN reason_code = 'NO_EVIDENCE' AND type = 'CALIBRATION' THEN 'Upload a valid calibration certificate with instrument, calibration date and validity date.' WHEN reason_code = 'NO_EVIDENCE' THEN 'Upload a document that addresses this requirement.' ELSE 'Upload clearer evidence with the details needed to verify it.' END"
+_PAPERLESS = _DECIDED.replace("AS text FROM part)", "AS text FROM part WHERE p_partkey % 8 NOT IN (0, 7))")
+
+
+@query(f"""{_PAPERLESS}, lines AS (SELECT 1 AS section, 'Widgets of ' || r_name AS line FROM region UNION ALL SELECT 4, source || ' [' || coalesce(lang, '-') || ', ' || count(*) || ' pages, READ]' FROM documents GROUP BY source, lang UNION ALL SELECT 5, count(*) || ' requirements' FROM z
+ UNION ALL SELECT CASE decision WHEN 'PASS' THEN 6 WHEN 'GAP' THEN 7 ELSE 8 END, requirement_id || ' (' || type || '): ' || reason_code FROM z UNION ALL SELECT 9, CAST(round_even(100 * count(*) FILTER (decision = 'PASS') / count(*), 0) AS INTEGER) || '/100 (' || count(*) FILTER (decision = 'PASS') || ' of ' || count(*) || ' passed)' FROM z
+ UNION ALL SELECT 10, p || ' [' || type || '] ' || requirement_id FROM (SELECT *, list_position(['CALIBRATION', 'TESTING', 'QCO', 'SCHEME', 'FACTORY', 'LAB', 'MANUAL'], type) - 1 AS p FROM z WHERE decision = 'GAP' ORDER BY p, requirement_id LIMIT 8) UNION ALL SELECT 11, requirement_id || ' (' || decision || '): ' || {_REMEDY} FROM z WHERE decision <> 'PASS'
+ UNION ALL SELECT 12, 'nation: ' || n_name FROM nation UNION ALL SELECT 13, '{audit.DISCLAIMER}' UNION ALL SELECT 2, 'None' UNION ALL SELECT 3, 'None' UNION ALL SELECT 6, 'None' WHERE NOT EXISTS (FROM z WHERE decision = 'PASS') UNION ALL SELECT 8, 'None' WHERE NOT EXISTS (FROM z WHERE decision = 'UNKNOWN'))
+SELECT section, {_list(audit.SECTIONS)}[section] AS title, row_number() OVER (PARTITION BY section ORDER BY line)::INTEGER AS nth, line FROM lines""")
+def report_lines(spark, sf_dir):
+    decisions = audit.decide(*_audit(spark, sf_dir, "p_partkey % 8 NOT IN (0, 7)"), "2026-01-01")
+    facts = load(spark, sf_dir, "region").select(F.lit(1).alias("section"), F.concat(F.lit("Widgets of "), "r_name").alias("line"))
+    papers = load(spark, sf_dir, "documents").groupBy(F.col("source").alias("name"), F.col("lang").alias("category")).agg(F.count("*").alias("pages")).withColumn("status", F.lit("READ"))
+    return audit.report_lines(facts, papers, decisions, load(spark, sf_dir, "nation").select(F.lit("nation").alias("source"), F.col("n_name").alias("detail")))

@@ -184,3 +184,18 @@ def expand_fields(spark, sf_dir):
     found = integrate.expand_fields(rows, "size", {"v": "{}_value", "flag": "@review", "seen": "@original", "noise": "@drop"})
     pairs = F.array_sort(F.transform(F.map_entries("fields"), lambda x: F.concat(x["key"], F.lit("="), x["value"])))
     return found.select("id", F.array_join(pairs, ",").alias("fields"), "review", "original", "label")
+
+
+@query("""WITH f AS (SELECT 'F' || lpad(CAST(page_id AS VARCHAR), 6, '0') AS file_id, 'page-' || page_id || '.v1.html' AS name, url AS path, page_id % 3 AS k, octet_length(encode(html)) AS bytes, sha256(html) AS sha256 FROM pages WHERE page_id % 4 > 0), n AS (SELECT *, row_number() OVER (ORDER BY file_id, path) + 7 AS i FROM f)
+SELECT 'DOC-' || lpad(CAST(i AS VARCHAR), 5, '0') AS document_id, CASE WHEN k = 0 THEN '' ELSE 'HTML' END AS document_type, replace(name, '.html', '') AS title, path AS local_path, sha256, bytes, '' AS last_modified, CASE WHEN k = 1 THEN 'unavailable' END AS parser_status, file_id AS source_file_id, name AS source_file,
+ (7 + (k > 0)::INT + (k = 1)::INT)::INTEGER AS filled, round(100.0 * (7 + (k > 0)::INT + (k = 1)::INT) / 10, 1)::DOUBLE AS completeness FROM n""")
+def document_registry(spark, sf_dir):
+    """Pages that no rows were read from."""
+    k, pages = F.col("page_id"), load(spark, sf_dir, "pages")
+    name = F.lpad(k.cast("string"), 6, "0")
+    files = pages.select(
+        F.concat(F.lit("F"), name).alias("file_id"), F.concat(F.lit("page-"), k.cast("string"), F.lit(".v1.html")).alias("name"), F.col("url").alias("path"), F.when(k % 3 > 0, "html").alias("extension"), F.octet_length("html").cast("long").alias("bytes"), F.lit("").alias("modified"), F.sha2("html", 256).alias("sha256"),
+        F.when(k % 3 == 1, "unavailable").alias("parser_status"),
+    )
+    tabular = pages.where("page_id % 4 = 0").select(F.concat(F.lit("F"), name).alias("file_id"))
+    return integrate.registered(files, tabular, 7)
