@@ -20,6 +20,8 @@ from lumenfold.storage import BROADCAST_BYTES
 
 #: Order of scores: to so many digits, so that another order of adding up changes no rank.
 DIGITS = 12
+#: Scores that a task computes at once.
+SCORES = 2_000_000
 
 
 def _blocks(queries: DataFrame, row_bytes: int) -> Iterator[list]:
@@ -69,11 +71,13 @@ def _near(shared, k: int):
                 here = np.flatnonzero(length > 0) if group is None else np.flatnonzero((groups == group) & (length > 0))
                 if not len(here):
                     continue
-                scores = np.round(vectors[here] @ wanted[own].T, DIGITS)
-                for j, i in enumerate(own):
-                    column = scores[:, j]
-                    least = np.partition(column, -k)[-k] if len(column) > k else -np.inf
-                    best[i] = heapq.nsmallest(k, best[i] + [(-column[r], keys[here[r]]) for r in np.flatnonzero(column >= least)])
+                step = max(1, SCORES // len(own))
+                for part in (here[i : i + step] for i in range(0, len(here), step)):
+                    scores = np.round(vectors[part] @ wanted[own].T, DIGITS)
+                    for j, i in enumerate(own):
+                        column = scores[:, j]
+                        least = np.partition(column, -k)[-k] if len(column) > k else -np.inf
+                        best[i] = heapq.nsmallest(k, best[i] + [(-column[r], keys[part[r]]) for r in np.flatnonzero(column >= least)])
         if kind is not None:
             rows = [(queries[i][0], key, -score) for i, own in best.items() for score, key in own]
             yield pa.record_batch({"question_id": pa.array([r[0] for r in rows], pa.int64()), "key": pa.array([r[1] for r in rows], kind), "score": pa.array([r[2] for r in rows], pa.float64())})

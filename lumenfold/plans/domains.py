@@ -9,7 +9,7 @@ from lumenfold.plans.registry import load, query
 
 #: Headers, names and values that files are made of, by their numbers.
 _HEADERS = ["qco_number", "effective_date", "test_id", "lab_id", "lab_name", "question", "answer", "country", "standard_id", "revision", "remarks", "parameter"]
-_NAMES = ["qco list", "bis_scheme_iv_coc", "faq of hallmark", "source_inventory", "laboratory_scopes", "notes", "circular act", "ahc_2"]
+_NAMES = ["qco list", "list_scheme_iv_coc", "faq of hallmark", "source_inventory", "laboratory_scopes", "notes", "circular act", "ahc_2"]
 _VALUES = ["certificate of conformity", "gazette notification", "isi  mark", "schemes without", "assaying & hallmarking", "nothing"]
 _SCHEMES = ["Scheme - IV", "scheme ii", "FMCS", "isi mark", "Scheme 1", "none", "SCH-X", "Scheme-I"]
 
