@@ -104,7 +104,9 @@ g AS (SELECT *, CASE WHEN day IS NOT NULL THEN day WHEN ym AND TRY_CAST(ym2 AS I
 SELECT id, CASE WHEN live THEN found ELSE '' END AS iso, CASE WHEN NOT live THEN '' WHEN found = '' THEN 'NONE' WHEN day IS NOT NULL THEN 'DAY' WHEN length(found) = 7 THEN 'MONTH' ELSE 'YEAR' END AS precision,
  CASE WHEN NOT live THEN '' WHEN found = '' THEN 'UNPARSED_PRESERVED' WHEN NOT iso AND num AND TRY_CAST(num1 AS INT) <= 12 AND TRY_CAST(num2 AS INT) <= 12 THEN 'AMBIGUOUS_DMY' ELSE '' END AS flag FROM g""")
 def computed_dates(spark, sf_dir):
-    return _raw(spark, sf_dir).select("id", values.ndate(F.col("day")).alias("d")).select("id", "d.iso", "d.precision", "d.flag")
+    # as a function of one cell, which stays out of the generated code of the whole stage
+    found = F.transform(F.array("day"), values.ndate)[0]
+    return _raw(spark, sf_dir).select("id", found.alias("d")).select("id", "d.iso", "d.precision", "d.flag")
 
 
 #: Texts with standard numbers in many forms.
