@@ -6,6 +6,7 @@ import json
 import uuid
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from lumenfold.operators import integrate
@@ -162,3 +163,19 @@ def test_ddl_types(spark):
     schema = spark.createDataFrame([], "a decimal(10,2), b date, c timestamp, d array<int>, e struct<x: int>, f string").schema
     text = sinks.ddl("t", schema)
     assert [line.split(" ", 1)[1] for line in text.replace(",\n", "\n").split("\n  ")[1:]] == ["numeric(10, 2)", "date", "timestamptz", "integer[]", "jsonb", "text\n);"]
+
+
+def test_tables_are_swapped_after_their_checks(spark, tmp_path):
+    at = str(tmp_path / "t")
+    make = lambda parts, items: {"part": spark.createDataFrame(parts, "id int, name string"), "item": spark.createDataFrame(items, "item int, part int")}
+    keys, refs = {"part": "id", "item": "item"}, [("item", "part", "part")]
+    sinks.load_tables(make([(1, "a"), (2, " ")], [(7, 1), (8, None)]), at, keys, refs)
+    assert sorted(map(tuple, sinks.loaded(spark, at, "part").collect())) == [(1, "a"), (2, None)]
+    with pytest.raises(ValueError, match="item.part: 1 rows point to nothing; part.id: 0 blank, 1 repeated"):
+        sinks.load_tables(make([(1, "a"), (1, "b")], [(7, 9)]), at, keys, refs)
+    assert sinks.loaded(spark, at, "part").count() == 2  # the version that stood
+    for n in (3, 4):
+        sinks.load_tables(make([(i, "x") for i in range(n)], [(7, 1)]), at, keys, refs)
+    assert sinks.loaded(spark, at, "part").count() == 4 and sinks.current_version(spark, at) == "00000003"
+    assert sorted(p.name for p in (tmp_path / "t" / "versions").iterdir()) == ["00000002", "00000003"]
+    assert "FOREIGN KEY (part) REFERENCES part (id)" in sinks.ddl("item", sinks.loaded(spark, at, "item").schema, "item", {"part": ("part", "id")})
