@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lumenfold.functions.text import populated, squeeze, strip
+from lumenfold.functions.text import let, populated, squeeze, strip
 
 # Fixed value: the parts of a standard number, in order: body, number, dash, part, section, year, amendment.
 NUMBER = (
@@ -16,31 +16,35 @@ NUMBER = (
 
 
 def _parsed(m: Column) -> Column:
-    """The fields of one match. A dash after a plain number is its part; after an international one it stays."""
-    at = lambda i: F.coalesce(F.regexp_extract(m, NUMBER, i), F.lit(""))
-    body = F.upper(F.regexp_replace(at(1), "[\\s]", ""))
-    dash_part = (at(3) != "") & (body == "") & (at(4) == "")
-    part = F.upper(F.when(dash_part, F.substring(at(3), 2, 9)).otherwise(at(4)))
-    dash = F.when(dash_part, "").otherwise(at(3))
-    bare = F.regexp_replace(at(2), "^0+", "")
-    number = F.when(bare == "", "0").otherwise(bare)
-    tail = F.concat(F.when(part != "", F.concat(F.lit(" (Part "), part, F.lit(")"))).otherwise(""), F.when(at(5) != "", F.concat(F.lit(" (Sec "), at(5), F.lit(")"))).otherwise(""))
-    letters = F.regexp_replace(body, "[^A-Z0-9]", "")
-    ident = F.concat(
-        F.lit("STD-"), F.when(letters != "", F.concat(letters, F.lit("-"))).otherwise(""), bare, dash,
-        F.when(part != "", F.concat(F.lit("-P"), part)).otherwise(""), F.when(at(5) != "", F.concat(F.lit("-S"), at(5))).otherwise(""),
-    )
-    return F.struct(
-        strip(m).alias("display"),
-        F.concat(F.lit("IS"), body, F.lit(" "), number, dash, tail).alias("canonical"),
-        ident.alias("standard_id"),
-        at(6).alias("year"),
-        part.alias("part"),
-        F.when(dash_part, "dash_form").when(at(4) != "", "explicit").otherwise("").alias("part_source"),
-        at(5).alias("section"),
-        at(7).alias("amendment"),
-        (body != "").alias("international"),
-    )
+    """The fields of one match, whose groups are read once. A dash after a plain number is its part; after an international one it stays."""
+    groups = F.split(F.regexp_replace(m, f"(?s)^.*?{NUMBER}.*$", "\u0001".join(f"${i}" for i in range(1, 8))), "\u0001")
+
+    def fields(g: Column, body: Column) -> Column:
+        at = lambda i: F.get(g, F.lit(i - 1))
+        dash_part = (at(3) != "") & (body == "") & (at(4) == "")
+        part = F.upper(F.when(dash_part, F.substring(at(3), 2, 9)).otherwise(at(4)))
+        dash = F.when(dash_part, "").otherwise(at(3))
+        bare = F.ltrim(at(2), F.lit("0"))
+        number = F.when(bare == "", "0").otherwise(bare)
+        tail = F.concat(F.when(part != "", F.concat(F.lit(" (Part "), part, F.lit(")"))).otherwise(""), F.when(at(5) != "", F.concat(F.lit(" (Sec "), at(5), F.lit(")"))).otherwise(""))
+        letters = F.regexp_replace(body, "[^A-Z0-9]", "")
+        ident = F.concat(
+            F.lit("STD-"), F.when(body != "", F.concat(letters, F.lit("-"))).otherwise(""), bare, dash,
+            F.when(part != "", F.concat(F.lit("-P"), part)).otherwise(""), F.when(at(5) != "", F.concat(F.lit("-S"), at(5))).otherwise(""),
+        )
+        return F.struct(
+            strip(m).alias("display"),
+            F.concat(F.lit("IS"), body, F.lit(" "), number, dash, tail).alias("canonical"),
+            ident.alias("standard_id"),
+            at(6).alias("year"),
+            part.alias("part"),
+            F.when(dash_part, "dash_form").when(at(4) != "", "explicit").otherwise("").alias("part_source"),
+            at(5).alias("section"),
+            at(7).alias("amendment"),
+            (body != "").alias("international"),
+        )
+
+    return let(groups, lambda g: let(F.upper(F.regexp_replace(F.get(g, F.lit(0)), "[\\s]", "")), lambda body: fields(g, body)))
 
 
 def parse_numbers(c: Column) -> Column:
@@ -51,17 +55,19 @@ def parse_numbers(c: Column) -> Column:
 
 def distinct_numbers(c: Column) -> Column:
     """The first of each canonical number."""
-    found = parse_numbers(c)
-    names = F.transform(found, lambda x: x["canonical"])
-    return F.filter(found, lambda x, i: F.array_position(names, x["canonical"]) == i + 1)
+    once = lambda found, names: F.filter(found, lambda x, i: F.array_position(names, x["canonical"]) == i + 1)
+    return let(parse_numbers(c), lambda found: let(found["canonical"], lambda names: once(found, names)))
 
 
 def first_number(c: Column) -> Column:
     """Struct (canonical, status): PARSED, PARSED_FIRST_OF_n, NO_REFERENCE or EMPTY."""
-    found = parse_numbers(c)
-    n = F.size(found)
-    status = F.when(~populated(c), "EMPTY").when(n == 0, "NO_REFERENCE").when(n == 1, "PARSED").otherwise(F.concat(F.lit("PARSED_FIRST_OF_"), n.cast("string")))
-    return F.struct(F.coalesce(F.get(F.transform(found, lambda x: x["canonical"]), F.lit(0)), F.lit("")).alias("canonical"), status.alias("status"))
+
+    def of(s: Column, found: Column) -> Column:
+        n = F.size(found)
+        status = F.when(~populated(s), "EMPTY").when(n == 0, "NO_REFERENCE").when(n == 1, "PARSED").otherwise(F.concat(F.lit("PARSED_FIRST_OF_"), n.cast("string")))
+        return F.struct(F.coalesce(F.get(found["canonical"], F.lit(0)), F.lit("")).alias("canonical"), status.alias("status"))
+
+    return let(squeeze(c), lambda s: let(parse_numbers(s), lambda found: of(s, found)))
 
 
 # Cues inside packed cells.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
@@ -28,6 +30,11 @@ SEARCH_STOPWORDS = [
     "these", "those", "with", "how", "does",
 ]
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is made once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 BLANK = " \\t\\r\\n\\f\\x0B"
 
 
@@ -85,14 +92,16 @@ def norm_of(df: DataFrame, name: str) -> Column:
 
 def null_class(c: Column) -> Column:
     """POPULATED, NULL_UNKNOWN, ASSERTED_ABSENCE or AMBIGUOUS_REQUIRES_REVIEW."""
-    s = squeeze(c)
-    t = F.trim(F.regexp_replace(F.lower(s), "\\.+$", ""))
-    return (
-        F.when((s == "") | t.isin(EXPLICIT_NULL), "NULL_UNKNOWN")
-        .when(t.isin(ABSENCE), "ASSERTED_ABSENCE")
-        .when(t.isin(AMBIGUOUS), "AMBIGUOUS_REQUIRES_REVIEW")
-        .otherwise("POPULATED")
-    )
+
+    def of(s: Column, t: Column) -> Column:
+        return (
+            F.when((s == "") | t.isin(EXPLICIT_NULL), "NULL_UNKNOWN")
+            .when(t.isin(ABSENCE), "ASSERTED_ABSENCE")
+            .when(t.isin(AMBIGUOUS), "AMBIGUOUS_REQUIRES_REVIEW")
+            .otherwise("POPULATED")
+        )
+
+    return let(squeeze(c), lambda s: let(F.trim(F.regexp_replace(F.lower(s), "\\.+$", "")), lambda t: of(s, t)))
 
 
 def populated(c: Column) -> Column:
@@ -101,7 +110,7 @@ def populated(c: Column) -> Column:
 
 def value(c: Column) -> Column:
     """The squeezed value, empty unless populated."""
-    return F.when(populated(c), squeeze(c)).otherwise("")
+    return let(squeeze(c), lambda s: F.when(populated(s), s).otherwise(""))
 
 
 def missing_reason(cls: Column) -> Column:

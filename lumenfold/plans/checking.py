@@ -8,6 +8,7 @@ from lumenfold.functions import standards, values
 from lumenfold.functions.text import missing_reason, null_class, value
 from lumenfold.operators import compare, integrity, profile, retrieve
 from lumenfold.plans.registry import load, query
+from lumenfold.storage import spread
 
 
 @query("""SELECT p_partkey AS id, (['MANDATORY', 'VOLUNTARY', 'BOTH', 'UNKNOWN', 'OTHER', 'UNKNOWN'])[p_partkey % 6 + 1] AS mandatory,
@@ -27,16 +28,16 @@ def cell_values(spark, sf_dir):
 def standard_numbers(spark, sf_dir):
     size = F.col("p_size")
     text = F.concat(F.lit("as per IS:302 (Part "), size.cast("string"), F.lit("): 2008, is 302 pt "), size.cast("string"), F.lit(" and IS / IEC "), (60000 + size).cast("string"), F.lit("-1"))
-    rows = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.alias("t"))
-    first, every = standards.first_number(F.col("t")), standards.distinct_numbers(F.col("t"))
-    return rows.select("id", first["canonical"].alias("first"), first["status"].alias("status"), F.size(every).alias("n_distinct"), F.element_at(every, -1)["canonical"].alias("last"))
+    rows = spread(load(spark, sf_dir, "part").select("p_partkey", "p_size")).select(F.col("p_partkey").alias("id"), text.alias("t"))
+    made = rows.select("id", standards.first_number(F.col("t")).alias("f"), standards.distinct_numbers(F.col("t")).alias("every"))
+    return made.select("id", F.col("f.canonical").alias("first"), "f.status", F.size("every").alias("n_distinct"), F.element_at("every", -1)["canonical"].alias("last"))
 
 
 @query("SELECT p_partkey AS id, CASE WHEN lower(p_type) = lower(p_name) THEN p_name ELSE p_name || ' | ' || p_type END AS members, CASE WHEN p_partkey % 2 = 0 THEN 'S.O. ' || p_partkey || '(E) dated 5 May 2020' ELSE 'No. ' || p_partkey || ' of 2019-20' END AS number FROM part")
 def packed_cells(spark, sf_dir):
     k = F.col("p_partkey").cast("string")
     number = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("S.O."), k, F.lit(" ( e ) Date 5 May 2020."))).otherwise(F.concat(F.lit("no: "), k, F.lit(" of 2019 / 20")))
-    rows = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws("; ", "p_name", "p_type", F.upper("p_name"), F.lit("n/a")).alias("list"), number.alias("number"))
+    rows = spread(load(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")).select(F.col("p_partkey").alias("id"), F.concat_ws("; ", "p_name", "p_type", F.upper("p_name"), F.lit("n/a")).alias("list"), number.alias("number"))
     return rows.select("id", F.array_join(values.split_list(F.col("list")), " | ").alias("members"), values.nnotification(F.col("number")).alias("number"))
 
 

@@ -39,6 +39,11 @@ def bounded(small: DataFrame, row_bytes: int = 32) -> DataFrame:
     return F.broadcast(small) if small.count() * row_bytes <= BROADCAST_BYTES else small
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt evenly over all cores, for work that is heavy for its bytes: a small file would be one task."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def met(rows: DataFrame, facts: DataFrame, key: str, share: int = 1000, row_bytes: int = 64) -> DataFrame:
     """``rows`` inner joined to ``facts`` on ``key``, where one key may hold any part of ``rows``.
 
