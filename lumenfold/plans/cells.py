@@ -12,7 +12,7 @@ from lumenfold.functions import standards, values
 from lumenfold.functions.text import missing_reason, name_family, null_class, redact_url, value
 from lumenfold.operators import answer
 from lumenfold.plans.registry import load, query
-from lumenfold.storage import written
+from lumenfold.storage import spread, written
 
 
 def _pick(words: list[str], every: int = 1) -> str:
@@ -36,9 +36,13 @@ _BASE = f"SELECT o_orderkey AS k, o_orderpriority AS p, CAST(1885 + o_orderkey %
 _RAW = f"raw AS (SELECT k AS id, {', '.join(f'{t} AS {c}' for c, t in _TEXTS.items())} FROM ({_BASE}))"
 
 
+def _based(spark, sf_dir):
+    spread(load(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")).createOrReplaceTempView("cells_of_orders")
+    return spark.sql(_BASE.replace("FROM orders", "FROM cells_of_orders"))
+
+
 def _raw(spark, sf_dir):
-    load(spark, sf_dir, "orders").createOrReplaceTempView("cells_of_orders")
-    base = spark.sql(_BASE.replace("FROM orders", "FROM cells_of_orders"))
+    base = _based(spark, sf_dir)
     # written, so that functions which read a cell often don't make it anew each time
     return written(base.select(F.col("k").alias("id"), *[F.expr(t).alias(c) for c, t in _TEXTS.items()]), "cells")
 
@@ -104,9 +108,7 @@ g AS (SELECT *, CASE WHEN day IS NOT NULL THEN day WHEN ym AND TRY_CAST(ym2 AS I
 SELECT id, CASE WHEN live THEN found ELSE '' END AS iso, CASE WHEN NOT live THEN '' WHEN found = '' THEN 'NONE' WHEN day IS NOT NULL THEN 'DAY' WHEN length(found) = 7 THEN 'MONTH' ELSE 'YEAR' END AS precision,
  CASE WHEN NOT live THEN '' WHEN found = '' THEN 'UNPARSED_PRESERVED' WHEN NOT iso AND num AND TRY_CAST(num1 AS INT) <= 12 AND TRY_CAST(num2 AS INT) <= 12 THEN 'AMBIGUOUS_DMY' ELSE '' END AS flag FROM g""")
 def computed_dates(spark, sf_dir):
-    # as a function of one cell, which stays out of the generated code of the whole stage
-    found = F.transform(F.array("day"), values.ndate)[0]
-    return _raw(spark, sf_dir).select("id", found.alias("d")).select("id", "d.iso", "d.precision", "d.flag")
+    return _raw(spark, sf_dir).select("id", values.ndate(F.col("day")).alias("d")).select("id", "d.iso", "d.precision", "d.flag")
 
 
 #: Texts with standard numbers in many forms.
@@ -124,11 +126,11 @@ q AS (SELECT id, i, year, amendment, 'IS' || body || ' ' || (CASE WHEN number =
 f AS (SELECT id, count(*) AS n, arg_min(canonical, i) AS first, count(DISTINCT canonical) AS n_distinct, string_agg(year || '/' || amendment, ',' ORDER BY i) AS years FROM q GROUP BY 1)
 SELECT t.id, coalesce(first, '') AS first, CASE WHEN {_class('text')} <> 'POPULATED' THEN 'EMPTY' WHEN n IS NULL THEN 'NO_REFERENCE' WHEN n = 1 THEN 'PARSED' ELSE 'PARSED_FIRST_OF_' || n END AS status, coalesce(n_distinct, 0)::INTEGER AS n_distinct, coalesce(years, '') AS years FROM t LEFT JOIN f ON f.id = t.id""")
 def computed_numbers(spark, sf_dir):
-    load(spark, sf_dir, "orders").createOrReplaceTempView("cells_of_orders")
-    rows = spark.sql(_BASE.replace("FROM orders", "FROM cells_of_orders")).select(F.col("k").alias("id"), F.expr(_NUMBERED).alias("text"))
-    first, every = standards.first_number(F.col("text")), standards.parse_numbers(F.col("text"))
-    years = F.array_join(F.transform(every, lambda x: F.concat(x["year"], F.lit("/"), x["amendment"])), ",")
-    return rows.select("id", first["canonical"].alias("first"), first["status"].alias("status"), F.size(standards.distinct_numbers(F.col("text"))).alias("n_distinct"), years.alias("years"))
+    rows = _based(spark, sf_dir).select(F.col("k").alias("id"), F.expr(_NUMBERED).alias("text"))
+    text = F.col("text")
+    years = F.array_join(F.transform(standards.parse_numbers(text), lambda x: F.concat(x["year"], F.lit("/"), x["amendment"])), ",")
+    made = rows.select("id", standards.first_number(text).alias("f"), F.size(standards.distinct_numbers(text)).alias("n_distinct"), years.alias("years"))
+    return made.select("id", F.col("f.canonical").alias("first"), "f.status", "n_distinct", "years")
 
 
 #: Questions of many fragments.
@@ -153,8 +155,7 @@ k AS (SELECT id, product, array_to_string(ns, ',') AS numbers, CASE WHEN compare
   WHEN {_holds('document', 'manual')} THEN 'DOCUMENT_RESEARCH' WHEN contains(low, 'certif') AND product IS NOT NULL THEN 'CERTIFICATION_GUIDANCE' ELSE 'GENERAL_BIS' END AS task FROM p)
 SELECT id, numbers, product AS product_text, task, CASE WHEN task IN ('COMPLIANCE_WORKFLOW', 'COMPARISON', 'VERIFICATION', 'CERTIFICATION_GUIDANCE', 'DOCUMENT_RESEARCH', 'STANDARD_DISCOVERY') THEN 'AGENT' ELSE 'SIMPLE' END AS mode FROM k""")
 def computed_intents(spark, sf_dir):
-    load(spark, sf_dir, "orders").createOrReplaceTempView("cells_of_orders")
-    asked = spark.sql(_BASE.replace("FROM orders", "FROM cells_of_orders")).select(F.col("k").alias("id"), F.expr(_ASKED).alias("text"))
+    asked = _based(spark, sf_dir).select(F.col("k").alias("id"), F.expr(_ASKED).alias("text"))
     return answer.classify_task(answer.extract_entities(asked)).select("id", "numbers", "product_text", "task", "mode")
 
 
@@ -200,8 +201,6 @@ SELECT id, method, regexp_extract(head, '{_ORDER}') AS number, {_trimmed(f"regex
  regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(file), '\.[a-z0-9]{{1,5}}$', ''), '\([0-9]+\)|[_ -]*(?:copy|final|v(?:er(?:sion)?)?[_ -]?[0-9.]+|[0-9]{{4}}[-_]?[0-9]{{2}}[-_]?[0-9]{{2}})', '', 'g'), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS family,
  CASE WHEN regexp_matches(link, '://[^/@]*@') THEN split_part(link, '://', 1) || '://***@host.org/x' ELSE link END AS link FROM c""")
 def computed_packed(spark, sf_dir):
-    load(spark, sf_dir, "orders").createOrReplaceTempView("cells_of_orders")
-    base = spark.sql(_BASE.replace("FROM orders", "FROM cells_of_orders"))
-    raw = written(base.select(F.col("k").alias("id"), *[F.expr(t).alias(c) for c, t in _PACKED.items()]), "cells")
+    raw = written(_based(spark, sf_dir).select(F.col("k").alias("id"), *[F.expr(t).alias(c) for c, t in _PACKED.items()]), "cells")
     made = raw.select("id", standards.split_number_and_date(F.col("numbered")).alias("n"), standards.split_scope(F.col("scope")).alias("s"), standards.split_name_and_address(F.col("maker")).alias("m"), F.array_join(standards.norm_entity("PRODUCT", F.col("entity")), "|").alias("entities"), name_family(F.col("file")).alias("family"), redact_url(F.col("link")).alias("link"))
     return made.select("id", "n.method", "n.number", "n.note", "n.date_text", "s.scope", "s.exclusions", "s.amendments", F.col("m.method").alias("maker_method"), F.col("m.name").alias("maker"), "m.address", "m.city", "entities", "family", "link")
