@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lumenfold.functions.text import INTEGER, NUMBER, null_class, populated, squeeze, strip
+from lumenfold.functions.text import INTEGER, NUMBER, let, null_class, populated, squeeze, strip
 
 # Patterns of dates and of lists in a cell.
 DATE_LIKE = "^\\s*([0-9]{1,4}[/.-][0-9]{1,2}[/.-][0-9]{1,4})|^\\s*[0-9]{1,2}\\s+[A-Za-z]{3,9}\\s+[0-9]{4}\\s*$"
@@ -203,35 +203,44 @@ TRAIL = "(?i)\\b(and|or|of|for|the|a|an|with|in|to|by|as|shall|is|are)\\s*$"
 
 
 def _split_outside(s: Column, separators: str) -> Column:
-    """Split at separators that stand outside brackets, by a fold over the characters."""
+    """Split at separators that stand outside brackets, by a fold over the characters where any bracket opens."""
     zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("part"), F.lit(0).alias("depth"))
 
     def step(acc: Column, ch: Column) -> Column:
         depth = F.when(ch.isin("(", "[", "{"), acc["depth"] + 1).when(ch.isin(")", "]", "}"), F.greatest(acc["depth"] - 1, F.lit(0))).otherwise(acc["depth"])
-        cut = (depth == 0) & ch.isin(*separators)
-        return F.struct(
-            F.when(cut, F.concat(acc["done"], F.array(acc["part"]))).otherwise(acc["done"]).alias("done"),
-            F.when(cut, "").otherwise(F.concat(acc["part"], ch)).alias("part"),
-            depth.alias("depth"),
+        return let(
+            F.struct(depth.alias("depth"), ((depth == 0) & ch.isin(*separators)).alias("cut")),
+            lambda x: F.struct(
+                F.when(x["cut"], F.concat(acc["done"], F.array(acc["part"]))).otherwise(acc["done"]).alias("done"),
+                F.when(x["cut"], "").otherwise(F.concat(acc["part"], ch)).alias("part"),
+                x["depth"].alias("depth"),
+            ),
         )
 
-    end = lambda acc: F.transform(F.concat(acc["done"], F.array(acc["part"])), squeeze)
-    return F.aggregate(F.split(s, ""), zero, step, end)
+    folded = F.aggregate(F.split(s, ""), zero, step, lambda acc: F.concat(acc["done"], F.array(acc["part"])))
+    return F.transform(F.when(s.rlike("[(\\[{]"), folded).otherwise(F.split(s, f"[{separators}]")), squeeze)
 
 
 def split_list(c: Column, floor: int = 2) -> Column:
     """The members of a list cell. Brackets protect; a sentence isn't split at commas; repeats differ in more than case."""
-    s = squeeze(c)
-    # a text without any separator is its own part, without the fold
-    by_comma = F.when(s.rlike("[;|,]"), _split_outside(s, ";|\n,")).otherwise(F.array(s))
-    longest = F.aggregate(by_comma, F.lit(0), lambda a, p: F.greatest(a, F.length(p)))
-    wordiest = F.aggregate(by_comma, F.lit(0), lambda a, p: F.greatest(a, F.size(F.split(p, " "))))
-    n = F.size(by_comma)
-    led = F.exists(F.slice(by_comma, 2, F.greatest(n - 1, F.lit(1))), lambda p: p.rlike(LEAD))
-    trailed = F.exists(F.slice(by_comma, 1, F.greatest(n - 1, F.lit(0))), lambda p: p.rlike(TRAIL))
-    prose = s.rlike(PROSE) | (longest > 90) | (wordiest > 12) | led | trailed
-    by_rest = F.when(s.rlike("[;|]"), _split_outside(s, ";|\n")).otherwise(F.array(s))
-    parts = F.filter(F.when(prose, by_rest).otherwise(by_comma), lambda p: null_class(p) == "POPULATED")
-    lows = F.transform(parts, F.lower)
-    distinct = F.filter(parts, lambda p, i: F.array_position(lows, F.lower(p)) == i + 1)
-    return F.when(~populated(c), F.array().cast("array<string>")).when(F.size(parts) < floor, F.slice(parts, 1, 1)).otherwise(distinct)
+
+    def members(s: Column, by_comma: Column) -> Column:
+        longest = F.array_max(F.transform(by_comma, F.length))
+        wordiest = F.array_max(F.transform(by_comma, lambda p: F.size(F.split(p, " "))))
+        n = F.size(by_comma)
+        led = F.exists(F.slice(by_comma, 2, F.greatest(n - 1, F.lit(1))), lambda p: p.rlike(LEAD))
+        trailed = F.exists(F.slice(by_comma, 1, F.greatest(n - 1, F.lit(0))), lambda p: p.rlike(TRAIL))
+        prose = s.rlike(PROSE) | (longest > 90) | (wordiest > 12) | led | trailed
+        # a text without any separator is its own part
+        by_rest = F.when(s.rlike("[;|]"), _split_outside(s, ";|\n")).otherwise(F.array(s))
+        return F.filter(F.when(prose, by_rest).otherwise(by_comma), populated)
+
+    def different(parts: Column) -> Column:
+        return let(F.transform(parts, F.lower), lambda lows: F.filter(parts, lambda p, i: F.array_position(lows, F.lower(p)) == i + 1))
+
+    def of(s: Column) -> Column:
+        by_comma = F.when(s.rlike("[;|,]"), _split_outside(s, ";|\n,")).otherwise(F.array(s))
+        found = let(by_comma, lambda a: let(members(s, a), lambda parts: F.when(F.size(parts) < floor, F.slice(parts, 1, 1)).otherwise(different(parts))))
+        return F.when(~populated(s), F.array().cast("array<string>")).otherwise(found)
+
+    return let(squeeze(c), of)
