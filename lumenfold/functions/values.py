@@ -51,56 +51,80 @@ def is_list(c: Column) -> Column:
 
 
 def _month(name: Column) -> Column:
-    low = F.lower(F.substring(name, 1, 3))
-    return reduce(lambda w, m: w.when(low == m[1], m[0]), enumerate(MONTHS, 1), F.when(F.lit(False), 0)).otherwise(0)
+    return F.coalesce(F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(name, 1, 3))), F.lit(0)).cast("int")
 
 
 def _made(y: Column, m: Column, d: Column) -> Column:
-    y, m, d = y.try_cast("int"), m.try_cast("int"), d.try_cast("int")
-    good = y.between(1900, 2100) & m.between(1, 12) & d.between(1, 31)
-    return F.when(good, F.format_string("%04d-%02d-%02d", y, m, d)).otherwise("")
+    good = lambda x: x["y"].between(1900, 2100) & x["m"].between(1, 12) & x["d"].between(1, 31)
+    numbers = F.struct(y.try_cast("int").alias("y"), m.try_cast("int").alias("m"), d.try_cast("int").alias("d"))
+    return let(numbers, lambda x: F.when(good(x), F.format_string("%04d-%02d-%02d", x["y"], x["m"], x["d"])).otherwise(""))
+
+
+# Forms of a date, in the order in which they are tried, and where their year, month and day stand.
+DATE_FORMS = [
+    ("iso", "^([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})", (1, 2, 3)),
+    ("num", "^([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{2,4})$", (3, 2, 1)),
+    ("dmy", "^([0-9]{1,2})(?:st|nd|rd|th)?[ -]([A-Za-z]{3,9})\\.?,?[ -]([0-9]{4})$", (3, 2, 1)),
+    ("mdy", "^([A-Za-z]{3,9})\\.?[ -]([0-9]{1,2})(?:st|nd|rd|th)?,?[ -]([0-9]{4})$", (3, 1, 2)),
+    ("ym", "^([0-9]{4})[-/.]([0-9]{1,2})$", (1, 2)),
+    ("my", "^([A-Za-z]{3,9})\\.?[ ,-]*([0-9]{4})$", (2, 1)),
+]
+YEAR = "^(?:19|20)[0-9]{2}$"
 
 
 def ndate(c: Column) -> Column:
-    """Struct (iso, precision, flag, raw). Partial dates keep their precision; day before month, flagged where both could be."""
-    raw = squeeze(c)
-    s = F.trim(F.regexp_replace(raw, "[ T][0-9]{1,2}:[0-9]{2}(:[0-9]{2})?(\\.[0-9]+)?$", ""))
-
-    def part(pattern: str, i: int) -> Column:
-        return F.regexp_extract(s, pattern, i)
-
-    iso, num = "^([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})", "^([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{2,4})$"
-    dmy = "^([0-9]{1,2})(?:st|nd|rd|th)?[ -]([A-Za-z]{3,9})\\.?,?[ -]([0-9]{4})$"
-    mdy = "^([A-Za-z]{3,9})\\.?[ -]([0-9]{1,2})(?:st|nd|rd|th)?,?[ -]([0-9]{4})$"
-    my, ym, y = "^([A-Za-z]{3,9})\\.?[ ,-]*([0-9]{4})$", "^([0-9]{4})[-/.]([0-9]{1,2})$", "^(?:19|20)[0-9]{2}$"
-    a, b, short = part(num, 1).try_cast("int"), part(num, 2).try_cast("int"), part(num, 3)
-    year = F.when(F.length(short) == 2, F.concat(F.when(short.try_cast("int") < 50, "20").otherwise("19"), short)).otherwise(short)
-    swap = (a <= 12) & (b > 12)
-    numeric = _made(year, F.when(swap, a).otherwise(b), F.when(swap, b).otherwise(a))
-    named = F.greatest(_month(part(dmy, 2)), F.lit(1))
-    month = part(ym, 2).try_cast("int")
-    day_iso = (
-        F.when(s.rlike(iso), _made(part(iso, 1), part(iso, 2), part(iso, 3)))
-        .when(s.rlike(num), numeric)
-        .when(s.rlike(dmy), _made(part(dmy, 3), named, part(dmy, 1)))
-        .when(s.rlike(mdy) & (_month(part(mdy, 1)) > 0), _made(part(mdy, 3), _month(part(mdy, 1)), part(mdy, 2)))
-    )
-    found = (
-        F.when(day_iso.isNotNull(), day_iso)
-        .when(s.rlike(ym) & month.between(1, 12), F.concat(part(ym, 1), F.lit("-"), F.lpad(month.cast("string"), 2, "0")))
-        .when(~s.rlike(ym) & s.rlike(my) & (_month(part(my, 1)) > 0), F.concat(part(my, 2), F.lit("-"), F.lpad(_month(part(my, 1)).cast("string"), 2, "0")))
-        .when(s.rlike(y), s)
-        .otherwise("")
-    )
-    live = populated(raw)
-    precision = F.when(day_iso.isNotNull(), "DAY").when(F.length(found) == 7, "MONTH").otherwise("YEAR")
-    ambiguous = ~s.rlike(iso) & s.rlike(num) & (a <= 12) & (b <= 12)
-    return F.struct(
-        F.when(live, found).otherwise("").alias("iso"),
-        F.when(~live, "").when(found == "", "NONE").otherwise(precision).alias("precision"),
-        F.when(~live, "").when(found == "", "UNPARSED_PRESERVED").when(ambiguous, "AMBIGUOUS_DMY").otherwise("").alias("flag"),
-        raw.alias("raw"),
-    )
+    """Struct (iso, precision, flag, raw). Partial dates keep their precision; day before month, flagged where both could be.
+
+    The form is settled first, and its parts are read once.
+    """
+
+    def read(s: Column, form: Column) -> Column:
+        """The year, month and day of a form, as text."""
+        parts = F.when(F.lit(False), F.array().cast("array<string>"))
+        for name, pattern, places in DATE_FORMS:
+            parts = parts.when(form == name, F.split(F.regexp_replace(s, f"(?s){pattern}" + ("" if pattern.endswith("$") else ".*$"), "\u0001".join(f"${i}" for i in places)), "\u0001"))
+        return parts.otherwise(F.array().cast("array<string>"))
+
+    def formed(s: Column) -> Column:
+        patterns = {name: pattern for name, pattern, _ in DATE_FORMS}
+        named = {"mdy": _month(s) > 0, "my": _month(s) > 0, "ym": F.regexp_extract(s, patterns["ym"], 2).try_cast("int").between(1, 12)}
+        form = F.when(F.lit(False), "")
+        for name, pattern in patterns.items():
+            form = form.when((s.rlike(pattern) & named[name]) if name in named else s.rlike(pattern), name)
+        return form.when(s.rlike(YEAR), "y").otherwise("")
+
+    def found(s: Column, form: Column, p: Column) -> Column:
+        year, month, day = F.get(p, F.lit(0)), F.get(p, F.lit(1)), F.get(p, F.lit(2))
+        long = F.when(F.length(year) == 2, F.concat(F.when(year.try_cast("int") < 50, "20").otherwise("19"), year)).otherwise(year)
+        swap = (day.try_cast("int") <= 12) & (month.try_cast("int") > 12)
+        text = lambda m: F.lpad(m.cast("string"), 2, "0")
+        return (
+            F.when(form == "iso", _made(year, month, day))
+            .when(form == "num", _made(long, F.when(swap, day).otherwise(month), F.when(swap, month).otherwise(day)))
+            .when(form == "dmy", _made(year, F.greatest(_month(month), F.lit(1)).cast("string"), day))
+            .when(form == "mdy", _made(year, _month(month).cast("string"), day))
+            .when(form == "ym", F.concat(year, F.lit("-"), text(month.try_cast("int"))))
+            .when(form == "my", F.concat(year, F.lit("-"), text(_month(month))))
+            .when(form == "y", s)
+            .otherwise("")
+        )
+
+    def judged(raw: Column, live: Column, form: Column, p: Column, iso: Column) -> Column:
+        whole = form.isin("iso", "num", "dmy", "mdy")
+        ambiguous = (form == "num") & (F.get(p, F.lit(2)).try_cast("int") <= 12) & (F.get(p, F.lit(1)).try_cast("int") <= 12)
+        return F.struct(
+            F.when(live, iso).otherwise("").alias("iso"),
+            F.when(~live, "").when(iso == "", "NONE").when(whole, "DAY").when(F.length(iso) == 7, "MONTH").otherwise("YEAR").alias("precision"),
+            F.when(~live, "").when(iso == "", "UNPARSED_PRESERVED").when(ambiguous, "AMBIGUOUS_DMY").otherwise("").alias("flag"),
+            raw.alias("raw"),
+        )
+
+    def of(raw: Column) -> Column:
+        bare = F.trim(F.regexp_replace(raw, "[ T][0-9]{1,2}:[0-9]{2}(:[0-9]{2})?(\\.[0-9]+)?$", ""))
+        parsed = lambda s, form: let(read(s, form), lambda p: let(found(s, form, p), lambda iso: let(populated(raw), lambda live: judged(raw, live, form, p, iso))))
+        return let(bare, lambda s: let(formed(s), lambda form: parsed(s, form)))
+
+    return let(squeeze(c), of)
 
 
 URL = "(?i)(?:https?://|ftp://)[^\\s<>\"'\\\\]+"
