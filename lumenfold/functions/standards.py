@@ -80,20 +80,24 @@ ORGANISATION = "(?i)\\b(?:pvt|private|ltd|limited|inc|llc|llp|gmbh|co\\.?|corp(?
 
 def split_number_and_date(c: Column) -> Column:
     """Struct (number, note, date_text, method): an order number, its date, and what is left; nothing is invented."""
-    s = squeeze(c)
-    cue, bracket, trail = F.regexp_extract(s, DATE_CUE, 0), F.regexp_extract(s, BRACKETED_DATE, 1), F.regexp_extract(s, TRAILING_DATE, 1)
-    method = F.when(~populated(c), "EMPTY").when(cue != "", "DATE_CUE").when(bracket != "", "PAREN_DATE").when(trail != "", "TRAIL_DATE").otherwise("NO_CUE")
-    after = F.regexp_extract(s, f"{DATE_CUE}(.*)$", 1)
-    date = F.when(method == "DATE_CUE", after).when(method == "PAREN_DATE", bracket).when(method == "TRAIL_DATE", trail).otherwise("")
-    head = (
-        F.when(method == "DATE_CUE", F.regexp_extract(s, f"^(.*?){DATE_CUE}", 1))
-        .when(method == "PAREN_DATE", F.regexp_replace(s, BRACKETED_DATE, " "))
-        .when(method == "TRAIL_DATE", F.regexp_replace(s, TRAILING_DATE, ""))
-        .otherwise(s)
-    )
     trim = lambda x: F.regexp_replace(F.regexp_replace(x, "^[ ,;:\\-–(\\[/)\\]]+|[ ,;:\\-–(\\[/]+$", ""), "\\s{2,}", " ")
-    number = F.regexp_extract(head, ORDER_NUMBER, 0)
-    return F.struct(strip(number).alias("number"), trim(F.regexp_replace(head, ORDER_NUMBER, " ")).alias("note"), trim(date).alias("date_text"), method.alias("method"))
+
+    def split(s: Column, method: Column) -> Column:
+        date = F.when(method == "DATE_CUE", F.regexp_extract(s, f"{DATE_CUE}(.*)$", 1)).when(method == "PAREN_DATE", F.regexp_extract(s, BRACKETED_DATE, 1)).when(method == "TRAIL_DATE", F.regexp_extract(s, TRAILING_DATE, 1)).otherwise("")
+        head = (
+            F.when(method == "DATE_CUE", F.regexp_extract(s, f"^(.*?){DATE_CUE}", 1))
+            .when(method == "PAREN_DATE", F.regexp_replace(s, BRACKETED_DATE, " "))
+            .when(method == "TRAIL_DATE", F.regexp_replace(s, TRAILING_DATE, ""))
+            .otherwise(s)
+        )
+        made = lambda h: F.struct(strip(F.regexp_extract(h, ORDER_NUMBER, 0)).alias("number"), trim(F.regexp_replace(h, ORDER_NUMBER, " ")).alias("note"), trim(date).alias("date_text"), method.alias("method"))
+        return let(head, made)
+
+    def of(s: Column) -> Column:
+        method = F.when(~populated(s), "EMPTY").when(s.rlike(DATE_CUE), "DATE_CUE").when(s.rlike(BRACKETED_DATE), "PAREN_DATE").when(s.rlike(TRAILING_DATE), "TRAIL_DATE").otherwise("NO_CUE")
+        return let(method, lambda m: split(s, m))
+
+    return let(squeeze(c), of)
 
 
 def split_number_and_product(c: Column) -> Column:
@@ -116,31 +120,43 @@ AMENDMENT = "(?i)\\b(?:amend\\w*|corrigend(?:um|a)|supersed\\w+|revised by|subst
 
 def split_scope(c: Column) -> Column:
     """Struct (scope, exclusions, amendments): each sentence in exactly one; an abbreviation's point ends none."""
-    marked = F.regexp_replace(squeeze(c), f"(?:{ABBREVIATIONS}\\.|;)\\s+", "$0\u0001")
-    sentences = F.when(populated(c), F.split(marked, "\u0001")).otherwise(F.array().cast("array<string>"))
-    amended = lambda x: x.rlike(AMENDMENT)
-    excluded = lambda x: ~amended(x) & x.rlike(EXCLUSION) & ~x.rlike(NEGATED)
-    joined = lambda f: F.array_join(F.transform(F.filter(sentences, f), lambda x: F.trim(x)), " ")
-    return F.struct(joined(lambda x: ~amended(x) & ~excluded(x)).alias("scope"), joined(excluded).alias("exclusions"), joined(amended).alias("amendments"))
+
+    def placed(x: Column) -> Column:
+        place = F.when(x.rlike(AMENDMENT), "amendments").when(x.rlike(EXCLUSION) & ~x.rlike(NEGATED), "exclusions").otherwise("scope")
+        return F.struct(F.trim(x).alias("text"), place.alias("place"))
+
+    def of(s: Column) -> Column:
+        marked = F.regexp_replace(s, f"(?:{ABBREVIATIONS}\\.|;)\\s+", "$0\u0001")
+        sentences = F.when(populated(s), F.split(marked, "\u0001")).otherwise(F.array().cast("array<string>"))
+        joined = lambda every, place: F.array_join(F.filter(every, lambda x: x["place"] == place)["text"], " ").alias(place)
+        return let(F.transform(sentences, placed), lambda every: F.struct(*[joined(every, p) for p in ("scope", "exclusions", "amendments")]))
+
+    return let(squeeze(c), of)
 
 
 def split_name_and_address(c: Column) -> Column:
     """Struct (name, address, city, country, method): by labels, else at the comma after the last organisation word."""
-    s = squeeze(c)
-    label = lambda name: F.regexp_replace(F.trim(F.regexp_extract(s, f"(?i)\\|\\s*{name}\\s*:([^|]*)", 1)), "[ ,;]+$", "")
-    labelled = s.rlike("(?i)\\|\\s*(address|city|country|state|pin|postal code|zip)\\s*:")
-    before = F.regexp_replace(F.regexp_extract(s, "(?i)^(.*?)\\|\\s*(?:address|city|country|state|pin|postal code|zip)\\s*:", 1), "[ ,;|]+$", "")
     org = f"^(.*{ORGANISATION}[^,]*),(.*)$"
-    by_org = s.rlike(org)
-    method = F.when(~populated(c), "EMPTY").when(labelled, "LABELLED").when(by_org, "ORG_TOKEN_COMMA").when(s.rlike(ORGANISATION), "ORG_TOKEN_NO_COMMA").otherwise("NO_LABEL_NO_ORG_TOKEN")
-    shown = lambda x: F.when(populated(x), x).otherwise("")
-    return F.struct(
-        F.when(~populated(c), "").when(labelled, before).when(by_org, F.trim(F.regexp_extract(s, org, 1))).otherwise(s).alias("name"),
-        F.when(~populated(c), "").when(labelled, shown(label("address"))).when(by_org, F.trim(F.regexp_extract(s, org, 2))).otherwise("").alias("address"),
-        F.when(labelled, shown(label("city"))).otherwise("").alias("city"),
-        F.when(labelled, shown(label("country"))).otherwise("").alias("country"),
-        method.alias("method"),
-    )
+
+    def split(s: Column, method: Column) -> Column:
+        label = lambda name: F.regexp_replace(F.trim(F.regexp_extract(s, f"(?i)\\|\\s*{name}\\s*:([^|]*)", 1)), "[ ,;]+$", "")
+        before = F.regexp_replace(F.regexp_extract(s, "(?i)^(.*?)\\|\\s*(?:address|city|country|state|pin|postal code|zip)\\s*:", 1), "[ ,;|]+$", "")
+        labelled, by_org = method == "LABELLED", method == "ORG_TOKEN_COMMA"
+        shown = lambda name: let(label(name), lambda x: F.when(populated(x), x).otherwise(""))
+        return F.struct(
+            F.when(method == "EMPTY", "").when(labelled, before).when(by_org, F.trim(F.regexp_extract(s, org, 1))).otherwise(s).alias("name"),
+            F.when(labelled, shown("address")).when(by_org, F.trim(F.regexp_extract(s, org, 2))).otherwise("").alias("address"),
+            F.when(labelled, shown("city")).otherwise("").alias("city"),
+            F.when(labelled, shown("country")).otherwise("").alias("country"),
+            method.alias("method"),
+        )
+
+    def of(s: Column) -> Column:
+        labelled = s.rlike("(?i)\\|\\s*(address|city|country|state|pin|postal code|zip)\\s*:")
+        method = F.when(~populated(s), "EMPTY").when(labelled, "LABELLED").when(s.rlike(org), "ORG_TOKEN_COMMA").when(s.rlike(ORGANISATION), "ORG_TOKEN_NO_COMMA").otherwise("NO_LABEL_NO_ORG_TOKEN")
+        return let(method, lambda m: split(s, m))
+
+    return let(squeeze(c), of)
 
 
 def norm_entity(kind: str, c: Column) -> Column:
