@@ -6,12 +6,12 @@ and of each query a task hands on its best rows alone.
 
 from __future__ import annotations
 
-import heapq
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,8 +20,10 @@ from lumenfold.storage import BROADCAST_BYTES
 
 #: Order of scores: to so many digits, so that another order of adding up changes no rank.
 DIGITS = 12
-#: Scores that a task computes at once.
+#: Scores that a task computes, or holds, at once.
 SCORES = 2_000_000
+#: Rows that are held against queries at once.
+ROWS = 2048
 
 
 def _blocks(queries: DataFrame, row_bytes: int) -> Iterator[list]:
@@ -49,6 +51,43 @@ def searched(rows: DataFrame, queries: DataFrame, task: Callable, schema: str, r
     return _first(every, k)
 
 
+class Best:
+    """The ``k`` best rows of each of ``n`` queries, of ties those of the least keys; candidates are cut down when they are many."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.k, self.held, self.size = k, [], 0
+        self.least = np.full(n, -np.inf)  # a row below this is none of the best
+
+    def add(self, at: np.ndarray, keys: np.ndarray, scores: np.ndarray) -> None:
+        good = scores >= self.least[at]
+        self.held.append(pd.DataFrame({"at": at[good], "key": keys[good], "score": scores[good]}))
+        self.size += int(good.sum())
+        if self.size > SCORES:
+            self.cut()
+
+    def cut(self) -> pd.DataFrame:
+        every = pd.concat(self.held, ignore_index=True) if self.held else pd.DataFrame({"at": [], "key": [], "score": []})
+        every = every.sort_values(["at", "score", "key"], ascending=[True, False, True])
+        every = every[every.groupby("at").cumcount() < self.k]
+        full = every.groupby("at")["score"].agg(["size", "min"]).query(f"size == {self.k}")
+        self.least[full.index.to_numpy(np.int64)] = full["min"].to_numpy()
+        self.held, self.size = [every], len(every)
+        return every
+
+
+def keys_of(column: pa.Array) -> np.ndarray:
+    return np.array(column.to_pylist(), object) if column.null_count else column.to_numpy(zero_copy_only=False)
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Vectors as rows; a missing one is of noughts."""
+    if not column.null_count and not column.flatten().null_count and len(column.flatten()) == len(column) * width:
+        lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+        if (lengths == width).all():
+            return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), width)
+    return np.array([v or [0.0] * width for v in column.to_pylist()], np.float64).reshape(len(column), -1)
+
+
 def _near(shared, k: int):
     """The ``k`` nearest rows (key, vector, group) of a task to each query (question_id, vector, group); a query without a group looks at all."""
 
@@ -59,28 +98,30 @@ def _near(shared, k: int):
         by_group = defaultdict(list)
         for i, q in enumerate(queries):
             by_group[q[2]].append(i)
-        best: dict[int, list] = defaultdict(list)
-        kind = None
+        asked = {group: np.array(own) for group, own in by_group.items()}
+        best, kind = Best(len(queries), k), None
         for batch in batches:
             kind = batch.schema.field(0).type
-            keys, groups = batch.column(0).to_pylist(), np.array(batch.column(2).to_pylist(), object)
-            vectors = np.array([v or [0.0] * wanted.shape[1] for v in batch.column(1).to_pylist()], np.float64).reshape(len(keys), -1)
+            keys, vectors = keys_of(batch.column(0)), _matrix(batch.column(1), wanted.shape[1])
             length = np.linalg.norm(vectors, axis=1)
             vectors = vectors / np.maximum(length, 1e-300)[:, None]
-            for group, own in by_group.items():
-                here = np.flatnonzero(length > 0) if group is None else np.flatnonzero((groups == group) & (length > 0))
-                if not len(here):
-                    continue
-                step = max(1, SCORES // len(own))
-                for part in (here[i : i + step] for i in range(0, len(here), step)):
-                    scores = np.round(vectors[part] @ wanted[own].T, DIGITS)
-                    for j, i in enumerate(own):
-                        column = scores[:, j]
-                        least = np.partition(column, -k)[-k] if len(column) > k else -np.inf
-                        best[i] = heapq.nsmallest(k, best[i] + [(-column[r], keys[part[r]]) for r in np.flatnonzero(column >= least)])
+            rows: dict = defaultdict(list)
+            for i, group in enumerate(batch.column(2).to_pylist()):
+                if length[i] > 0:
+                    rows[group].append(i)
+            for group, own in asked.items():
+                here = np.flatnonzero(length > 0) if group is None else np.array(rows.get(group, []), np.int64)
+                for part in (here[i : i + ROWS] for i in range(0, len(here), ROWS)):
+                    step = max(1, SCORES // len(part))
+                    for some in (own[i : i + step] for i in range(0, len(own), step)):
+                        scores = np.round(wanted[some] @ vectors[part].T, DIGITS)
+                        least = np.partition(scores, len(part) - k, axis=1)[:, len(part) - k] if len(part) > k else np.full(len(some), -np.inf)
+                        q, r = np.nonzero(scores >= np.maximum(least, best.least[some])[:, None])
+                        best.add(some[q], keys[part[r]], scores[q, r])
         if kind is not None:
-            rows = [(queries[i][0], key, -score) for i, own in best.items() for score, key in own]
-            yield pa.record_batch({"question_id": pa.array([r[0] for r in rows], pa.int64()), "key": pa.array([r[1] for r in rows], kind), "score": pa.array([r[2] for r in rows], pa.float64())})
+            found = best.cut()
+            ids = np.array([q[0] for q in queries], np.int64)
+            yield pa.record_batch({"question_id": pa.array(ids[found["at"].to_numpy(np.int64)]), "key": pa.array(found["key"].tolist(), kind), "score": pa.array(found["score"].to_numpy(np.float64))})
 
     return run
 
