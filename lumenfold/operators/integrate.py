@@ -144,14 +144,18 @@ def attributes(df: DataFrame, entity_id: str, columns: list[str]) -> DataFrame:
     return df.select(F.col(entity_id).alias("entity_id"), each).select("entity_id", "x.*").where("value <> ''")
 
 
-def with_aspects(masters: DataFrame, key: str, aspects: dict[str, tuple[DataFrame, str, str]], chars: int = 8000) -> DataFrame:
+def with_aspects(masters: DataFrame, key: str, aspects: dict[str, tuple[DataFrame, str, str]], chars: int | None = 8000) -> DataFrame:
     """Masters with a count and a list for each aspect: an edge table with its key and value columns.
 
-    Of a master's values only as many are collected as the list can show.
+    Of a master's values only as many are collected as the list can show; all of them where ``chars`` is None.
     """
     out = masters
     for name, (edges, edge_key, shown) in aspects.items():
         each = edges.select(F.col(edge_key).alias(key), F.col(shown).cast("string").alias("v")).where("v IS NOT NULL").distinct()
+        if chars is None:
+            side = each.groupBy(key).agg(F.count(F.lit(1)).alias(f"{name}_count"), F.array_join(F.array_sort(F.collect_list("v")), " | ").alias(f"{name}_list"))
+            out = out.join(side, key, "left").na.fill({f"{name}_count": 0, f"{name}_list": ""})
+            continue
         counts = each.groupBy(key).agg(F.count(F.lit(1)).alias(f"{name}_count"))
         nth = F.row_number().over(Window.partitionBy(key).orderBy("v"))
         first = each.withColumn("nth", nth).where(F.col("nth") <= chars // 4 + 2).groupBy(key).agg(F.collect_list("v").alias("vs"))
