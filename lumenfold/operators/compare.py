@@ -222,7 +222,8 @@ def homonyms(shapes: DataFrame, matched: Column) -> DataFrame:
 
 def discriminators(shapes: DataFrame, matched: Column, column: str = "column") -> DataFrame:
     """Columns that hold an entity and disagree on nearly every matched key: the sides are different entities over one key."""
-    return shapes.where((matched > 0) & (entity_kind(norm_header(F.col(column))) != "") & (F.col("keys") >= 0.99 * matched))
+    # as one condition on the counts, so that names are read for columns and not for the rows that were counted
+    return shapes.where(F.when((matched > 0) & (F.col("keys") >= 0.99 * matched), entity_kind(norm_header(F.col(column))) != "").otherwise(F.lit(False)))
 
 
 def same_attributes(verdict: Column, column_jaccard: Column, common: Column, columns_a: Column, columns_b: Column) -> Column:
