@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.storage import bounded
+from lumenfold.functions.text import let
+from lumenfold.storage import BROADCAST_BYTES, spread, written
 
 
 def whole(pattern: str) -> str:
@@ -51,6 +53,7 @@ SCHEME_TOKENS = [
     ("SCHEME\\s*[-–—:_]?\\s*I(?![IVX0-9])|SCHEME 1(?![0-9])|SCH[-_ ]?I(?![IVX0-9])|ISI MARK", "04_SCHEME_I"),
 ]
 SCHEME_COLUMNS = [("^scheme(_(name|label|title))$", 3), ("^(scheme|schemes|scheme_id|scheme_code|scheme_id_code|scheme_no|scheme_number|scheme_record_id)$", 2), ("^scheme_(type|status)$", 1)]
+_POINTS = "array<struct<domain:string,score:bigint>>"
 HEADER, VALUE, STRONG, BLENDED, SECOND, LEAST, MOST = 3, 2, 7, 5, 3, 5, 4
 
 
@@ -58,6 +61,16 @@ def _first(c: Column, rules: list[tuple], otherwise: Column) -> Column:
     return reduce(lambda w, r: w.when(c.rlike(r[0]), r[1]), rules, F.when(F.lit(False), otherwise)).otherwise(otherwise)
 
 
+def _once(rows: DataFrame, column: str, made: Callable[[Column], Column], name: str) -> DataFrame:
+    """``rows`` with ``made`` of a column without nulls: made once of each different value, if these fit, else in each row."""
+    values = written(rows.select(column).distinct(), "values")
+    size = values.agg(F.sum(F.length(F.concat_ws(" ", column)) + 256)).first()[0] or 0
+    if size > BROADCAST_BYTES:
+        return rows.withColumn(name, made(F.col(column)))
+    facts = written(spread(values).withColumn(name, made(F.col(column))), "facts")  # a table, or filters on it would be made in each row
+    return rows.join(F.broadcast(facts), column)
+
+
 def dominant_schemes(cells: DataFrame, share: float = 0.6, hits: int = 3) -> DataFrame:
     """(file_id, domain, points) from cells (file_id, header, value, n), n being how often a value occurs.
 
@@ -65,10 +78,10 @@ def dominant_schemes(cells: DataFrame, share: float = 0.6, hits: int = 3) -> Dat
     with any label, and ``hits`` cells or half of all. That of the best column gets 7 points, or 5 if the
     column only blends schemes; other labels that dominate a column get 3.
     """
-    rank = _first(F.col("header"), SCHEME_COLUMNS, F.lit(0))
-    label = _first(F.upper(F.regexp_replace(F.coalesce("value", F.lit("")), "\\s+", " ")), SCHEME_TOKENS, F.lit(None))
-    marked = cells.where(rank > 0).select("file_id", "header", rank.alias("rank"), label.alias("domain"), "n")
-    counted = marked.groupBy("file_id", "header", "rank", "domain").agg(F.sum("n").alias("n"))
+    label = lambda c: let(F.upper(F.regexp_replace(c, "\\s+", " ")), lambda v: _first(v, SCHEME_TOKENS, F.lit(None)))
+    named = _once(cells.select("file_id", "header", F.coalesce("value", F.lit("")).alias("value"), "n").where("header IS NOT NULL"), "header", lambda c: _first(c, SCHEME_COLUMNS, F.lit(0)), "rank")
+    marked = _once(named.where("rank > 0"), "value", label, "domain")
+    counted = marked.groupBy("file_id", "header", "rank", "domain").agg(F.sum("n").alias("n")).repartition("file_id")  # what follows is within a file
     column = Window.partitionBy("file_id", "header")  # a row a label
     known = F.col("domain").isNotNull()
     facts = counted.withColumns({"all": F.sum("n").over(column), "bearing": F.sum(F.when(known, F.col("n"))).over(column), "nth": F.row_number().over(column.orderBy(F.desc(known), F.desc("n"), "domain"))})
@@ -79,22 +92,28 @@ def dominant_schemes(cells: DataFrame, share: float = 0.6, hits: int = 3) -> Dat
     return one.select("file_id", "domain", points.alias("points"))
 
 
+def _points(domain: str, points: Column | int) -> Column:
+    return F.struct(F.lit(domain).alias("domain"), F.lit(points).cast("long").alias("score"))
+
+
 def domain_scores(files: DataFrame, schemes: DataFrame | None = None, domains: list = DOMAINS, signals: list = NAME_SIGNALS) -> DataFrame:
     """(file_id, domain, score) of each domain that files (file_id, name, headers, sample) score in.
 
     Three points for each different header that a pattern finds, two for each pattern that the name or
     else the sample of values holds, those of the name's signals and of ``schemes`` (file_id, domain, points).
+    Files share names, headers and samples: each different one is held against the patterns once.
     """
-    name, sample = F.lower(F.coalesce("name", F.lit(""))), F.lower(F.coalesce("sample", F.lit("")))
-    headers = F.array_distinct(F.coalesce("headers", F.array().cast("array<string>")))
-    scored = []
-    for domain, heads, values in domains:
-        any_of = "|".join(f"(?:{x})" for x in heads)
-        found = F.size(F.filter(headers, lambda h: h.rlike(any_of))) if heads else F.lit(0)  # noqa: B023
-        points = [F.when(name.rlike(p) | sample.rlike(p), VALUE).otherwise(0) for p in values]
-        scored.append((domain, reduce(lambda a, b: a + b, points, HEADER * found)))
-    scored += [(domain, F.when(name.rlike(p), n).otherwise(0)) for p, domain, n in signals]
-    each = files.select("file_id", F.explode(F.array(*[F.struct(F.lit(d).alias("domain"), s.cast("long").alias("score")) for d, s in scored])).alias("x")).select("file_id", "x.*").where("score > 0")
+    patterns = [(d, p) for d, _, values in domains for p in values]
+    ask = [(d, "|".join(f"(?:{x})" for x in heads)) for d, heads, _ in domains if heads]
+    held = lambda c: F.array_compact(F.array(*[F.when(c.rlike(p), F.lit(i)) for i, (_, p) in enumerate(patterns)]).cast("array<int>"))
+    heads = lambda c: F.filter(F.array(*[_points(d, HEADER * F.size(F.filter(c, lambda h: h.rlike(p)))) for d, p in ask]).cast(_POINTS), lambda x: x["score"] > 0)  # noqa: B023, E731
+    signal = lambda c: F.array_compact(F.array(*[F.when(c.rlike(p), _points(d, n)) for p, d, n in signals]).cast(_POINTS))
+    slim = files.select("file_id", F.lower(F.coalesce("name", F.lit(""))).alias("name"), F.lower(F.coalesce("sample", F.lit(""))).alias("sample"), F.array_distinct(F.coalesce("headers", F.array().cast("array<string>"))).alias("headers"))
+    of_name = lambda c: F.struct(held(c).alias("held"), signal(c).alias("signal"))
+    rows = _once(_once(_once(slim, "name", of_name, "named"), "sample", held, "sampled"), "headers", heads, "headed")
+    value = F.array(*[_points(d, VALUE) for d, _ in patterns]).cast(_POINTS)
+    values = F.transform(F.array_union("named.held", "sampled"), lambda i: F.get(value, i))
+    each = rows.select("file_id", F.explode(F.concat(values, "headed", "named.signal")).alias("x")).select("file_id", "x.*")
     if schemes is not None:
         each = each.unionByName(schemes.select("file_id", "domain", F.col("points").cast("long").alias("score")))
     return each.groupBy("file_id", "domain").agg(F.sum("score").alias("score"))
@@ -112,5 +131,5 @@ def file_domains(files: DataFrame, scores: DataFrame, least: int = LEAST, most:
     rest = F.slice(F.filter(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(1))), lambda x: -x["order"] >= least), 1, most)
     sure = top >= least
     made = ranked.select("file_id", F.when(sure, F.col("all")[0]["domain"]).otherwise("UNKNOWN").alias("domain"), F.when(sure, names(rest)).otherwise(names(F.slice("all", 1, 3))).alias("secondary"), top.alias("score"))
-    out = files.select("file_id").join(bounded(made, 256), "file_id", "left")
+    out = files.select("file_id").join(made, "file_id", "left")
     return out.select("file_id", F.coalesce("domain", F.lit("UNKNOWN")).alias("domain"), F.coalesce("secondary", F.lit("")).alias("secondary"), F.coalesce("score", F.lit(0)).alias("score"))

@@ -5,7 +5,7 @@ import pandas as pd
 from conftest import rows_of
 from pyspark.sql import functions as F
 
-from lumenfold.operators import audit
+from lumenfold.operators import audit, domains
 from lumenfold.plans import conflicting, grouping
 from lumenfold.plans.registry import everything
 
@@ -57,3 +57,14 @@ def test_names_of_columns_are_not_read_for_each_row(spark, sf):
     plan = QUERIES["discriminators"](spark, sf)._jdf.queryExecution().optimizedPlan().toString().lower()
     assert "regexp" in plan[: plan.index("aggregate")] and "regexp" not in plan[plan.index("aggregate") :]
     assert conflicting._shapes(spark, sf).columns[0] == "pair"
+
+
+def test_texts_of_files_are_held_against_patterns_once(spark, sf, monkeypatch):
+    assert "RLIKE" not in QUERIES["file_domains"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()  # only in what made the tables of different values
+    files = spark.createDataFrame([(1, "QCO list", ["qco_id", None, "qco_id"], None), (2, None, None, "ISI Mark crs"), (2, "faq", ["answer"], "faq")], "file_id long, name string, headers array<string>, sample string")
+    expected = {(1, "03_QCO", 5), (2, "04_SCHEME_I", 2), (2, "05_SCHEME_II_CRS", 2), (2, "12_CERTIFICATION_FAQ", 5), (2, "18_HALLMARKING_FAQ", 3)}
+    assert {tuple(r) for r in domains.domain_scores(files).collect()} == expected
+    few = [(d, h, []) for d, h, _ in domains.DOMAINS]
+    assert {tuple(r) for r in domains.domain_scores(files, None, few, []).collect()} == {(1, "03_QCO", 3), (2, "12_CERTIFICATION_FAQ", 3), (2, "18_HALLMARKING_FAQ", 3)}
+    monkeypatch.setattr(domains, "BROADCAST_BYTES", 0)  # too many to be broadcast
+    assert {tuple(r) for r in domains.domain_scores(files).collect()} == expected
