@@ -1,11 +1,17 @@
 """What larger tables showed: differences from SQL, and work that grew with rows where it need not."""
 
+import hashlib
+import math
+import re
+from collections import Counter
+
 import duckdb
 import pandas as pd
 from conftest import rows_of
 from pyspark.sql import functions as F
 
-from lumenfold.operators import audit, domains
+from lumenfold.functions.text import SEARCH_STOPWORDS
+from lumenfold.operators import audit, domains, vectors
 from lumenfold.plans import conflicting, grouping
 from lumenfold.plans.registry import everything
 
@@ -68,3 +74,34 @@ def test_texts_of_files_are_held_against_patterns_once(spark, sf, monkeypatch):
     assert {tuple(r) for r in domains.domain_scores(files, None, few, []).collect()} == {(1, "03_QCO", 3), (2, "12_CERTIFICATION_FAQ", 3), (2, "18_HALLMARKING_FAQ", 3)}
     monkeypatch.setattr(domains, "BROADCAST_BYTES", 0)  # too many to be broadcast
     assert {tuple(r) for r in domains.domain_scores(files).collect()} == expected
+
+
+def _brute(rows, dims):
+    """Vectors by the docstring of ``embed``, a word at a time; texts of an id are one."""
+    texts = {}
+    for key, text in rows:
+        texts.setdefault(key, []).extend(w for w in re.findall("[a-z0-9]+", (text or "").lower()) if len(w) >= 3 and w not in SEARCH_STOPWORDS)
+    df, found = Counter(w for own in texts.values() for w in set(own)), {}
+    for key, own in texts.items():
+        v = [0.0] * dims
+        for w in own if key is not None else []:
+            h = hashlib.md5(w.encode()).hexdigest()
+            v[int(h[:7], 16) % dims] += (1 if h[7] < "8" else -1) * (math.log((1 + len(rows)) / (1 + df[w])) + 1)
+        size = math.sqrt(sum(x * x for x in v))
+        found[key] = [round(x / size, 9) + 0.0 if size else 0.0 for x in v]
+    return found
+
+
+def test_vectors_where_texts_lie(spark, monkeypatch):
+    rows = [(i, f"Common thing word{i % 7} rare{i} rare{i} the \u00c9t\u00e9 ab") for i in range(60)]
+    rows += [(5, "more common of five"), (5, None), (None, "common nobody"), (None, "nobody"), (900, None), (901, "of the")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, content string").repartition(3)
+    idf, expected = vectors.fit_idf(chunks), _brute(rows, 8)
+    by = lambda df: {r.chunk_id: [round(x, 9) + 0.0 for x in r.vector] for r in df.collect()}
+    made = vectors.embed(chunks, idf, 8)
+    assert by(made) == expected
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Aggregate" in line and "word" in line for line in plan.splitlines())  # words of texts don't travel
+    monkeypatch.setattr(vectors, "BROADCAST_BYTES", 20 * vectors.WORD_BYTES)  # rare words do where they are too many
+    assert vectors._common(idf.where("word IS NOT NULL")) is not None
+    assert by(vectors.embed(chunks, idf, 8)) == expected
