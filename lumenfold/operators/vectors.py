@@ -176,8 +176,8 @@ def shards(chunks: DataFrame, order: str = "chunk_id", size: int = SHARD) -> Dat
 
 
 def fingerprints(placed: DataFrame) -> DataFrame:
-    """(shard, fingerprint): a sum over the chunks of a shard that says their ids, their texts and their order."""
-    row = F.sha2(F.concat_ws("\n", F.col("seq_no").cast("string"), F.col("chunk_id").cast("string"), F.coalesce("content", F.lit(""))), 256)
+    """(shard, fingerprint): a sum over the chunks (seq_no, chunk_id, mark) of a shard that says their ids, their texts' marks and their order."""
+    row = F.sha2(F.concat_ws("\n", F.col("seq_no").cast("string"), F.col("chunk_id").cast("string"), F.hex("mark")), 256)
     number = lambda at: F.sum(F.conv(F.substring(row, at, 15), 16, 10).cast("decimal(38,0)")).cast("string")
     return placed.groupBy("shard").agg(F.concat_ws(":", F.count("*").cast("string"), number(1), number(16)).alias("fingerprint"))
 
@@ -186,17 +186,20 @@ def refreshed(chunks: DataFrame, held: DataFrame | None, idf: DataFrame, size: i
     """(vectors, work): the vectors (chunk_id, shard, fingerprint, vector) of all chunks, and of each shard whether it was made anew.
 
     held: the vectors of an earlier call, with the same ``idf``. A shard is taken from them if it has the
-    same chunks with the same texts in the same order.
+    same chunks with the same texts in the same order. Marks of texts are ordered and compared; texts stay
+    where they lie and are read twice.
     """
-    placed = written(shards(chunks.select("chunk_id", "content"), "chunk_id", size), "placed")
+    marks = written(chunks.select("chunk_id", F.unhex(F.sha2(F.coalesce("content", F.lit("")), 256)).alias("mark")), "marks")
+    placed = written(shards(marks, "chunk_id", size), "placed")
     now = written(fingerprints(placed), "fingerprints")
     if held is None:
         kept = now.select("shard").limit(0)
     else:
         kept = written(now.join(bounded(held.select("shard", "fingerprint").distinct(), 128), ["shard", "fingerprint"], "left_semi").select("shard"), "kept")
     work = now.join(bounded(kept.withColumn("old", F.lit(True)), 16), "shard", "left").select("shard", F.col("old").isNull().alias("made"))
-    fresh = placed.join(bounded(kept, 16), "shard", "left_anti")
-    made = embed(fresh, idf, dims).join(fresh.select("chunk_id", "shard").distinct(), "chunk_id").join(bounded(now, 128), "shard").select("chunk_id", "shard", "fingerprint", "vector")
+    fresh = bounded(written(placed.join(bounded(kept, 16), "shard", "left_anti").select("chunk_id", "shard").distinct(), "fresh"), 32)
+    texts = chunks if kept.isEmpty() else chunks.join(fresh, "chunk_id", "left_semi")
+    made = embed(texts, idf, dims).join(fresh, "chunk_id").join(bounded(now, 128), "shard").select("chunk_id", "shard", "fingerprint", "vector")
     if held is not None:
         made = made.unionByName(held.join(bounded(kept, 16), "shard", "left_semi").select("chunk_id", "shard", "fingerprint", "vector"))
     return written(made, "vectors"), work

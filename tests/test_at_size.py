@@ -105,3 +105,11 @@ def test_vectors_where_texts_lie(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BROADCAST_BYTES", 20 * vectors.WORD_BYTES)  # rare words do where they are too many
     assert vectors._common(idf.where("word IS NOT NULL")) is not None
     assert by(vectors.embed(chunks, idf, 8)) == expected
+
+
+def test_texts_are_not_ordered_with_their_shards(spark, monkeypatch):
+    tables, put = {}, vectors.written
+    monkeypatch.setattr(vectors, "written", lambda df, what: tables.setdefault(what, put(df, what)))
+    chunks = spark.createDataFrame([(i, f"word{i % 7} thing") for i in range(40)], "chunk_id long, content string")
+    vectors.refreshed(chunks, None, vectors.fit_idf(chunks), 16, 8)
+    assert tables["placed"].count() == 40 and not any("content" in t.columns for t in tables.values())
