@@ -96,10 +96,13 @@ def test_vectors_where_texts_lie(spark, monkeypatch):
     rows = [(i, f"Common thing word{i % 7} rare{i} rare{i} the \u00c9t\u00e9 ab") for i in range(60)]
     rows += [(5, "more common of five"), (5, None), (None, "common nobody"), (None, "nobody"), (900, None), (901, "of the")]
     chunks = spark.createDataFrame(rows, "chunk_id long, content string").repartition(3)
+    tables, put = [], vectors.written
+    monkeypatch.setattr(vectors, "written", lambda df, what: tables.append(set(df.columns)) or put(df, what))
     idf, expected = vectors.fit_idf(chunks), _brute(rows, 8)
     by = lambda df: {r.chunk_id: [round(x, 9) + 0.0 for x in r.vector] for r in df.collect()}
     made = vectors.embed(chunks, idf, 8)
     assert by(made) == expected
+    assert not any({"chunk_id", "word"} <= t for t in tables)  # no table of the words of texts
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert not any("Aggregate" in line and "word" in line for line in plan.splitlines())  # words of texts don't travel
     monkeypatch.setattr(vectors, "BROADCAST_BYTES", 20 * vectors.WORD_BYTES)  # rare words do where they are too many
